@@ -25,12 +25,24 @@ def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(format_chats(chats.unionByName(planted)))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evimap.llm.near_dedup import near_groups
+
+    return near_groups(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "class_size")
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evimap.llm.exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evimap.llm.substring_dedup import repeated_words
+
+    return repeated_words(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evimap.llm.packing import pack
 
@@ -38,6 +50,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from evimap.llm.pii import digests, pii_spans
+
+    return digests(pii_spans(table(spark, sf_dir, "documents")))
+
+
 def op7_bpe_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from evimap.llm.bpe_chunks import encode
 
@@ -85,8 +103,11 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_windows": op1_chat_windows,
+    "op2_order_minhash": op2_order_minhash,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_packing": op5_packing,
+    "op6_pii": op6_pii,
     "op7_bpe_chunks": op7_bpe_chunks,
     "op8_token_files": op8_token_files,
     "op9_quality_rules": op9_quality_rules,
@@ -102,6 +123,15 @@ ORACLE_SQL: dict[str, str] = {
                      count(*) OVER (PARTITION BY norm) AS group_size FROM d)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM w
     """,
+    "op4_substring_dedup": rf"""
+        WITH d AS (SELECT doc_id, {_WORDS} AS words FROM documents),
+        p AS (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d WHERE len(words) >= 13),
+        w AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY array_to_string(words[i:i + 12], ' ')) AS least FROM p),
+        c AS (SELECT doc_id, list(DISTINCT i + k) AS gone FROM w, range(13) AS t(k) WHERE least < doc_id GROUP BY doc_id),
+        r AS (SELECT d.doc_id, words, coalesce(gone, []) AS gone FROM d LEFT JOIN c ON d.doc_id = c.doc_id),
+        k AS (SELECT doc_id, len(words) AS n_words, len(gone) AS n_removed, array_to_string(list_filter(words, lambda w, i: NOT list_contains(gone, i)), ' ') AS kept FROM r)
+        SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(kept) AS kept_sha256 FROM k
+    """,
     "op9_quality_rules": rf"""
         WITH d AS (SELECT doc_id, coalesce(text, '') AS text, {_WORDS} AS words,
                           list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) AS lines FROM documents),
