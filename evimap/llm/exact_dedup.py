@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evimap.llm.common import materialise
+
 #: Salts that a group's local winners are spread over before the global merge.
 SALTS = 16
 #: One unit of length in the packed winner, above any id's absolute value.
@@ -43,11 +45,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_salt = salted.groupBy("_digest", "_norm", "_salt").agg(F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_size"))
     groups = by_salt.groupBy("_digest", "_norm").agg(F.max("_best").alias("_best"), F.sum("_size").alias("_size"))
     # what is kept of a content from here on: its digest, counters and, for the digests of several contents, itself
-    winners = groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.max("_best").alias("_best"), F.max("_size").alias("_size"))
-    single = rows.select("_id", "_n", "_digest").join(winners, "_digest")
-    clashing = single.where("_contents > 1").select("_digest").distinct()
-    exact = rows.join(clashing, "_digest", "left_semi").join(groups.join(clashing, "_digest", "left_semi"), ["_digest", "_norm"])
-    found = single.where("_contents = 1").select("_id", "_n", "_digest", "_best", "_size").unionByName(exact.select("_id", "_n", "_digest", "_best", "_size"))
+    winners = materialise(groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.max("_best").alias("_best"), F.max("_size").alias("_size")), "winners")
+    found = rows.select("_id", "_n", "_digest").join(winners.where("_contents = 1"), "_digest").select("_id", "_n", "_digest", "_best", "_size")
+    clashing = winners.where("_contents > 1").select("_digest")
+    if not clashing.isEmpty():  # two contents under one digest: those rows are joined on the content
+        exact = rows.join(clashing, "_digest", "left_semi").join(groups.join(clashing, "_digest", "left_semi"), ["_digest", "_norm"])
+        found = found.unionByName(exact.select("_id", "_n", "_digest", "_best", "_size"))
     step = F.lit(_STEP).cast("decimal(21,0)")
     keep = (F.col("_n_best") * step - F.col("_best")).cast("decimal(38,0)")
     found = found.withColumn("_n_best", F.round((F.col("_best").cast("decimal(38,0)") / step).cast("decimal(38,6)")).cast("decimal(19,0)"))
