@@ -9,8 +9,10 @@ with m k-mers aligned, m / (a + b - m) must reach 0.8. Classes are the connected
 
 Equal word sequences are one node from the start. In a bucket (texts with an equal sample) the smallest node leads.
 First each node is compared with the smallest of its leaders, then, where that left leader and node apart, with the
-others, and last the pairs of a bucket whose nodes are still in different classes. So a group of n copies costs
-about n comparisons, and no pair of a bucket whose classes differ goes uncompared.
+others, then with the node of most neighbours in each bucket that still has several classes: a group of n copies
+costs about n comparisons. What such buckets still have apart is compared without looking at all their pairs: any two
+similar texts share one of their rarest fifth of k-mers (whichever order of rarity is used), so the nodes are joined
+on those, and every pair of different classes that meets there is verified. No pair above 0.8 of these goes uncompared.
 
 Defined results: a null or empty text is a class of its own; texts of one to four words have one k-mer, their whole;
 equal rows are one class; a null id is a node of its own that is listed with a null class_id if it leads its class;
@@ -35,6 +37,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 SAMPLES, LEAST = 40, 8
 #: Texts of up to so many k-mers also give samples of FEW, as those of 8 are nearly all they have.
 SHORT, FEW = 60, 3
+#: Cells of the table of k-mer frequencies.
+CELLS = 1 << 16
 _rng = np.random.default_rng(20240613)
 _A = _rng.integers(1, 1 << 63, 2 * SAMPLES, np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, 2 * SAMPLES, np.uint64)
@@ -178,6 +182,47 @@ def _by_bits(x: list[int], y: list[int], band: int) -> int:
     return len(y) - row.bit_count()
 
 
+def frequencies(contents: DataFrame) -> np.ndarray:
+    """How many k-mers of all contents fall on each of CELLS cells: a table of fixed size, summed cell by cell."""
+    blocks = 16
+    size = CELLS // blocks
+
+    def count(batches):
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for data in batch.column("kmers"):
+                x = np.frombuffer(data.as_buffer(), "<u4")
+                total += np.bincount(x % CELLS, minlength=CELLS)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": [total[i * size : (i + 1) * size].tobytes() for i in range(blocks)]})
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(x.as_buffer(), np.int64) for chunk in table.column("counts").chunks for x in chunk)
+        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = contents.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.block))]) if rows else np.zeros(CELLS, np.int64)
+
+
+def _rarest(frequency: np.ndarray):
+    """Each node's k-mers of the rarest cells, as many as leave fewer than a similar text must share: two similar
+    texts have one of them in common, in whatever fixed order k-mers are taken."""
+
+    def take(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes, out = [], []
+            for node, data in zip(batch.column("node").to_pylist(), batch.column("kmers"), strict=True):
+                x = np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)
+                rank = frequency[x.astype(np.int64) % CELLS]
+                x = labelled(x, np.array([0, len(x)]))
+                x = x[np.lexsort((x, rank))][: len(x) - ceil(SIMILARITY * len(x) - 1e-9) + 1]
+                nodes.append(np.full(len(x), node, np.int64))
+                out.append(x.view(np.int64))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out))], names=["node", "kmer"])
+
+    return take
+
+
 def _verify(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = batch.column("kmers_a"), batch.column("kmers_b")
@@ -247,15 +292,35 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             links = links.unionByName(more)
             classes = materialise(components(links), "classes")
 
-    inside = classed(members.select("key", "node"), "node", "c")
-    mixed = inside.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("key")
-    inside = materialise(inside.join(mixed, "key", "left_semi"), "mixed")
-    left, right = inside.select("key", F.col("node").alias("a"), F.col("c").alias("ca")), inside.select("key", F.col("node").alias("b"), F.col("c").alias("cb"))
-    across = left.join(right, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    compared = seen.unionByName(apart)
-    across = across.join(compared, ["a", "b"], "left_anti")
-    across = materialise(across, "pairs")
-    if not across.isEmpty():
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    degree = members.select("key", "node").join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    ranked = materialise(members.select("key", "node").join(degree, "node"), "ranked")
+    compared = materialise(seen.unionByName(apart), "compared")
+
+    def mixed() -> DataFrame:
+        """Members of the buckets that have several classes."""
+        inside = classed(ranked, "node", "c")
+        keys = inside.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("key")
+        return materialise(inside.join(keys, "key", "left_semi"), "mixed")
+
+    inside = mixed()
+    if not inside.isEmpty():
+        centre = inside.groupBy("key").agg(F.max(F.struct("degree", "node", "c")).alias("l")).select("key", F.col("l.node").alias("led"), F.col("l.c").alias("cl"))
+        pairs = inside.join(centre, "key").where("c <> cl").select(F.least("led", "node").alias("a"), F.greatest("led", "node").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
+        pairs = materialise(pairs, "pairs")
+        compared = compared.unionByName(pairs)
+        more = materialise(verified(pairs), "links")
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            classes = materialise(components(links), "classes")
+            inside = mixed()
+    if not inside.isEmpty():
+        rest = contents.join(inside.select("node").distinct(), "node", "left_semi")
+        rare = classed(rest.mapInArrow(_rarest(frequencies(contents)), "node long, kmer long"), "node", "c")
+        keys = rare.groupBy("kmer").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("kmer")
+        rare = materialise(rare.join(keys, "kmer", "left_semi"), "rare")
+        left, right = rare.select("kmer", F.col("node").alias("a"), F.col("c").alias("ca")), rare.select("kmer", F.col("node").alias("b"), F.col("c").alias("cb"))
+        across = left.join(right, (left.kmer == right.kmer) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
         more = materialise(verified(across), "links")
         if not more.isEmpty():
             classes = materialise(components(links.unionByName(more)), "classes")
