@@ -1,8 +1,9 @@
 """Token ids in Arrow files of fixed-size lists.
 
-A shard is two Arrow IPC files. `ids`: record batches of (ids fixed_size_list<uint32>[LENGTH], mask
-fixed_size_list<uint8>[LENGTH]), all of BATCH_ROWS rows but the last, uncompressed, so sequence k of a mapped
-file is a view at a place known from k alone. The shard's ids stand there one after the other; only the last
+A shard is two Arrow IPC files. `ids`: record batches of (ids fixed_size_list<uint16 or uint32>[LENGTH], mask
+fixed_size_list<uint8>[LENGTH / 8], a bit for each id, lowest first), all of BATCH_ROWS rows but the last,
+uncompressed, so sequence k of a mapped file is a view at a place known from k alone. Ids take 16 bits where the
+vocabulary allows. The shard's ids stand there one after the other; only the last
 sequence is filled up, under mask 0. `docs`: (doc_id, start, n_tokens) of each document, start counted within
 the shard. Shards hold ascending ranges of doc_id; the manifest (Parquet) names each shard's files with its
 first place among all ids.
@@ -34,8 +35,8 @@ DOC_BATCH = 1 << 14
 _DOCS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def _ids_schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.uint8(), length))], metadata={"length": str(length)})
+def _ids_schema(length: int, wide: bool) -> pa.Schema:
+    return pa.schema([("ids", pa.list_(pa.uint32() if wide else pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length // 8))], metadata={"length": str(length)})
 
 
 def file_system(path: str) -> tuple[pafs.FileSystem, str]:
@@ -43,11 +44,12 @@ def file_system(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 class ShardWriter:
-    def __init__(self, folder: str, length: int):
+    def __init__(self, folder: str, length: int, wide: bool):
         self.fs, base = file_system(folder)
         self.fs.create_dir(base, recursive=True)
         self.name = uuid.uuid4().hex
-        self.length, self.schema = length, _ids_schema(length)
+        self.length, self.schema = length, _ids_schema(length, wide)
+        self.type = np.uint32 if wide else np.uint16
         self.sinks = [self.fs.open_output_stream(f"{base}/{self.name}.{kind}.arrow") for kind in ("ids", "docs")]
         self.ids = pa.ipc.new_file(self.sinks[0], self.schema)
         self.docs = pa.ipc.new_file(self.sinks[1], _DOCS)
@@ -59,7 +61,7 @@ class ShardWriter:
         self.index.append((doc_id, self.tokens, len(ids)))
         self.tokens += len(ids)
         self.count += 1
-        self.rest.append(ids)
+        self.rest.append(ids.astype(self.type))
         self.waiting += len(ids)
         if self.waiting >= BATCH_ROWS * self.length:
             self._flush(last=False)
@@ -67,11 +69,11 @@ class ShardWriter:
             self._flush_index()
 
     def _batch(self, ids: np.ndarray, mask: np.ndarray) -> None:
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), self.length) for x in (ids, mask)]
+        lists = [pa.FixedSizeListArray.from_arrays(pa.array(x), n) for x, n in ((ids, self.length), (np.packbits(mask, bitorder="little"), self.length // 8))]
         self.ids.write_batch(pa.RecordBatch.from_arrays(lists, schema=self.schema))
 
     def _flush(self, last: bool) -> None:
-        ids = np.concatenate(self.rest) if self.rest else np.empty(0, np.uint32)
+        ids = np.concatenate(self.rest) if self.rest else np.empty(0, self.type)
         size = BATCH_ROWS * self.length
         whole = len(ids) // size * size
         for at in range(0, whole, size):
@@ -110,12 +112,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 ids, offsets = enc.column(part.column("text"))
                 for i, doc in enumerate(part.column("doc_id").to_pylist()):
                     if writer is None:
-                        writer, first = ShardWriter(f"{folder}/shards", length), doc
+                        writer, first = ShardWriter(f"{folder}/shards", length, wide=len(enc.packed) > 1 << 16), doc
                     writer.add(doc, np.concatenate([ids[offsets[i] : offsets[i + 1]], end]))
         if writer is not None:
             writer.close()
             yield pa.RecordBatch.from_pydict({"shard": pa.array([_task()], pa.int64()), "name": [writer.name], "first_doc": pa.array([first], pa.int64()), "n_docs": pa.array([writer.count], pa.int64()), "n_tokens": pa.array([writer.tokens], pa.int64())})
 
+    if length % 8:
+        raise ValueError("length must be a multiple of 8")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     shards = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -152,14 +156,14 @@ class Shard:
         return column.flatten().to_numpy(zero_copy_only=True)
 
     def sequence(self, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """ids and mask of the shard's sequence k."""
+        """ids and mask (bits) of the shard's sequence k."""
         batch, row = divmod(k, BATCH_ROWS)
-        at = slice(row * self.length, (row + 1) * self.length)
-        return self._column(batch, "ids")[at], self._column(batch, "mask")[at]
+        bits = self.length // 8
+        return self._column(batch, "ids")[row * self.length : (row + 1) * self.length], self._column(batch, "mask")[row * bits : (row + 1) * bits]
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """doc_id, start within the shard and ids of every document, reading one batch of each file at a time."""
-        size, held, loaded = BATCH_ROWS * self.length, np.empty(0, np.uint32), -1
+        size, held, loaded = BATCH_ROWS * self.length, np.empty(0, np.uint16), -1
         for k in range(self.index.num_record_batches):
             docs = self.index.get_batch(k)
             for doc, start, n in zip(docs.column(0).to_pylist(), docs.column(1).to_pylist(), docs.column(2).to_pylist(), strict=True):
@@ -167,7 +171,7 @@ class Shard:
                 while at < start + n:
                     batch, within = divmod(at, size)
                     if batch != loaded:
-                        held, loaded = self._column(batch, "ids")[self._column(batch, "mask") == 1], batch
+                        held, loaded = self._column(batch, "ids")[np.unpackbits(self._column(batch, "mask"), bitorder="little") == 1], batch
                     take = held[within : within + start + n - at]
                     parts.append(take)
                     at += len(take)
