@@ -27,7 +27,7 @@ def extracted(text: Column, pattern: str) -> Column:
 
 def attribute_map(text: Column) -> Column:
     """Column 9 of an annotation as a map: k=v first, else k "v"; of equal keys the last stays."""
-    parts = F.filter(F.transform(F.split(text, ";"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(text, ";"), lambda p: F.trim(p)), lambda p: p != "")
     pairs = F.transform(parts, lambda p: F.when(p.contains("="), F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.regexp_extract(p, "=(.*)$", 1).alias("v"))).otherwise(F.struct(F.substring_index(p, " ", 1).alias("k"), F.regexp_extract(p, r"\s+(.*)$", 1).alias("v"))))
     last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["k"] == p["k"]))
     return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], F.regexp_replace(F.trim(p["v"]), '^"|"$', ""))))
