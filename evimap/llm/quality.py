@@ -43,7 +43,7 @@ def mask(rules: tuple[str, ...]) -> int:
     return sum(1 << list(RULES).index(r) for r in rules)
 
 
-def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fence: bool = False) -> DataFrame:
     """id_col, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col), text.alias("_text"))
@@ -58,6 +58,8 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         F.col("_lines").cast("long").alias("n_lines"),
         (F.col("_lines") - F.col("_distinct_lines")).cast("long").alias("n_dup_lines"),
         _repeated_words().cast("long").alias("n_repeat_words"),
+        # not deterministic to Spark: a filter above that uses it isn't pushed below, where it would measure anew for each rule
+        *([F.spark_partition_id().alias("_part")] if fence else []),
     )
 
 
@@ -93,10 +95,10 @@ def _repeated_words() -> Column:
     return F.expr(f"case when _n < {WINDOW + 1} then 0 else {whole} end")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fence: bool = False) -> DataFrame:
     """Measurements and failed_bits: bit k is set where rule k fails."""
     bits = " | ".join(f"if({rule}, {1 << k}L, 0L)" for k, rule in enumerate(RULES.values()))
-    return measures(docs, id_col, text_col).withColumn("failed_bits", F.expr(bits))
+    return measures(docs, id_col, text_col, fence).withColumn("failed_bits", F.expr(bits))
 
 
 def verdicts(ledger_: DataFrame, policy: str = CURRENT) -> DataFrame:
@@ -121,11 +123,11 @@ def keep_good(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", te
         docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text_in"))
         .transform(lambda d: _measured_row(d))
         .transform(lambda d: verdicts(d, policy))
-        .where("kept")
+        .where("kept and _part >= 0")
         .select("_row.*")
     )
 
 
 def _measured_row(d: DataFrame) -> DataFrame:
-    inner = ledger(d.select(F.struct("_row", "_id").alias("_carried"), "_text_in"), "_carried", "_text_in")
+    inner = ledger(d.select(F.struct("_row", "_id").alias("_carried"), "_text_in"), "_carried", "_text_in", fence=True)
     return inner.withColumn("_row", F.col("_carried._row"))
