@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions import scalars
-from evimap.operators import compare, evidence, intervals, search
+from evimap.operators import compare, evidence, intervals, search, selection
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -160,6 +160,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "evidence_bars": evidence_bars,
     "coverage_histogram": lambda s, d: compare.histogram(protein_support(s, d), "confidence", "sequence_coverage", 20).select("confidence", "n", "bin"),
     "bed12_rows": bed12_rows,
+    "subset_by_ids": lambda s, d: selection.by_ids(segments(s, d), _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"))).select("protein", "gene", "seqid", F.col("start").alias("s"), F.col("end").alias("e")),
+    "merged_sequences": lambda s, d: selection.merge_sequences(_t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sequence")), _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("sequence"))),
 }
 
 _HIGH = "protein_specific_peptides >= 2 OR sequence_coverage >= 0.8 OR (n_terminal_peptides >= 1 AND c_terminal_peptides >= 1 AND gene_specific_peptides > 0) OR (splice_peptides = splice_sites AND splice_peptides > 0 AND gene_specific_peptides > 0)"
@@ -233,6 +235,8 @@ ORACLE_SQL: dict[str, str] = {
         SELECT confidence, kind, count(*) FILTER (n > 0) AS with_evidence, count(*) AS proteins FROM u GROUP BY ALL""",
     "coverage_histogram": f"""WITH {_S}, rg AS (SELECT confidence, min(sequence_coverage) AS lo, max(sequence_coverage) AS hi FROM t GROUP BY 1)
         SELECT confidence, CASE WHEN hi > lo THEN least(floor((sequence_coverage - lo) / ((hi - lo) / 20)), 19) ELSE 0 END::INT AS bin, count(*) AS n FROM t JOIN rg USING (confidence) GROUP BY ALL""",
+    "subset_by_ids": f"WITH {_M} SELECT protein, gene, seqid, s, e FROM m WHERE protein IN (SELECT s_suppkey FROM supplier) OR gene IN (SELECT s_suppkey FROM supplier)",
+    "merged_sequences": "SELECT p_partkey AS id, p_name AS sequence FROM part UNION ALL SELECT s_suppkey, s_name FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part)",
     "bed12_rows": f"""WITH {_M}, {_P}, {_C}, {_G}, b AS (SELECT protein, peptide, seqid, strand, ps, pe, plen, list(gs ORDER BY gs, ge) AS ss, list(ge ORDER BY gs, ge) AS es FROM g GROUP BY ALL),
         o AS (SELECT *, row_number() OVER (PARTITION BY seqid, strand, peptide, ss, es ORDER BY protein) AS n FROM b)
         SELECT seqid AS chrom, ss[1] - 1 AS chrom_start, list_max(es) AS chrom_end, CASE WHEN strand = '-' THEN reverse(peptide) ELSE peptide END AS name, 0 AS score, strand, ss[1] - 1 AS thick_start, list_max(es) AS thick_end,

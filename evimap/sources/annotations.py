@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +66,36 @@ def bed12(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("f")[0].alias("seqid"), (F.col("f")[1].cast("long") + 1).alias("start"), F.col("f")[2].cast("long").alias("end"), F.col("f")[3].alias("name"), F.col("f")[5].alias("strand"), F.expr(blocks).alias("blocks"))
 
 
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """value and place, which sorts as the lines stand in the file, however it is split."""
+    return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n")).alias("place"))
+
+
+def external_scores(spark: SparkSession, path: str) -> DataFrame:
+    """protein and external_score of a comma-separated file; lines before the first comma are a preamble.
+
+    The header names a description and an external_score or in-frame_score, in any case. Lines of too many fields and
+    blank ones go; a missing or unreadable score is null."""
+    rows = placed_lines(spark, path).where("trim(value) <> ''")
+    head = rows.where(F.col("value").contains(",")).orderBy("place").select("value", "place").first()
+    names = [n.strip().lower() for n in next(csv.reader([head.value]))] if head else []
+    score = next((n for n in ("external_score", "in-frame_score") if n in names), None)
+    if "description" not in names or score is None:
+        raise ValueError(f"{path}: no columns for protein and score among {names}")
+    start = F.struct(F.lit(head.place.file_path).alias("file_path"), F.lit(head.place.file_block_start).alias("file_block_start"), F.lit(head.place.n).alias("n"))
+    schema = ", ".join(f"c{i} string" for i in range(len(names) + 1))
+    rows = rows.where(F.col("place") > start).select(F.from_csv("value", schema).alias("r")).where(F.col(f"r.c{len(names)}").isNull())
+    return rows.select(F.trim(f"r.c{names.index('description')}").alias("protein"), F.col(f"r.c{names.index(score)}").try_cast("double").alias("external_score"))
+
+
+def pepxml_peptides(spark: SparkSession, path: str) -> DataFrame:
+    """peptide: each best-ranked search hit's, once. A hit without a rank, or of rank 0, counts as ranked first."""
+    tags = spark.read.text(path, lineSep=">").where(F.col("value").rlike(r"<search_hit\s"))
+    attribute = lambda name: extracted(F.col("value"), rf"""\s{name}\s*=\s*["']([^"']*)["']""")
+    hits = tags.select(attribute("peptide").alias("peptide"), F.coalesce(F.nullif(attribute("hit_rank").try_cast("int"), F.lit(0)), F.lit(1)).alias("rank"))
+    return hits.where("rank = 1 and peptide is not null").select("peptide").distinct()
+
+
 def write_gtf(rows: DataFrame, path: str) -> None:
     """A feature table as lines, attributes as they were."""
     cells = [F.coalesce(F.col(c).cast("string"), F.lit(".")) for c in ("seqid", "source", "type", "start", "end", "score", "strand", "frame", "attrs")]
