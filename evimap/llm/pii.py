@@ -1,14 +1,21 @@
 """Personal data: patterns, and terms that give protected entities away.
 
-Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. Terms are the
-words near an entity's mentions. Over all documents, a term's share of texts and its share of an entity's
-distinct contexts (equal surroundings count once, so copies don't add up) give the pointwise mutual information
-between term and entity. Where that is DISCLOSURE of the entity's information content or more, from MIN_SUPPORT
-contexts or more, the term discloses the entity: near its mentions it is generalised to a class, and from REMOVAL
-on removed. Base spans always stay.
+Patterns find e-mail addresses, IP addresses, card and phone numbers: the protected entities. Every word of a
+document that holds an entity is a candidate term. A term's share of all texts and its share of an entity's
+documents give the pointwise mutual information between term and entity. Where that is DISCLOSURE of the entity's
+information content or more, and is no chance, the term discloses the entity: it is generalised to a class, and from
+REMOVAL on removed. Base spans always stay.
 
-The first pass writes what it found (small: a row of counts and spans per document); the statistics group by
-entity and by term with partial sums; document frequencies are counted for all words before they meet the terms.
+Chance: were term and entity independent, at least so many common documents would turn up with a probability of at
+most 2 ** -(documents * KL divergence of the two shares) (Hoeffding). Over all terms of the corpus, that may promise
+LEVEL disclosing terms for an entity at most. So no number of mentions is asked for: what one or two are worth depends
+on how rare the term is and how many rare terms any document has.
+
+Copies of a document, exact or near, count once: documents are counted by the distinct values of a sketch of their
+three-word runs, taking the least count of SKETCHES independent ones.
+
+The first pass writes entities and terms of the documents that have any (few); pairs are counted with partial sums,
+only for entities that could reach the level with the rarest of terms.
 
 Defined results: a null or empty text has no spans; equal or null ids are rows of their own; a text of any length
 is one row; an empty table gives an empty result; other columns don't matter.
@@ -16,22 +23,24 @@ is one row; an empty table gives an empty result; other columns don't matter.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
-from hashlib import blake2b
+from hashlib import md5
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evimap.llm.common import NOT_SPACE, SPACE, materialise, slices
+from evimap.llm.common import NOT_SPACE, SPACE, Words, materialise, mix, slices, windows
 
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
-#: Words on either side of a mention, contexts that a term must share with it, and shares of its information.
-NEAR, MIN_SUPPORT, DISCLOSURE, REMOVAL = 4, 3, 0.6, 0.9
-#: Characters on either side of a mention within which its near words begin and end.
-REACH = 120
+#: Shares of an entity's information, and disclosing terms that chance may give an entity.
+DISCLOSURE, REMOVAL, LEVEL = 0.6, 0.9, 0.05
+#: Sketches of a document, each the least value of a hash over its three-word runs.
+SKETCHES = 8
 #: Stripped from both ends of a word to make a term.
 _EDGES = ".,;:!?()[]{}\"'<>|*#$%&"
 
@@ -86,113 +95,143 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _near(text: str, start: int, end: int, spans: list[tuple[int, int, int]]) -> list[tuple[str, int, int]]:
-    """Terms around a mention with their places; words that touch a span are left out."""
-    low = max(0, start - REACH)
-    left = [(m.start(), m.end()) for m in _WORD.finditer(text, low, start) if not m.start() == low > 0][-NEAR:]
-    right = []
-    for m in _WORD.finditer(text, end, end + REACH):
-        right.append((m.start(), m.end()))
-        if len(right) == NEAR:
-            break
-    out = []
-    for a, b in left + right:
-        if not any(s < b and a < e for s, _, e in spans):
-            raw = text[a:b]
-            term = raw.strip(_EDGES)
+def _terms(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[str, int, int]]:
+    """Terms of a text with their places; words that touch a span are left out. spans: in order."""
+    at = reach = 0
+    for m in _WORD.finditer(text):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][2])
+            at += 1
+        if reach <= m.start():
+            term = m[0].strip(_EDGES)
             if len(term) >= 3:
-                a += raw.index(term)
-                out.append((term, a, a + len(term)))
-    return out
+                start = m.start() + m[0].index(term)
+                yield term, start, start + len(term)
 
 
-FOUND = "row long, doc_id long, spans array<struct<kind:int,start:long,end:long>>, near array<struct<entity:string,context:long,term:string,start:long,end:long>>"
+def _sketches(text: str) -> list[int]:
+    """Copies agree in all, near copies very likely in one, other texts hardly in any."""
+    words = Words(pa.array([text]))
+    runs, _ = windows(words.fingerprints(), words.first, 3)
+    if not len(runs):
+        return [int.from_bytes(md5(text.encode()).digest()[:8], "little", signed=True)] * SKETCHES
+    return [int(mix(runs ^ mix(np.array([k + 1], np.uint64))).min().astype(np.int64)) for k in range(SKETCHES)]
 
 
-def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
-    """row (unique), doc_id, spans, near; carry: also the whole document as the column doc."""
+def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """row (unique), digest of the text, its entities, terms and sketches, of documents that have entities."""
 
     def each(batches) -> Iterator[pa.RecordBatch]:
-        row, schema = TaskContext.get().partitionId() << 33, None
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for part in slices(batch):
-                rows, spans_, near_ = [], [], []
+                out = []
                 for text in part.column("text").to_pylist():
-                    spans = base_spans(text) if text else []
-                    near = []
-                    for start, kind, end in spans:
-                        terms = _near(text, start, end, spans)
-                        value = text[start:end].lower() if kind < 2 else _digits(text[start:end])
-                        context = int.from_bytes(blake2b("\n".join(t for t, _, _ in terms).encode(), digest_size=8).digest(), "little", signed=True)
-                        near += [{"entity": f"{KINDS[kind]}:{value}", "context": context, "term": t, "start": a, "end": b} for t, a, b in terms]
-                    rows.append(row)
-                    row += 1
-                    spans_.append([{"kind": k, "start": s, "end": e} for s, k, e in spans])
-                    near_.append(near)
-                schema = schema or pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("spans", _SPANS), ("near", _NEAR), *([part.schema.field("doc")] if carry else [])])
-                columns = [pa.array(rows, pa.int64()), part.column("doc_id"), pa.array(spans_, _SPANS), pa.array(near_, _NEAR), *([part.column("doc")] if carry else [])]
-                yield pa.RecordBatch.from_arrays(columns, schema=schema)
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")] if carry else []))
-    return rows.mapInArrow(each, FOUND + (f", doc {dict(rows.dtypes)['doc']}" if carry else ""))
+                    if spans := base_spans(text) if text else []:
+                        entities = {f"{KINDS[k]}:{text[s:e].lower() if k < 2 else _digits(text[s:e])}" for s, k, e in spans}
+                        terms = {t for t, _, _ in _terms(text, spans)}
+                        out.append({"row": row, "digest": md5(text.encode()).digest(), "entities": sorted(entities), "terms": sorted(terms), "sketches": _sketches(text)})
+                        row += 1
+                yield pa.RecordBatch.from_pylist(out, _FOUND)
 
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(each, "row long, digest binary, entities array<string>, terms array<string>, sketches array<long>")
 
+
+_FOUND = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("sketches", pa.list_(pa.int64()))])
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
-_NEAR = pa.list_(pa.struct([("entity", pa.string()), ("context", pa.int64()), ("term", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _texts_terms(text_col: str):
+    terms = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+"), lambda w: F.btrim(w, F.lit(_EDGES))))
+    return F.filter(terms, lambda t: F.length(t) >= 3)
 
 
 def document_frequencies(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """term, df: in how many documents a term stands, over all documents."""
-    terms = F.array_distinct(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+"), lambda w: F.btrim(w, F.lit(_EDGES))))
-    return docs.select(F.explode(terms).alias("term")).where(F.length("term") >= 3).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return docs.select(F.explode(_texts_terms(text_col)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
 
+def _copies_once(rows: DataFrame, *keys: str) -> DataFrame:
+    """keys, n: documents of each key, copies once."""
+    values = rows.select(*keys, F.posexplode("sketches").alias("_k", "_s")).distinct()
+    return values.groupBy(*keys, "_k").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.min("n").alias("n"))
 
-def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", support: int = MIN_SUPPORT, disclosure: float = DISCLOSURE, removal: float = REMOVAL) -> DataFrame:
+
+def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", disclosure: float = DISCLOSURE, removal: float = REMOVAL, level: float = LEVEL) -> DataFrame:
     """entity, term, kind: the terms that give an entity away, with what happens to them (an index of KINDS)."""
-    mentions = found.where(F.size("near") > 0).select("row", F.explode("near").alias("m")).select("row", "m.*")
-    contexts = mentions.groupBy("entity", "context", "term").agg(F.count(F.lit(1)).alias("_n"))
-    pairs = contexts.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("both")).where(F.col("both") >= support)
-    entities = mentions.groupBy("entity", "context").agg(F.count(F.lit(1)).alias("_n")).groupBy("entity").agg(F.count(F.lit(1)).alias("contexts"))
-    holders = mentions.groupBy("entity", "row").agg(F.count(F.lit(1)).alias("_n")).groupBy("entity").agg(F.count(F.lit(1)).alias("holders"))
-    n = found.count()  # one number
-    scored = pairs.join(entities, "entity").join(holders, "entity").join(document_frequencies(docs, text_col), "term")
-    information = F.log2(F.lit(float(max(n, 1))) / F.col("holders"))
-    mutual = F.log2(F.col("both") / F.col("contexts") * F.lit(float(max(n, 1))) / F.col("df"))
+    frequencies = materialise(document_frequencies(docs, text_col), "terms")
+    n, n_terms = float(max(docs.count(), 1)), max(frequencies.count(), 1)
+    asked = math.log2(n_terms / level)
+    mentions = found.select("row", F.explode("entities").alias("entity"), "sketches")
+    entities = _copies_once(mentions, "entity").withColumnRenamed("n", "documents").where(F.col("documents") * math.log2(n) >= asked)
+    entities = entities.join(mentions.groupBy("entity").agg(F.count(F.lit(1)).alias("holders")), "entity")
+    pairs = mentions.join(entities.select("entity"), "entity").join(found.select("row", F.explode("terms").alias("term")), "row")
+    scored = _copies_once(pairs, "entity", "term").withColumnRenamed("n", "both").join(entities, "entity").join(frequencies, "term")
+    q, p = F.col("both") / F.col("documents"), F.col("df") / n
+    information, mutual = F.log2(n / F.col("holders")), F.log2(q / p)
     share = F.when(information > 0, mutual / information).otherwise(0.0)
-    return scored.withColumn("_share", share).where(F.col("_share") >= disclosure).select("entity", "term", F.when(F.col("_share") >= removal, 5).otherwise(4).alias("kind"))
+    divergence = F.when(q <= p, 0.0).otherwise(q * F.log2(q / p) + F.when(q < 1, (1 - q) * F.log2((1 - q) / (1 - p))).otherwise(0.0))
+    sure = scored.withColumn("_share", share).where(F.col("_share") >= disclosure).where(F.col("documents") * divergence >= asked)
+    return sure.select("entity", "term", F.when(F.col("_share") >= removal, 5).otherwise(4).alias("kind"))
+
+
+def term_hits(docs: DataFrame, text_col: str, **thresholds) -> DataFrame | None:
+    """digest (of a text), hits (term, kind): the disclosing terms that stand in it; None where no term discloses."""
+    found = materialise(detect(docs, text_col), "pii")
+    disclosing = materialise(disclosures(found, docs, text_col, **thresholds), "pii")
+    if disclosing.isEmpty():
+        return None
+    places = found.select("digest", "entities", F.explode("terms").alias("term")).join(disclosing, "term").where(F.array_contains("entities", F.col("entity")))
+    hits = places.select("digest", "term", "kind")
+    return materialise(hits.groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits")), "pii")
+
+
+def _with_spans(docs: DataFrame, text_col: str, keep: list, each, schema: str, **thresholds) -> DataFrame:
+    """keep and each text with its base spans and places of disclosing terms through each (text, spans, terms)."""
+    hits = term_hits(docs, text_col, **thresholds)
+    rows = docs.select(*keep, F.col(text_col).alias("text"))
+    if hits is None:
+        rows = rows.withColumn("hits", F.expr("cast(null as array<struct<term:string,kind:int>>)"))
+    else:
+        rows = rows.withColumn("digest", F.unhex(F.md5("text"))).join(hits, "digest", "left").drop("digest")
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                for text, hits in zip(part.column("text").to_pylist(), part.column("hits").to_pylist(), strict=True):
+                    spans = base_spans(text) if text else []
+                    kinds = {h["term"]: h["kind"] for h in sorted(hits or [], key=lambda h: h["kind"])}
+                    out.append(each(text, spans, [(a, kinds[t], b) for t, a, b in _terms(text, spans) if t in kinds] if kinds else []))
+                yield packed(part, out)
+
+    def packed(part, out):
+        columns = {name: pa.array([x[i] for x in out], type_) for i, (name, type_) in enumerate(_OUT[schema])}
+        kept = [c for c in part.schema.names if c not in ("text", "hits")]
+        return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
+
+    names = [c for c in rows.columns if c not in ("text", "hits")]
+    types = dict(rows.dtypes)
+    return rows.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in names), schema]))
+
+
+_KINDS_OF = "array<struct<kind:int,start:long,end:long>>"
+_OUT = {f"spans {_KINDS_OF}, terms {_KINDS_OF}": [("spans", _SPANS), ("terms", _SPANS)], "text string": [("text", pa.string())]}
 
 
-def all_spans(found: DataFrame, disclosing: DataFrame) -> DataFrame:
-    """found with the disclosing terms' spans as the column terms. found: written, so that rows keep their numbers."""
-    near = found.where(F.size("near") > 0)
-    hits = near.select("row", F.explode("near").alias("m")).select("row", "m.entity", "m.term", "m.start", "m.end").join(disclosing, ["entity", "term"])
-    spans = hits.groupBy("row").agg(F.collect_set(F.struct("kind", "start", "end")).alias("terms"))
-    rest = found.where(F.size("near") == 0).withColumn("terms", F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)"))
-    joined = near.join(spans, "row", "left").withColumn("terms", F.coalesce("terms", F.expr("cast(array() as array<struct<kind:int,start:bigint,end:bigint>>)")))
-    return rest.unionByName(joined)
+def _structs(spans: list[tuple[int, int, int]]) -> list[dict]:
+    return [{"kind": k, "start": s, "end": e} for s, k, e in spans]
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """One row per document: doc_id, spans (base), terms."""
-    found = materialise(detect(docs, id_col, text_col), "pii")
-    return all_spans(found, disclosures(found, docs, text_col, **thresholds)).select("doc_id", "spans", "terms")
+    return _with_spans(docs, text_col, [F.col(id_col).cast("long").alias("doc_id")], lambda text, spans, terms: (_structs(spans), _structs(terms)), f"spans {_KINDS_OF}, terms {_KINDS_OF}", **thresholds)
 
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs with base spans and disclosing terms replaced in the text; other columns and clean texts as they were."""
-    found = materialise(detect(docs, id_col, text_col, carry=True), "pii")
-    carried = found.select("doc.*") if docs.columns else found
-    spans = all_spans(found, disclosures(found, carried, text_col, **thresholds))
-    rows = spans.select("doc", F.concat("spans", "terms").alias("all"), F.col(f"doc.`{text_col}`").alias("text"))
-    schema = f"doc {dict(rows.dtypes)['doc']}, text string"
-
-    def each(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                texts = [rewritten(t, s) if s else t for t, s in zip(part.column("text").to_pylist(), part.column("all").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(texts, pa.string())], names=["doc", "text"])
-
-    out = rows.mapInArrow(each, schema)
+    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_")]).alias("doc")
+    out = _with_spans(docs, text_col, [doc], lambda text, spans, terms: (rewritten(text, _structs(spans + terms)) if spans or terms else text,), "text string", **thresholds)
     return out.select(*[(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
 
 

@@ -137,6 +137,21 @@ def test_pii_base_and_disclosure(spark):
     assert sanitise(docs_of(spark, [])).collect() == []
 
 
+def test_pii_candidates_are_all_words_and_copies_count_once(spark):
+    from evimap.llm.pii import sanitise
+
+    r = random.Random(7)
+    rare = lambda n: " ".join("".join(r.choice("bcdfgh") for _ in range(9)) for _ in range(n))
+    two = [f"Quillfeather {rare(40)} boss@firm.org {rare(5)}" for _ in range(2)]
+    copied = f"{rare(30)} Wend 10.1.2.3 {rare(30)}"
+    copies = [copied, copied, copied + " " + rare(1), copied]
+    docs = two + copies + [f"{rare(1)} clean text" for _ in range(2000)]
+    out = {x.doc_id: x.text for x in sanitise(docs_of(spark, docs)).collect()}
+    assert [out[i] for i in (0, 1)] == [docs[i].replace("Quillfeather", "").replace("boss@firm.org", "[EMAIL]") for i in (0, 1)]
+    assert [out[i] for i in range(2, 6)] == [x.replace("10.1.2.3", "[IP]") for x in copies]
+    assert all(out[i] == docs[i] for i in range(6, len(docs)))
+
+
 def test_pii_patterns_match_plain_search():
     from evimap.llm.pii import _EMAIL, base_spans
 
