@@ -181,8 +181,8 @@ def term_hits(docs: DataFrame, text_col: str, **thresholds) -> DataFrame | None:
     disclosing = materialise(disclosures(found, docs, text_col, **thresholds), "pii")
     if disclosing.isEmpty():
         return None
-    places = found.select("digest", "entities", F.explode("terms").alias("term")).join(disclosing, "term").where(F.array_contains("entities", F.col("entity")))
-    hits = places.select("digest", "term", "kind")
+    kinds = disclosing.groupBy("term").agg(F.max("kind").alias("kind"))
+    hits = docs.select(F.unhex(F.md5(text_col)).alias("digest"), F.explode(_texts_terms(text_col)).alias("term")).join(kinds, "term")
     return materialise(hits.groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits")), "pii")
 
 

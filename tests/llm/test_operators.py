@@ -152,6 +152,19 @@ def test_pii_candidates_are_all_words_and_copies_count_once(spark):
     assert all(out[i] == docs[i] for i in range(6, len(docs)))
 
 
+def test_pii_terms_go_wherever_they_stand(spark):
+    from evimap.llm.pii import pii_spans, sanitise
+
+    r = random.Random(8)
+    rare = lambda n: " ".join("".join(r.choice("bcdfgh") for _ in range(9)) for _ in range(n))
+    docs = [f"Quillfeather boss@firm.org {rare(50)} (Quillfeather) {rare(3)}" for _ in range(6)] + [f"{rare(9)} Quillfeather, {rare(9)}", f"{rare(2)} Quillfeathers"] + [f"{rare(1)} clean text" for _ in range(40)]
+    out = {x.doc_id: x.text for x in sanitise(docs_of(spark, docs)).collect()}
+    assert all("Quillfeather" not in out[i] for i in range(7))
+    assert all(out[i] == docs[i] for i in range(7, len(docs)))
+    places = {x.doc_id: [docs[x.doc_id][s.start : s.end] for s in x.terms] for x in pii_spans(docs_of(spark, docs)).collect()}
+    assert [len(places[i]) for i in range(8)] == [2] * 6 + [1, 0] and {w for p in places.values() for w in p} == {"Quillfeather"}
+
+
 def test_pii_patterns_match_plain_search():
     from evimap.llm.pii import _EMAIL, base_spans
 
