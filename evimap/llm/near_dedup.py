@@ -7,20 +7,26 @@ sample agrees for two texts if they share those k-mers and their order. Texts wi
 Candidates are verified by an alignment of their k-mer sequences, within a band that any accepted pair must keep:
 with m k-mers aligned, m / (a + b - m) must reach 0.8. Classes are the connected components of accepted pairs.
 
-Equal word sequences are one node from the start. In a bucket (texts with an equal sample) the smallest node leads.
-First each node is compared with the smallest of its leaders, then, where that left leader and node apart, with the
-others, then with the node of most neighbours in each bucket that still has several classes: a group of n copies
-costs about n comparisons. What such buckets still have apart is compared without looking at all their pairs: any two
-similar texts share one of their rarest fifth of k-mers (whichever order of rarity is used), so the nodes are joined
-on those, and every pair of different classes that meets there is verified. No pair above 0.8 of these goes uncompared.
+Texts of equal words are one node from the start, named by a 64-bit fingerprint of them. In a bucket (nodes with an
+equal sample) the node with the most bucket mates overall leads, for a group's original is in more of its buckets
+than any copy. First each node is compared with the leaders of its buckets, of which a group has few: n copies cost
+about n comparisons.
+
+Buckets that still have several classes then are compared without looking at all their pairs. Two similar texts of
+a >= b k-mers share at least 4/9 (a + b) of them. With the k-mers of every node in one order, rarest first, the first
+that they share therefore stands among the first fifth of the longer text and the first ninth of the shorter one,
+and as many as that must be left in both from there on. Nodes are joined on such k-mers under just these
+conditions, across classes only; no pair above 0.8 is lost by them, and texts that only share their frequent k-mers
+(variants of one original that are not alike enough) don't meet.
 
 Defined results: a null or empty text is a class of its own; texts of one to four words have one k-mer, their whole;
-equal rows are one class; a null id is a node of its own that is listed with a null class_id if it leads its class;
-an empty table gives an empty result; other columns don't matter.
+equal rows are one class; a class is named by its smallest id, which is null only if all its ids are; equal or null
+ids on different texts are different rows; an empty table gives an empty result; other columns don't matter.
 """
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from math import ceil
@@ -35,10 +41,13 @@ from evimap.llm.common import Words, materialise, mix, slices, windows
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a sample of 8 with probability 0.8 ** 8, about 0.17, and one of 40 with 0.9994.
 SAMPLES, LEAST = 40, 8
-#: Texts of up to so many k-mers also give samples of FEW, as those of 8 are nearly all they have.
+#: Texts of up to so many k-mers also give samples of FEW, as those of 8 are nearly all they have; so do texts that are
+#: similar to such a text and longer.
 SHORT, FEW = 60, 3
 #: Cells of the table of k-mer frequencies.
-CELLS = 1 << 16
+CELLS = 1 << 18
+#: Rows of node and link tables that a task gets at least; smaller tables take fewer tasks.
+ROWS_PER_TASK = 500_000
 _rng = np.random.default_rng(20240613)
 _A = _rng.integers(1, 1 << 63, 2 * SAMPLES, np.uint64) | np.uint64(1)
 _B = _rng.integers(0, 1 << 63, 2 * SAMPLES, np.uint64)
@@ -80,7 +89,7 @@ def labelled(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def samples(h: np.ndarray) -> np.ndarray:
     """The hashed samples of one text's labelled k-mers."""
-    sets = [(range(SAMPLES), LEAST)] + [(range(SAMPLES, 2 * SAMPLES), FEW)] * (len(h) <= SHORT)
+    sets = [(range(SAMPLES), LEAST)] + [(range(SAMPLES, 2 * SAMPLES), FEW)] * (SIMILARITY * len(h) <= SHORT)
     out = []
     for orders, least in sets:
         step = max(1, (1 << 20) // len(h))
@@ -110,21 +119,15 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             words = Words(part.column("text"))
             h, starts = kmers(words)
-            ids = [content_print(h, starts), content_print(kmers(words, 1)[0], starts)]
+            node = content_print(h, starts)
             n = np.diff(starts)
+            short = (h >> np.uint64(32)).astype("<u4")
             h = labelled(h, starts)
             keys = [samples(h[a:b]) if b > a else np.empty(0, np.int64) for a, b in zip(starts[:-1], starts[1:], strict=True)]
             at = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(ids[0]), pa.array(ids[1]), pa.array(n), lists], names=["doc_id", "f1", "f2", "n", "keys"])
-
-
-def _contents(batches) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in slices(batch):
-            h, starts = kmers(Words(part.column("text")))
-            h = (h >> np.uint64(32)).astype("<u4")
-            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([h[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())], names=["node", "kmers"])
+            contents = pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(n), lists, contents], names=["doc_id", "node", "n", "keys", "kmers"])
 
 
 def needed(a: int, b: int, similarity: float = SIMILARITY) -> int:
@@ -191,34 +194,37 @@ def frequencies(contents: DataFrame) -> np.ndarray:
         total = np.zeros(CELLS, np.int64)
         for batch in batches:
             for data in batch.column("kmers"):
-                x = np.frombuffer(data.as_buffer(), "<u4")
-                total += np.bincount(x % CELLS, minlength=CELLS)
+                np.add.at(total, np.frombuffer(data.as_buffer(), "<u4") % CELLS, 1)
         yield pa.RecordBatch.from_pydict({"block": pa.array(range(blocks), pa.int32()), "counts": [total[i * size : (i + 1) * size].tobytes() for i in range(blocks)]})
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_buffer(), np.int64) for chunk in table.column("counts").chunks for x in chunk)
-        return pa.table({"block": table.column("block")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for x in batch.column("counts"):
+                total += np.frombuffer(x.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_pydict({"block": pa.array([key[0].as_py()], pa.int32()), "counts": [total.tobytes()]})
 
     rows = contents.mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.block))]) if rows else np.zeros(CELLS, np.int64)
+    return np.concatenate([np.frombuffer(r.counts, np.int64) for r in sorted(rows, key=lambda r: r.block)]) if rows else np.zeros(CELLS, np.int64)
 
 
 def _rarest(frequency: np.ndarray):
-    """Each node's k-mers of the rarest cells, as many as leave fewer than a similar text must share: two similar
-    texts have one of them in common, in whatever fixed order k-mers are taken."""
+    """Each node's k-mers of the rarest cells with their places in that order, as many as leave fewer than a similar
+    text must share: a fifth of them, of which the first ninth count as seed."""
 
     def take(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, out = [], []
-            for node, data in zip(batch.column("node").to_pylist(), batch.column("kmers"), strict=True):
+            out: list[list] = [[], [], [], [], [], []]
+            for node, c, data in zip(batch.column("node").to_pylist(), batch.column("c").to_pylist(), batch.column("kmers"), strict=True):
                 x = np.frombuffer(data.as_buffer(), "<u4").astype(np.uint64)
                 rank = frequency[x.astype(np.int64) % CELLS]
-                x = labelled(x, np.array([0, len(x)]))
-                x = x[np.lexsort((x, rank))][: len(x) - ceil(SIMILARITY * len(x) - 1e-9) + 1]
-                nodes.append(np.full(len(x), node, np.int64))
-                out.append(x.view(np.int64))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes)), pa.array(np.concatenate(out))], names=["node", "kmer"])
+                x, n = labelled(x, np.array([0, len(x)])), len(x)
+                x = x[np.lexsort((x, rank))][: n - ceil(SIMILARITY * n - 1e-9) + 1]
+                place = np.arange(len(x), dtype=np.int32)
+                for column, values in zip(out, (np.full(len(x), node, np.int64), np.full(len(x), c, np.int64), x.view(np.int64), np.full(len(x), n, np.int32), place, place <= n - needed(n, n)), strict=True):
+                    column.append(values)
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=["node", "c", "kmer", "n", "place", "seed"])
 
     return take
 
@@ -234,122 +240,128 @@ def _verify(batches) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def few(df: DataFrame) -> DataFrame:
+    """A table just written, in as many partitions as its rows ask for: a table of one partition needs no exchange."""
+    return df.coalesce(1 + df.count() // ROWS_PER_TASK)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, class: the smallest node of each node's component. edges: columns a and b.
 
     Alternating large and small stars, every round one pass of equi-joins over the edges; ends when a round changes none."""
-    edges = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    edges = few(materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v"), "edges"))
     state = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select("u", "v", "m")
-        edges = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialise(edges, "edges")
+        out = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
+        edges = few(materialise(out, "edges"))
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.groupBy("u").agg(F.min("v").alias("class")).withColumnRenamed("u", "node")
         state = now
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, class_id (the class's smallest doc_id), class_size (rows), f1, f2 (its words' fingerprint)."""
+class _Classes:
+    """Nodes and the class each is in so far; a node that isn't listed is a class of its own."""
+
+    def __init__(self) -> None:
+        self.known: DataFrame | None = None
+
+    def of(self, df: DataFrame, node: str, name: str) -> DataFrame:
+        if self.known is None:
+            return df.withColumn(name, F.col(node))
+        return df.join(self.known.select(F.col("node").alias(node), F.col("class").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
+
+    def link(self, pairs: DataFrame) -> None:
+        """Merge the classes of linked nodes (a, b). Only classes are merged, so later calls see few links."""
+        across = self.of(self.of(pairs, "a", "ca"), "b", "cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        merged = few(materialise(components(across), "classes"))
+        if self.known is None:
+            self.known = merged
+        else:
+            moved = self.known.join(merged.select(F.col("node").alias("class"), F.col("class").alias("_to")), "class", "left").select("node", F.coalesce("_to", "class").alias("class"))
+            fresh = merged.join(self.known, "node", "left_anti")
+            self.known = few(materialise(moved.unionByName(fresh), "classes"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and the nodes: node, rows, id (the smallest), class, class_id, class_size, keeper."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketches = materialise(rows.mapInArrow(_sketch, "doc_id long, f1 long, f2 long, n long, keys array<long>"), "sketches")
+    sketched = rows.mapInArrow(_sketch, "doc_id long, node long, n long, keys array<long>, kmers binary").withColumn("row", F.monotonically_increasing_id())
+    sketches = materialise(sketched, "sketches")
     some = sketches.where("n > 0")
-    nodes = some.groupBy("f1", "f2").agg(F.coalesce(F.min("doc_id"), F.expr("-1 - (first(f1) & 4611686018427387903)")).alias("node"), F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("rows"))
-    nodes = materialise(nodes, "nodes")
-    keyed = some.select("doc_id", "f1", "f2", "keys").join(nodes.select("f1", "f2", "node", "id"), ["f1", "f2"]).where(F.col("doc_id").eqNullSafe(F.col("id"))).select("node", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other")).where("leader <> other").select("key", "leader")
-    members = materialise(keyed.join(buckets, "key").select("key", "node", "leader").distinct(), "members")
+    nodes = materialise(some.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows")), "nodes")
+
+    keyed = some.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("key")
+    members = few(materialise(keyed.join(shared, "key", "left_semi").distinct(), "members"))
+    degree = members.join(members.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("degree"))
+    degree = few(materialise(degree, "nodes"))
+    ranked = few(materialise(members.join(degree, "node"), "members"))
+    leaders = ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("l"))
+    led = few(materialise(ranked.join(leaders, "key").where("node <> l.node").select(F.col("l.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs"))
 
-    chosen = members.select("node").distinct()
-    texts = rows.join(nodes.select("id", "node").join(chosen, "node", "left_semi").where("id is not null"), F.col("doc_id") == F.col("id")).select("node", "text")
-    contents = materialise(texts.mapInArrow(_contents, "node long, kmers binary").groupBy("node").agg(F.min("kmers").alias("kmers")), "contents")
+    chosen = nodes.join(degree.select("node"), "node", "left_semi").select("row")
+    contents = materialise(some.select("row", "node", "kmers").join(chosen, "row", "left_semi").select("node", "kmers"), "contents")
 
     def verified(pairs: DataFrame) -> DataFrame:
         first = pairs.join(contents.select(F.col("node").alias("b"), F.col("kmers").alias("kmers_b")), "b")
         second = first.join(contents.select(F.col("node").alias("a"), F.col("kmers").alias("kmers_a")), "a")
         sized = second.where(f"least(length(kmers_a), length(kmers_b)) >= {SIMILARITY} * greatest(length(kmers_a), length(kmers_b))")
-        return sized.select("a", "b", "kmers_a", "kmers_b").mapInArrow(_verify, "a long, b long")
-
-    led = members.where("node <> leader")
-    first = led.groupBy(F.col("node").alias("b")).agg(F.min("leader").alias("a"))
-    links = materialise(verified(first), "links")
-    seen = first.select("a", "b")
-    classes = materialise(components(links), "classes")
-
-    def classed(df: DataFrame, node: str, name: str) -> DataFrame:
-        return df.join(classes.select(F.col("node").alias(node), F.col("class").alias("_c")), node, "left").withColumn(name, F.coalesce("_c", node)).drop("_c")
-
-    pairs = led.select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct().join(seen, ["a", "b"], "left_anti")
-    apart = materialise(classed(classed(pairs, "a", "ca"), "b", "cb").where("ca <> cb").select("a", "b"), "pairs")
-    if not apart.isEmpty():
-        more = materialise(verified(apart), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = materialise(components(links), "classes")
-
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    degree = members.select("key", "node").join(sizes, "key").groupBy("node").agg(F.sum("size").alias("degree"))
-    ranked = materialise(members.select("key", "node").join(degree, "node"), "ranked")
-    compared = materialise(seen.unionByName(apart), "compared")
-
-    def mixed() -> DataFrame:
-        """Members of the buckets that have several classes."""
-        inside = classed(ranked, "node", "c")
-        keys = inside.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("key")
-        return materialise(inside.join(keys, "key", "left_semi"), "mixed")
-
-    inside = mixed()
-    if not inside.isEmpty():
-        centre = inside.groupBy("key").agg(F.max(F.struct("degree", "node", "c")).alias("l")).select("key", F.col("l.node").alias("led"), F.col("l.c").alias("cl"))
-        pairs = inside.join(centre, "key").where("c <> cl").select(F.least("led", "node").alias("a"), F.greatest("led", "node").alias("b")).distinct().join(compared, ["a", "b"], "left_anti")
-        pairs = materialise(pairs, "pairs")
-        compared = compared.unionByName(pairs)
-        more = materialise(verified(pairs), "links")
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            classes = materialise(components(links), "classes")
-            inside = mixed()
-    if not inside.isEmpty():
-        rest = contents.join(inside.select("node").distinct(), "node", "left_semi")
-        rare = classed(rest.mapInArrow(_rarest(frequencies(contents)), "node long, kmer long"), "node", "c")
+        return few(materialise(sized.select("a", "b", "kmers_a", "kmers_b").mapInArrow(_verify, "a long, b long"), "links"))
+
+    classes = _Classes()
+    classes.link(verified(led))
+
+    inside = few(materialise(classes.of(members, "node", "c"), "members"))
+    keys = inside.groupBy("key").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("key")
+    rest = few(materialise(inside.join(keys, "key", "left_semi").select("node", "c").distinct(), "rest"))
+    if not rest.isEmpty():
+        texts = materialise(contents.join(rest, "node"), "rest")
+        rare = materialise(texts.mapInArrow(_rarest(frequencies(texts)), "node long, c long, kmer long, n int, place int, seed boolean"), "rare")
         keys = rare.groupBy("kmer").agg(F.min("c").alias("_lo"), F.max("c").alias("_hi")).where("_lo <> _hi").select("kmer")
-        rare = materialise(rare.join(keys, "kmer", "left_semi"), "rare")
-        left, right = rare.select("kmer", F.col("node").alias("a"), F.col("c").alias("ca")), rare.select("kmer", F.col("node").alias("b"), F.col("c").alias("cb"))
-        across = left.join(right, (left.kmer == right.kmer) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).select("a", "b").distinct().join(compared, ["a", "b"], "left_anti")
-        more = materialise(verified(across), "links")
-        if not more.isEmpty():
-            classes = materialise(components(links.unionByName(more)), "classes")
-
-    known = classed(nodes, "node", "class")
-    sizes = known.groupBy("class").agg(F.sum("rows").alias("class_size"))
-    named = known.join(sizes, "class").join(known.where("node = class").select("class", F.col("id").alias("class_id")), "class")
-    inside = some.select("doc_id", "f1", "f2").join(named.select("f1", "f2", "class_id", "class_size"), ["f1", "f2"])
-    alone = sketches.where("n = 0").select("doc_id", "f1", "f2", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
-    columns = ["doc_id", "class_id", "class_size", "f1", "f2"]
-    return inside.select(*columns).unionByName(alone.select(*columns))
+        rare = few(materialise(rare.join(keys, "kmer", "left_semi"), "rare"))
+        longer = rare.select("kmer", F.col("node").alias("a"), F.col("c").alias("ca"), F.col("n").alias("na"), F.col("place").alias("pa"))
+        shorter = rare.where("seed").select("kmer", F.col("node").alias("b"), F.col("c").alias("cb"), F.col("n").alias("nb"), F.col("place").alias("pb"))
+        alike = F.expr(f"ca <> cb and nb <= na and (nb < na or b < a) and nb >= {SIMILARITY} * na and (1 + {SIMILARITY}D) * least(na - pa, nb - pb) >= {SIMILARITY}D * (na + nb) - 1e-6D")
+        pairs = few(materialise(longer.join(shorter, (longer.kmer == shorter.kmer) & alike).select("a", "b").distinct(), "pairs"))
+        if not pairs.isEmpty():
+            classes.link(verified(pairs))
+
+    known = classes.of(nodes, "node", "class")
+    named = known.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("_keeper"))
+    named = materialise(known.join(named, "class").withColumn("keeper", F.col("node") == F.col("_keeper")).select("node", "id", "class_id", "class_size", "keeper"), "classes")
+    return sketches, named
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: doc_id, class_id (the class's smallest doc_id), class_size (rows)."""
+    sketches, named = _grouped(docs, id_col, text_col)
+    inside = sketches.where("n > 0").select("doc_id", "node").join(named, "node").select("doc_id", "class_id", "class_size")
+    alone = sketches.where("n = 0").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return inside.unionByName(alone)
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the smallest id; texts without words all stay."""
-    groups = near_groups(docs, id_col, text_col)
-    kept = groups.where("class_size = 1 or doc_id <=> class_id").groupBy("doc_id", "f1", "f2").agg(F.count(F.lit(1)).alias("_n"))
+    """docs with one document of each class, that of the smallest id; texts without words all stay.
+
+    Of rows with that id and the same words, the first one by all columns that have an order stays."""
+    _, named = _grouped(docs, id_col, text_col)
+    kept = named.where("keeper").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = f"doc {dict(marked.dtypes)['doc']}, doc_id long, f1 long, f2 long, empty boolean"
-    rows = marked.mapInArrow(_fingerprinted, schema)
-    stay = rows.join(kept.select(F.col("doc_id").alias("_id"), F.col("f1").alias("_f1"), F.col("f2").alias("_f2")), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("f1") == F.col("_f1")) & (F.col("f2") == F.col("_f2")), "left_semi")
-    nth = F.row_number().over(Window.partitionBy("doc_id", "f1", "f2").orderBy(F.lit(1)))
-    return stay.withColumn("_nth", nth).where("_nth = 1 or empty").select("doc.*")
+    rows = marked.mapInArrow(_fingerprinted, f"doc {dict(marked.dtypes)['doc']}, doc_id long, node long, empty boolean")
+    stay = rows.where("not empty").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
+    order = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy(*order))
+    return stay.withColumn("_nth", nth).where("_nth = 1").select("doc.*").unionByName(rows.where("empty").select("doc.*"))
 
 
 def _fingerprinted(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            words = Words(part.column("text"))
-            h, starts = kmers(words)
-            ids = [content_print(h, starts), content_print(kmers(words, 1)[0], starts)]
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("doc_id"), pa.array(ids[0]), pa.array(ids[1]), pa.array(np.diff(starts) == 0)], names=["doc", "doc_id", "f1", "f2", "empty"])
+            h, starts = kmers(Words(part.column("text")))
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("doc_id"), pa.array(content_print(h, starts)), pa.array(np.diff(starts) == 0)], names=["doc", "doc_id", "node", "empty"])
