@@ -4,7 +4,8 @@ Texts are equal when they are equal without white space ([\\x20\\x09-\\x0D]). Ea
 copies, then groups of (digest, content, salt) combine across tasks, then the salts' winners combine globally.
 The content is part of the grouping key at both stages, so equality is decided by the whole text and not by a
 digest; a group holds counters only (winner, size), never its rows. Rows get their winner by joining on the
-32-byte digest; digests under which two contents meet, should that ever happen, are joined on the content.
+32-byte digest and a salt, over which the winners of groups of two or more are copied; a row that finds none is the
+only one of its text. Digests under which two contents meet, should that ever happen, are joined on the content.
 
 Defined results: a null text is empty; a null id is written back as null and loses all ties; rows repeated
 with the same id are counted each, and all of them are marked kept if their text is the winner's
@@ -13,6 +14,8 @@ with the same id are counted each, and all of them are marked kept if their text
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,10 +48,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     by_salt = salted.groupBy("_digest", "_norm", "_salt").agg(F.max("_best").alias("_best"), F.count(F.lit(1)).alias("_size"))
     groups = by_salt.groupBy("_digest", "_norm").agg(F.max("_best").alias("_best"), F.sum("_size").alias("_size"))
     # what is kept of a content from here on: its digest, counters and, for the digests of several contents, itself
-    winners = materialise(groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.max("_best").alias("_best"), F.max("_size").alias("_size")), "winners")
-    found = rows.select("_id", "_n", "_digest").join(winners.where("_contents = 1"), "_digest").select("_id", "_n", "_digest", "_best", "_size")
+    winners = materialise(groups.groupBy("_digest").agg(F.count(F.lit(1)).alias("_contents"), F.max("_best").alias("_best"), F.sum("_size").alias("_size")).where("_size > 1"), "winners")
+    # a row without a winner is the only one of its text; the copies of one text are dealt over salts, as its winner is
+    spread = winners.where("_contents = 1").select("_digest", "_best", "_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    lone = rows.select("_id", "_n", "_digest", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"))
     clashing = winners.where("_contents > 1").select("_digest")
-    if not clashing.isEmpty():  # two contents under one digest: those rows are joined on the content
+    clash = not clashing.isEmpty()  # two contents under one digest: those rows are joined on the content
+    if clash:
+        lone = lone.join(clashing, "_digest", "left_anti")
+    found = lone.join(spread, ["_digest", "_salt"], "left").select("_id", "_n", "_digest", F.coalesce("_best", _best("_n", "_id")).alias("_best"), F.coalesce("_size", F.lit(1)).alias("_size"))
+    if clash:
         exact = rows.join(clashing, "_digest", "left_semi").join(groups.join(clashing, "_digest", "left_semi"), ["_digest", "_norm"])
         found = found.unionByName(exact.select("_id", "_n", "_digest", "_best", "_size"))
     step = F.lit(_STEP).cast("decimal(21,0)")
@@ -65,9 +74,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of equal texts, all columns as they were."""
+    """docs with one row of each group of equal texts, all columns as they were.
+
+    Of rows that share the winner's id, text and length, the first one by all columns that have an order stays."""
     kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
-    named = docs.withColumn("_sha", F.sha2(normalised(F.col(text_col)), 256)).withColumn("_len", F.length(F.coalesce(F.col(text_col), F.lit(""))))
-    joined = named.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    first = Window.partitionBy(id_col, "_sha").orderBy(F.col("_len").desc(), *[F.col(c) for c, t in docs.dtypes if c != id_col and not t.startswith(("map", "array", "struct", "variant"))])
-    return joined.withColumn("_nth", F.row_number().over(first)).where("_nth = 1").select(*docs.columns)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    # the row travels as one struct, so its columns may have any names
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("_id"), F.sha2(normalised(text), 256).alias("_sha"), F.length(text).alias("_len"))
+    rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
+    order = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
+    nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.col("_len").desc(), *order))
+    return rows.withColumn("_nth", nth).where("_nth = 1").select("doc.*")
