@@ -3,10 +3,15 @@
 Rules are (host, path prefix, verdict). The trie's first levels are host labels from the last one on, so a rule
 sits where its host and all subdomains pass; below a host stand its path segments, and under the segments
 before a rule's last one the rules that end within the next segment. Of all rules that fit, the longest host
-and path together wins, whatever it says. The list's size is checked before it is broadcast.
+and path together wins, whatever it says; of equally long ones the one of the longer host, and of an allow and a block
+entry for the same host and path the block.
+
+A list of up to MAX_RULES is broadcast. A longer one is a table: pages are joined with it on each of their host's
+suffixes and each prefix of their path, with the same result.
 
 Defined results: a null url or one without :// has an empty host and path, no rule and the verdict for
-unlisted pages; equal urls give equal rows; an empty table gives an empty result; other columns don't matter.
+unlisted pages; null and equal ids are rows of their own; equal urls give equal rows; an empty table gives an empty
+result; other columns don't matter.
 """
 
 from __future__ import annotations
@@ -31,7 +36,9 @@ class Trie:
             *full, last = path.split("/")
             for segment in full:
                 node = node.setdefault(("segment", segment), {})
-            node.setdefault("ends", {})[last] = (host + path, verdict)
+            ends = node.setdefault("ends", {})
+            if verdict == "block" or last not in ends:
+                ends[last] = (host + path, verdict)
 
     def find(self, host: str, path: str) -> tuple[str, str] | None:
         """The longest rule that fits, with its verdict."""
@@ -63,10 +70,11 @@ def host_and_path(url: str | None) -> tuple[str, str]:
     return host, rest[: min((i for i in map(rest.find, "?#") if i >= 0), default=len(rest))]
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], unlisted: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], unlisted: str = "allow", id_col: str = "page_id", url_col: str = "url", most: int = MAX_RULES) -> DataFrame:
     """One row per page: id_col, host, path, rule, verdict. rules: (host, path prefix, "allow" or "block")."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules are too many to broadcast")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
+    if len(rules) > most:
+        return _joined(rows, rules, unlisted).withColumnRenamed("id", id_col)
     trie = pages.sparkSession.sparkContext.broadcast(Trie(rules))
 
     def each(batches):
@@ -80,5 +88,21 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], unlisted: str = "
                     column.append(x)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(pa.array(c, pa.string()) for c in out)], names=["id", "host", "path", "rule", "verdict"])
 
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     return rows.mapInArrow(each, f"id {dict(rows.dtypes)['id']}, {SCHEMA}").withColumnRenamed("id", id_col)
+
+
+def _joined(rows: DataFrame, rules: list[tuple[str, str, str]], unlisted: str) -> DataFrame:
+    """The same for a list that is too long for a broadcast, by equi-joins."""
+    table = rows.sparkSession.createDataFrame([(h.translate(_LOWER), p, h + p, v) for h, p, v in rules], "_host string, _path string, rule string, verdict string")
+    table = table.groupBy("_host", "_path").agg(F.max(F.struct("verdict", "rule")).alias("r")).select("_host", "_path", "r.*")  # block comes after allow
+    rest = F.when(F.instr("url", "://") > 0, F.expr("substring(url, instr(url, '://') + 3)")).otherwise("")
+    split = rows.select("id", rest.alias("_rest")).withColumn("_raw", F.regexp_extract("_rest", "^[^/?#]*", 0))
+    upper = "".join(map(chr, _LOWER))
+    urls = split.select("id", F.translate("_raw", upper, upper.lower()).alias("host"), F.regexp_extract(F.expr("substring(_rest, length(_raw) + 1)"), "^[^?#]*", 0).alias("path"))
+    distinct = urls.select("host", "path").where("host <> ''").distinct()
+    suffixes = F.expr("transform(sequence(1, size(split(host, '[.]'))), i -> array_join(slice(split(host, '[.]'), i, 1000000), '.'))")
+    fits = distinct.select("host", "path", F.explode(suffixes).alias("_host")).join(table.select("_host").distinct(), "_host", "left_semi")
+    fits = fits.select("*", F.explode(F.expr("transform(sequence(0, length(path)), n -> left(path, n))")).alias("_path")).join(table, ["_host", "_path"])
+    best = fits.groupBy("host", "path").agg(F.max(F.struct((F.length("_host") + F.length("_path")).alias("n"), F.length("_host").alias("h"), "rule", "verdict")).alias("b"))
+    found = urls.join(best, ["host", "path"], "left")
+    return found.select("id", "host", "path", F.col("b.rule").alias("rule"), F.coalesce("b.verdict", F.lit(unlisted)).alias("verdict"))
