@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 from evimap.llm.chat import digests, format_chats, read_back
 
@@ -35,18 +36,50 @@ def test_round_trip(spark):
     assert got == expected(rows)
 
 
+def cost_of(text):
+    return 4 + len(re.findall(r"[^\W_]+|[^\w\s]|_", text))
+
+
 def test_windows_keep_budget_system_and_history(spark):
-    rows = [(1, 0, "system", "rules"), *((1, i, "user" if i % 2 else "assistant", "w " * 10) for i in range(1, 40))]
+    rows = [(1, 0, "system", "rules"), *((1, i, "user" if i % 2 else "assistant", "w " * 10) for i in range(1, 1030))]
     df = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
     windows = format_chats(df, budget=100, history=30).orderBy("window").collect()
-    assert len(windows) > 5
+    assert len(windows) == 1 + -(-(1029 - 6) // 4)  # six turns beside the system turn in the first, four new ones after that
     seen = []
     for w in windows:
         assert w.formatted.startswith("<|im_start|>system\nrules<|im_end|>\n")
-        assert sum(4 + len(w.formatted[t.text_at : t.text_at + t.text_chars].split()) for t in w.turns) <= 100
+        assert sum(cost_of(w.formatted[t.text_at : t.text_at + t.text_chars]) for t in w.turns) <= 100
         seen.append([t.repeated for t in w.turns])
-    assert all(s[0] for s in seen[1:]) and all(s[1] and s[2] and not s[3] for s in seen[1:])  # system, two repeated turns, then own ones
-    assert read_back(format_chats(df, budget=100, history=30)).first().n_turns == 40
+    assert all(s[:4] == [True, True, True, False] for s in seen[1:])  # system, two repeated turns, then own ones
+    assert all(sum(not x for x in s) == 4 for s in seen[1:-1])  # at turn 512 as anywhere
+    assert read_back(format_chats(df, budget=100, history=30)).first().n_turns == 1030
+
+
+def test_windows_of_a_cut_run_keep_history(spark):
+    rows = [(1, 0, "system", "rules"), *((1, i, "assistant", f"w{i} " * 10) for i in range(1, 40))]
+    df = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
+    for w in format_chats(df, budget=100, history=30, run=16).collect():
+        assert w.window == 0 or [t.repeated for t in w.turns][:4] == [True, True, True, False]
+    got = digests(format_chats(df, budget=100, history=30, run=16)).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == expected(rows)[1]
+
+
+def test_turns_over_the_budget(spark):
+    big = [(1, 0, "system", "s " * 300), (1, 1, "user", "u"), (1, 2, "assistant", "a " * 500), (1, 3, "user", "v")]
+    lead = [(2, 0, "system", "s " * 40), (2, 1, "user", "u " * 50), (2, 2, "assistant", "a " * 20)]
+    df = spark.createDataFrame([(*r, 0, 0) for r in big + lead], SCHEMA)
+    shown = {}
+    for w in format_chats(df, budget=100, history=30).orderBy("window").collect():
+        shown.setdefault(w.conv_id, []).append([(w.formatted[t.text_at], t.repeated) for t in w.turns])
+    # a large system turn isn't repeated, and a turn that is over the budget alone goes without history
+    assert shown[1] == [[("s", False)], [("u", False)], [("a", False)], [("v", False)]]
+    assert shown[2] == [[("s", False), ("u", False)], [("s", True), ("a", False)]]
+
+
+def test_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 else "assistant", f"w{i} " * 2000) for i in range(600)]
+    got = digests(format_chats(spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA))).first()
+    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == expected(rows)[1]
 
 
 def test_empty(spark):

@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -52,6 +53,26 @@ def test_exact_groups(spark):
     assert exact_groups(docs_of(spark, [])).collect() == []
 
 
+def test_exact_keeps_columns_of_any_name(spark):
+    from evimap.llm.exact_dedup import drop_exact_duplicates
+
+    schema = "doc_id long, text string, _len string, _sha string, _nth string, _keep_id string, _id string, doc string, _salt string, m map<string,int>"
+    rows = [(i, t, *"keep", "x", str(i), "s", {"a": i}) for i, t in enumerate(["a b", "ab", "c", None, " ", "c"])]
+    out = drop_exact_duplicates(spark.createDataFrame(rows, schema))
+    assert out.columns == [c.split()[0] for c in schema.split(", ")]
+    assert sorted(map(tuple, out.collect()), key=lambda r: r[0]) == [rows[i] for i in (0, 2, 4)]
+
+
+def test_exact_clashing_digests(spark, monkeypatch):
+    from evimap.llm import exact_dedup
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda c, n: F.substring(c, 1, 1))
+    texts = ["a1", "a 2", "a2", "a1 ", "b", "b"]
+    got = {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in exact_dedup.exact_groups(docs_of(spark, texts)).collect()}
+    assert got == {0: (3, 2, False), 3: (3, 2, True), 1: (1, 2, True), 2: (1, 2, False), 4: (4, 2, True), 5: (4, 2, False)}
+
+
 def test_substrings(spark):
     from evimap.llm.substring_dedup import repeated_words
 
@@ -165,13 +186,64 @@ def test_pii_terms_go_wherever_they_stand(spark):
     assert [len(places[i]) for i in range(8)] == [2] * 6 + [1, 0] and {w for p in places.values() for w in p} == {"Quillfeather"}
 
 
-def test_pii_patterns_match_plain_search():
-    from evimap.llm.pii import _EMAIL, base_spans
+#: The four base kinds as they are prescribed.
+PII = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain_spans(text):
+    def luhn(d):
+        return sum(sum(map(int, str(int(c) * (1 + i % 2)))) for i, c in enumerate(d[::-1])) % 10 == 0
+
+    good = {
+        "email": lambda m: True,
+        "ip": lambda m: all(int(p) <= 255 for p in m.split(".")),
+        "card": lambda m: 12 <= len(d := re.sub("[^0-9]", "", m)) <= 19 and luhn(d),
+        "phone": lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15,
+    }
+    found = [(m.start(), i, m.end()) for i, (k, p) in enumerate(PII.items()) for m in re.finditer(p, text) if good[k](m[0])]
+    return sorted(found)
+
+
+def test_pii_base_spans_match_plain_search():
+    from evimap.llm.pii import base_spans
 
     r = random.Random(5)
-    for _ in range(3000):
-        t = "".join(r.choice(["a", "@", ".", " ", "-", "_", "é", "b1", "@x.y", "%"]) for _ in range(r.randint(0, 16)))
-        assert [(s, e) for s, k, e in base_spans(t) if k == 0] == [m.span() for m in _EMAIL.finditer(t)], t
+    marks = {
+        "email": ["a", "@", ".", " ", "-", "_", "é", "b1", "@x.y", "%"],
+        "numbers": [*"0123456789", "255", "256", "4111111111111111", "4111 1111 1111 1111", ".", ".", "-", " ", "+", "(", ")", "+1 555", "10.0.0.1", "a", "٣"],
+    }
+    for kind in marks.values():
+        for _ in range(6000):
+            t = "".join(r.choice(kind) for _ in range(r.randint(0, 24)))
+            assert base_spans(t) == plain_spans(t), t
+    assert {k for t in ["a@b.c", "1.2.3.4 ", "4111 1111 1111 1111", "+1 (555) 010-9999"] for _, k, _ in plain_spans(t)} == {0, 1, 2, 3}
+
+
+def test_pii_scans_long_runs_quickly():
+    from evimap.llm.pii import base_spans
+
+    n = 1_000_000
+    for text in ("1" * n, "a" * n + "@", "a." * (n // 2) + "@b", "1." * (n // 2), "+" + "1" * n, "+1" + "(" * n, "1-" * (n // 2), "@" * n, "a@b" * (n // 3)):
+        began = time.process_time()
+        base_spans(text)
+        assert time.process_time() - began < 4, text[:9]
+
+
+def test_pii_digests(spark):
+    from evimap.llm.pii import digests, pii_spans
+
+    texts = corpus() + ["x@y.zz 1.2.3.4 +1 (555) 010-9999 and 4111-1111-1111-1111", "😀 a@b.cd", "4111 1111 1111 1112", "+123"]
+    kinds = list(PII)
+    for row in digests(pii_spans(docs_of(spark, texts))).collect():
+        spans = plain_spans(texts[row.doc_id] or "")
+        base = ",".join(f"{kinds[k]}:{s}:{e}" for s, k, e in spans)
+        assert [row[f"n_{k}"] for k in kinds] == [sum(x[1] == i for x in spans) for i in range(4)]
+        assert row.base_sha256 == hashlib.sha256(base.encode()).hexdigest() and set(filter(None, base.split(","))) <= set(row.spans.split(","))
 
 
 def test_near_groups(spark):
@@ -237,9 +309,25 @@ def test_url_filter(spark):
     rules = [("org", "/", "allow"), ("b.org", "/x/", "block"), ("b.org", "/x/ok", "allow"), ("com", "", "block")]
     urls = [None, "", "b.org/x/", "http://B.ORG/x/1?q", "http://a.b.org/x/okay#f", "s://nb.org/x/", "http://z.com", "http://b.org?x/", "s://b.org/x"]
     got = [(r.host, r.path, r.rule, r.verdict) for r in judge(spark.createDataFrame(list(enumerate(urls)), "page_id long, url string"), rules).orderBy("page_id").collect()]
+    schema = "page_id long, url string"
+    rows = [*enumerate(urls), (None, "s://z.com"), (1, None), (1, None)]
+    by_trie = judge(spark.createDataFrame(rows, schema), rules)
+    by_join = judge(spark.createDataFrame(rows, schema), rules, most=0)
+    assert sorted(map(str, by_trie.collect())) == sorted(map(str, by_join.collect())) and by_trie.count() == len(rows)
+    assert judge(spark.createDataFrame([], schema), rules).collect() == [] == judge(spark.createDataFrame([], schema), rules, most=0).collect()
     assert got == [("", "", None, "allow")] * 3 + [("b.org", "/x/1", "b.org/x/", "block"), ("a.b.org", "/x/okay", "b.org/x/ok", "allow"), ("nb.org", "/x/", "org/", "allow"), ("z.com", "", "com", "block"), ("b.org", "", None, "allow"), ("b.org", "/x", "org/", "allow")]
 
 
+def test_url_ties(spark):
+    from evimap.llm.url_filter import judge
+
+    pages = spark.createDataFrame([(1, "s://a.b.org/x/"), (2, "s://c.org/")], "page_id long, url string")
+    for order in (1, -1):
+        rules = [("b.org", "/x/", "allow"), ("a.b.org", "/", "block"), ("c.org", "/", "allow"), ("c.org", "/", "block")][::order]
+        for most in (0, 9):
+            assert [(r.rule, r.verdict) for r in judge(pages, rules, most=most).orderBy("page_id").collect()] == [("a.b.org/", "block"), ("c.org/", "block")]
+
+
 def test_pipeline_keeps_one_of_each(spark):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
     r = random.Random(9)
