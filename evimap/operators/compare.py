@@ -7,26 +7,51 @@ from pyspark.sql import functions as F
 
 from evimap.functions.scalars import rounded
 
-#: Class codes and what they stand for: fixed values of the format.
+#: Class codes and what they stand for: fixed values of the report.
 CLASS_CODES = {
-    "=": "exact match of intron chain", "c": "contained in reference", "k": "contains reference", "m": "retained introns, all covered",
-    "n": "retained introns, not all covered", "j": "multi-exon with a shared junction", "e": "single exon, partly covers an intron",
-    "o": "other same strand overlap", "s": "intron match on the opposite strand", "x": "exonic overlap on the opposite strand",
-    "i": "within a reference intron", "y": "contains a reference within its intron", "p": "possible polymerase run-on", "r": "repeat", "u": "intergenic",
-}
+    "=": "exact match to prediction-supported model",
+    "c": "contained within prediction-supported model",
+    "j": "novel isoform with shared splice junctions",
+    "e": "single exon transfrag partially covering a prediction intron",
+    "i": "fully contained within a prediction intron",
+    "k": "contains a prediction-supported transcript (reverse containment)",
+    "m": "retained intron(s); all introns matched or retained",
+    "n": "retained intron(s); not all introns matched/covered",
+    "o": "other same-strand overlap with prediction exons",
+    "p": "possible polymerase run-on fragment",
+    "r": "repeat-associated transcript",
+    "u": "no overlap with any prediction-supported gene locus",
+    "x": "exonic overlap on opposite strand",
+    "s": "intron match on the opposite strand",
+    "y": "contains a prediction-supported model within its intron(s)",
+}
 IDENTICAL, NOVEL, ACCEPTED = ("=",), ("s", "x", "i", "y", "p", "u"), ("=", "j", "c", "k", "m", "n")
 
 
-def models(segments: DataFrame, key: str = "protein") -> DataFrame:
-    """One row per model: seqid, strand, regions (sorted), of equal keys the largest seqid and strand."""
-    return segments.groupBy(key).agg(F.max("seqid").alias("seqid"), F.max("strand").alias("strand"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("regions"))
+def models(segments: DataFrame, key: str = "protein", place: str | None = None) -> DataFrame:
+    """One row per model: seqid, strand, gene where there is one, regions (sorted); with a place, the last row's seqid, strand and gene hold."""
+    what = [c for c in ("seqid", "strand", "gene") if c in segments.columns]
+    last = [F.max_by(c, place).alias(c) if place else F.max(c).alias(c) for c in what]
+    return segments.groupBy(key).agg(*last, F.sort_array(F.collect_set(F.struct("start", "end"))).alias("regions"))
+
+
+def first_boundary(m: str) -> str:
+    """Where translation of a model (a struct) begins; any strand but + reads backwards."""
+    return f"if({m}.strand = '+', {m}.regions[0].start, element_at({m}.regions, -1).end)"
+
+
+def last_boundary(m: str) -> str:
+    return f"if({m}.strand = '+', element_at({m}.regions, -1).end, {m}.regions[0].start)"
+
+
+def chain(m: str) -> str:
+    """The junctions of a model: end of a region and start of the next."""
+    return f"array_sort(array_distinct(zip_with(slice({m}.regions, 1, size({m}.regions) - 1), slice({m}.regions, 2, size({m}.regions)), (a, b) -> struct(a.end as donor, b.start as acceptor))))"
 
 
 def classify_difference(pairs: DataFrame, p: str = "p", r: str = "r") -> DataFrame:
     """Adds difference from two models (structs of seqid, strand, regions): a decision list, first hit wins."""
-    ends = lambda m: (f"if({m}.strand = '+', {m}.regions[0].start, element_at({m}.regions, -1).end)", f"if({m}.strand = '+', element_at({m}.regions, -1).end, {m}.regions[0].start)")
-    chain = lambda m: f"array_sort(array_distinct(zip_with(slice({m}.regions, 1, size({m}.regions) - 1), slice({m}.regions, 2, size({m}.regions)), (a, b) -> struct(a.end as d, b.start as a))))"
-    (pf, pl), (rf, rl) = ends(p), ends(r)
+    pf, pl, rf, rl = first_boundary(p), last_boundary(p), first_boundary(r), last_boundary(r)
     return pairs.withColumn(
         "difference",
         F.expr(f"""case
@@ -44,16 +69,70 @@ def classify_difference(pairs: DataFrame, p: str = "p", r: str = "r") -> DataFra
     )
 
 
-def evidence_category(difference: str = "difference") -> Column:
-    """Stop before splice before start."""
-    d = F.col(difference)
-    return F.when(d.contains("different_stop"), "stop").when(d == "different_splice", "splice").when(d.isin("different_start_same_stop", "upstream_extension", "downstream_truncation"), "start").otherwise("none")
+def stop_difference(p: str = "p", r: str = "r", tolerance: int = 3) -> Column:
+    """Whether two models of one strand begin at the same place and end more than so many bases apart, spliced alike or not."""
+    same = f"{p}.seqid <=> {r}.seqid and {p}.strand <=> {r}.strand and size({p}.regions) > 0 and size({r}.regions) > 0"
+    return F.expr(f"coalesce({p} is not null and {r} is not null and {same} and {first_boundary(p)} = {first_boundary(r)} and abs({last_boundary(p)} - {last_boundary(r)}) > {tolerance}, false)")
+
+
+def adjacent_pairs(located: DataFrame, name: str = "peptide") -> DataFrame:
+    """One row per neighbouring pair of blocks of a located peptide: place (unique), name, seqid, donor, acceptor."""
+    rows = located.where("size(b) > 1").select(F.md5(F.to_json(F.struct(name, "seqid", "b"))).alias("place"), name, "seqid", F.array_sort("b").alias("b"))
+    return rows.select("place", F.col(name).alias("name"), "seqid", F.explode(F.expr("zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b)), (x, y) -> struct(x.e as donor, y.s as acceptor))")).alias("j")).select("place", "name", "seqid", "j.*")
+
+
+def junction_support(pairs: DataFrame, located: DataFrame, key: str = "qry_id", name: str = "peptide") -> DataFrame:
+    """key, splice_support: peptides (by name) across a junction that only the predicted model has, unless the same
+    location also spans a junction that only the reference has and that shares an end with it.
+
+    pairs: key, p and r. Matching is by sequence id and place; both models need regions, the predicted one two."""
+    some = pairs.where("size(p.regions) > 1 and size(r.regions) > 0").select(key, F.col("p.seqid").alias("seqid"), F.expr(chain("p")).alias("pj"), F.expr(chain("r")).alias("rj")).distinct()
+    only = lambda a, b, to: some.select(key, "seqid", F.explode(F.array_except(a, b)).alias("j")).select(F.col(key).alias(f"{to}_key"), "seqid", "j.donor", "j.acceptor").distinct()
+    spans = adjacent_pairs(located, name)
+    ours = spans.join(only("pj", "rj", "p"), ["seqid", "donor", "acceptor"])
+    theirs = spans.join(only("rj", "pj", "r"), ["seqid", "donor", "acceptor"]).select("r_key", F.col("place").alias("_place"), F.col("donor").alias("_donor"), F.col("acceptor").alias("_acceptor"))
+    against = (F.col("p_key") == F.col("r_key")) & (F.col("place") == F.col("_place")) & ((F.col("donor") == F.col("_donor")) | (F.col("acceptor") == F.col("_acceptor")))
+    return ours.join(theirs, against, "left_anti").groupBy(F.col("p_key").alias(key)).agg(F.countDistinct("name").alias("splice_support"))
+
+
+#: Measures of a predicted model in the report.
+REPORTED = ("n_terminal_peptides", "c_terminal_peptides", "splice_peptides", "mapped_peptides", "sequence_coverage")
+START_DIFFERENCES = ("different_start_same_stop", "upstream_extension", "downstream_truncation")
+SPLICE_DIFFERENCES = ("different_splice", "same_start_same_stop_different_exons")
+
 
+def evidence_report(codes: DataFrame, scores: DataFrame, predicted: DataFrame, reference: DataFrame, located: DataFrame, name: str = "peptide") -> DataFrame:
+    """Differences from the reference that peptides speak for: predicted_id, reference_id, structural_difference,
+    peptide_evidence_category and the model's measures, splice_peptides being those across its own junctions.
 
-def category_summary(rows: DataFrame, category: str, id_col: str) -> DataFrame:
-    """category, n, ids (sorted, joined)."""
-    ids = F.array_join(F.transform(F.array_sort(F.collect_set(id_col)), lambda x: x.cast("string")), ",")
-    return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n"), ids.alias("ids"))
+    codes: qry_id, ref_id, class_code, of which identical and novel ones are left out; scores: protein and measures, 0
+    where there is none; predicted, reference: models(). A different stop with C-terminal peptides comes first, then a
+    different splicing with peptides on it, then a different start with N-terminal peptides."""
+    some = codes.where(F.col("class_code").isNull() | ~F.col("class_code").isin(*IDENTICAL, *NOVEL)).select("qry_id", "ref_id")
+    rows = some.join(scores.select(F.col("protein").alias("qry_id"), *REPORTED), "qry_id", "left").na.fill(0)
+    model = lambda m, key, to: m.select(F.col("protein").alias(key), F.struct("seqid", "strand", "regions").alias(to))
+    rows = rows.join(model(predicted, "qry_id", "p"), "qry_id", "left").join(model(reference, "ref_id", "r"), "ref_id", "left")
+    rows = classify_difference(rows).withColumn("_stop", stop_difference() & (F.col("c_terminal_peptides") > 0)).withColumn("_pair", F.struct("qry_id", "ref_id"))
+    splice = F.col("difference").isin(*SPLICE_DIFFERENCES) & ~F.col("_stop")
+    rows = rows.join(junction_support(rows.where(splice), located, "_pair", name), "_pair", "left")
+    start = F.col("difference").isin(*START_DIFFERENCES) & (F.col("n_terminal_peptides") > 0)
+    category = F.when(F.col("_stop"), "peptide_support_different_stop").when(splice & (F.col("splice_support") > 0), "peptide_support_different_splice").when(start, "peptide_support_different_start")
+    rows = rows.withColumn("peptide_evidence_category", category).where("peptide_evidence_category is not null")
+    measures = [F.coalesce(F.when(F.col("peptide_evidence_category") == "peptide_support_different_splice", F.col("splice_support")), F.col(c)).alias(c) if c == "splice_peptides" else F.col(c) for c in REPORTED]
+    return rows.select(F.col("qry_id").alias("predicted_id"), F.col("ref_id").alias("reference_id"), F.col("difference").alias("structural_difference"), "peptide_evidence_category", *measures)
+
+
+def category_summary(rows: DataFrame, category: str, id_col: str, examples: int = 10) -> DataFrame:
+    """category, n, examples (so many smallest ids, sorted, joined). The members are rows of category and id."""
+    ids = rows.select(category, id_col).distinct()
+    few = ids.withColumn("_n", F.row_number().over(Window.partitionBy(category).orderBy(id_col))).where(F.col("_n") <= examples)
+    listed = few.groupBy(category).agg(F.array_join(F.transform(F.array_sort(F.collect_list(id_col)), lambda x: x.cast("string")), ",").alias("examples"))
+    return rows.groupBy(category).agg(F.count(F.lit(1)).alias("n")).join(listed, category)
+
+
+def set_text(c: str) -> Column:
+    """The distinct values of a group as {a,b}."""
+    return F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_set(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")))), ","), F.lit("}"))
 
 
 def locus_summary(rows: DataFrame) -> DataFrame:
@@ -79,14 +158,57 @@ def overlap_statistics(pairs: DataFrame, left: str, right: str, n_left: int, n_r
     return m.withColumn("jaccard", F.when(F.col("union_") > 0, rounded(F.col("shared") / F.col("union_"), 4)).otherwise(0.0))
 
 
-def rank_candidates(matches: DataFrame, loci: DataFrame) -> DataFrame:
-    """Numbered candidates: matches (protein, other, code) per locus, most matches first, then place, then protein.
+def accepted_totals(summary: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """One row from class_code and n: accepted_overlap, other_classes, total."""
+    t = summary.agg(F.sum(F.when(F.trim("class_code").isin(*accepted), F.col("n")).otherwise(0)).alias("a"), F.sum("n").alias("t"))
+    return t.select(F.coalesce("a", F.lit(0)).cast("long").alias("accepted_overlap"), F.greatest(F.coalesce(F.col("t") - F.col("a"), F.lit(0)), F.lit(0)).cast("long").alias("other_classes"), F.coalesce("t", F.lit(0)).cast("long").alias("total"))
+
+
+def between(codes: DataFrame, queries: DataFrame, references: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """Accepted rows of codes whose query and reference are both among the ids (column protein) given."""
+    trimmed = codes.select(F.trim("qry_id").alias("qry_id"), F.trim("ref_id").alias("ref_id"), F.trim("class_code").alias("class_code")).where(F.col("class_code").isin(*accepted))
+    known = lambda t, c: t.select(F.col("protein").cast("string").alias(c)).distinct()
+    return trimmed.join(known(queries, "qry_id"), "qry_id", "left_semi").join(known(references, "ref_id"), "ref_id", "left_semi")
+
+
+def novel_candidates(prediction: DataFrame, codes: DataFrame, assembly: DataFrame, accepted: tuple[str, ...] = ACCEPTED) -> DataFrame:
+    """Novel predicted loci that assembled models of the same strand confirm, numbered.
+
+    prediction, assembly: locus_summary(); codes: qry_id (assembled), ref_id (predicted), class_code. A strand that is
+    missing on both sides counts as the same."""
+    p = prediction.select(F.col("protein").cast("string").alias("prediction_protein"), F.col("genes").alias("prediction_gene"), "seqid", "strand", F.col("start").alias("prediction_start"), F.col("end").alias("prediction_end"))
+    hits = codes.select(F.trim("qry_id").alias("qry_id"), F.trim("ref_id").alias("prediction_protein"), F.trim("class_code").alias("class_code")).where(F.col("class_code").isin(*accepted))
+    hits = hits.join(p.select("prediction_protein", "strand"), "prediction_protein")
+    a = assembly.select(F.col("protein").cast("string").alias("qry_id"), F.col("genes").alias("bam_gene"), F.col("strand").alias("_strand")).distinct()
+    hits = hits.join(a, "qry_id", "left").where(F.coalesce("strand", F.lit("")) == F.coalesce("_strand", F.lit("")))
+    per = hits.groupBy("prediction_protein").agg(set_text("qry_id").alias("bam_proteins"), set_text("bam_gene").alias("bam_genes"), set_text("class_code").alias("bam_class_codes"), F.countDistinct("qry_id").alias("bam_match_count"))
+    return numbered(p.join(per, "prediction_protein"), "bam_match_count", "seqid", ["prediction_start", "prediction_protein"])
+
+
+def numbered(rows: DataFrame, count: str, group: str, rest: list[str]) -> DataFrame:
+    """Adds candidate_id by count (most first), group, rest. Numbers run within (count, group); what comes before a
+    group is summed over the table of groups, so no task sees all rows."""
+    groups = rows.groupBy(count, group).agg(F.count(F.lit(1)).alias("_size"))
+    groups = groups.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy(F.desc(count), group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(F.col(count).alias("_count"), F.col(group).alias("_group"), "_before")
+    nth = F.row_number().over(Window.partitionBy(count, group).orderBy(*rest))
+    out = rows.withColumn("_nth", nth).join(groups, (F.col(count) == F.col("_count")) & F.col(group).eqNullSafe(F.col("_group")))
+    return out.withColumn("candidate_id", F.format_string("HPNGC_%04d", F.col("_before") + F.col("_nth"))).drop("_nth", "_before", "_count", "_group")
+
+
+def merged_models(rows: DataFrame, place: str = "line_no") -> DataFrame:
+    """The CDS rows of feature tables as a normalised annotation: for each protein a transcript row, then its distinct CDS rows.
 
-    The order is total, so its number needs one sorted run; it is over candidates, which are few beside the matches."""
-    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_set(c)), lambda x: x.cast("string")), ",")
-    per = matches.groupBy("protein").agg(joined("other").alias("others"), joined("code").alias("codes"), F.countDistinct("other").alias("n_matches")).join(loci, "protein")
-    order = Window.orderBy(F.desc("n_matches"), "seqid", "start", "protein")
-    return per.withColumn("candidate_id", F.format_string("HPNGC_%04d", F.row_number().over(order)))
+    Sequence, source and strand are the first row's, the gene the first one named, the score the largest."""
+    cds = rows.where("type = 'cds' and trim(protein) <> ''").withColumn("protein", F.trim("protein"))
+    clean = lambda c: F.trim(F.regexp_replace(c, '"', ""))
+    named = F.nullif(F.trim("gene"), F.lit(""))
+    facts = cds.groupBy("protein").agg(*[F.min_by(c, place).alias(c) for c in ("seqid", "source", "strand")], F.min_by(named, F.when(named.isNotNull(), F.col(place))).alias("gene"), F.min("start").alias("low"), F.max("end").alias("high"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))
+    attrs = F.concat(F.lit('gene_id "'), clean(F.coalesce("gene", "protein")), F.lit('"; transcript_id "'), clean(F.col("protein")), F.lit('";'))
+    facts = facts.withColumn("attrs", attrs).drop("gene")
+    frame = F.when(F.trim("frame").isin("0", "1", "2"), F.trim("frame")).otherwise(".")
+    whole = facts.select("seqid", "source", F.lit("transcript").alias("type"), F.col("low").alias("start"), F.col("high").alias("end"), "score", "strand", F.lit(".").alias("frame"), "attrs", "protein")
+    parts = cds.select("protein", "start", "end", frame.alias("frame")).distinct().join(facts, "protein")
+    return whole.unionByName(parts.select("seqid", "source", F.lit("CDS").alias("type"), "start", "end", "score", "strand", "frame", "attrs", "protein"))
 
 
 def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
@@ -94,11 +216,3 @@ def first_per_key(df: DataFrame, key: str, *order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
-def histogram(rows: DataFrame, group: str, value: str, bins: int = 20) -> DataFrame:
-    """group, bin (from 0), n, density: each group over its own range, the last bin closed."""
-    ranges = rows.groupBy(group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    j = rows.join(ranges, group)
-    at = F.when(F.col("_hi") > F.col("_lo"), F.least(F.floor((F.col(value) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1))).otherwise(0)
-    n = j.withColumn("bin", at.cast("int")).groupBy(group, "bin", "_lo", "_hi", "_n").agg(F.count(F.lit(1)).alias("n"))
-    width = (F.col("_hi") - F.col("_lo")) / bins
-    return n.select(group, "bin", "n", F.when(width > 0, rounded(F.col("n") / (F.col("_n") * width), 6)).otherwise(0.0).alias("density"))

@@ -9,11 +9,13 @@ from evimap.functions.scalars import rounded
 
 
 def specificity(mapping: DataFrame) -> DataFrame:
-    """mapping (peptide, protein, gene) with protein_specific and gene_specific, + where a peptide has one only."""
-    rows = mapping.select("peptide", "protein", "gene").na.drop().distinct()
-    per = rows.groupBy("peptide").agg(F.countDistinct("protein").alias("_p"), F.countDistinct("gene").alias("_g"))
-    flag = lambda c: F.when(F.col(c) == 1, "+").otherwise("-")
-    return rows.join(per, "peptide").select("peptide", "protein", "gene", flag("_p").alias("protein_specific"), flag("_g").alias("gene_specific"))
+    """mapping (peptide, protein, gene and others) with protein_specific and gene_specific, + where a peptide has one only.
+
+    One is what smallest and largest agree on, so nothing distinct has to be counted."""
+    rows = mapping.na.drop(subset=["peptide", "protein", "gene"]).distinct()
+    per = rows.groupBy("peptide").agg(*[f(c).alias(f"_{n}_{c}") for c in ("protein", "gene") for n, f in (("lo", F.min), ("hi", F.max))])
+    flag = lambda c: F.when(F.col(f"_lo_{c}") == F.col(f"_hi_{c}"), "+").otherwise("-")
+    return rows.join(per, "peptide").select(*mapping.columns, flag("protein").alias("protein_specific"), flag("gene").alias("gene_specific"))
 
 
 def locate(mapping: DataFrame, proteins: DataFrame) -> DataFrame:
@@ -27,12 +29,17 @@ def locate(mapping: DataFrame, proteins: DataFrame) -> DataFrame:
     return j.withColumn("n_terminal", n_term).withColumn("c_terminal", F.col("pep_end") == F.col("prot_len")).drop("_seq")
 
 
+#: Measures that a model without peptides has at 0.
+MEASURES = ("sequence_coverage", "mapped_peptides", "n_terminal_peptides", "c_terminal_peptides", "protein_specific_peptides", "gene_specific_peptides", "splice_peptides", "internal_peptides")
+
+
 def features(rows: DataFrame) -> DataFrame:
     """One row per protein from peptide rows with flags: the measures that the rules and the classifier use."""
     is_ = lambda c: F.sum(F.when(F.col(c), 1).otherwise(0)).cast("long")
     return rows.groupBy("protein").agg(
         F.max("prot_len").cast("long").alias("protein_length"),
         F.max("splice_sites").cast("long").alias("splice_sites"),
+        *[F.avg(c).alias(c) for c in ("isoforms", "transcript_score") if c in rows.columns],
         rounded(F.avg("coverage"), 2).alias("sequence_coverage"),
         F.countDistinct("peptide").alias("mapped_peptides"),
         is_("n_terminal").alias("n_terminal_peptides"),
@@ -44,6 +51,50 @@ def features(rows: DataFrame) -> DataFrame:
     )
 
 
+def transcript_scores(rows: DataFrame) -> DataFrame:
+    """protein and transcript_score of the transcript rows of a feature table."""
+    return rows.where(F.col("type").isin("transcript", "mrna")).select("protein", F.col("score").alias("transcript_score"))
+
+
+def model_facts(segments: DataFrame, scores: DataFrame | None = None) -> DataFrame:
+    """One row per model and, where a model has several, transcript score: protein, isoforms (of its gene), splice_sites, transcript_score.
+
+    A model without a transcript row has no score."""
+    isoforms = segments.groupBy("gene").agg(F.countDistinct("protein").alias("isoforms"))
+    sites = segments.select("seqid", "protein", "start", "end").distinct().groupBy("protein").agg((F.count(F.lit(1)) - 1).alias("splice_sites"))
+    facts = segments.select("protein", "gene").distinct().join(isoforms, "gene").join(sites, "protein")
+    facts = facts.join(scores.distinct(), "protein", "left") if scores is not None else facts.withColumn("transcript_score", F.lit(None).cast("double"))
+    return facts.select("protein", "isoforms", "splice_sites", "transcript_score").distinct()
+
+
+def with_unmatched(found: DataFrame, facts: DataFrame, lengths: DataFrame) -> DataFrame:
+    """features() and, at 0, the models that no peptide is mapped to but that have a sequence (lengths: protein, protein_length)."""
+    others = facts.join(found, "protein", "left_anti").join(lengths, "protein")
+    zeros = [F.lit(0).cast(t).alias(c) for c, t in found.dtypes if c in MEASURES]
+    known = [F.col(c).cast(t).alias(c) for c, t in found.dtypes if c not in MEASURES]
+    return found.unionByName(others.select(*known, *zeros))
+
+
+def with_external_scores(f: DataFrame, scores: DataFrame | None) -> DataFrame:
+    """Adds external_score (0 where a protein has none) and puts 0 for every missing number."""
+    f = f.drop("external_score")
+    out = f.withColumn("external_score", F.lit(0.0)) if scores is None else f.join(scores.select("protein", "external_score"), "protein", "left")
+    return out.na.fill(0)
+
+
+def partitions(f: DataFrame) -> DataFrame:
+    """bar, supported, partial, unsupported: how many proteins have each kind of evidence."""
+    yes = lambda e: F.count_if(F.expr(e))
+    every, some = "splice_sites > 0 and splice_peptides >= splice_sites", "splice_sites > 0 and splice_peptides > 0 and splice_peptides < splice_sites"
+    n = f.agg(F.count(F.lit(1)).alias("n"), *[yes(f"{c} > 0").alias(c) for c in ("mapped_peptides", "n_terminal_peptides", "c_terminal_peptides")], yes(every).alias("every"), yes(some).alias("some"))
+    return n.select(
+        F.expr(
+            """stack(4, 'mapped_peptides', mapped_peptides, 0L, n - mapped_peptides, 'n_terminal_support', n_terminal_peptides, 0L, n - n_terminal_peptides,
+                 'c_terminal_support', c_terminal_peptides, 0L, n - c_terminal_peptides, 'splice_site_support', every, some, n - every - some) as (bar, supported, partial, unsupported)"""
+        )
+    )
+
+
 def engineered(f: DataFrame) -> DataFrame:
     """Rates and flags on top of features()."""
     per = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
@@ -84,32 +135,49 @@ def support(f: DataFrame, positive: str = "positive", scored: str = "score_suppo
     return f.withColumn("supported", F.when(on, "+").otherwise("-")).withColumn("confidence", level)
 
 
+def in_order(f: DataFrame) -> DataFrame:
+    """The score table as it is written: protein, supported, confidence, the rest; supported ones first."""
+    first = ["protein", "supported", "confidence"]
+    place = F.when(F.col("supported") == "+", 0).when(F.col("supported") == "-", 1).otherwise(2)
+    return f.select(*first, *[c for c in f.columns if c not in first]).orderBy(place, "confidence", F.desc("mapped_peptides"), "protein")
+
+
 def roc(scores: DataFrame, high: str = "high", score: str = "score", cutoffs: int = 1000) -> DataFrame:
-    """i, cutoff, tpr, fpr: for cutoffs from 1 down to 0, the shares of high and of other scores at or above.
+    """i, cutoff, tpr, fpr, n_high, top: for cutoffs from 1 down to 0, the shares of high and of other scores at or above.
 
     Scores are binned by the first cutoff they reach, so the table is summed once and then runs over cutoffs only.
-    Others are those whose value no high row has."""
-    high_values = scores.where(high).select(F.col(score).alias("_v")).distinct()
-    others = scores.where(F.col(score).isNotNull()).join(high_values, F.col(score) == F.col("_v"), "left_anti")
-    both = scores.where(high).select(score, F.lit(1).alias("_h"), F.lit(0).alias("_o")).unionByName(others.select(score, F.lit(0).alias("_h"), F.lit(1).alias("_o")))
+    Others are those whose value no high row has. A missing score is no score. n_high and top are the number of high
+    scores and the largest absolute score of all."""
+    values = scores.where(F.col(score).isNotNull()).groupBy(score).agg(F.count_if(F.col(high)).alias("_h"), F.count(F.lit(1)).alias("_o"))
+    both = values.withColumn("_o", F.when(F.col("_h") > 0, 0).otherwise(F.col("_o")))
     n = cutoffs - 1
     guess = F.ceil((1.0 - F.col(score)) * n).cast("int")
     at = F.expr(f"case when {score} >= 1.0 - (_g - 1) / {n}.0D then _g - 1 when {score} >= 1.0 - _g / {n}.0D then _g else _g + 1 end")
-    binned = both.withColumn("_g", guess).withColumn("i", F.greatest(F.lit(0), at)).groupBy("i").agg(F.sum("_h").alias("_h"), F.sum("_o").alias("_o"))
-    grid = scores.sparkSession.range(cutoffs).select(F.col("id").cast("int").alias("i"))
+    binned = both.withColumn("_g", guess).withColumn("i", F.greatest(F.lit(0), at)).groupBy("i").agg(F.sum("_h").alias("_h"), F.sum("_o").alias("_o"), F.max(F.abs(score)).alias("_top"))
+    below = binned.where(f"i > {n}").select(F.lit(cutoffs).alias("i"), "_h", "_o", "_top")  # under every cutoff, still in the totals
+    binned = binned.where(f"i <= {n}").unionByName(below).groupBy("i").agg(F.sum("_h").alias("_h"), F.sum("_o").alias("_o"), F.max("_top").alias("_top"))
+    grid = scores.sparkSession.range(cutoffs + 1).select(F.col("id").cast("int").alias("i"))
     order, whole = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy()
     joined = grid.join(binned, "i", "left").na.fill(0, ["_h", "_o"])
-    total = joined.select("i", F.sum("_h").over(order).alias("_ch"), F.sum("_o").over(order).alias("_co"), F.sum("_h").over(whole).alias("_th"), F.sum("_o").over(whole).alias("_to"))
+    total = joined.select("i", F.sum("_h").over(order).alias("_ch"), F.sum("_o").over(order).alias("_co"), F.sum("_h").over(whole).alias("_th"), F.sum("_o").over(whole).alias("_to"), F.max("_top").over(whole).alias("top"))
     rate = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
-    return total.select("i", (1.0 - F.col("i") / float(n)).alias("cutoff"), rate("_ch", "_th").alias("tpr"), rate("_co", "_to").alias("fpr"))
+    return total.where(f"i <= {n}").select("i", (1.0 - F.col("i") / float(n)).alias("cutoff"), rate("_ch", "_th").alias("tpr"), rate("_co", "_to").alias("fpr"), F.col("_th").alias("n_high"), F.coalesce("top", F.lit(0.0)).alias("top"))
 
 
 def cutoff(roc_: DataFrame) -> DataFrame:
-    """One row: Youden's best cutoff if its index is over 0.2, else the elbow (slope below 1 from the third point), else 0."""
+    """One row: cutoff and youden. 0 where there is no high score or all scores are 0; else Youden's best cutoff if its
+    index is over 0.2, else the elbow (slope below 1 from the third point), else 0."""
     order = Window.orderBy("fpr", "i")
-    p = roc_.withColumn("nth", F.row_number().over(order) - 1).withColumn("j", F.col("tpr") - F.col("fpr"))
+    p = roc_.withColumn("nth", F.row_number().over(order) - 1).withColumn("j", F.col("tpr") + (1 - F.col("fpr")) - 1)
     d_fpr = F.col("fpr") - F.lag("fpr").over(order)
-    p = p.withColumn("slope", F.when(d_fpr > 0, (F.col("tpr") - F.lag("tpr").over(order)) / d_fpr))
+    p = p.withColumn("slope", F.when(d_fpr != 0, (F.col("tpr") - F.lag("tpr").over(order)) / d_fpr))
     best = F.max(F.struct(F.col("j"), (-F.col("nth")).alias("n"), F.col("cutoff").alias("c")))
     elbow = F.min(F.when((F.col("nth") >= 2) & (F.col("slope") < 1), F.struct(F.col("nth"), F.col("cutoff").alias("c"))))
-    return p.agg(best.alias("b"), elbow.alias("e")).select(F.when(F.col("b.j") > 0.2, F.col("b.c")).otherwise(F.coalesce(F.col("e.c"), F.lit(0.0))).alias("cutoff"), F.col("b.j").alias("youden"))
+    found = F.when((F.col("h") == 0) | (F.col("t") == 0), 0.0).when(F.col("b.j") > 0.2, F.col("b.c")).otherwise(F.coalesce(F.col("e.c"), F.lit(0.0)))
+    return p.agg(best.alias("b"), elbow.alias("e"), F.max("n_high").alias("h"), F.max("top").alias("t")).select(found.alias("cutoff"), F.col("b.j").alias("youden"))
+
+
+def score_filter(scores: DataFrame, high: str = "high", score: str = "score", least: float = 0.5) -> DataFrame:
+    """Adds cutoff and score_supported: whether the score is above the ROC's cutoff, which is at least so much."""
+    at = cutoff(roc(scores, high, score)).select(F.greatest("cutoff", F.lit(least)).alias("cutoff"))
+    return scores.withColumn("cutoff", at.scalar()).withColumn("score_supported", F.coalesce(F.col(score) > F.col("cutoff"), F.lit(False)))

@@ -28,26 +28,40 @@ def exon_offsets(exons: DataFrame, key: str = "transcript") -> DataFrame:
     return out.withColumn("tx_start", F.col("tx_end") - (F.col("end") - F.col("start")))
 
 
-def islands(intervals: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
-    """Adds island: the number of its run of overlapping intervals within keys."""
-    order = Window.partitionBy(*keys).orderBy(start, end)
-    reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = intervals.withColumn("_new", F.when(reach.isNull() | (F.col(start) > reach), 1).otherwise(0))
-    return fresh.withColumn("island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+def covered(key: str, start: str, end: str) -> Column:
+    """What a closed interval adds to the union of those before it, by start, within its key; an invalid one adds nothing."""
+    order = Window.partitionBy(key).orderBy(start, end)
+    valid = f"coalesce({start}, 0) > 0 and coalesce({end}, 0) >= {start}"
+    reach = F.max(F.expr(f"if({valid}, {end}, null)")).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    more = F.col(end) - F.greatest(F.col(start) - 1, F.coalesce(reach, F.lit(0)))
+    return F.when(F.expr(valid), F.greatest(more, F.lit(0))).otherwise(0)
 
 
 def union_coverage(intervals: DataFrame, key: str = "protein", start: str = "pep_start", end: str = "pep_end", length: str = "prot_len") -> DataFrame:
     """key, coverage: the share of the length that closed intervals cover, to 4 places; 0 where none is valid."""
-    valid = F.expr(f"coalesce({start}, 0) > 0 and coalesce({end}, 0) >= {start} and coalesce({length}, 0) > 0")
-    spans = islands(intervals.where(valid).select(key, start, end, length).distinct(), [key], start, end)
-    merged = spans.groupBy(key, "island").agg((F.max(end) - F.min(start) + 1).alias("n"), F.max(length).alias("len"))
-    covered = merged.groupBy(key).agg(rounded(F.sum("n") / F.max("len"), 4).alias("coverage"))
-    return intervals.select(key).distinct().join(covered, key, "left").na.fill(0.0, ["coverage"])
-
-
-def clusters(loci: DataFrame, keys: list[str], branch: str = "branch") -> DataFrame:
-    """One row per run of overlapping loci: keys, start, end, n, label (the branches in it)."""
-    runs = islands(loci, keys).groupBy(*keys, "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.min(branch).alias("_lo"), F.max(branch).alias("_hi"))
+    each = intervals.select(key, F.when(F.col(length) > 0, F.col(length)).alias("_len"), covered(key, start, end).alias("_n"))
+    return each.groupBy(key).agg(F.coalesce(rounded(F.sum("_n") / F.max("_len"), 4), F.lit(0.0)).alias("coverage"))
+
+
+def clusters(loci: DataFrame, keys: list[str], branch: str = "branch", stretches: int = 1024) -> DataFrame:
+    """One row per run of overlapping loci: keys, start, end, n, label (the branches in it).
+
+    Few keys have most of the loci, so each key is cut into stretches of the coordinate. A locus begins a run if its
+    start is beyond the reach of all loci before it: of those in its stretch, from a window over the stretch, and of the
+    earlier stretches, of which only the reach and the number of runs are handed on."""
+    span = loci.agg(F.min("start").alias("lo"), F.max("start").alias("hi")).select(F.struct("lo", F.greatest(F.lit(1), F.floor((F.col("hi") - F.col("lo")) / stretches)).alias("width")).alias("s"))
+    rows = loci.withColumn("_s", span.scalar()).withColumn("_stretch", F.floor((F.col("start") - F.col("_s.lo")) / F.col("_s.width"))).drop("_s")
+    before = Window.partitionBy(*keys).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
+    reach = rows.groupBy(*keys, "_stretch").agg(F.max("end").alias("_end")).withColumn("_carried", F.max("_end").over(before)).drop("_end")
+    order = Window.partitionBy(*keys, "_stretch").orderBy("start", "end")
+    own = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.join(reach, [*keys, "_stretch"])
+    new = F.when(F.col("start") <= F.coalesce(F.greatest(own, F.col("_carried")), F.col("start") - 1), 0).otherwise(1)
+    rows = rows.withColumn("_new", new).withColumn("_nth", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = rows.groupBy(*keys, "_stretch", "_nth").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("n"), F.min(branch).alias("_lo"), F.max(branch).alias("_hi"))
+    counts = runs.groupBy(*keys, "_stretch").agg(F.max("_nth").alias("_runs")).withColumn("_first", F.coalesce(F.sum("_runs").over(before), F.lit(0))).drop("_runs")
+    runs = runs.join(counts, [*keys, "_stretch"]).groupBy(*keys, (F.col("_first") + F.col("_nth")).alias("_run"))
+    runs = runs.agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"), F.min("_lo").alias("_lo"), F.max("_hi").alias("_hi"))
     return runs.withColumn("label", F.when(F.col("_lo") == F.col("_hi"), F.concat(F.col("_lo"), F.lit("-only"))).otherwise("shared")).select(*keys, "start", "end", "n", "label")
 
 
@@ -90,21 +104,64 @@ def junctions(segments: DataFrame, key: str = "protein") -> DataFrame:
     return segments.withColumn("acceptor", F.lead("start").over(order)).where("acceptor is not null").select(key, F.col("end").alias("donor"), "acceptor")
 
 
+def peptide_type() -> Column:
+    """Of a located peptide with its blocks b: spliced, N-terminal, C-terminal or internal, the first that holds."""
+    return F.when(F.size("b") > 1, "spliced").when(F.col("pep_start") == 1, "n_terminal").when(F.col("pep_end") == F.col("prot_len"), "c_terminal").otherwise("internal")
+
+
+#: Colours of the types: fixed values of the format.
+COLOURS = {"spliced": "255,0,0", "n_terminal": "0,255,0", "c_terminal": "0,0,255", "internal": "153,153,153"}
+
+
+def located(projected: DataFrame, name: str = "peptide", key: str = "protein") -> DataFrame:
+    """One row per located peptide and model with its blocks b (structs s, e), equal locations once, and its type."""
+    blocks = projected.groupBy(key, name, "seqid", "strand", "pep_start", "pep_end", "prot_len").agg(F.sort_array(F.collect_list(F.struct(F.col("genome_start").alias("s"), F.col("genome_end").alias("e")))).alias("b"))
+    blocks = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("seqid", "strand", name, "b").orderBy(key))).where("_n = 1").drop("_n")
+    return blocks.withColumn("type", peptide_type())
+
+
 def bed12(projected: DataFrame, name: str = "peptide", key: str = "protein") -> DataFrame:
     """BED12 rows, one per located peptide and model, equal locations once."""
-    blocks = projected.groupBy(key, name, "seqid", "strand", "pep_start", "pep_end", "prot_len").agg(F.sort_array(F.collect_list(F.struct(F.col("genome_start").alias("s"), F.col("genome_end").alias("e")))).alias("b"))
-    blocks = blocks.withColumn("_n", F.row_number().over(Window.partitionBy("seqid", "strand", name, "b").orderBy(key))).where("_n = 1")
     low, high = F.col("b")[0]["s"] - 1, F.array_max(F.transform("b", lambda x: x["e"]))
     sizes = F.array_join(F.transform("b", lambda x: (x["e"] - x["s"] + 1).cast("string")), ",")
     starts = F.array_join(F.transform("b", lambda x: (x["s"] - 1 - low).cast("string")), ",")
-    return blocks.select(
+    colour = F.element_at(F.create_map(*[F.lit(x) for kv in COLOURS.items() for x in kv]), F.col("type"))
+    return located(projected, name, key).select(
         F.col("seqid").alias("chrom"), low.alias("chrom_start"), high.alias("chrom_end"),
         F.when(F.col("strand") == "-", F.reverse(F.col(name))).otherwise(F.col(name)).alias("name"),
-        F.lit(0).alias("score"), "strand", low.alias("thick_start"), high.alias("thick_end"), _colour().alias("rgb"),
+        F.lit(0).alias("score"), "strand", low.alias("thick_start"), high.alias("thick_end"), colour.alias("rgb"),
         F.size("b").alias("block_count"), sizes.alias("block_sizes"), starts.alias("block_starts"),
     )
 
 
-def _colour() -> Column:
-    """Spliced, N-terminal, C-terminal, internal: fixed colours of the format."""
-    return F.when(F.size("b") > 1, "255,0,0").when(F.col("pep_start") == 1, "0,255,0").when(F.col("pep_end") == F.col("prot_len"), "0,0,255").otherwise("153,153,153")
+def project_orfs(orfs: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """The transcript and CDS rows of ORFs on the genome: a feature table with gene and protein.
+
+    orfs: orf, transcript, parts (structs start, end, frame on the transcript); transcripts: transcript, seqid, strand,
+    score, gene, start, end, exons. ORFs without parts or of an unknown transcript go."""
+    orfs = orfs.select("orf", "transcript", "parts").where("size(parts) > 0")
+    j = orfs.join(transcripts, "transcript")
+    whole = j.select("orf", "gene", "seqid", F.lit("transcript").alias("type"), "start", "end", "score", "strand", F.lit(".").alias("frame"))
+    exons = transcripts.select("transcript", "seqid", "strand", F.explode("exons").alias("x")).select("transcript", "strand", "x.start", "x.end")
+    parts = orfs.select("orf", "transcript", F.explode("parts").alias("p")).select("orf", "transcript", F.col("p.start").alias("f_start"), F.col("p.end").alias("f_end"), "p.frame")
+    placed = project_transcript(exons, parts).select("orf", "genome_start", "genome_end", "frame")
+    facts = transcripts.select("transcript", "gene", "seqid", "score", "strand").join(orfs.select("orf", "transcript"), "transcript")
+    coding = placed.join(facts, "orf").select("orf", "gene", "seqid", F.lit("CDS").alias("type"), F.col("genome_start").alias("start"), F.col("genome_end").alias("end"), "score", "strand", "frame")
+    return whole.unionByName(coding).withColumnRenamed("orf", "protein")
+
+
+#: Codons in the order of T, C, A, G at each place, and what they stand for: the standard genetic code.
+BASES, AMINO_ACIDS = "TCAG", "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
+
+
+def translated(segments: DataFrame, genome: DataFrame, key: str = "protein") -> DataFrame:
+    """key and sequence: each model's segments cut out of the genome (seqid, sequence), joined in reading order and translated.
+
+    A codon with another letter is X; an unfinished last codon goes."""
+    parts = segments.join(genome.select("seqid", F.col("sequence").alias("_g")), "seqid").select(key, "strand", "start", F.upper(F.expr("substring(_g, start, end - start + 1)")).alias("_s"))
+    joined = parts.groupBy(key).agg(F.max("strand").alias("strand"), F.sort_array(F.collect_list(F.struct("start", "_s"))).alias("p")).withColumn("_s", F.array_join(F.transform("p", lambda x: x["_s"]), ""))
+    coding = F.when(F.col("strand") == "-", F.reverse(F.translate("_s", "ACGT", "TGCA"))).otherwise(F.col("_s"))
+    place = lambda i: f"(instr('{BASES}', substring(c, {i}, 1)) - 1)"
+    letter = f"if(c rlike '^[{BASES}]{{3}}$', substring('{AMINO_ACIDS}', 16 * {place(1)} + 4 * {place(2)} + {place(3)} + 1, 1), 'X')"
+    codons = "transform(sequence(0, greatest(length(_c) div 3 - 1, 0)), i -> substring(_c, 3 * i + 1, 3))"
+    return joined.withColumn("_c", coding).select(key, F.expr(f"if(length(_c) < 3, '', array_join(transform({codons}, c -> {letter}), ''))").alias("sequence"))

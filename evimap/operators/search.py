@@ -1,26 +1,52 @@
-"""Sequence search by seeds: exact occurrences, context, collapse of equal sequences, few substitutions."""
+"""Sequence search by seeds: exact occurrences, context, alternatives, collapse of equal sequences, few substitutions."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Windows that are cut from one part of a text.
-PART = 256
+from evimap.functions.scalars import MODIFICATIONS, peptide_mass, searchable
+
+#: Letters that a wildcard stands for, I being L.
+ALPHABET = "ACDEFGHKLMNPQRSTVWY"
+#: Lengths of tiles that targets are cut into; a pattern is found by the longest of which it has twice as much less one.
+TILES = (16, 8, 4, 2, 1)
+
+
+def occurrences(targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str, tiles: tuple[int, ...] = TILES) -> DataFrame:
+    """target_id, pattern_id, position (from 1): all, possibly overlapping, occurrences of patterns of any length but 0.
 
+    Targets are cut into tiles side by side, so the exploded table is no larger than the text. An occurrence of 2 s - 1
+    characters or more holds exactly one tile of s that starts within its first s: tiles are joined with the patterns'
+    windows at those s places, and hits are verified. Patterns go by length to the tile that suits them; lengths that no
+    pattern has cost nothing."""
+    p = patterns.select(F.col(pattern_id), F.col(pattern).alias("_pattern")).where("length(_pattern) > 0")
+    t = targets.select(F.col(target_id), F.col(target).alias("_target"))
+    bounds = [(s, 2 * s - 1, 2 * tiles[i - 1] - 2 if i else 1 << 30) for i, s in enumerate(tiles)]
+    present = p.agg(*[F.coalesce(F.bool_or(F.length("_pattern").between(lo, hi)), F.lit(False)).alias(str(s)) for s, lo, hi in bounds]).first()
+    hits = []
+    for s, lo, hi in bounds:
+        if present[str(s)]:
+            seeds = p.where(F.length("_pattern").between(lo, hi)).select(pattern_id, F.posexplode(F.expr(f"transform(sequence(1, {s}), i -> substring(_pattern, i, {s}))")).alias("_o", "_seed"))
+            cut = t.select(target_id, F.posexplode(F.regexp_extract_all("_target", F.lit(f"(?s).{{{s}}}"), F.lit(0))).alias("_i", "_seed"))
+            hits.append(cut.join(seeds, "_seed").select(target_id, pattern_id, (F.col("_i").cast("long") * s + 1 - F.col("_o")).alias("position")).where("position > 0"))
+    if not hits:
+        return t.crossJoin(p.limit(0)).select(target_id, pattern_id, F.lit(1).cast("long").alias("position"))
+    found = reduce(DataFrame.unionByName, hits)
+    return found.join(p, pattern_id).join(t, target_id).where("substring(_target, int(position), length(_pattern)) = _pattern").select(target_id, pattern_id, "position")
 
-def occurrences(targets: DataFrame, patterns: DataFrame, seed: int, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
-    """target_id, pattern_id, position (from 1): all, possibly overlapping, occurrences.
 
-    Patterns are joined on their first seed characters with every window of that length of the targets, and then
-    verified; patterns shorter than the seed are not searched."""
-    p = patterns.select(F.col(pattern_id), F.col(pattern).alias("_p")).where(F.length("_p") >= seed).withColumn("_seed", F.substring("_p", 1, seed))
-    t = targets.select(F.col(target_id), F.col(target).alias("_t")).where(F.length("_t") >= seed)
-    # windows are cut from parts of the text, as finding a place in a string takes time in proportion to the place
-    parts = t.select(target_id, F.explode(F.expr(f"sequence(1, length(_t) - {seed} + 1, {PART})")).alias("_at"), "_t").select(target_id, "_at", F.expr(f"substring(_t, _at, {PART + seed - 1})").alias("_part"))
-    w = parts.select(target_id, "_at", F.posexplode(F.expr(f"transform(sequence(1, length(_part) - {seed} + 1), i -> substring(_part, i, {seed}))")).alias("_i", "_seed"))
-    hits = w.join(p, "_seed").select(target_id, pattern_id, "_p", (F.col("_at") + F.col("_i")).alias("position"))
-    return hits.join(t, target_id).where("substring(_t, position, length(_p)) = _p").select(target_id, pattern_id, F.col("position").cast("long").alias("position"))
+def lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5) -> DataFrame:
+    """peptide, protein, position: where each distinct peptide stands, with I as L; what can't be searched or isn't found is UNMAPPED at 0.
+
+    peptides: peptide; proteins: id, sequence."""
+    every = peptides.select(F.trim("peptide").alias("peptide")).distinct().withColumn("_p", F.translate("peptide", "I", "L"))
+    wanted = every.where(searchable(F.col("_p"), least)).select("_p").distinct()
+    found = occurrences(proteins.select("id", F.translate("sequence", "I", "L").alias("_s")), wanted.select("_p", F.col("_p").alias("_q")), "id", "_s", "_p", "_q")
+    out = every.join(found, "_p", "left")
+    return out.select("peptide", F.coalesce(F.col("id").cast("string"), F.lit("UNMAPPED")).alias("protein"), F.coalesce("position", F.lit(0)).alias("position"))
 
 
 def with_context(found: DataFrame, targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
@@ -34,22 +60,83 @@ def with_context(found: DataFrame, targets: DataFrame, patterns: DataFrame, targ
     return j.withColumn("ntt", start + end).drop("_t", "_p")
 
 
+def substitutions(peptide: Column, original: Column) -> Column:
+    """The places (from 0) and original letters at which two sequences of one length differ, as 0,A;3,C; and so on."""
+    pairs = F.zip_with(F.split(peptide, ""), F.split(original, ""), lambda a, b: F.when(a != b, b))
+    return F.array_join(F.array_compact(F.transform(pairs, lambda x, i: F.when(x.isNotNull(), F.concat(i.cast("string"), F.lit(","), x, F.lit(";"))))), "")
+
+
+def alternatives(hits: DataFrame, sink: str | None = None, float_: str | None = None, most: int = 1, least_ntt: int = 0) -> DataFrame:
+    """hits (peptide, original, protein, ntt) with substitutions and nth: a peptide's proteins by fewest substitutions,
+    most tolerable termini, priority and name. Proteins that begin with sink come later, with float_ earlier."""
+    rows = hits.withColumn("substitutions", F.size(F.filter(F.split(substitutions(F.col("peptide"), F.col("original")), ";"), lambda x: x != "")))
+    priority = F.lit(1)
+    if sink:
+        priority = priority + F.col("protein").startswith(sink).cast("int")
+    if float_:
+        priority = priority - F.col("protein").startswith(float_).cast("int")
+    order = Window.partitionBy("peptide").orderBy("substitutions", F.desc("ntt"), "_priority", "protein")
+    return rows.where((F.col("substitutions") <= most) & (F.col("ntt") >= least_ntt)).withColumn("_priority", priority).withColumn("nth", F.row_number().over(order)).drop("_priority")
+
+
 def collapse(sequences: DataFrame, id_col: str, sequence: str) -> DataFrame:
-    """sequence digest, ids (in order, joined), n: equal sequences once."""
-    return sequences.groupBy(sequence).agg(F.array_join(F.transform(F.sort_array(F.collect_list(id_col)), lambda x: x.cast("string")), " ").alias("ids"), F.count(F.lit(1)).alias("n"))
+    """id_col, representative (the smallest id of an equal sequence), n: equal sequences once, as members of one."""
+    groups = sequences.groupBy(sequence).agg(F.min(id_col).alias("representative"), F.count(F.lit(1)).alias("n"))
+    return sequences.select(id_col, sequence).join(groups, sequence).select(id_col, "representative", "n")
+
+
+def expanded(peptides: DataFrame, column: str = "peptide") -> DataFrame:
+    """Each peptide with every letter of the alphabet for each X: peptide, expanded."""
+    letters = ", ".join(f"'{x}'" for x in ALPHABET)
+    every = f"aggregate(split({column}, ''), array(''), (a, c) -> flatten(transform(a, x -> transform(if(c = 'X', array({letters}), array(c)), y -> concat(x, y)))))"
+    return peptides.select(F.col(column).alias("peptide"), F.explode(F.expr(every)).alias("expanded"))
+
+
+def fuzzy(peptides: DataFrame, sites: int, column: str = "peptide") -> DataFrame:
+    """peptide, pattern: X at one site, at each two, or at three that follow each other."""
+    if sites not in (1, 2, 3):
+        raise ValueError("there are one to three free sites")
+    at = "explode(sequence(1, {}))"
+    put = "concat(substring({0}, 1, {1} - 1), '{2}', substring({0}, {1} + {3}))"
+    rows = peptides.select(F.col(column).alias("peptide")).where(F.length("peptide") >= sites)
+    if sites == 3:
+        return rows.withColumn("i", F.expr(at.format("length(peptide) - 2"))).select("peptide", F.expr(put.format("peptide", "i", "XXX", 3)).alias("pattern"))
+    one = rows.withColumn("i", F.expr(at.format("length(peptide)"))).select("peptide", "i", F.expr(put.format("peptide", "i", "X", 1)).alias("pattern"))
+    if sites == 1:
+        return one.select("peptide", "pattern")
+    two = one.where("i < length(peptide)").withColumn("j", F.expr("explode(sequence(i + 1, length(peptide)))"))
+    return two.select("peptide", F.expr(put.format("pattern", "j", "X", 1)).alias("pattern"))
+
+
+def within_mass(peptide: Column, target: Column, tolerance: float) -> Column:
+    """Whether a peptide weighs as much as target, give or take tolerance, itself or with any of the modifications that
+    its termini and residues may have, one each."""
+    table = {}
+    for residue, mass in MODIFICATIONS:
+        table.setdefault(residue, []).append(mass)
+    options = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(F.lit, [0.0, *v])))])
+    lacking = target - peptide_mass(peptide)
+    letters = F.filter(F.split(F.concat(F.lit("nc"), peptide), ""), lambda c: F.array_contains(F.map_keys(options), c))
+    # sums that can be had so far, to four places as the masses are, none beyond what is lacking
+    step = lambda a, c: F.array_distinct(F.filter(F.flatten(F.transform(a, lambda s: F.transform(F.element_at(options, c), lambda m: F.rint((s + m) * 1e4) / 1e4))), lambda s: s <= lacking + tolerance))
+    sums = F.aggregate(letters, F.array(F.lit(0.0)), step)
+    return (lacking >= -tolerance) & ((lacking < tolerance) | F.exists(sums, lambda s: s - lacking > -tolerance))
 
 
 def within_substitutions(targets: DataFrame, patterns: DataFrame, most: int, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
     """Pairs of equal length with at most so many differing characters, found by equal pieces.
 
-    Cut into most + 1 pieces, two such texts agree in one of them: pairs are joined on (length, piece, its text)."""
+    Cut into most + 1 pieces, two such texts agree in one of them: pairs are joined on (length, piece, its text). Equal
+    texts meet once, and a pair where its first equal piece is."""
     pieces = most + 1
-    cut = f"transform(sequence(0, {most}), k -> struct(k as k, substring(_s, int(k * length(_s) / {pieces}) + 1, int((k + 1) * length(_s) / {pieces}) - int(k * length(_s) / {pieces})) as piece))"
+    cut = f"transform(sequence(0, {most}), k -> substring(_s, int(k * length(_s) / {pieces}) + 1, int((k + 1) * length(_s) / {pieces}) - int(k * length(_s) / {pieces})))"
 
-    def cut_up(df: DataFrame, id_col: str, text: str) -> DataFrame:
-        return df.select(F.col(id_col), F.col(text).alias("_s")).select(id_col, "_s", F.length("_s").alias("_n"), F.explode(F.expr(cut)).alias("_c")).select(id_col, "_s", "_n", "_c.k", "_c.piece")
+    def cut_up(df: DataFrame, text: str, name: str) -> DataFrame:
+        rows = df.select(F.col(text).alias("_s")).distinct().withColumn("_pieces", F.expr(cut))
+        return rows.select(F.col("_s").alias(name), F.length("_s").alias("_n"), F.col("_pieces").alias(f"{name}_pieces"), F.posexplode("_pieces").alias("k", "piece"))
 
-    t, p = cut_up(targets, target_id, target).withColumnRenamed("_s", "_t"), cut_up(patterns, pattern_id, pattern).withColumnRenamed("_s", "_p")
-    pairs = t.join(p, ["_n", "k", "piece"])
+    pairs = cut_up(targets, target, "_t").join(cut_up(patterns, pattern, "_p"), ["_n", "k", "piece"]).where("not exists(zip_with(slice(_t_pieces, 1, k), slice(_p_pieces, 1, k), (a, b) -> a = b), x -> x)")
     differ = F.expr("size(filter(zip_with(split(_t, ''), split(_p, ''), (a, b) -> a <> b), x -> x))")
-    return pairs.withColumn("substitutions", differ).where(F.col("substitutions") <= most).select(target_id, pattern_id, "substitutions").distinct()
+    pairs = pairs.select("_t", "_p", differ.alias("substitutions")).where(F.col("substitutions") <= most)
+    named = pairs.join(targets.select(target_id, F.col(target).alias("_t")), "_t").join(patterns.select(pattern_id, F.col(pattern).alias("_p")), "_p")
+    return named.select(target_id, pattern_id, "substitutions")

@@ -26,6 +26,8 @@ def test_mapping_and_bed(spark, tmp_path):
     assert sorted(r.protein for r in annotations.mapping(spark, str(tmp_path / "m.tsv")).collect()) == ["p1", "p2"]
     (tmp_path / "b.bed").write_text("track x\nchr1\t15\t27\tFGHA\t0\t+\t15\t27\t255,0,0\t2\t3,9\t0,3\n")
     assert [tuple(b) for b in annotations.bed12(spark, str(tmp_path / "b.bed")).first().blocks] == [(16, 18), (19, 27)]
+    (tmp_path / "c.bed").write_text("browser\ta\tb\tc\td\te\nchr1\t1\t9\tA\t0\t+\t1\t9\t0\t2\t3,x\t0,3\nchr1\t1\t9\tB\t0\t+\nchr1\t1\n")
+    assert [(r.name, [tuple(b) for b in r.blocks]) for r in annotations.bed12(spark, str(tmp_path / "c.bed")).collect()] == [("A", []), ("B", [(2, 9)])]
 
 
 def test_minus_strand_codons_and_projection(spark):
@@ -61,12 +63,98 @@ def test_roc_cutoff(spark):
     df = spark.createDataFrame([("p1", 0.9, True), ("p2", 0.8, True), ("p3", 0.3, False), ("p4", 0.1, False)], "protein string, score double, high boolean")
     c = evidence.cutoff(evidence.roc(df)).first()
     assert 0.3 < c.cutoff <= 0.8 and c.youden == 1.0
+    assert {r.protein for r in evidence.score_filter(df).where("score_supported").collect()} == {"p1", "p2"}
+
+
+def test_cutoff_without_high_or_with_zero_scores(spark):
+    schema = "protein string, score double, high boolean"
+    none = spark.createDataFrame([("p1", 0.9, False), ("p2", 0.1, False)], schema)
+    zero = spark.createDataFrame([("p1", 0.0, True), ("p2", 0.0, False)], schema)
+    missing = spark.createDataFrame([("p1", None, True), ("p2", 0.4, False), ("p3", 0.9, True), ("p4", -0.5, False)], schema)
+    assert [evidence.cutoff(evidence.roc(d)).first().cutoff for d in (none, zero, spark.createDataFrame([], schema))] == [0.0] * 3
+    first = evidence.roc(missing).where("i = 0").first()
+    assert (first.tpr, first.fpr, first.n_high) == (0.0, 0.0, 1)
+    assert evidence.roc(missing).where("i = 999").first().fpr == 0.5  # a negative score is below every cutoff
+    assert [r.score_supported for r in evidence.score_filter(missing).orderBy("protein").collect()] == [False, False, True, False]
+
+
+def test_search_agrees_with_plain_search(spark):
+    import random
+
+    r = random.Random(3)
+    text = lambda n: "".join(r.choice("AB😀") for _ in range(n))
+    texts = [(i, text(r.randint(0, 90))) for i in range(12)] + [(99, None)]
+    some = [t[r.randint(0, 5) :][: r.randint(1, 60)] for _, t in texts if t] + ["", "AB", "A", None]
+    found = search.occurrences(spark.createDataFrame(texts, "id long, s string"), spark.createDataFrame(list(enumerate(some)), "pid long, q string"), "id", "s", "pid", "q")
+    want = sorted((i, k, at + 1) for i, t in texts if t for k, q in enumerate(some) if q for at in range(len(t)) if t.startswith(q, at))
+    assert sorted(map(tuple, found.collect())) == want
+    assert search.occurrences(found.sparkSession.createDataFrame(texts, "id long, s string"), spark.createDataFrame([], "pid long, q string"), "id", "s", "pid", "q").collect() == []
+
+
+def test_locate_and_terminal_flags(spark):
+    m = spark.createDataFrame([("MAID", "a"), ("AID", "a"), ("DK", "a"), ("XX", "a"), ("AID", "b")], "peptide string, protein string")
+    p = spark.createDataFrame([("a", "MALDK*"), ("b", "AAID")], "protein string, sequence string")
+    got = {(r.peptide, r.protein): (r.pep_start, r.pep_end, r.n_terminal, r.c_terminal) for r in evidence.locate(m, p).collect()}
+    assert got == {("MAID", "a"): (1, 4, True, False), ("AID", "a"): (2, 4, True, False), ("DK", "a"): (4, 5, False, True), ("XX", "a"): (0, 0, False, False), ("AID", "b"): (2, 4, False, True)}
+
+
+def test_unmatched_models_and_scores(spark):
+    seg = spark.createDataFrame([("a", "g", "c", "+", 1, 9), ("a", "g", "c", "+", 20, 29), ("b", "g", "c", "+", 1, 9), ("c", "h", "c", "+", 1, 9)], "protein string, gene string, seqid string, strand string, start long, end long")
+    rows = spark.createDataFrame([("a", "P", 11, 1, 0.7261, True, False, "+", "-", True)], "protein string, peptide string, prot_len long, splice_sites long, coverage double, n_terminal boolean, c_terminal boolean, protein_specific string, gene_specific string, spliced boolean")
+    facts = evidence.model_facts(seg, spark.createDataFrame([("b", 0.4)], "protein string, transcript_score double"))
+    f = evidence.with_unmatched(evidence.features(rows), facts, spark.createDataFrame([("a", 11), ("b", 7)], "protein string, protein_length long"))
+    f = evidence.with_external_scores(f, spark.createDataFrame([("a", 0.9), ("z", 1.0)], "protein string, external_score double"))
+    got = {r.protein: r for r in f.collect()}
+    assert sorted(got) == ["a", "b"] and (got["b"].mapped_peptides, got["b"].protein_length, got["b"].external_score) == (0, 7, 0.0)
+    assert (got["a"].sequence_coverage, got["a"].external_score, got["a"].splice_peptides) == (0.73, 0.9, 1)
+    assert {r.bar: (r.supported, r.partial, r.unsupported) for r in evidence.partitions(f).collect()}["splice_site_support"] == (1, 0, 1)
+    assert {r.external_score for r in evidence.with_external_scores(f, None).collect()} == {0.0}
+
+
+def test_masses(spark):
+    df = spark.createDataFrame([("CEFGM",), ("OU",)], "p string").withColumn("m", scalars.peptide_mass(F.col("p")))
+    plus = 1.007825 + 17.00274 + 1.00727649
+    want = {"CEFGM": plus + 103.00918 + 129.04259 + 147.06841 + 57.02146 + 131.04048, "OU": plus + 132.08988 + 150.95363}
+    assert {r.p: round(r.m, 6) for r in df.collect()} == {k: round(v, 6) for k, v in want.items()}
+    base = F.lit(want["CEFGM"])
+    added = {"none": 0.0, "oxidised": 15.9949, "both": 57.0215 + 15.9949, "heavier": -3.0, "odd": 7.0, "acetylated": 42.0106}
+    row = df.where("p = 'CEFGM'").select(*[search.within_mass(F.col("p"), base + x, 0.01).alias(k) for k, x in added.items()]).first()
+    assert row.asDict() == {"none": True, "oxidised": True, "both": True, "heavier": False, "odd": False, "acetylated": True}
+
+
+def test_general_numbers(spark):
+    values = [0.0, 1000.0, 0.5, 0.1 + 0.2, 1234567.0, 123456.7, 1e-5, 0.00012345678, -2.5]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select(scalars.general_number(F.col("x")).alias("s")).collect()
+    assert [r.s for r in got] == [f"{v:g}" for v in values]
+
+
+def test_wildcards_and_fuzzy_sites(spark):
+    df = spark.createDataFrame([("AXC",)], "peptide string")
+    assert sorted(r.expanded for r in search.expanded(df).collect()) == [f"A{x}C" for x in search.ALPHABET]
+    p = spark.createDataFrame([("ABCD",)], "peptide string")
+    assert [sorted(r.pattern for r in search.fuzzy(p, n).collect()) for n in (1, 2, 3)] == [["ABCX", "ABXD", "AXCD", "XBCD"], ["ABXX", "AXCX", "AXXD", "XBCX", "XBXD", "XXCD"], ["AXXX", "XXXD"]]
+
+
+def test_alternatives(spark):
+    hits = spark.createDataFrame([("ABC", "ABC", "z", 1), ("ABC", "ABC", "a", 2), ("ABC", "ABD", "a", 2), ("ABC", "ABC", "DECOY", 2), ("ABC", "XYC", "b", 2), ("ABC", "ABC", "best", 2)], "peptide string, original string, protein string, ntt int")
+    got = [(r.protein, r.substitutions) for r in search.alternatives(hits, sink="DEC", float_="best").orderBy("nth").collect()]
+    assert got == [("best", 0), ("a", 0), ("DECOY", 0), ("z", 0), ("a", 1)]
+
+
+def test_translation(spark):
+    import itertools
+
+    code = {"".join(c): a for c, a in zip(itertools.product("TCAG", repeat=3), intervals.AMINO_ACIDS, strict=True)}
+    genome = spark.createDataFrame([("c", "ATGGCNTTATAAGGG")], "seqid string, sequence string")
+    seg = spark.createDataFrame([("p", "c", "+", 1, 6), ("p", "c", "+", 7, 14), ("q", "c", "-", 7, 12), ("r", "c", "+", 1, 2)], "protein string, seqid string, strand string, start long, end long")
+    got = {r.protein: r.sequence for r in intervals.translated(seg, genome).collect()}
+    assert got == {"p": "".join(code.get(x, "X") for x in ("ATG", "GCN", "TTA", "TAA")), "q": code["TTA"] + code["TAA"], "r": ""}
 
 
 def test_search_finds_overlapping_occurrences(spark):
     t = spark.createDataFrame([(1, "AAAAAAA"), (2, "XKAAAAAR")], "id long, s string")
     p = spark.createDataFrame([(7, "AAAAA")], "pid long, q string")
-    hits = search.occurrences(t, p, 5, "id", "s", "pid", "q")
+    hits = search.occurrences(t, p, "id", "s", "pid", "q")
     assert sorted((r.id, r.position) for r in hits.collect()) == [(1, 1), (1, 2), (1, 3), (2, 3)]
     c = search.with_context(hits, t, p, "id", "s", "pid", "q").where("id = 2").first()
     assert (c.before, c.after, c.ntt) == ("K", "R", 1)
