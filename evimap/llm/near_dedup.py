@@ -354,10 +354,10 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kept = named.where("keeper").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
     marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = marked.mapInArrow(_fingerprinted, f"doc {dict(marked.dtypes)['doc']}, doc_id long, node long, empty boolean")
-    stay = rows.where("not empty").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left_semi")
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left").where("empty or _node is not null")
     order = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
     nth = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy(*order))
-    return stay.withColumn("_nth", nth).where("_nth = 1").select("doc.*").unionByName(rows.where("empty").select("doc.*"))
+    return stay.withColumn("_nth", nth).where("_nth = 1 or empty").select("doc.*")
 
 
 def _fingerprinted(batches) -> Iterator[pa.RecordBatch]:
