@@ -3,9 +3,12 @@
 A rolling hash over 16 characters cuts texts where its low bits are zero, so a passage is cut alike wherever it
 stands, and the chunks of a passage that documents share are found again. A worker keeps chunks' ids in a memo of
 bounded size, so such a chunk is encoded once per worker and not once per document. Chunks end anywhere, also
-within a word: of each chunk only the ids between its first and its last safe cut (see bpe.py) are kept, with the
-text before and after; where two chunks join, the text between the cuts on either side is encoded anew. No split
-unit of the vocabulary crosses a safe cut, so that makes the ids those of the whole text.
+within a word: of each chunk the ids between its first and its last safe cut (see bpe.py) are kept, its core.
+
+Where two chunks join, the text between their cores is encoded anew by the library, together with the last piece of
+the core before and the first piece of the core after. The join is repaired once the ids of these two pieces come
+out as they stand in the cores; where they don't, the stretch is widened to both cores, and then to the whole text,
+which agrees with itself. Joins are kept in a memo too.
 
 Texts never leave their task: nothing is shuffled, and a task holds one slice of a batch and the memos.
 
@@ -82,14 +85,29 @@ def _last_cut(chunk: str) -> int:
     return 0
 
 
+class Core:
+    """A chunk's text between its safe cuts, its ids, and its first and last piece with theirs."""
+
+    __slots__ = ("head", "tail", "text", "ids", "first", "last")
+
+    def __init__(self, chunk: str, span: tuple[int, int], ids: bytes, enc: Encoder):
+        a, b = span
+        self.head, self.tail, self.text, self.ids = chunk[:a], chunk[b:], chunk[a:b], ids
+        self.first = self.last = None
+        if self.text:
+            pieces = enc.cuts(self.text)
+            self.first, self.last = ((x, enc.pieces[x]) for x in (pieces[0], pieces[-1]))
+
+
 class ChunkEncoder:
-    """Ids of texts by way of a memo of chunks."""
+    """Ids of texts by way of memos of chunks and of joins."""
 
     def __init__(self, path: str):
         self.enc = encoder(path)
-        #: chunk -> (first safe cut, last safe cut, ids between them)
-        self.memo: dict[str, tuple[int, int, bytes]] = {}
-        self.held = self.encoded = self.reused = 0
+        self.memo: dict[str, Core] = {}
+        #: Stretches around joins with their ids.
+        self.joins: dict[str, bytes] = {}
+        self.held = self.encoded = self.reused = self.repaired = self.widened = 0
 
     def learn(self, chunks: list[str]) -> None:
         """Encode the chunks that the memo lacks, all at once."""
@@ -98,37 +116,66 @@ class ChunkEncoder:
         self.reused += len(chunks) - len(new)
         spans = [core(c, self.enc) for c in new]
         ids, offsets = self.enc.column(pa.array([c[a:b] for c, (a, b) in zip(new, spans, strict=True)], pa.string()))
-        for i, (chunk, (a, b)) in enumerate(zip(new, spans, strict=True)):
-            self.memo[chunk] = (a, b, ids[offsets[i] : offsets[i + 1]].tobytes())
+        for i, (chunk, span) in enumerate(zip(new, spans, strict=True)):
+            self.memo[chunk] = Core(chunk, span, ids[offsets[i] : offsets[i + 1]].tobytes(), self.enc)
             self.held += len(chunk)
 
+    def whole(self, stretches: list[str]) -> None:
+        """Encode the stretches that are not known yet with the library."""
+        new = list(dict.fromkeys(x for x in stretches if x not in self.joins))
+        for text, coded in zip(new, self.enc.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
+            self.joins[text] = np.array(coded.ids, "<u4").tobytes()
+            self.held += len(text)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         if self.held > MEMO_CHARS:
             self.memo.clear()
+            self.joins.clear()
             self.held = 0
         parts = []
         for text in texts:
             at = cuts(text)
             parts.append([text[a:b] for a, b in zip(at, at[1:], strict=False)])
         self.learn([c for chunks in parts for c in chunks])
-        plans, joins = [], []
-        for chunks in parts:
-            plan, open_ = [], []
-            for chunk in chunks:
-                a, b, ids = self.memo[chunk]
-                if b:
-                    open_.append(chunk[:a])
-                    plan.append(len(joins))
-                    joins.append("".join(open_))
-                    plan.append(ids)
-                    open_ = [chunk[b:]]
-                else:
-                    open_.append(chunk)
-            plan.append(len(joins))
-            joins.append("".join(open_))
-            plans.append(plan)
-        ids, offsets = self.enc.column(pa.array(joins, pa.string()))
-        return [b"".join([x if isinstance(x, bytes) else ids[offsets[x] : offsets[x + 1]].tobytes() for x in plan]) for plan in plans]
+        plans = [self._plan([self.memo[c] for c in chunks]) for chunks in parts]
+        # each join (core before, text between, core after) with a piece of context on either side
+        self.whole([(j[0].last[0] if j[0] else "") + j[1] + (j[2].first[0] if j[2] else "") for plan in plans for j in plan])
+        return [self._joined(plan, text) for plan, text in zip(plans, texts, strict=True)]
+
+    @staticmethod
+    def _plan(cores: list[Core]) -> list[tuple[Core | None, str, Core | None]]:
+        plan, before, open_ = [], None, []
+        for c in cores:
+            open_.append(c.head)
+            if c.text:
+                plan.append((before, "".join(open_), c))
+                before, open_ = c, []
+            open_.append(c.tail)
+        return [*plan, (before, "".join(open_), None)]
+
+    def _joined(self, plan: list, text: str) -> bytes:
+        out = []
+        for before, between, after in plan:
+            ids = self._repaired(before.last if before else None, between, after.first if after else None)
+            if ids is None:  # no agreement on the pieces: look at both cores, and then at the whole text
+                self.widened += 1
+                ids = self._repaired((before.text, before.ids) if before else None, between, (after.text, after.ids) if after else None)
+            if ids is None:
+                return self.enc.whole(text)
+            out.append(ids)
+            if after:
+                out.append(after.ids)
+        return b"".join(out)
+
+    def _repaired(self, left: tuple[str, bytes] | None, between: str, right: tuple[str, bytes] | None) -> bytes | None:
+        """Ids of the text between, if those of what stands on either side come out as they are known."""
+        stretch = (left[0] if left else "") + between + (right[0] if right else "")
+        self.whole([stretch])
+        ids, a, b = self.joins[stretch], left[1] if left else b"", right[1] if right else b""
+        if len(ids) >= len(a) + len(b) and ids.startswith(a) and ids.endswith(b):
+            self.repaired += 1
+            return ids[len(a) : len(ids) - len(b)]
+        return None
 
 
 _chunk_encoders: dict[str, ChunkEncoder] = {}
