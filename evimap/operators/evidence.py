@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimap.functions.scalars import rounded
+from evimap.functions.scalars import residues, rounded
+from evimap.operators.intervals import codon_coordinates, covered
 
 
 def specificity(mapping: DataFrame) -> DataFrame:
@@ -20,8 +21,6 @@ def specificity(mapping: DataFrame) -> DataFrame:
 
 def locate(mapping: DataFrame, proteins: DataFrame) -> DataFrame:
     """Adds pep_start, pep_end (first occurrence with I as L; 0 if none), prot_len, n_terminal and c_terminal."""
-    from evimap.functions.scalars import residues
-
     j = mapping.join(proteins.select("protein", residues(F.col("sequence")).alias("_seq")), "protein")
     start = F.expr("instr(_seq, translate(peptide, 'I', 'L'))")
     j = j.withColumn("pep_start", start).withColumn("pep_end", F.when(start > 0, start + F.length("peptide") - 1).otherwise(0)).withColumn("prot_len", F.length("_seq"))
@@ -29,6 +28,26 @@ def locate(mapping: DataFrame, proteins: DataFrame) -> DataFrame:
     return j.withColumn("n_terminal", n_term).withColumn("c_terminal", F.col("pep_end") == F.col("prot_len")).drop("_seq")
 
 
+def flagged(rows: DataFrame, segments: DataFrame) -> DataFrame:
+    """Located peptides (protein, pep_start, pep_end, prot_len and others) with their model's coverage, and spliced: within no one segment."""
+    coded = codon_coordinates(segments.select("protein", "strand", "start", "end")).select(F.col("protein").alias("_protein"), "cds_start", "cds_end")
+    rows = rows.withColumn("_n", covered("protein", "pep_start", "pep_end"))
+    rows = rows.withColumn("coverage", F.coalesce(rounded(F.sum("_n").over(Window.partitionBy("protein")) / F.nullif("prot_len", F.lit(0)), 4), F.lit(0.0))).drop("_n")
+    inside = (F.col("protein") == F.col("_protein")) & (F.col("cds_start") <= F.col("pep_start")) & (F.col("cds_end") >= F.col("pep_end"))
+    return rows.join(coded, inside, "left").groupBy(*rows.columns).agg(F.count("_protein").alias("_in")).withColumn("spliced", F.col("_in") == 0).drop("_in")
+
+
+def peptide_rows(segments: DataFrame, mapping: DataFrame, sequences: DataFrame, facts: DataFrame) -> DataFrame:
+    """What features() takes: each mapped peptide of a model with a gene and a sequence, with its flags and the model's facts.
+
+    segments: CDS; mapping: peptide, protein; sequences: id, sequence; facts: model_facts(). A peptide that isn't found
+    in its protein keeps place 0."""
+    genes = segments.select("protein", "gene").distinct()
+    rows = specificity(mapping.select("peptide", "protein").join(genes, "protein"))
+    located = locate(rows, sequences.select(F.col("id").alias("protein"), "sequence")).repartition("protein")
+    return flagged(located, segments.select("protein", "strand", "start", "end").distinct()).join(facts, "protein")
+
+
 #: Measures that a model without peptides has at 0.
 MEASURES = ("sequence_coverage", "mapped_peptides", "n_terminal_peptides", "c_terminal_peptides", "protein_specific_peptides", "gene_specific_peptides", "splice_peptides", "internal_peptides")
 
@@ -57,14 +76,14 @@ def transcript_scores(rows: DataFrame) -> DataFrame:
 
 
 def model_facts(segments: DataFrame, scores: DataFrame | None = None) -> DataFrame:
-    """One row per model and, where a model has several, transcript score: protein, isoforms (of its gene), splice_sites, transcript_score.
+    """One row per model and, where a model has several, transcript score: protein, isoforms (of its gene), splice_sites, low and high (its extent), transcript_score.
 
     A model without a transcript row has no score."""
     isoforms = segments.groupBy("gene").agg(F.countDistinct("protein").alias("isoforms"))
-    sites = segments.select("seqid", "protein", "start", "end").distinct().groupBy("protein").agg((F.count(F.lit(1)) - 1).alias("splice_sites"))
+    sites = segments.select("seqid", "protein", "start", "end").distinct().groupBy("protein").agg((F.count(F.lit(1)) - 1).alias("splice_sites"), F.min("start").alias("low"), F.max("end").alias("high"))
     facts = segments.select("protein", "gene").distinct().join(isoforms, "gene").join(sites, "protein")
     facts = facts.join(scores.distinct(), "protein", "left") if scores is not None else facts.withColumn("transcript_score", F.lit(None).cast("double"))
-    return facts.select("protein", "isoforms", "splice_sites", "transcript_score").distinct()
+    return facts.select("protein", "isoforms", "splice_sites", "low", "high", "transcript_score").distinct()
 
 
 def with_unmatched(found: DataFrame, facts: DataFrame, lengths: DataFrame) -> DataFrame:

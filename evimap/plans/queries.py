@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions import scalars
@@ -75,14 +75,8 @@ def peptide_rows(spark: SparkSession, sf: str, coded: DataFrame | None = None) -
 
     Specificity goes by peptide, the rest by protein: the rows are dealt once for each."""
     seg = segments(spark, sf) if coded is None else coded
-    coded = intervals.codon_coordinates(seg).select(F.col("protein").alias("_protein"), "cds_start", "cds_end")
     sites = seg.groupBy("protein").agg((F.count(F.lit(1)) - 1).alias("splice_sites"))
-    rows = evidence.specificity(peptides(spark, sf)).repartition("protein")
-    rows = rows.withColumn("_n", intervals.covered("protein", "pep_start", "pep_end"))
-    rows = rows.withColumn("coverage", scalars.rounded(F.sum("_n").over(Window.partitionBy("protein")) / F.col("prot_len"), 4)).drop("_n")
-    inside = (F.col("protein") == F.col("_protein")) & (F.col("cds_start") <= F.col("pep_start")) & (F.col("cds_end") >= F.col("pep_end"))
-    rows = rows.join(coded, inside, "left").groupBy(*rows.columns).agg(F.count("_protein").alias("_in")).withColumn("spliced", F.col("_in") == 0).drop("_in")
-    rows = rows.join(sites, "protein")
+    rows = evidence.flagged(evidence.specificity(peptides(spark, sf)).repartition("protein"), seg).join(sites, "protein")
     return rows.withColumn("n_terminal", F.col("pep_start") == 1).withColumn("c_terminal", F.col("pep_end") == F.col("prot_len"))
 
 
@@ -97,7 +91,7 @@ def score_table(spark: SparkSession, sf: str) -> DataFrame:
     lengths = orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("protein"), F.lit(100).cast("long").alias("protein_length"))
     external = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("protein"), (F.col("o_orderkey") * 37 % 1000 / 1000.0).alias("external_score"))
     facts = evidence.model_facts(seg, evidence.transcript_scores(transcripts))
-    rows = peptide_rows(spark, sf, seg).drop("splice_sites").join(facts, "protein")
+    rows = peptide_rows(spark, sf, seg).drop("splice_sites").join(facts.drop("low", "high"), "protein")
     f = evidence.with_external_scores(evidence.with_unmatched(evidence.features(rows), facts, lengths), external)
     return f.withColumn("transcript_score", scalars.rounded(F.col("transcript_score"), 6))
 
@@ -344,8 +338,8 @@ _COV = """i0 AS (SELECT DISTINCT protein, ps, pe FROM p),
     i1 AS (SELECT *, max(pe) OVER (PARTITION BY protein ORDER BY ps, pe ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i0),
     i2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR ps > reach THEN 1 ELSE 0 END) OVER (PARTITION BY protein ORDER BY ps, pe ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS isle FROM i1),
     cov AS (SELECT protein, round_even(sum(n) / 100.0::DOUBLE * 10000, 0) / 10000 AS coverage FROM (SELECT protein, isle, max(pe) - min(ps) + 1 AS n FROM i2 GROUP BY ALL) GROUP BY protein)"""
-_FACTS = """facts AS (SELECT DISTINCT m.protein, isoforms, splice_sites, transcript_score FROM m JOIN (SELECT gene, count(DISTINCT protein) AS isoforms FROM m GROUP BY gene) USING (gene)
-    JOIN (SELECT protein, count(*) - 1 AS splice_sites FROM (SELECT DISTINCT seqid, protein, s, e FROM m) GROUP BY protein) USING (protein)
+_FACTS = """facts AS (SELECT DISTINCT m.protein, isoforms, splice_sites, low, high, transcript_score FROM m JOIN (SELECT gene, count(DISTINCT protein) AS isoforms FROM m GROUP BY gene) USING (gene)
+    JOIN (SELECT protein, count(*) - 1 AS splice_sites, min(s) AS low, max(e) AS high FROM (SELECT DISTINCT seqid, protein, s, e FROM m) GROUP BY protein) USING (protein)
     LEFT JOIN (SELECT o_orderkey AS protein, (floor(o_totalprice)::BIGINT % 100) / 100.0::DOUBLE AS transcript_score FROM orders WHERE o_orderstatus <> 'P') USING (protein))"""
 _ROWS = """r AS (SELECT p.*, {splice_sites}, coverage, protein_specific, gene_specific, ps = 1 AS n_terminal, pe = plen AS c_terminal,
         NOT EXISTS (SELECT 1 FROM c WHERE c.protein = p.protein AND cs <= ps AND ce >= pe) AS spliced
@@ -426,7 +420,7 @@ ORACLE_SQL: dict[str, str] = {
     "protein_support": f"WITH {_S} SELECT * FROM t",
     "isoforms_per_gene": f"WITH {_M} SELECT gene, count(DISTINCT protein) AS isoforms FROM m GROUP BY gene",
     "protein_extent": f"WITH {_M} SELECT protein, min(s) AS low, max(e) AS high FROM m GROUP BY protein",
-    "model_facts": f"WITH {_ALL}, {_FACTS} SELECT DISTINCT protein, isoforms, splice_sites FROM facts",
+    "model_facts": f"WITH {_ALL}, {_FACTS} SELECT DISTINCT protein, isoforms, splice_sites, low, high FROM facts",
     "codon_coordinates": f"WITH {_M}, {_C} SELECT protein, s, e, cs AS cds_start, ce AS cds_end, splice_sites FROM c",
     "specificity_flags": f"WITH {_P}, {_SPEC} SELECT * FROM sp",
     "interval_coverage": f"WITH {_P}, {_COV} SELECT * FROM cov",

@@ -46,10 +46,11 @@ def fasta(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(header, r"^\s*(\S+)", 1).alias("id"), header.alias("header"), body.alias("sequence")).where("id <> ''")
 
 
-def mapping(spark: SparkSession, path: str) -> DataFrame:
+def mapping(spark: SparkSession, path: str, with_unmapped: bool = False) -> DataFrame:
     """peptide, protein, peptide_length from a three-column table with a header; several proteins in a cell are split."""
-    rows = spark.read.csv(path, sep="\t", header=True, schema="peptide string, protein string, location long", enforceSchema=True).distinct()
-    rows = rows.where(F.lower(F.trim("protein")) != "unmapped").select("peptide", F.explode(F.split(F.trim("protein"), r"\s+")).alias("protein"))
+    rows = spark.read.csv(path, sep="\t", header=True, schema="peptide string, protein string, location long", enforceSchema=True).select("peptide", "protein").distinct()
+    rows = rows if with_unmapped else rows.where(F.lower(F.trim("protein")) != "unmapped")
+    rows = rows.select("peptide", F.explode(F.split(F.trim("protein"), r"\s+")).alias("protein"))
     return rows.withColumn("peptide_length", F.length("peptide"))
 
 
