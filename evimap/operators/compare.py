@@ -185,6 +185,12 @@ def novel_candidates(prediction: DataFrame, codes: DataFrame, assembly: DataFram
     return numbered(p.join(per, "prediction_protein"), "bam_match_count", "seqid", ["prediction_start", "prediction_protein"])
 
 
+def rank_candidates(matches: DataFrame, loci: DataFrame) -> DataFrame:
+    """Numbered candidates: matches (protein, other, code) per locus, most matches first, then place, then protein."""
+    per = matches.groupBy("protein").agg(set_text("other").alias("others"), set_text("code").alias("codes"), F.countDistinct("other").alias("n_matches"))
+    return numbered(per.join(loci, "protein"), "n_matches", "seqid", ["start", "protein"])
+
+
 def numbered(rows: DataFrame, count: str, group: str, rest: list[str]) -> DataFrame:
     """Adds candidate_id by count (most first), group, rest. Numbers run within (count, group); what comes before a
     group is summed over the table of groups, so no task sees all rows."""

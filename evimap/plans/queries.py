@@ -161,6 +161,11 @@ def novel_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("candidate_id", "seqid", "strand", "prediction_protein", "prediction_gene", "prediction_start", "prediction_end", "bam_proteins", "bam_genes", "bam_class_codes", "bam_match_count")
 
 
+def candidate_ranking(spark: SparkSession, sf: str) -> DataFrame:
+    matches = _matches(spark, sf).select(F.col("ref_id").cast("long").alias("protein"), F.col("qry_id").alias("other"), F.col("class_code").alias("code"))
+    return compare.rank_candidates(matches, _part_loci(spark, sf)).select("candidate_id", "protein", "seqid", "others", "codes", "n_matches")
+
+
 def overlap_stats(spark: SparkSession, sf: str) -> DataFrame:
     parts, suppliers = _t(spark, sf, "part").select(F.col("p_partkey").alias("protein")), _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("protein"))
     return compare.overlap_statistics(compare.between(_matches(spark, sf), suppliers, parts), "ref_id", "qry_id", parts.count(), suppliers.count())
@@ -223,6 +228,13 @@ def peptide_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.lookup(asked, words.select(F.col("p_partkey").alias("id"), F.concat(F.lit("M"), "s", "s").alias("sequence")))
 
 
+def peptide_location(spark: SparkSession, sf: str) -> DataFrame:
+    """The first and the last four letters of each part's name in its doubled name, after an M for even parts."""
+    w = _words(spark, sf).select(F.col("p_partkey").alias("protein"), "s")
+    pieces = w.select("protein", F.explode(F.array(F.left("s", F.lit(4)), F.right("s", F.lit(4)))).alias("peptide"))
+    return evidence.locate(pieces, w.select("protein", F.concat(F.when(F.col("protein") % 2 == 0, "M").otherwise(""), "s", F.lit("*"), "s").alias("sequence")))
+
+
 def alternatives(spark: SparkSession, sf: str) -> DataFrame:
     """Words of the same length as alternatives of each other's name."""
     w = _words(spark, sf).groupBy("s").agg(F.min("p_partkey").alias("k"))
@@ -279,6 +291,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_context": search_context,
     "peptide_lookup": peptide_lookup,
     "lookup_report": lambda s, d: reports.lookup_report(peptide_lookup(s, d)),
+    "peptide_location": peptide_location,
     "alternatives": alternatives,
     "fuzzy_patterns": fuzzy_patterns,
     "wildcards": lambda s, d: search.expanded(_words(s, d).select(F.concat("s", F.lit("X")).alias("peptide")).distinct()),
@@ -288,6 +301,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "attribute_extract": lambda s, d: _t(s, d, "pages").select("page_id", scalars.extracted(F.col("url"), "[?&]page=([^&#]+)").alias("page"), scalars.extracted(F.col("url"), "utm_source=([^&#]+)").alias("source")),
     "reference_cleaning": lambda s, d: annotations.cleaned(_annotation_lines(s, d)).groupBy("value", "keep").agg(F.count(F.lit(1)).alias("n")),
     "removed_rows": lambda s, d: annotations.removed_rows(annotations.cleaned(_annotation_lines(s, d))),
+    "feature_rows": lambda s, d: annotations.feature_rows(_annotation_lines(s, d)).select("type", F.col("start").alias("s"), F.col("end").alias("e"), "score", "strand", "gene", "protein"),
+    "resolved_lines": lambda s, d: selection.resolved(_annotation_lines(s, d)).groupBy("value", "protein").agg(F.count(F.lit(1)).alias("n")),
     "transcript_models": transcripts,
     "cds_models": cds_models,
     "splice_junctions": lambda s, d: intervals.junctions(segments(s, d)),
@@ -302,6 +317,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "accepted_totals": lambda s, d: compare.accepted_totals(compare.class_code_summary(codes(s, d), "class_code")),
     "overlap_stats": overlap_stats,
     "novel_candidates": novel_candidates,
+    "candidate_ranking": candidate_ranking,
     "merged_dedupe": lambda s, d: compare.first_per_key(segments(s, d), "protein", "start", "end").select("protein", "gene", "seqid", F.col("start").alias("s"), F.col("end").alias("e")),
     "merged_models": merged_models,
     "evidence_bars": lambda s, d: charts.evidence_bars(labelled(s, d)),
@@ -399,6 +415,9 @@ _E = f"""{_B}, {_SPEC}, {_COV}, {_ROWS.format(splice_sites='splice_sites', sourc
 _L = """li AS (SELECT *, 'm' || l_orderkey AS model, l_suppkey % 6 AS style, CASE WHEN l_linenumber = 1 THEN 'gene' WHEN l_linenumber % 2 = 0 THEN 'CDS' ELSE 'exon' END AS kind,
     CASE l_returnflag WHEN 'A' THEN '+' WHEN 'R' THEN '-' ELSE '?' END AS strand, l_linenumber * 1000 + l_partkey % 200 AS s, l_linenumber * 1000 + l_partkey % 200 + l_quantity::BIGINT AS e FROM lineitem)"""
 _PLACE = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag"
+_ATTRS = """CASE style WHEN 0 THEN 'ID=c' || l_orderkey || '; Parent=' || model WHEN 1 THEN 'gene_id "g"; transcript_id "' || model || '";' WHEN 2 THEN 'transcript_id ""; note "x"' WHEN 3 THEN 'ID= ;Name=n'
+    WHEN 4 THEN 'GeneID=h;transcript_id=' || model ELSE 'note=1' END"""
+_VALUE = f"concat_ws(chr(9), 'chr1', 'x', kind, s, e, '.', strand, '.', {_ATTRS})"
 _KEEP = "kind <> 'gene' AND strand <> '?' AND style IN (0, 1, 4)"
 _W = "wd AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s FROM part)"
 _LOOKUP = f"""{_W}, asked AS (SELECT DISTINCT x, translate(x, 'I', 'L') AS y FROM (SELECT s AS x FROM wd UNION ALL SELECT substr(s, 3, 5) FROM wd)), pr AS (SELECT p_partkey, translate('M' || s || s, 'I', 'L') AS q FROM wd),
@@ -457,6 +476,9 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, position, before, after, (before = '-' OR (before IN ('K', 'R') AND p[1] <> 'P'))::INT + (after = '-' OR (p[-1] IN ('K', 'R') AND after <> 'P'))::INT AS ntt FROM x""",
     "peptide_lookup": f"WITH {_LOOKUP} SELECT * FROM lk",
     "lookup_report": f"WITH {_LOOKUP} SELECT 'peptide' || chr(9) || 'protein' || chr(9) || 'location' AS value UNION ALL SELECT peptide || chr(9) || protein || chr(9) || position FROM lk",
+    "peptide_location": f"""WITH {_W}, p AS (SELECT p_partkey AS protein, s, unnest([s[:4], s[-4:]]) AS peptide, translate(CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE '' END || s || s, 'I', 'L') AS q FROM wd),
+        x AS (SELECT *, strpos(q, translate(peptide, 'I', 'L'))::INT AS pep_start FROM p), y AS (SELECT *, CASE WHEN pep_start > 0 THEN pep_start + 3 ELSE 0 END::INT AS pep_end FROM x)
+        SELECT protein, peptide, pep_start, pep_end, length(q)::INT AS prot_len, pep_start = 1 OR (pep_start = 2 AND q[1] = 'M') AS n_terminal, pep_end = length(q) AS c_terminal FROM y""",
     "alternatives": f"""WITH {_W}, d AS (SELECT s, min(p_partkey) AS k FROM wd GROUP BY s), x AS (SELECT a.s AS peptide, CASE WHEN b.k % 3 = 0 THEN 'DECOY_' ELSE '' END || b.s AS protein, b.k % 3 AS ntt, hamming(a.s, b.s)::INT AS substitutions,
         array_to_string([(i - 1) || ',' || b.s[i] || ';' FOR i IN range(1, len(a.s) + 1) IF a.s[i] <> b.s[i]], '') AS places FROM d AS a JOIN d AS b ON len(a.s) = len(b.s) AND hamming(a.s, b.s) <= 3)
         SELECT *, row_number() OVER (PARTITION BY peptide ORDER BY substitutions, ntt DESC, starts_with(protein, 'DECOY_'), protein)::INT AS nth FROM x""",
@@ -468,8 +490,10 @@ ORACLE_SQL: dict[str, str] = {
     "fuzzy_substitutions": "WITH d AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name) SELECT a.k AS k, b.k AS k2, hamming(a.p_name, b.p_name)::INT AS substitutions FROM d AS a JOIN d AS b ON a.k < b.k AND length(a.p_name) = length(b.p_name) AND hamming(a.p_name, b.p_name) <= 4",
     "sequence_collapse": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS representative, count(*) OVER (PARTITION BY p_name) AS n FROM part",
     "attribute_extract": "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') AS page, nullif(regexp_extract(url, 'utm_source=([^&#]+)', 1), '') AS source FROM pages",
-    "reference_cleaning": f"""WITH {_L} SELECT concat_ws(chr(9), 'chr1', 'x', kind, s, e, '.', strand, '.', CASE style WHEN 0 THEN 'ID=c' || l_orderkey || '; Parent=' || model WHEN 1 THEN 'gene_id "g"; transcript_id "' || model || '";' WHEN 2 THEN 'transcript_id ""; note "x"'
-        WHEN 3 THEN 'ID= ;Name=n' WHEN 4 THEN 'GeneID=h;transcript_id=' || model ELSE 'note=1' END) AS value, {_KEEP} AS keep, count(*) AS n FROM li GROUP BY ALL""",
+    "reference_cleaning": f"WITH {_L} SELECT {_VALUE} AS value, {_KEEP} AS keep, count(*) AS n FROM li GROUP BY ALL",
+    "feature_rows": f"""WITH {_L} SELECT lower(kind) AS type, s, e, 0.0::DOUBLE AS score, strand, CASE style WHEN 0 THEN CASE kind WHEN 'gene' THEN 'c' || l_orderkey ELSE model END WHEN 1 THEN 'g' WHEN 4 THEN 'h' ELSE CASE kind WHEN 'gene' THEN {_ATTRS} END END AS gene,
+        CASE kind WHEN 'gene' THEN CASE style WHEN 0 THEN 'c' || l_orderkey WHEN 1 THEN model WHEN 4 THEN 'h' ELSE {_ATTRS} END ELSE CASE WHEN style IN (0, 1, 4) THEN model END END AS protein FROM li WHERE kind <> 'exon'""",
+    "resolved_lines": f"""WITH {_L}, k AS (SELECT DISTINCT model AS known FROM li WHERE kind = 'CDS' AND style IN (1, 4)) SELECT {_VALUE} AS value, CASE WHEN style IN (1, 4) THEN model WHEN style = 0 THEN known END AS protein, count(*) AS n FROM li LEFT JOIN k ON known = model GROUP BY ALL""",
     "removed_rows": f"WITH {_L} SELECT count(*) FILTER (NOT ({_KEEP})) AS removed FROM li",
     "transcript_models": f"""WITH {_L}, x AS (SELECT *, CASE style WHEN 0 THEN 'c' || l_orderkey ELSE model END AS transcript, CASE style WHEN 0 THEN model WHEN 1 THEN 'g' ELSE model END AS gene FROM li WHERE kind = 'exon' AND style IN (0, 1, 4))
         SELECT transcript, (list(strand ORDER BY {_PLACE}))[-1] AS strand, (list(gene ORDER BY {_PLACE}))[-1] AS gene, min(s) AS low, max(e) AS high, array_to_string(list(s || '-' || e ORDER BY s, e), ',') AS exons FROM x GROUP BY transcript""",
@@ -499,6 +523,9 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT k, '{' || string_agg(DISTINCT q, ',' ORDER BY q) || '}' AS bam_proteins, '{' || string_agg(DISTINCT g, ',' ORDER BY g) || '}' AS bam_genes, '{' || string_agg(DISTINCT c, ',' ORDER BY c) || '}' AS bam_class_codes, count(DISTINCT q) AS bam_match_count FROM h GROUP BY k),
         y AS (SELECT p_brand AS seqid, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END AS strand, k::VARCHAR AS prediction_protein, p_type AS prediction_gene, p_size AS prediction_start, p_size + 5 AS prediction_end, bam_proteins, bam_genes, bam_class_codes, bam_match_count FROM x JOIN part ON k = p_partkey)
         SELECT 'HPNGC_' || printf('%04d', row_number() OVER (ORDER BY bam_match_count DESC, seqid, prediction_start, prediction_protein)) AS candidate_id, * FROM y""",
+    "candidate_ranking": """WITH x AS (SELECT l_partkey AS protein, '{' || string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) || '}' AS others,
+            '{' || string_agg(DISTINCT CASE l_returnflag WHEN 'N' THEN '=' WHEN 'A' THEN 'j' ELSE 'u' END, ',' ORDER BY CASE l_returnflag WHEN 'N' THEN '=' WHEN 'A' THEN 'j' ELSE 'u' END) || '}' AS codes, count(DISTINCT l_suppkey) AS n_matches FROM lineitem GROUP BY 1)
+        SELECT 'HPNGC_' || printf('%04d', row_number() OVER (ORDER BY n_matches DESC, p_brand, p_size, protein)) AS candidate_id, protein, p_brand AS seqid, others, codes, n_matches FROM x JOIN part ON protein = p_partkey""",
     "merged_dedupe": f"WITH {_M} SELECT protein, gene, seqid, s, e FROM (SELECT *, row_number() OVER (PARTITION BY protein ORDER BY s, e) AS n FROM m) WHERE n = 1",
     "merged_models": f"""WITH {_M}, x AS (SELECT protein, any_value(seqid) AS seqid, any_value(strand) AS strand, min(s) AS lo, max(e) AS hi, max(s % 10 / 10.0::DOUBLE) AS sc, 'gene_id "' || any_value(gene) || '"; transcript_id "' || protein || '";' AS attrs FROM m GROUP BY protein),
         y AS (SELECT *, CASE WHEN sc = 0 THEN '0' ELSE printf('%g', sc) END AS score FROM x)

@@ -24,9 +24,14 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def features(spark: SparkSession, path: str) -> DataFrame:
-    """A GTF or GFF3 file as a feature table with gene and protein; a # ends a line wherever it stands."""
+    """A GTF or GFF3 file as a feature table with gene and protein."""
+    return feature_rows(placed_lines(spark, path))
+
+
+def feature_rows(lines: DataFrame) -> DataFrame:
+    """Lines (value, place) as a feature table with gene and protein; a # ends a line wherever it stands."""
     f = F.split(F.regexp_replace("value", "#.*$", ""), "\t")
-    rows = placed_lines(spark, path).withColumnRenamed("place", "line_no").withColumn("f", f).where(F.size("f") >= 8)
+    rows = lines.withColumnRenamed("place", "line_no").withColumn("f", f).where(F.size("f") >= 8)
     part = lambda i: F.nullif(F.get("f", F.lit(i)), F.lit(""))
     rows = rows.select(
         part(0).alias("seqid"), part(1).alias("source"), F.lower(part(2)).alias("type"), part(3).try_cast("long").alias("start"), part(4).try_cast("long").alias("end"),
