@@ -29,12 +29,14 @@ def locate(mapping: DataFrame, proteins: DataFrame) -> DataFrame:
 
 
 def flagged(rows: DataFrame, segments: DataFrame) -> DataFrame:
-    """Located peptides (protein, pep_start, pep_end, prot_len and others) with their model's coverage, and spliced: within no one segment."""
-    coded = codon_coordinates(segments.select("protein", "strand", "start", "end")).select(F.col("protein").alias("_protein"), "cds_start", "cds_end")
+    """Located peptides (protein, pep_start, pep_end, prot_len and others) of models with segments, with their model's
+    coverage and splice_sites, and spliced: within no one segment."""
+    span = F.struct(F.col("cds_start").alias("a"), F.col("cds_end").alias("b"))
+    spans = codon_coordinates(segments.select("protein", "strand", "start", "end")).groupBy("protein").agg(F.collect_list(span).alias("_spans"), (F.count(F.lit(1)) - 1).alias("splice_sites"))
     rows = rows.withColumn("_n", covered("protein", "pep_start", "pep_end"))
     rows = rows.withColumn("coverage", F.coalesce(rounded(F.sum("_n").over(Window.partitionBy("protein")) / F.nullif("prot_len", F.lit(0)), 4), F.lit(0.0))).drop("_n")
-    inside = (F.col("protein") == F.col("_protein")) & (F.col("cds_start") <= F.col("pep_start")) & (F.col("cds_end") >= F.col("pep_end"))
-    return rows.join(coded, inside, "left").groupBy(*rows.columns).agg(F.count("_protein").alias("_in")).withColumn("spliced", F.col("_in") == 0).drop("_in")
+    inside = F.exists("_spans", lambda s: (s["a"] <= F.col("pep_start")) & (s["b"] >= F.col("pep_end")))
+    return rows.join(spans, "protein").withColumn("spliced", ~inside).drop("_spans")
 
 
 def peptide_rows(segments: DataFrame, mapping: DataFrame, sequences: DataFrame, facts: DataFrame) -> DataFrame:
@@ -45,7 +47,7 @@ def peptide_rows(segments: DataFrame, mapping: DataFrame, sequences: DataFrame,
     genes = segments.select("protein", "gene").distinct()
     rows = specificity(mapping.select("peptide", "protein").join(genes, "protein"))
     located = locate(rows, sequences.select(F.col("id").alias("protein"), "sequence")).repartition("protein")
-    return flagged(located, segments.select("protein", "strand", "start", "end").distinct()).join(facts, "protein")
+    return flagged(located, segments.select("protein", "strand", "start", "end").distinct()).drop("splice_sites").join(facts, "protein")
 
 
 #: Measures that a model without peptides has at 0.
@@ -88,10 +90,11 @@ def model_facts(segments: DataFrame, scores: DataFrame | None = None) -> DataFra
 
 def with_unmatched(found: DataFrame, facts: DataFrame, lengths: DataFrame) -> DataFrame:
     """features() and, at 0, the models that no peptide is mapped to but that have a sequence (lengths: protein, protein_length)."""
-    others = facts.join(found, "protein", "left_anti").join(lengths, "protein")
-    zeros = [F.lit(0).cast(t).alias(c) for c, t in found.dtypes if c in MEASURES]
-    known = [F.col(c).cast(t).alias(c) for c, t in found.dtypes if c not in MEASURES]
-    return found.unionByName(others.select(*known, *zeros))
+    # one join, so that found is computed once: a model's own measures where it has any, else what is known of it
+    known = facts.select("protein", *[F.col(c).alias(f"_{c}") for c in facts.columns if c != "protein"]).join(lengths.select("protein", F.col("protein_length").alias("_protein_length")), "protein", "left")
+    all_ = known.join(found.withColumn("_found", F.lit(True)), "protein", "left").where("_found or _protein_length is not null")
+    value = lambda c, t: F.lit(0).cast(t) if c in MEASURES else F.col(f"_{c}").cast(t) if f"_{c}" in known.columns else F.lit(None).cast(t)
+    return all_.select("protein", *[F.when(F.col("_found"), F.col(c)).otherwise(value(c, t)).alias(c) for c, t in found.dtypes if c != "protein"]).distinct()
 
 
 def with_external_scores(f: DataFrame, scores: DataFrame | None) -> DataFrame:

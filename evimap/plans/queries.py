@@ -53,10 +53,10 @@ def all_segments(spark: SparkSession, sf: str) -> DataFrame:
     return segments(spark, sf).unionByName(first)
 
 
-def reference_segments(spark: SparkSession, sf: str) -> DataFrame:
+def reference_segments(seg: DataFrame) -> DataFrame:
     """segments() with some ends moved."""
     moved = lambda c, k, by: (F.col(c) + F.when(F.col(c) % k == 0, by).otherwise(0)).alias(c)
-    return segments(spark, sf).select("protein", "seqid", "strand", moved("start", 11, 3), moved("end", 13, 6))
+    return seg.select("protein", "seqid", "strand", moved("start", 11, 3), moved("end", 13, 6))
 
 
 def peptides(spark: SparkSession, sf: str) -> DataFrame:
@@ -70,28 +70,27 @@ def peptides(spark: SparkSession, sf: str) -> DataFrame:
     return rows.repartition("peptide").distinct()
 
 
-def peptide_rows(spark: SparkSession, sf: str, coded: DataFrame | None = None) -> DataFrame:
+def peptide_rows(seg: DataFrame, pep: DataFrame) -> DataFrame:
     """Peptides with their models' splice sites and coverage, specificity, terminal and splice flags.
 
     Specificity goes by peptide, the rest by protein: the rows are dealt once for each."""
-    seg = segments(spark, sf) if coded is None else coded
-    sites = seg.groupBy("protein").agg((F.count(F.lit(1)) - 1).alias("splice_sites"))
-    rows = evidence.flagged(evidence.specificity(peptides(spark, sf)).repartition("protein"), seg).join(sites, "protein")
+    rows = evidence.flagged(evidence.specificity(pep).repartition("protein"), seg)
     return rows.withColumn("n_terminal", F.col("pep_start") == 1).withColumn("c_terminal", F.col("pep_end") == F.col("prot_len"))
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.features(peptide_rows(spark, sf))
+    return evidence.features(peptide_rows(written(segments(spark, sf)), written(peptides(spark, sf))))
 
 
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
     """Every model with a sequence: measures, isoforms, transcript and external score; at 0 without peptides."""
-    seg, orders = all_segments(spark, sf), _t(spark, sf, "orders")
+    # what several branches of the plan read is written once
+    seg, pep, orders = written(all_segments(spark, sf)), written(peptides(spark, sf)), _t(spark, sf, "orders")
     transcripts = orders.select(F.col("o_orderkey").alias("protein"), F.when(F.col("o_orderstatus") == "P", "gene").otherwise("mrna").alias("type"), (F.floor(F.col("o_totalprice")).cast("long") % 100 / 100.0).alias("score"))
     lengths = orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("protein"), F.lit(100).cast("long").alias("protein_length"))
     external = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("protein"), (F.col("o_orderkey") * 37 % 1000 / 1000.0).alias("external_score"))
     facts = evidence.model_facts(seg, evidence.transcript_scores(transcripts))
-    rows = peptide_rows(spark, sf, seg).drop("splice_sites").join(facts.drop("low", "high"), "protein")
+    rows = peptide_rows(seg, pep).drop("splice_sites").join(facts.drop("low", "high"), "protein")
     f = evidence.with_external_scores(evidence.with_unmatched(evidence.features(rows), facts, lengths), external)
     return f.withColumn("transcript_score", scalars.rounded(F.col("transcript_score"), 6))
 
@@ -106,8 +105,8 @@ def protein_support(spark: SparkSession, sf: str) -> DataFrame:
     return labelled(spark, sf).drop("positive", "score_supported", "cutoff")
 
 
-def located(spark: SparkSession, sf: str) -> DataFrame:
-    return intervals.located(intervals.project_codons(intervals.codon_coordinates(segments(spark, sf)), peptides(spark, sf)))
+def located(seg: DataFrame, pep: DataFrame) -> DataFrame:
+    return intervals.located(intervals.project_codons(intervals.codon_coordinates(seg), pep))
 
 
 def codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -115,19 +114,25 @@ def codes(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("qry_id"), F.col("o_orderkey").alias("ref_id"), code.alias("class_code"))
 
 
-def model_pairs(spark: SparkSession, sf: str) -> DataFrame:
+def model_pairs(seg: DataFrame) -> DataFrame:
     """qry_id, p and r: each model and the reference's."""
     of = lambda seg, to: compare.models(seg).select("protein", F.struct("seqid", "strand", "regions").alias(to))
-    return of(segments(spark, sf), "p").join(of(reference_segments(spark, sf), "r"), "protein").withColumnRenamed("protein", "qry_id")
+    return of(seg, "p").join(of(reference_segments(seg), "r"), "protein").withColumnRenamed("protein", "qry_id")
+
+
+def junction_support(spark: SparkSession, sf: str) -> DataFrame:
+    seg = written(segments(spark, sf))
+    return compare.junction_support(written(model_pairs(seg)), written(located(seg, peptides(spark, sf)).select("peptide", "seqid", "b")))
 
 
 def evidence_report(spark: SparkSession, sf: str) -> DataFrame:
-    predicted, reference = compare.models(segments(spark, sf)), compare.models(reference_segments(spark, sf))
-    return compare.evidence_report(codes(spark, sf), feature_table(spark, sf), predicted, reference, located(spark, sf))
+    seg, pep = written(segments(spark, sf)), written(peptides(spark, sf))
+    found = written(located(seg, pep).select("peptide", "seqid", "b"))
+    return compare.evidence_report(codes(spark, sf), evidence.features(peptide_rows(seg, pep)), compare.models(seg), compare.models(reference_segments(seg)), found)
 
 
 def structure_diff(spark: SparkSession, sf: str) -> DataFrame:
-    d = compare.classify_difference(model_pairs(spark, sf)).withColumn("stop", compare.stop_difference())
+    d = compare.classify_difference(model_pairs(segments(spark, sf))).withColumn("stop", compare.stop_difference())
     return d.select(F.col("qry_id").alias("protein"), "difference", "stop")
 
 
@@ -307,7 +312,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cds_models": cds_models,
     "splice_junctions": lambda s, d: intervals.junctions(segments(s, d)),
     "structure_diff": structure_diff,
-    "junction_support": lambda s, d: compare.junction_support(model_pairs(s, d), located(s, d)),
+    "junction_support": junction_support,
     "evidence_report": evidence_report,
     "category_summary": lambda s, d: compare.category_summary(structure_diff(s, d), "difference", "protein"),
     "difference_counts": lambda s, d: charts.difference_counts(codes(s, d).where("class_code = 'u'").select(F.col("qry_id").alias("protein")), evidence_report(s, d).groupBy(F.col("peptide_evidence_category").alias("category")).agg(F.count(F.lit(1)).alias("n"))),
@@ -324,7 +329,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "legacy_bars": lambda s, d: charts.legacy_bars(evidence.partitions(score_table(s, d))),
     "coverage_histogram": lambda s, d: charts.coverage_histogram(written(labelled(s, d))),
     "score_histogram": lambda s, d: charts.score_histogram(written(labelled(s, d))),
-    "peptide_types": lambda s, d: charts.type_counts(located(s, d)),
+    "peptide_types": lambda s, d: charts.type_counts(located(segments(s, d), peptides(s, d))),
     "bed12_rows": lambda s, d: intervals.bed12(intervals.project_codons(intervals.codon_coordinates(segments(s, d)), peptides(s, d))),
     "subset_by_ids": lambda s, d: selection.by_ids(segments(s, d), _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"))).select("protein", "gene", "seqid", F.col("start").alias("s"), F.col("end").alias("e")),
     "merged_sequences": lambda s, d: selection.merge_sequences(_t(s, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("sequence")), _t(s, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("sequence"))),
