@@ -123,6 +123,31 @@ def within_mass(peptide: Column, target: Column, tolerance: float) -> Column:
     return (lacking >= -tolerance) & ((lacking < tolerance) | F.exists(sums, lambda s: s - lacking > -tolerance))
 
 
+def modified(peptide: Column, target: Column, tolerance: float) -> Column:
+    """The peptide and behind it, as (+mass), the modifications that make it weigh as much as target, give or take
+    tolerance: of several choices the one that modifies the first site (termini, then residues) where they differ, by
+    the first modification in the table's order. The peptide alone where it needs none, null where none fit."""
+    table = {}
+    for residue, mass in MODIFICATIONS:
+        table.setdefault(residue, []).append(mass)
+    option = lambda m: F.struct(F.lit(m).alias("mass"), F.lit(f"(+{m:.4f})" if m else "").alias("text"))
+    options = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), F.array(*map(option, [*v, 0.0])))])
+    lacking = target - peptide_mass(peptide)
+    letters = F.filter(F.split(F.concat(F.lit("nc"), peptide), ""), lambda c: F.array_contains(F.map_keys(options), c))
+    fits = lambda s: s - lacking > -tolerance
+    added = lambda s, o: F.struct((F.rint((s["sum"] + o["mass"]) * 1e4) / 1e4).alias("sum"), F.concat(s["text"], o["text"]).alias("text"))
+
+    def step(found: Column, letter: Column) -> Column:
+        # choices stay in order of preference, so of equal sums the first will do; one that fits takes no more
+        each = F.flatten(F.transform(found, lambda s: F.when(fits(s["sum"]), F.array(s)).otherwise(F.transform(F.element_at(options, letter), lambda o: added(s, o)))))
+        light = F.filter(each, lambda s: s["sum"] <= lacking + tolerance)
+        return F.filter(light, lambda s, i: F.array_position(light["sum"], s["sum"]) == i + 1)
+
+    none = F.array(F.struct(F.lit(0.0).alias("sum"), F.lit("").alias("text")))
+    first = F.try_element_at(F.filter(F.aggregate(letters, none, step), lambda s: fits(s["sum"])), F.lit(1))["text"]
+    return F.when(lacking < -tolerance, None).when(lacking < tolerance, peptide).otherwise(F.concat(peptide, first))
+
+
 def within_substitutions(targets: DataFrame, patterns: DataFrame, most: int, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
     """Pairs of equal length with at most so many differing characters, found by equal pieces.
 

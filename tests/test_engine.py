@@ -1,3 +1,5 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 from evimap.functions import scalars
@@ -122,6 +124,27 @@ def test_masses(spark):
     assert row.asDict() == {"none": True, "oxidised": True, "both": True, "heavier": False, "odd": False, "acetylated": True}
 
 
+def test_modifications_of_a_mass(spark):
+    """Held against a plain search through all choices, in order of preference."""
+    table = {}
+    for residue, mass in scalars.MODIFICATIONS:
+        table.setdefault(residue, []).append(mass)
+
+    def choose(sites, lacking, tolerance):
+        choices = itertools.product(*[[*table[c], 0.0] for c in sites])
+        return next(("".join(f"(+{m:.4f})" for m in c if m) for c in choices if abs(round(sum(c), 4) - lacking) < tolerance), None)
+
+    cases = [(p, x) for p in ("CEFGM", "MMNQK", "GGG", "") for x in (0.0, 0.984, 15.9949, 57.0215, 73.0164, 31.9898, 42.0106, 7.0, -3.0, 58.0055)]
+    df = spark.createDataFrame([*cases, (None, 0.0)], "p string, x double").withColumn("target", scalars.peptide_mass(F.col("p")) + F.col("x"))
+    got = {(r.p, r.x): (r.m, r.w) for r in df.select("p", "x", search.modified(F.col("p"), F.col("target"), 0.01).alias("m"), search.within_mass(F.col("p"), F.col("target"), 0.01).alias("w")).collect()}
+    assert got.pop((None, 0.0))[0] is None
+    for (p, x), (m, within) in got.items():
+        mods = choose([c for c in "nc" + p if c in table], x, 0.01)
+        assert m == (p if x == 0 else None if mods is None else p + mods), (p, x)
+        assert (m is not None) == within
+    assert got["CEFGM", 15.9949][0] == "CEFGM(+15.9949)"
+
+
 def test_general_numbers(spark):
     values = [0.0, 1000.0, 0.5, 0.1 + 0.2, 1234567.0, 123456.7, 1e-5, 0.00012345678, -2.5]
     got = spark.createDataFrame([(v,) for v in values], "x double").select(scalars.general_number(F.col("x")).alias("s")).collect()
