@@ -262,8 +262,10 @@ def fuzzy_patterns(spark: SparkSession, sf: str) -> DataFrame:
 def mass_window(spark: SparkSession, sf: str) -> DataFrame:
     w = _words(spark, sf).select("s").distinct()
     mass = scalars.peptide_mass(F.col("s"))
-    # one of the masses is the word's own, one has an oxidation more, one has what no modification gives
-    return w.select("s", scalars.rounded(mass, 4).alias("mass"), scalars.searchable(F.col("s")).alias("searchable"), *[search.within_mass(F.col("s"), mass + x, 0.01).alias(n) for n, x in (("own", 0.004), ("oxidised", 15.9949), ("lighter", -1.0), ("odd", 3.3333))])
+    # one of the masses is the word's own, one has an oxidation more, one has what no modification gives; both_as
+    # has an oxidation and a deamidation more, whose order is that of their sites
+    return w.select("s", scalars.rounded(mass, 4).alias("mass"), scalars.searchable(F.col("s")).alias("searchable"), *[search.within_mass(F.col("s"), mass + x, 0.01).alias(n) for n, x in (("own", 0.004), ("oxidised", 15.9949), ("lighter", -1.0), ("odd", 3.3333))],
+        *[search.modified(F.col("s"), mass + x, 0.01).alias(n) for n, x in (("own_as", 0.004), ("oxidised_as", 15.9949), ("both_as", 16.9789))])
 
 
 def classifier_metrics(spark: SparkSession, sf: str) -> DataFrame:
@@ -491,7 +493,9 @@ ORACLE_SQL: dict[str, str] = {
         y AS (SELECT s, substr(s, 1, i - 1) || 'X' || substr(s, i + 1, j - i - 1) || 'X' || substr(s, j + 1) AS p FROM x) SELECT s AS peptide, count(*) AS n, min(p) AS lowest, max(p) AS highest FROM y GROUP BY s""",
     "wildcards": f"WITH {_W} SELECT DISTINCT s || 'X' AS peptide, replace(s || 'X', 'X', l) AS expanded FROM wd, (SELECT unnest(string_split('{search.ALPHABET}', '')) AS l) WHERE NOT contains(s, 'X')",
     "mass_window": f"""WITH {_W}, d AS (SELECT DISTINCT s FROM wd) SELECT s, round_even(({scalars.C_TERMINUS + scalars.N_TERMINUS + scalars.PROTON}::DOUBLE + list_sum(list_transform(string_split(s, ''), lambda c: {_MASS}))) * 10000, 0) / 10000 AS mass,
-        len(s) >= 5 AND regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]+$') AS searchable, true AS own, contains(s, 'M') AS oxidised, false AS lighter, false AS odd FROM d""",
+        len(s) >= 5 AND regexp_matches(s, '^[ACDEFGHIKLMNPQRSTVWY]+$') AS searchable, true AS own, contains(s, 'M') AS oxidised, false AS lighter, false AS odd, s AS own_as,
+        CASE WHEN contains(s, 'M') THEN s || '(+15.9949)' END AS oxidised_as,
+        CASE WHEN contains(s, 'M') AND regexp_matches(s, '[NQ]') THEN s || CASE WHEN regexp_extract(s, '[MNQ]') = 'M' THEN '(+15.9949)(+0.9840)' ELSE '(+0.9840)(+15.9949)' END END AS both_as FROM d""",
     "fuzzy_substitutions": "WITH d AS (SELECT p_name, min(p_partkey) AS k FROM part GROUP BY p_name) SELECT a.k AS k, b.k AS k2, hamming(a.p_name, b.p_name)::INT AS substitutions FROM d AS a JOIN d AS b ON a.k < b.k AND length(a.p_name) = length(b.p_name) AND hamming(a.p_name, b.p_name) <= 4",
     "sequence_collapse": "SELECT p_partkey, min(p_partkey) OVER (PARTITION BY p_name) AS representative, count(*) OVER (PARTITION BY p_name) AS n FROM part",
     "attribute_extract": "SELECT page_id, nullif(regexp_extract(url, '[?&]page=([^&#]+)', 1), '') AS page, nullif(regexp_extract(url, 'utm_source=([^&#]+)', 1), '') AS source FROM pages",
