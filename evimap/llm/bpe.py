@@ -58,15 +58,16 @@ class _Memo(dict):
 
 
 class Encoder:
-    """ids of a text as bytes: little-endian unsigned 32-bit integers."""
+    """ids of a text as bytes: little-endian unsigned 32-bit integers. plain: special tokens' strings are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.tokenizer.encode_special_tokens = plain
         self.model = self.tokenizer.model
         self.lower = self.tokenizer.normalizer is not None
         self.split = _WORD_SPLIT if self.lower else _BYTE_SPLIT
@@ -147,14 +148,14 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain: bool = False) -> Encoder:
     """One for each Python worker, which tasks share."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, plain) not in _encoders:
+        _encoders[path, plain] = Encoder(path, plain)
+    return _encoders[path, plain]
 
 
 class Decoder:
