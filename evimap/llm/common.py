@@ -1,14 +1,16 @@
-"""What the corpus operators share: tables, scratch tables, word fingerprints.
+"""What the corpus operators share: tables, scratch tables, word fingerprints and digests.
 
 A word is a run of characters other than space and U+0009..U+000D. Fingerprints are computed with
 numpy over whole Arrow batches inside tasks; a batch is cut into slices of a few MB, so memory stays
-bounded whatever the partition size.
+bounded whatever the partition size. They are for sketches and candidates; what decides that words are equal is
+a digest of their bytes (`Words.digests`).
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +18,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evimap.functions.tables import shared_folder
+
 #: White space as a regular-expression class, for Java and Python alike.
 SPACE = r"[\x20\x09-\x0D]"
 NOT_SPACE = r"[^\x20\x09-\x0D]"
@@ -27,19 +31,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset and there is no cluster."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        import tempfile
-
-        folder = "file://" + tempfile.mkdtemp(prefix="evimap-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
-
-
 def new_folder(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark)}/{what}-{uuid.uuid4().hex}"
 
@@ -75,22 +66,6 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 _M = [0x9E3779B97F4A7C15 | 1, 0xD1B54A32D192ED03 | 1]
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _power(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p^i and p^-i modulo 2^64 for i < n."""
-    if k not in _powers or len(_powers[k][0]) < n:
-        size = max(n, SLICE_BYTES * 2)
-        both = []
-        for base in (_M[k], pow(_M[k], -1, 1 << 64)):
-            a = np.full(size, base, np.uint64)
-            a[0] = 1
-            both.append(np.cumprod(a))
-        if size > 8 * SLICE_BYTES:  # a single huge text: don't keep its tables
-            return both[0], both[1]
-        _powers[k] = (both[0], both[1])
-    return _powers[k]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,8 +77,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _rounds(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A bijective scrambling of 128 bits: different pairs stay different."""
+    for k in (0, 1, 0, 1):
+        high = high ^ mix(low + np.uint64(_M[k]))
+        low, high = high, low
+    return low, high
+
+
 class Words:
-    """Words of a slice: byte spans in data, the first word of each text, and 64-bit fingerprints."""
+    """Words of a slice: byte spans in data, the first word of each text, fingerprints and digests."""
 
     def __init__(self, column: pa.Array):
         self.data, self.offsets = utf8(column)
@@ -117,12 +100,50 @@ class Words:
         self.start = np.flatnonzero(inside & (~before | first))
         self.end = np.flatnonzero(before & (~inside | first))
         self.first = np.searchsorted(self.start, self.offsets)
+        self._prints: tuple[np.ndarray, np.ndarray] | None = None
+        self._joined: tuple[bytes, np.ndarray, np.ndarray] | None = None
 
     def fingerprints(self, k: int = 0) -> np.ndarray:
-        up, down = _power(k, len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((self.data.astype(np.uint64) + np.uint64(1)) * up[: len(self.data)], out=total[1:])
-        return mix((total[self.end] - total[self.start]) * down[self.start])
+        """Half k of each word's 128 bits.
+
+        A word of up to 15 bytes is its own name, scrambled, so such words never share both halves; a longer one has its BLAKE2 digest."""
+        if self._prints is None:
+            size = self.end - self.start
+            padded = np.concatenate([self.data, np.zeros(16, np.uint8)])
+            loads = np.ndarray(len(padded) - 7, "<u8", buffer=padded, strides=(1,))
+            low, high = loads[self.start], loads[self.start + 8]
+            bits = (np.clip(size, 0, 8) * 8).astype(np.uint64)
+            low = np.where(size < 8, low & ((np.uint64(1) << (bits % np.uint64(64))) - np.uint64(1)), low)
+            bits = (np.clip(size - 8, 0, 7) * 8).astype(np.uint64)
+            high = (high & ((np.uint64(1) << bits) - np.uint64(1))) | (size.astype(np.uint64) << np.uint64(56))
+            for i in np.flatnonzero(size > 15).tolist():
+                digest = blake2b(self.data[self.start[i] : self.end[i]], digest_size=16).digest()
+                low[i], high[i] = int.from_bytes(digest[:8], "little"), int.from_bytes(digest[8:], "little")
+            self._prints = _rounds(low, high)
+        return self._prints[k]
+
+    def joined(self) -> tuple[bytes, np.ndarray, np.ndarray]:
+        """All texts with one space for each run of white space behind a word, and where words begin and end there."""
+        if self._joined is None:
+            n = len(self.data)
+            inside = np.zeros(n + 1, np.int8)
+            np.add.at(inside, self.start, 1)
+            np.subtract.at(inside, self.end, 1)
+            inside = np.cumsum(inside[:n], dtype=np.int8).astype(bool)
+            keep = inside.copy()
+            keep[self.end[self.end < n]] = True
+            place = np.r_[0, np.cumsum(keep)]
+            self._joined = np.where(inside, self.data, 32)[keep].astype(np.uint8).tobytes(), place[self.start], place[self.end]
+        return self._joined
+
+    def digests(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """BLAKE2 digests of the words from first to before last, joined by one space, of each such run: two numbers each."""
+        data, start, end = self.joined()
+        view, some = memoryview(data), last > first
+        begin, stop = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+        begin[some], stop[some] = start[first[some]], end[last[some] - 1]
+        out = b"".join([blake2b(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), stop.tolist(), strict=True)])
+        return np.frombuffer(out, np.int64).reshape(-1, 2)
 
 
 def windows(words: np.ndarray, first: np.ndarray, size: int, k: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -138,5 +159,6 @@ def windows(words: np.ndarray, first: np.ndarray, size: int, k: int = 0) -> tupl
     return mix(h[at]), at
 
 
-def empty_text(column: str):
-    return F.coalesce(F.col(column), F.lit(""))
+def quoted(column: str) -> str:
+    """A column's name as one part of a name expression."""
+    return "`" + column.replace("`", "``") + "`"

@@ -19,7 +19,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evimap.llm.common import materialise
+from evimap.llm.common import materialise, quoted
 
 #: Salts that a group's local winners are spread over before the global merge.
 SALTS = 16
@@ -41,7 +41,13 @@ def _best(length: str, id_col: str) -> Column:
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
-    """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256."""
+    """One row per row of docs: id_col (doc_id, where that is one of the other names), keep_id, group_size, kept, text_sha256."""
+    found = _winners(docs, id_col, text_col, salts)
+    name = "doc_id" if id_col.lower() in [c.lower() for c in found.columns] else id_col
+    return found.withColumnRenamed("_id", name)
+
+
+def _winners(docs: DataFrame, id_col: str, text_col: str, salts: int) -> DataFrame:
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("_n"), normalised(F.col(text_col)).alias("_norm"))
     rows = rows.withColumn("_digest", F.sha2(F.col("_norm"), 256))
     salted = rows.select("_digest", "_norm", F.pmod(F.spark_partition_id(), F.lit(salts)).alias("_salt"), _best("_n", "_id").alias("_best"))
@@ -65,7 +71,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = found.withColumn("_n_best", F.round((F.col("_best").cast("decimal(38,0)") / step).cast("decimal(38,6)")).cast("decimal(19,0)"))
     keep_id = F.when(keep < F.lit(_NO_ID).cast("decimal(19,0)"), keep.cast("long"))
     return found.select(
-        F.col("_id").alias(id_col),
+        "_id",
         keep_id.alias("keep_id"),
         F.col("_size").cast("long").alias("group_size"),
         (F.col("_id").eqNullSafe(keep_id) & (F.col("_n") == F.col("_n_best"))).alias("kept"),
@@ -77,11 +83,11 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one row of each group of equal texts, all columns as they were.
 
     Of rows that share the winner's id, text and length, the first one by all columns that have an order stays."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
+    kept = _winners(docs, id_col, text_col, SALTS).where("kept").select(F.col("_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha")).distinct()
     text = F.coalesce(F.col(text_col), F.lit(""))
     # the row travels as one struct, so its columns may have any names
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("_id"), F.sha2(normalised(text), 256).alias("_sha"), F.length(text).alias("_len"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("_id"), F.sha2(normalised(text), 256).alias("_sha"), F.length(text).alias("_len"))
     rows = rows.join(kept, F.col("_id").eqNullSafe(F.col("_keep_id")) & (F.col("_sha") == F.col("_keep_sha")), "left_semi")
-    order = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
+    order = [F.col(f"doc.{quoted(c)}") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
     nth = F.row_number().over(Window.partitionBy("_id", "_sha").orderBy(F.col("_len").desc(), *order))
     return rows.withColumn("_nth", nth).where("_nth = 1").select("doc.*")

@@ -7,7 +7,8 @@ sample agrees for two texts if they share those k-mers and their order. Texts wi
 Candidates are verified by an alignment of their k-mer sequences, within a band that any accepted pair must keep:
 with m k-mers aligned, m / (a + b - m) must reach 0.8. Classes are the connected components of accepted pairs.
 
-Texts of equal words are one node from the start, named by a 64-bit fingerprint of them. In a bucket (nodes with an
+Texts of equal words are one node from the start, named by half of their words' 128-bit BLAKE2 digest; should two digests
+share that half, the other one is worked into the name. In a bucket (nodes with an
 equal sample) the node with the most bucket mates overall leads, for a group's original is in more of its buckets
 than any copy. First each node is compared with the leaders of its buckets, of which a group has few: n copies cost
 about n comparisons.
@@ -35,8 +36,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType
 
-from evimap.llm.common import Words, materialise, mix, slices, windows
+from evimap.llm.common import Words, materialise, mix, quoted, slices, windows
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair at 0.8 shares a sample of 8 with probability 0.8 ** 8, about 0.17, and one of 40 with 0.9994.
@@ -107,11 +109,9 @@ def samples(h: np.ndarray) -> np.ndarray:
     return np.concatenate(out).view(np.int64)
 
 
-def content_print(h: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """A 64-bit fingerprint of each text's sequence of k-mers."""
-    place = (np.arange(len(h)) - np.repeat(starts[:-1], np.diff(starts)) + 1).astype(np.uint64)
-    total = np.r_[np.uint64(0), np.cumsum(mix(h + place * np.uint64(0xD6E8FEB86659FD93)))]
-    return mix(total[starts[1:]] - total[starts[:-1]]).view(np.int64)
+def digested(words: Words) -> np.ndarray:
+    """Two numbers for each text: the digest of its words. The first one names its node."""
+    return words.digests(words.first[:-1], words.first[1:])
 
 
 def _sketch(batches) -> Iterator[pa.RecordBatch]:
@@ -119,7 +119,7 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
         for part in slices(batch):
             words = Words(part.column("text"))
             h, starts = kmers(words)
-            node = content_print(h, starts)
+            name = digested(words)
             n = np.diff(starts)
             short = (h >> np.uint64(32)).astype("<u4")
             h = labelled(h, starts)
@@ -127,7 +127,7 @@ def _sketch(batches) -> Iterator[pa.RecordBatch]:
             at = np.r_[0, np.cumsum([len(k) for k in keys])].astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(keys) if keys else np.empty(0, np.int64)))
             contents = pa.array([short[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node), pa.array(n), lists, contents], names=["doc_id", "node", "n", "keys", "kmers"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(np.ascontiguousarray(x)) for x in name.T), pa.array(n), lists, contents], names=["doc_id", "node", "check", "n", "keys", "kmers"])
 
 
 def needed(a: int, b: int, similarity: float = SIMILARITY) -> int:
@@ -291,10 +291,16 @@ class _Classes:
 def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Sketches of all rows, and the nodes: node, rows, id (the smallest), class, class_id, class_size, keeper."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sketched = rows.mapInArrow(_sketch, "doc_id long, node long, n long, keys array<long>, kmers binary").withColumn("row", F.monotonically_increasing_id())
+    sketched = rows.mapInArrow(_sketch, "doc_id long, node long, check long, n long, keys array<long>, kmers binary").withColumn("row", F.monotonically_increasing_id())
     sketches = materialise(sketched, "sketches")
     some = sketches.where("n > 0")
-    nodes = materialise(some.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows")), "nodes")
+    by_node = some.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("check"), F.max("check").alias("_last"))
+    nodes = materialise(by_node, "nodes")
+    clash = nodes.where("check <> _last")
+    if not clash.isEmpty():  # different words under one name: the other half of the digest is worked into it
+        sketches = materialise(_apart(sketches, materialise(clash.select("node"), "clash")), "sketches")
+        some = sketches.where("n > 0")
+        nodes = materialise(some.groupBy("node").agg(F.min("doc_id").alias("id"), F.min("row").alias("row"), F.count(F.lit(1)).alias("rows"), F.min("check").alias("check")), "nodes")
 
     keyed = some.select("node", F.explode("keys").alias("key"))
     shared = keyed.groupBy("key").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).where("_lo <> _hi").select("key")
@@ -334,10 +340,16 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Da
 
     known = classes.of(nodes, "node", "class")
     named = known.groupBy("class").agg(F.min("id").alias("class_id"), F.sum("rows").alias("class_size"), F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"].alias("_keeper"))
-    named = materialise(known.join(named, "class").withColumn("keeper", F.col("node") == F.col("_keeper")).select("node", "id", "class_id", "class_size", "keeper"), "classes")
+    named = materialise(known.join(named, "class").withColumn("keeper", F.col("node") == F.col("_keeper")).select("node", "check", "id", "class_id", "class_size", "keeper"), "classes")
     return sketches, named
 
 
+def _apart(rows: DataFrame, clash: DataFrame) -> DataFrame:
+    """rows with new names for the nodes in clash."""
+    found = rows.join(clash.select(F.col("node").alias("_clash")), F.col("node") == F.col("_clash"), "left")
+    return found.withColumn("node", F.when(F.col("_clash").isNull(), F.col("node")).otherwise(F.xxhash64("node", "check"))).drop("_clash")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, class_id (the class's smallest doc_id), class_size (rows)."""
     sketches, named = _grouped(docs, id_col, text_col)
@@ -351,17 +363,20 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Of rows with that id and the same words, the first one by all columns that have an order stays."""
     _, named = _grouped(docs, id_col, text_col)
-    kept = named.where("keeper").select(F.col("id").alias("_id"), F.col("node").alias("_node"))
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = marked.mapInArrow(_fingerprinted, f"doc {dict(marked.dtypes)['doc']}, doc_id long, node long, empty boolean")
-    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("node") == F.col("_node")), "left").where("empty or _node is not null")
-    order = [F.col(f"doc.`{c}`") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
-    nth = F.row_number().over(Window.partitionBy("doc_id", "node").orderBy(*order))
+    kept = named.where("keeper").select(F.col("id").alias("_id"), F.col("check").alias("_check"))
+    marked = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = marked.select("doc", "doc_id").schema.add("check", LongType()).add("empty", BooleanType())
+    rows = marked.mapInArrow(_checked, schema)
+    # rows of one id whose words differ have different digests; half of one does to tell them apart
+    stay = rows.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("check") == F.col("_check")), "left").where("empty or _check is not null")
+    order = [F.col(f"doc.{quoted(c)}") for c, t in docs.dtypes if not re.search("map|variant|interval", t)]
+    nth = F.row_number().over(Window.partitionBy("doc_id", "check").orderBy(*order))
     return stay.withColumn("_nth", nth).where("_nth = 1 or empty").select("doc.*")
 
 
-def _fingerprinted(batches) -> Iterator[pa.RecordBatch]:
+def _checked(batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            h, starts = kmers(Words(part.column("text")))
-            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("doc_id"), pa.array(content_print(h, starts)), pa.array(np.diff(starts) == 0)], names=["doc", "doc_id", "node", "empty"])
+            words = Words(part.column("text"))
+            check = np.ascontiguousarray(digested(words)[:, 1])
+            yield pa.RecordBatch.from_arrays([part.column("doc"), part.column("doc_id"), pa.array(check), pa.array(np.diff(words.first) == 0)], names=["doc", "doc_id", "check", "empty"])

@@ -34,8 +34,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from evimap.llm.common import NOT_SPACE, SPACE, Words, materialise, mix, slices, windows
+from evimap.llm.common import NOT_SPACE, SPACE, Words, materialise, mix, quoted, slices, windows
 
 KINDS = ("email", "ip", "card", "phone", "term", "gone")
 #: Shares of an entity's information, and disclosing terms that chance may give an entity.
@@ -215,9 +216,8 @@ def _with_spans(docs: DataFrame, text_col: str, keep: list, each, schema: str, *
         kept = [c for c in part.schema.names if c not in ("text", "hits")]
         return pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *columns.values()], names=[*kept, *columns])
 
-    names = [c for c in rows.columns if c not in ("text", "hits")]
-    types = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join([*(f"{c} {types[c]}" for c in names), schema]))
+    fields = [f for f in rows.schema.fields if f.name not in ("text", "hits")]
+    return rows.mapInArrow(run, StructType([*fields, *StructType.fromDDL(schema).fields]))
 
 
 _KINDS_OF = "array<struct<kind:int,start:long,end:long>>"
@@ -235,9 +235,9 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
 def sanitise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **thresholds) -> DataFrame:
     """docs with base spans and disclosing terms replaced in the text; other columns and clean texts as they were."""
-    doc = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(0).alias("_")]).alias("doc")
+    doc = F.struct(*[F.col(quoted(c)) for c in docs.columns if c != text_col] or [F.lit(0).alias("_")]).alias("doc")
     out = _with_spans(docs, text_col, [doc], lambda text, spans, terms: (rewritten(text, _structs(spans + terms)) if spans or terms else text,), "text string", **thresholds)
-    return out.select(*[(F.col("text") if c == text_col else F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[(F.col("text") if c == text_col else F.col(f"doc.{quoted(c)}")).alias(c) for c in docs.columns])
 
 
 def rewritten(text: str, spans: list[dict]) -> str:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimap.llm.common import SPACE
+from evimap.llm.common import SPACE, quoted
 
 WINDOW = 5
 #: Rules by bit, each true where a document fails it. The first two are the base rules.
@@ -120,7 +120,7 @@ def ablations(ledger_: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, policy: str = CURRENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without those the policy rejects. The rules run on each row in place, without a join."""
     return (
-        docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text_in"))
+        docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text_in"))
         .transform(lambda d: _measured_row(d))
         .transform(lambda d: verdicts(d, policy))
         .where("kept and _part >= 0")

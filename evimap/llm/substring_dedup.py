@@ -4,7 +4,8 @@ Documents are dealt into blocks by a hash of their id. Pass one: each block make
 sketch of two rows, as sorted cells with a bit for two or more; the partitions are cut into shards of cells, merged
 shard by shard, and what comes back to a block are its cells whose merged count is two or more. The sketch only
 overestimates, so no repeated window is lost. Pass two: windows whose cells are repeated in both rows are grouped
-exactly, by 128-bit fingerprints of their words, to find the smallest document of each. Blocks combine their own
+by their words, as 128-bit BLAKE2 digests of them, to find the smallest document of each. Fingerprints of words (see
+`common`) only choose cells and shards: where they collide, the estimate is too high and nothing else. Blocks combine their own
 windows first: one entry per block and window, so a passage that a third of all documents share is a group of no
 more rows than there are blocks. The sketch's width follows the number of windows.
 
@@ -33,29 +34,39 @@ _SPARSE = "shard int, block int, row_0 binary, row_1 binary"
 
 
 class Block:
-    """A block's windows: two fingerprints, document and first word of each, documents in ascending order of id."""
+    """A block's windows: fingerprint, document and first word of each."""
 
     def __init__(self, rows: pa.Table, size: int):
-        rows = rows.combine_chunks()
+        rows, self.size = rows.combine_chunks(), size
         self.batch = rows.to_batches()[0] if rows.num_rows else pa.RecordBatch.from_pylist([], schema=rows.schema)
         ids = self.batch.column("doc_id")
         self.null = np.asarray(ids.is_null())
         self.ids = np.asarray(pa.compute.fill_null(ids, _NO_ID))
-        parts, docs, at, self.n_words, base = [[], []], [], [], [], 0
+        parts, docs, at, self.n_words, base = [], [], [], [], 0
         for part in slices(self.batch):
             words = Words(part.column("text"))
-            prints = [words.fingerprints(k) for k in (0, 1)]
-            for k in (0, 1):
-                h, first = windows(prints[k], words.first, size, k)
-                parts[k].append(h)
+            h, first = windows(words.fingerprints(), words.first, size)
+            parts.append(h)
             docs.append(np.searchsorted(words.first, first, side="right") - 1 + base)
             at.append(first - words.first[docs[-1] - base])
             self.n_words.append(np.diff(words.first))
             base += part.num_rows
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
-        self.h = [join(p, np.uint64) for p in parts]
+        self.h = join(parts, np.uint64)
         self.doc, self.at, self.n_words = join(docs, np.int64), join(at, np.int64), join(self.n_words, np.int64)
 
+    def digests(self, hits: np.ndarray) -> np.ndarray:
+        """The digest of the words of each of these windows (ascending), two numbers."""
+        out, base, done = [np.empty((0, 2), np.int64)], 0, 0
+        for part in slices(self.batch):
+            upto = int(np.searchsorted(self.doc[hits], base + part.num_rows))
+            if upto > done:
+                words, own = Words(part.column("text")), hits[done:upto]
+                first = words.first[self.doc[own] - base] + self.at[own]
+                out.append(words.digests(first, first + self.size))
+            base, done = base + part.num_rows, upto
+        return np.concatenate(out)
+
 
 def _cells(h: np.ndarray, row: int, shards: int, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Shard, and cell within the shard, of each fingerprint in a row of the sketch. Both rows share shards."""
@@ -98,9 +109,9 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         block = Block(table.select(["doc_id", "text"]), size)
         number = table.column("block")[0].as_py()
         out: dict[str, list] = {"shard": [], "block": [], "row_0": [], "row_1": []}
-        shard = (block.h[0] % np.uint64(shards)).astype(np.int64)
+        shard = (block.h % np.uint64(shards)).astype(np.int64)
         order, at = _by_shard(shard, shards)
-        cells = [_cells(block.h[0], r, shards, width)[1][order] for r in (0, 1)]
+        cells = [_cells(block.h, r, shards, width)[1][order] for r in (0, 1)]
         for s in range(shards):
             if at[s] < at[s + 1]:
                 out["shard"].append(s)
@@ -134,44 +145,43 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def estimated(table: pa.Table, flags: pa.Table) -> tuple[Block, np.ndarray]:
         """The block and the windows that the sketch takes for repeated, grouped by shard."""
         block = Block(table.select(["doc_id", "text"]), size)
-        shard = (block.h[0] % np.uint64(shards)).astype(np.int64)
+        shard = (block.h % np.uint64(shards)).astype(np.int64)
         order, at = _by_shard(shard, shards)
-        cells = [_cells(block.h[0], r, shards, width)[1] for r in (0, 1)]
+        cells = [_cells(block.h, r, shards, width)[1] for r in (0, 1)]
         hit = np.zeros(len(shard), bool)
         for s, *rows_ in zip(flags.column("shard").to_pylist(), flags.column("row_0").to_pylist(), flags.column("row_1").to_pylist(), strict=True):
             own = order[at[s] : at[s + 1]]
             hit[own] = np.isin(cells[0][own], _unpacked(rows_[0])) & np.isin(cells[1][own], _unpacked(rows_[1]))
         return block, np.flatnonzero(hit)
 
-    def first_of(block: Block, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def first_of(block: Block, hits: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Windows of the block's estimated ones that differ (an index into hits each), each hit's one of them, and their smallest id."""
         ids = block.ids[block.doc[hits]]
-        order = np.lexsort((ids, block.h[1][hits], block.h[0][hits]))
-        a, b = block.h[0][hits][order], block.h[1][hits][order]
+        order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
         new = np.ones(len(order), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        new[1:] = (digest[order][1:] != digest[order][:-1]).any(1)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         return order[new], group, ids[order[new]]
 
     def candidates(key, table: pa.Table, flags: pa.Table) -> pa.Table:
         block, hits = estimated(table, flags)
-        pick, _, least = first_of(block, hits)
-        pick = hits[pick]
-        order, at = _by_shard((block.h[0][pick] % np.uint64(shards)).astype(np.int64), shards)
+        digest = block.digests(hits)
+        pick, _, least = first_of(block, hits, digest)
+        order, at = _by_shard((block.h[hits[pick]] % np.uint64(shards)).astype(np.int64), shards)
         out: dict[str, list] = {"shard": [], "block": [], "prints": [], "least": []}
         for s in range(shards):
             own = order[at[s] : at[s + 1]]
             if len(own):
                 out["shard"].append(s)
                 out["block"].append(key[0].as_py())
-                out["prints"].append(np.stack([block.h[0][pick[own]], block.h[1][pick[own]]], 1).tobytes())
+                out["prints"].append(digest[pick[own]].tobytes())
                 out["least"].append(least[own].tobytes())
         return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("prints", pa.binary()), ("least", pa.binary())]))
 
     def earlier(table: pa.Table) -> pa.Table:
         """For each block, which of its windows a document of another block with a smaller id has."""
-        prints = [np.frombuffer(x, [("a", np.uint64), ("b", np.uint64)]) for x in table.column("prints").to_pylist()]
+        prints = [np.frombuffer(x, [("a", np.int64), ("b", np.int64)]) for x in table.column("prints").to_pylist()]
         least = [np.frombuffer(x, np.int64) for x in table.column("least").to_pylist()]
         every, ids = np.concatenate(prints), np.concatenate(least)
         order = np.lexsort((ids, every["b"], every["a"]))
@@ -191,8 +201,8 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def remove(key, table: pa.Table, answers_: pa.Table) -> pa.Table:
         kind = np.asarray(answers_.column("kind"))
         block, hits = estimated(table, answers_.filter(pa.array(kind == 0)))
-        pick, group, least = first_of(block, hits)
-        order, at = _by_shard((block.h[0][hits[pick]] % np.uint64(shards)).astype(np.int64), shards)
+        pick, group, least = first_of(block, hits, block.digests(hits))
+        order, at = _by_shard((block.h[hits[pick]] % np.uint64(shards)).astype(np.int64), shards)
         later = np.zeros(len(pick), bool)
         told = answers_.filter(pa.array(kind == 1))
         for s, flags in zip(told.column("shard").to_pylist(), told.column("row_0").to_pylist(), strict=True):
