@@ -7,7 +7,7 @@ and `sequence` cut the tokens into groups between them and pair those of a group
 
 Whether a token ends at a shared end is looked up in an array with an entry for each byte of the text, so the work is linear
 in the text. An array that a lambda reads is bound to a variable
-first (`_let`): what stands inside a lambda itself would be computed again for each element.
+first (`let`): what stands inside a lambda itself would be computed again for each element.
 
 Links between an id of A and an id of B are counted over the corpus by the documents that hold them. A group of p and q
 tokens is kept as its distinct id pairs with their number of occurrences, so a long group of few ids stays small. The
@@ -23,7 +23,6 @@ each on their own and count as documents of their own; an empty table gives an e
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap.llm.bpe import Decoder, encoder
-from evimap.llm.common import materialise, slices, utf8
+from evimap.llm.common import let, materialise, slices, utf8
 
 #: Pairs of ids whose counts may be broadcast: 24 bytes each, some 50 MB as a hash table.
 BROADCAST_PAIRS = 1 << 20
@@ -132,11 +131,6 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
     return rows.mapInArrow(each, _TOKENS)
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once for the row."""
-    return F.transform(F.array(value), body)[0]
-
-
 def _last_tokens(ends: Column, shared: Column) -> Column:
     """Numbers of the tokens that end where shared says so: an entry for each byte of the text."""
     return F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: shared[ends[i] - 1])
@@ -157,7 +151,7 @@ def grouped(tokens_: DataFrame) -> DataFrame:
         first = lambda k, g: F.when(g > 0, x[k][g - 1] + 1).otherwise(0)
         return F.transform(x["a"], lambda a, g: F.struct(first("a", g).alias("a0"), a.alias("a"), first("b", g).alias("b0"), x["b"][g].alias("b")))
 
-    found = _let(_let(_let(F.array_intersect("a_ends", "b_ends"), shared), last), groups)
+    found = let(let(let(F.array_intersect("a_ends", "b_ends"), shared), last), groups)
     return tokens_.withColumn("groups", F.when(F.size("a_ids") > 0, found).otherwise(F.array().cast("array<struct<a0:int,a:int,b0:int,b:int>>")))
 
 
@@ -183,7 +177,7 @@ def _pairs(groups: Column) -> Column:
 
     def each(group: Column) -> Column:
         alone = F.array(pair(F.col("a_ids")[group["a"]], F.col("b_ids")[group["b"]], F.lit(1).cast("long")))
-        return F.when(_single(group), alone).otherwise(_let(F.struct(_run("a_ids", group, "a").alias("a"), _run("b_ids", group, "b").alias("b")), lambda x: of(x["a"], x["b"])))
+        return F.when(_single(group), alone).otherwise(let(F.struct(_run("a_ids", group, "a").alias("a"), _run("b_ids", group, "b").alias("b")), lambda x: of(x["a"], x["b"])))
 
     return F.flatten(F.transform(groups, each))
 

@@ -9,12 +9,13 @@ mask has the text of each assistant turn in the one window where it is no repeti
 
 - where system turn, history and a first own turn are over the budget, the window goes without history; a turn that
   is over the budget even so has a window of its own, with the system turn, over the budget;
-- a system turn over half of the budget stands in its first window only, as it would leave too little for the others.
+- of a system turn no more than half of the budget counts, so that other turns keep the other half: it stands in every
+  window all the same, and windows are over the budget by what it has over half of it.
 
 Texts stay out of the planning: positions, prefix sums and where a history begins come from window functions over rows
 without texts, the fold sees three numbers a turn. Each text then meets its windows by a join on its row's digest and
-is copied only where it is repeated. The fold takes RUN turns at a time; a window ends where a run of so many does,
-history and system turn go on.
+is copied only where it is repeated. The fold holds four numbers for each turn of one conversation (32 MB for a million
+turns) and its work is linear in them.
 
 In texts, a [ or < that begins a control string (<|, <s>, </s>, [INST], [/INST], <<SYS>>, <</SYS>>) gets a backslash
 after it, and where backslashes follow it already, one more; taking one away restores the text. Roles are URL-encoded.
@@ -32,7 +33,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUDGET, HISTORY, RUN = 2048, 256, 1 << 16
+from evimap.llm.common import let
+
+BUDGET, HISTORY = 2048, 256
 #: Control strings after their first character, for a lookahead: fixed values of the template and of common ones.
 _CONTROL = r"(?=\||/?s>|/?INST\]|</?SYS>>)"
 _START, _END = "<|im_start|>", "<|im_end|>\n"
@@ -65,16 +68,17 @@ def _placed(rows: DataFrame, budget: int, history: int) -> DataFrame:
     before = F.coalesce(F.sum("cost").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     lead = F.first(F.when(F.col("role") == "system", F.col("cost")).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
     rows = rows.select("conv_id", "key", "cost", (F.row_number().over(order) - 1).cast("long").alias("pos"), before.alias("before"), lead.alias("lead"))
-    rows = rows.withColumn("system", F.when(F.col("lead") <= budget / 2, F.col("lead")).otherwise(0))
+    rows = rows.withColumn("system", F.least("lead", F.lit(budget // 2).cast("long")))
     near = Window.partitionBy("conv_id").orderBy("before").rangeBetween(-history, 0)
     own = F.when((F.col("lead") == 0) | (F.col("pos") > 0), F.struct("pos", "before"))  # the system turn is no history
     rows = rows.withColumn("past", F.coalesce(F.min(own).over(near), F.struct("pos", "before")))
-    return rows.select("conv_id", "key", "cost", "pos", "system", F.col("past.pos").alias("past"), (F.col("before") - F.col("past.before")).alias("past_cost"))
+    cost = F.when((F.col("pos") == 0) & (F.col("lead") > 0), F.col("system")).otherwise(F.col("cost")).alias("cost")
+    return rows.select("conv_id", "key", cost, "pos", "system", F.col("past.pos").alias("past"), (F.col("before") - F.col("past.before")).alias("past_cost"))
 
 
-def _planned(placed: DataFrame, budget: int, run: int) -> DataFrame:
+def _planned(placed: DataFrame, budget: int) -> DataFrame:
     """One row per turn of each window: conv_id, window, pos, repeated."""
-    runs = placed.groupBy("conv_id", F.floor(F.col("pos") / run).alias("run")).agg(F.sort_array(F.collect_list(F.struct("pos", "cost", "past", "past_cost"))).alias("ts"), F.max("system").alias("system"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "cost", "past", "past_cost"))).alias("ts"), F.max("system").alias("system"))
     # a window: its first own turn, and from where on turns are repeated before it
     lead = "if(t.pos = 0, 0L, system)"
     past = f"if({lead} + t.past_cost + t.cost <= {budget}, t.past_cost, 0L)"
@@ -83,15 +87,15 @@ def _planned(placed: DataFrame, budget: int, run: int) -> DataFrame:
         'used', {lead} + {past} + t.cost)"""
     fold = f"""aggregate(ts, named_struct('at', cast(array() as array<struct<own:bigint,past:bigint>>), 'used', cast(null as bigint)),
         (a, t) -> if(a.used + t.cost <= {budget}, named_struct('at', a.at, 'used', a.used + t.cost), {opened})).at"""
-    windows = runs.select("conv_id", "system", F.expr("element_at(ts, -1).pos + 1").alias("end"), F.expr(fold).alias("at"))
-    windows = windows.select("conv_id", "system", F.expr("transform(at, (w, i) -> named_struct('own', w.own, 'past', w.past, 'end', if(i + 1 < size(at), at[i + 1].own, end)))").alias("ws"))
-    windows = windows.select("conv_id", "system", F.explode("ws").alias("w")).select("conv_id", "system", "w.*")
+    end = lambda at, i: F.when(i + 1 < F.size(at), at[i + 1]["own"]).otherwise(F.element_at("ts", -1)["pos"] + 1)
+    ends = let(F.expr(fold), lambda at: F.transform(at, lambda w, i: F.struct(w["own"].alias("own"), w["past"].alias("past"), end(at, i).alias("end"))))
+    windows = whole.select("conv_id", "system", F.explode(ends).alias("w")).select("conv_id", "system", "w.*")
     turns = F.expr("concat(if(system > 0 and own > 0, array(0L), cast(array() as array<bigint>)), sequence(past, end - 1))")
     return windows.select("conv_id", F.col("own").alias("window"), F.explode(turns).alias("pos")).withColumn("repeated", F.col("pos") < F.col("window"))
 
 
 def format_chats(
-    conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, run: int = RUN, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cost: Callable[[Column], Column] = pieces
+    conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", cost: Callable[[Column], Column] = pieces
 ) -> DataFrame:
     """One row per window: conv_id, window (the position of its first own turn), formatted, turns.
 
@@ -102,7 +106,7 @@ def format_chats(
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.url_encode(role).alias("role"), text.alias("text"), F.unhex(F.md5(F.concat_ws("\x01", *parts, F.url_encode(role), text))).alias("key"))
     placed = _placed(rows.select("conv_id", "turn", "role", F.substring("text", 1, 64).alias("head"), "key", (cost(F.col("text")) + 4).cast("long").alias("cost")), budget, history)
     keys = placed.select(F.col("conv_id").alias("_conv"), F.col("pos").alias("_pos"), "key")
-    planned = _planned(placed, budget, run).join(keys, _same("conv_id", "_conv") & (F.col("pos") == F.col("_pos"))).select("conv_id", "window", "pos", "repeated", "key")
+    planned = _planned(placed, budget).join(keys, _same("conv_id", "_conv") & (F.col("pos") == F.col("_pos"))).select("conv_id", "window", "pos", "repeated", "key")
     texts = rows.groupBy("key").agg(F.first("role").alias("role"), escaped(F.first("text")).alias("text"))
     turns = planned.join(texts, "key").groupBy("conv_id", "window").agg(F.sort_array(F.collect_list(F.struct("pos", "repeated", "role", "text"))).alias("_all"))
     spans = F.expr(

@@ -9,13 +9,13 @@ a digest of their bytes (`Words.digests`).
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions.tables import shared_folder
@@ -162,3 +162,8 @@ def windows(words: np.ndarray, first: np.ndarray, size: int, k: int = 0) -> tupl
 def quoted(column: str) -> str:
     """A column's name as one part of a name expression."""
     return "`" + column.replace("`", "``") + "`"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for the row: what stands inside a lambda itself is computed for each element."""
+    return F.transform(F.array(value), body)[0]

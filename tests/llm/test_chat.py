@@ -1,5 +1,7 @@
 import hashlib
+import random
 import re
+import time
 
 from evimap.llm.chat import digests, format_chats, read_back
 
@@ -55,13 +57,48 @@ def test_windows_keep_budget_system_and_history(spark):
     assert read_back(format_chats(df, budget=100, history=30)).first().n_turns == 1030
 
 
-def test_windows_of_a_cut_run_keep_history(spark):
-    rows = [(1, 0, "system", "rules"), *((1, i, "assistant", f"w{i} " * 10) for i in range(1, 40))]
-    df = spark.createDataFrame([(*r, 0, 0) for r in rows], SCHEMA)
-    for w in format_chats(df, budget=100, history=30, run=16).collect():
-        assert w.window == 0 or [t.repeated for t in w.turns][:4] == [True, True, True, False]
-    got = digests(format_chats(df, budget=100, history=30, run=16)).first()
-    assert (got.n_turns, got.turns_sha256, got.loss_chars, got.loss_sha256) == expected(rows)[1]
+def plain_windows(rows, budget, history):
+    """For each window the positions of its turns and which of them are repeated, turn by turn."""
+    cost = [cost_of(t) for _, _, _, t in rows]
+    system = min(cost[0], budget // 2) if rows[0][2] == "system" else 0
+    cost[0] = system or cost[0]
+    out, used = [], None
+    for i, c in enumerate(cost):
+        if used is not None and used + c <= budget:
+            out[-1].append((i, False))
+            used += c
+            continue
+        past = i
+        while past > (1 if system else 0) and sum(cost[past - 1 : i]) <= history:
+            past -= 1
+        lead = system if i else 0
+        past = past if lead + sum(cost[past:i]) + c <= budget else i
+        used = lead + sum(cost[past : i + 1])
+        out.append([(0, True)] * (system > 0 and i > 0) + [(k, True) for k in range(past, i)] + [(i, False)])
+    return out
+
+
+def test_windows_against_plain_planning(spark):
+    r = random.Random(6)
+    rows, want = [], {}
+    for conv in range(40):
+        own = [(conv, i, "system" if i == 0 and conv % 2 else r.choice(["user", "assistant"]), f"t{i} " * r.choice([0, 1, 3, 20, 70])) for i in range(r.randint(1, 90))]
+        rows += own
+        want[conv] = [[(own[k][3], repeated) for k, repeated in w] for w in plain_windows(own, 100, 30)]
+    got = {}
+    for w in format_chats(spark.createDataFrame([(*x, 0, 0) for x in rows], SCHEMA), budget=100, history=30).orderBy("conv_id", "window").collect():
+        got.setdefault(w.conv_id, []).append([(w.formatted[t.text_at : t.text_at + t.text_chars], t.repeated) for t in w.turns])
+    assert got == want
+
+
+def test_many_turns(spark):
+    """Planning is linear in a conversation's turns; no window ends for another reason than its budget."""
+    n = 200_000
+    rows = spark.range(n).selectExpr("1L AS conv_id", "id AS turn", "if(id % 2 = 0, 'user', 'assistant') AS role", "'ab' AS text")
+    began = time.time()
+    windows = format_chats(rows).selectExpr("window", "size(turns) AS n", "size(filter(turns, t -> t.repeated)) AS past").orderBy("window").collect()
+    assert time.time() - began < 120
+    assert sum(w.n - w.past for w in windows) == n and {w.n for w in windows[:-1]} == {windows[0].n}
 
 
 def test_turns_over_the_budget(spark):
@@ -71,8 +108,8 @@ def test_turns_over_the_budget(spark):
     shown = {}
     for w in format_chats(df, budget=100, history=30).orderBy("window").collect():
         shown.setdefault(w.conv_id, []).append([(w.formatted[t.text_at], t.repeated) for t in w.turns])
-    # a large system turn isn't repeated, and a turn that is over the budget alone goes without history
-    assert shown[1] == [[("s", False)], [("u", False)], [("a", False)], [("v", False)]]
+    # of a large system turn half of the budget counts, and a turn that is over the budget alone goes without history
+    assert shown[1] == [[("s", False), ("u", False)], [("s", True), ("a", False)], [("s", True), ("v", False)]]
     assert shown[2] == [[("s", False), ("u", False)], [("s", True), ("a", False)]]
 
 
