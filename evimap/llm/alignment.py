@@ -1,13 +1,16 @@
 """Alignment of two tokenizers' tokens over the same text.
 
-Text is a space and the document's text. Tokenising runs in Arrow batches: token ids and the byte offset behind each
-token, for a byte-level vocabulary (A) and a sentence-piece vocabulary (B). From there on everything is Spark's
-higher-order functions: `array_intersect` of the two arrays of ends gives the places where both end a token; `transform`
-and `sequence` cut the tokens into groups between them and pair those of a group as links; `aggregate` counts.
-
-Whether a token ends at a shared end is looked up in an array with an entry for each byte of the text, so the work is linear
-in the text. An array that a lambda reads is bound to a variable
-first (`let`): what stands inside a lambda itself would be computed again for each element.
+Text is a space and the document's text. Both a byte-level vocabulary (A) and a sentence-piece vocabulary (B) end a token
+before a space that follows no white space. Texts are cut there into units, which repeat: tokenising, in Arrow batches,
+gives the distinct units of a few MB of text, with either vocabulary's ids and the byte offset behind each token, and
+each document as the numbers of its units.
+
+From there on everything is Spark's higher-order functions. For each distinct unit, `array_intersect` of the two arrays of
+ends gives the places where both end a token; `transform` and `sequence` cut the tokens into groups between them and
+pair those of a group as links; documents are put together from their units, and `aggregate` counts. Whether a token
+ends at a shared end is looked up in an array with an entry for each byte of the unit, so the work is linear. An
+array that a lambda reads is bound to a variable first (`let`): what stands inside a lambda itself would be computed
+again for each element.
 
 Links between an id of A and an id of B are counted over the corpus by the documents that hold them. A group of p and q
 tokens is kept as its distinct id pairs with their number of occurrences, so a long group of few ids stays small. The
@@ -23,6 +26,7 @@ each on their own and count as documents of their own; an empty table gives an e
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -37,169 +41,182 @@ from evimap.llm.common import let, materialise, slices, utf8
 BROADCAST_PAIRS = 1 << 20
 #: Slices of the join where there are more.
 SALTS = 16
-#: Units of text whose pieces a worker keeps; a full memo is emptied. It bounds memory only.
-MEMO = 600_000
+#: Bytes of text whose distinct units are tokenised and aligned together.
+SLICE_BYTES = 8 << 20
+#: Units of text whose tokens a worker keeps; a full memo is emptied. It bounds memory only.
+MEMO = 400_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
-_TOKENS = "doc_id long, a_ids array<int>, a_ends array<int>, b_ids array<int>, b_ends array<int>"
+_WHITE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_TOKENS = "units array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>"
 
 
-class Pieces:
-    """Ids of a sentence-piece vocabulary with their bytes.
+class Units:
+    """Both vocabularies' tokens of units of text; a unit begins with a space.
 
-    Its pieces hold a space mark only at their start, so no piece reaches over a space that follows something else: texts
-    are cut there, and the distinct units of a batch are encoded once each."""
+    B's pieces hold a space mark only at their start, so none reaches over the space that begins a unit; A splits text there
+    before it merges. A unit whose tokens' bytes are not its own has none."""
 
-    def __init__(self, path: str):
+    def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        names = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size())]
+        self.a, a_bytes = encoder(a_path, plain=True), Decoder(a_path).table.to_pylist()
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
+        names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^\u2581]\u2581", name) for name in names):
             raise ValueError("a piece of this vocabulary reaches over a space")
-        self.bytes = pa.array([bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(x)) else x.replace("\u2581", " ").encode() for x in names], pa.large_binary())
+        b_bytes = [bytes.fromhex(m[1]) if (m := _BYTE.fullmatch(x)) else x.replace("\u2581", " ").encode() for x in names]
+        self.tables = [pa.array(x, pa.large_binary()) for x in (a_bytes, b_bytes)]
         #: The library gives no id for an empty text, which is what follows the space of a unit of one space.
-        self.space = np.array([self.model.piece_to_id("\u2581")], "<u4").tobytes()
-        self.memo: dict[str, bytes] = {}
-
-    def column(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts, each of which begins with a space, and n + 1 offsets among them."""
-        marked = pc.replace_substring_regex(texts, "([^ ]) ", "\\1\x00 ") if not pc.any(pc.match_substring(texts, "\x00")).as_py() else None
-        units = pc.split_pattern(marked, "\x00") if marked is not None else pa.array([re.split("(?<=[^ ])(?= )", t) for t in texts.to_pylist()], pa.list_(pa.string()))
-        coded = units.flatten().dictionary_encode()
-        ids = self._units(coded.dictionary).take(coded.indices)
-        _, offsets, data = ids.buffers()
-        at = np.frombuffer(offsets, np.int64)[: len(ids) + 1][np.asarray(units.offsets) - units.offsets[0].as_py()] // 4
-        return np.frombuffer(data, "<u4") if data is not None else np.empty(0, "<u4"), at
-
-    def _units(self, units: pa.Array) -> pa.Array:
-        units, memo = units.to_pylist(), self.memo
-        new = [u for u in units if u not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = units
-        # the library puts a space before what it encodes: a unit's own
-        memo.update((u, np.array(ids, "<u4").tobytes() if len(u) > 1 else self.space) for u, ids in zip(new, self.model.encode([u[1:] for u in new], num_threads=1), strict=True))
-        return pa.array([memo[u] for u in units], pa.large_binary())
+        self.space = [self.b.piece_to_id("\u2581")]
+        self.memo: dict[str, tuple[bytes, bytes, bytes, bytes] | None] = {}
 
+    def _learn(self, units: list[str]) -> None:
+        data, offsets = utf8(pa.array(units, pa.string()))
+        # the library puts a space before what it encodes: a unit's own
+        found = [ids if len(u) > 1 else self.space for u, ids in zip(units, self.b.encode([u[1:] for u in units], num_threads=1), strict=True)]
+        b = np.array([i for ids in found for i in ids], "<u4"), np.r_[0, np.cumsum([len(ids) for ids in found], dtype=np.int64)]
+        parts, same = [], np.ones(len(units), bool)
+        for (ids, at), table in zip((self.a.column(pa.array(units, pa.string())), b), self.tables, strict=True):
+            taken = table.take(pa.array(ids))
+            _, ends, bytes_ = taken.buffers()
+            ends = np.frombuffer(ends, np.int64)[: len(taken) + 1]
+            whole = memoryview(np.frombuffer(bytes_, np.uint8)) if bytes_ is not None else b""
+            starts = ends[at]
+            own = memoryview(data)
+            same &= [whole[x:y] == own[v:w] for x, y, v, w in zip(starts[:-1].tolist(), starts[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            parts += [(ids.astype("<i4").tobytes(), (4 * at).tolist()), ((ends[1:] - np.repeat(starts[:-1], np.diff(at))).astype("<i4").tobytes(), (4 * at).tolist())]
+        for i, unit in enumerate(units):
+            self.memo[unit] = tuple(x[at[i] : at[i + 1]] for x, at in parts) if same[i] else None
+
+    def of(self, units: list[str]) -> list[tuple[bytes, bytes, bytes, bytes] | None]:
+        new = [u for u in units if u not in self.memo]
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = units
+        if new:
+            self._learn(new)
+        return [self.memo[u] for u in units]
 
-_pieces: dict[str, Pieces] = {}
-_decoders: dict[str, pa.Array] = {}
+    @staticmethod
+    def cut(texts: pa.Array) -> pa.Array:
+        """Lists of the units of texts that begin with a space."""
+        if pc.any(pc.match_substring(texts, "\x00")).as_py():
+            place = re.compile(r"(?<=[^\s\x1c-\x1f])(?= )")
+            return pa.array([place.split(t) for t in texts.to_pylist()], pa.list_(pa.string()))
+        return pc.split_pattern(pc.replace_substring_regex(texts, f"([^{_WHITE}]) ", "\\1\x00 "), "\x00")
 
 
-def _same(ids: np.ndarray, at: np.ndarray, table: pa.Array, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Byte lengths of tokens, and which texts their bytes give back."""
-    taken = table.take(pa.array(ids))
-    _, ends, bytes_ = taken.buffers()
-    ends = np.frombuffer(ends, np.int64)[: len(taken) + 1]
-    whole = np.frombuffer(bytes_, np.uint8) if bytes_ is not None else np.empty(0, np.uint8)
-    starts = ends[at]
-    same = np.diff(starts) == np.diff(offsets)
-    for i in np.flatnonzero(same).tolist():
-        same[i] = np.array_equal(whole[starts[i] : starts[i + 1]], data[offsets[i] : offsets[i + 1]])
-    return np.diff(ends), same
+_units: dict[tuple[str, str], Units] = {}
 
 
-def _lists(values: np.ndarray, at: np.ndarray, keep: np.ndarray) -> pa.Array:
-    """values[at[i]:at[i + 1]] as lists, empty where keep is false."""
-    size = np.diff(at)
-    kept = values[np.repeat(keep, size)]
-    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(keep, size, 0))].astype(np.int32)), pa.array(kept.astype(np.int32)))
+def _list(parts: list[bytes]) -> pa.Array:
+    size = np.array([len(p) for p in parts], np.int64) // 4
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, and both vocabularies' token ids with the byte offset behind each token; empty arrays where the bytes differ."""
+    """A row for a few MB of text: its distinct units with both vocabularies' ids and the byte offset behind each token, and
+    its documents as numbers of units; without any where the bytes differ."""
 
     def each(batches):
-        a, b = encoder(a_path, plain=True), _pieces.get(b_path) or _pieces.setdefault(b_path, Pieces(b_path))
-        if a_path not in _decoders:
-            _decoders[a_path] = Decoder(a_path).table
+        known = _units.get((a_path, b_path)) or _units.setdefault((a_path, b_path), Units(a_path, b_path))
         for batch in batches:
-            for part in slices(batch):
-                text = part.column("text")
-                texts = pc.binary_join_element_wise(" ", pc.fill_null(text, ""), "").cast(pa.string())
-                data, offsets = utf8(texts)
-                found = [(*x.column(texts), table) for x, table in ((a, _decoders[a_path]), (b, b.bytes))]
-                sizes, same = zip(*[_same(ids, at, table, data, offsets) for ids, at, table in found], strict=True)
-                keep = same[0] & same[1] & (np.diff(offsets) > 1)
-                columns = [part.column("doc_id")]
-                for (ids, at, _), size in zip(found, sizes, strict=True):
-                    total = np.r_[0, np.cumsum(size)]
-                    columns += [_lists(ids, at, keep), _lists(total[1:] - np.repeat(total[at[:-1]], np.diff(at)), at, keep)]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "a_ids", "a_ends", "b_ids", "b_ends"])
+            for part in slices(batch, most=SLICE_BYTES):
+                text = pc.fill_null(part.column("text"), "")
+                lists = known.cut(pc.binary_join_element_wise(" ", text, "").cast(pa.string()))
+                coded = lists.flatten().dictionary_encode()
+                found = known.of(coded.dictionary.to_pylist())
+                bad = np.array([x is None for x in found], bool)
+                at, index = np.asarray(lists.offsets).astype(np.int64), np.asarray(coded.indices).astype(np.int32)
+                at -= at[0]
+                wrong = np.r_[0, np.cumsum(bad[index])]
+                keep = (wrong[at[1:]] == wrong[at[:-1]]) & np.asarray(pc.greater(pc.binary_length(text), 0))
+                size = np.diff(at)
+                numbers = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.where(keep, size, 0))].astype(np.int32)), pa.array(index[np.repeat(keep, size)]))
+                none = (b"",) * 4
+                units = pa.StructArray.from_arrays([_list(list(x)) for x in zip(*[x or none for x in found], strict=True)], names=["a", "a_ends", "b", "b_ends"])
+                counts = [np.r_[0, np.cumsum(np.array([len(x[k]) // 4 if x else 0 for x in found], np.int64)[index])] for k in (0, 2)]
+                n_a, n_b = (pa.array(np.where(keep, n[at[1:]] - n[at[:-1]], 0)) for n in counts)
+                documents = pa.StructArray.from_arrays([part.column("doc_id"), n_a, n_b, numbers], names=["doc_id", "n_a", "n_b", "units"])
+                one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (units, documents)]
+                yield pa.RecordBatch.from_arrays(one, names=["units", "docs"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, _TOKENS)
 
 
 def _last_tokens(ends: Column, shared: Column) -> Column:
-    """Numbers of the tokens that end where shared says so: an entry for each byte of the text."""
+    """Numbers of the tokens that end where shared says so: an entry for each byte of the unit."""
     return F.filter(F.sequence(F.lit(0), F.size(ends) - 1), lambda i: shared[ends[i] - 1])
 
 
-def grouped(tokens_: DataFrame) -> DataFrame:
-    """tokens with groups: an array of (a0, a, b0, b), the numbers of the first and last token of either vocabulary between two places
-    where both end a token."""
+def _groups(unit: Column) -> Column:
+    """(a0, a, b0, b) of each group: the numbers of the first and last token of either vocabulary between two shared ends."""
 
     def shared(ends: Column) -> Column:
         before = lambda i: F.when(i > 0, ends[i - 1]).otherwise(0)
         return F.flatten(F.transform(ends, lambda e, i: F.concat(F.array_repeat(F.lit(False), e - before(i) - 1), F.array(F.lit(True)))))
 
     def last(at: Column) -> Column:
-        return F.struct(_last_tokens(F.col("a_ends"), at).alias("a"), _last_tokens(F.col("b_ends"), at).alias("b"))
+        return F.struct(_last_tokens(unit["a_ends"], at).alias("a"), _last_tokens(unit["b_ends"], at).alias("b"))
 
     def groups(x: Column) -> Column:
         first = lambda k, g: F.when(g > 0, x[k][g - 1] + 1).otherwise(0)
         return F.transform(x["a"], lambda a, g: F.struct(first("a", g).alias("a0"), a.alias("a"), first("b", g).alias("b0"), x["b"][g].alias("b")))
 
-    found = let(let(let(F.array_intersect("a_ends", "b_ends"), shared), last), groups)
-    return tokens_.withColumn("groups", F.when(F.size("a_ids") > 0, found).otherwise(F.array().cast("array<struct<a0:int,a:int,b0:int,b:int>>")))
+    return let(let(let(F.array_intersect(unit["a_ends"], unit["b_ends"]), shared), last), groups)
 
 
-def _single(group: Column) -> Column:
-    """Whether the group is one token of A and one of B, as most are."""
-    return (group["a0"] == group["a"]) & (group["b0"] == group["b"])
-
-
-def _run(ids: str, group: Column, side: str) -> Column:
+def _run(unit: Column, group: Column, side: str) -> Column:
     first = group[side + "0"]
-    return F.slice(ids, first + 1, group[side] - first + 1)
+    return F.slice(unit[side], first + 1, group[side] - first + 1)
 
 
-def _pairs(groups: Column) -> Column:
-    """All distinct pairs of each group with the number of their occurrences."""
+def _pairs(run: Column) -> Column:
+    """All distinct pairs (a, b, times) of a group, of which run holds the ids as arrays a and b."""
+    pair = lambda x, y, times: F.struct(x.alias("a"), y.alias("b"), times.alias("times"))
+    distinct = lambda ids: F.when(F.size(ids) == 1, ids).otherwise(F.array_distinct(ids))
+    count = lambda ids, x: F.when(F.size(ids) == 1, F.lit(1)).otherwise(F.size(F.filter(ids, lambda y: y == x)))
+    times = lambda x, y: count(run["a"], x).cast("long") * count(run["b"], y)
+    several = F.flatten(F.transform(distinct(run["a"]), lambda x: let(distinct(run["b"]), lambda b: F.transform(b, lambda y: pair(x, y, times(x, y))))))
+    alone = F.array(pair(run["a"][0], run["b"][0], F.lit(1).cast("long")))
+    return F.when((F.size(run["a"]) == 1) & (F.size(run["b"]) == 1), alone).otherwise(several)
 
-    def pair(a: Column, b: Column, times: Column) -> Column:
-        return F.struct(a.alias("a"), b.alias("b"), times.alias("times"))
 
-    def of(a: Column, b: Column) -> Column:
-        occurrences = lambda ids, x: F.size(F.filter(ids, lambda y: y == x)).cast("long")
-        return F.flatten(F.transform(F.array_distinct(a), lambda x: F.transform(F.array_distinct(b), lambda y: pair(x, y, occurrences(a, x) * occurrences(b, y)))))
+def _aligned_unit(unit: Column) -> Column:
+    """text (`a1,a2|b1;a3|b2,b3`), groups and links (how many), and a, b, times: the distinct pairs of each group, side by side."""
+    ids = lambda x: F.array_join(x.cast("array<string>"), ",")
+    text = lambda run: F.concat(ids(run["a"]), F.lit("|"), ids(run["b"]))
+    links = lambda run: F.size(run["a"]).cast("long") * F.size(run["b"])
 
-    def each(group: Column) -> Column:
-        alone = F.array(pair(F.col("a_ids")[group["a"]], F.col("b_ids")[group["b"]], F.lit(1).cast("long")))
-        return F.when(_single(group), alone).otherwise(let(F.struct(_run("a_ids", group, "a").alias("a"), _run("b_ids", group, "b").alias("b")), lambda x: of(x["a"], x["b"])))
+    def filled(text_: Column, groups: Column, links_: Column, pairs: Column) -> Column:
+        return let(pairs, lambda p: F.struct(text_.alias("text"), groups.cast("long").alias("groups"), links_.alias("links"), *[p[k].alias(k) for k in ("a", "b", "times")]))
 
-    return F.flatten(F.transform(groups, each))
+    def parts(groups: Column) -> Column:
+        runs = F.transform(groups, lambda g: F.struct(_run(unit, g, "a").alias("a"), _run(unit, g, "b").alias("b")))
+        total = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda n, run: n + links(run))
+        return let(runs, lambda r: filled(F.array_join(F.transform(r, text), ";"), F.size(r), total(r), F.flatten(F.transform(r, _pairs))))
 
+    # where one side is one token there is one group
+    whole = filled(text(unit), F.lit(1), links(unit), _pairs(unit))
+    return F.when(F.size(unit["a"]) == 0, None).when((F.size(unit["a"]) == 1) | (F.size(unit["b"]) == 1), whole).otherwise(let(_groups(unit), parts))
 
-def _text(groups: Column) -> Column:
-    """The groups as `a1,a2|b1;a3|b2,b3`."""
-    ids = lambda group, side: F.array_join(_run(f"{side}_ids", group, side).cast("array<string>"), ",")
 
-    def each(group: Column) -> Column:
-        alone = F.concat(F.col("a_ids")[group["a"]].cast("string"), F.lit("|"), F.col("b_ids")[group["b"]].cast("string"))
-        return F.when(_single(group), alone).otherwise(F.concat(ids(group, "a"), F.lit("|"), ids(group, "b")))
+def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups (a string: `a1,a2|b1;a3|b2,b3`), and the distinct pairs of
+    each group as arrays side by side: a, b, times."""
 
-    return F.array_join(F.transform(groups, each), ";")
+    of = lambda k: lambda i: F.col("aligned")[i][k]
 
+    # aligned is a column, not a variable: it is read in several places, so Spark computes it once for the row
+    def document(doc: Column) -> Column:
+        total = lambda k: F.aggregate(doc["units"], F.lit(0).cast("long"), lambda n, i: n + F.col("aligned")[i][k]).alias(f"n_{k}")
+        text = F.array_join(F.transform(doc["units"], of("text")), ";")
+        pairs = [F.flatten(F.transform(doc["units"], of(k))).alias(k) for k in ("a", "b", "times")]
+        return F.struct(*[doc[k].alias(k) for k in ("doc_id", "n_a", "n_b")], total("groups"), total("links"), text.alias("groups"), *pairs)
 
-def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_a, n_b, n_groups, n_links, groups (a string: `a1,a2|b1;a3|b2,b3`), pairs (a, b, times)."""
-    rows = grouped(tokens(docs, a_path, b_path, id_col, text_col))
-    size = lambda g, side: (g[side] - g[side + "0"] + 1).cast("long")
-    links = F.aggregate("groups", F.lit(0).cast("long"), lambda n, g: n + size(g, "a") * size(g, "b"))
-    sizes = [F.size(x).cast("long").alias(n) for n, x in (("n_a", "a_ids"), ("n_b", "b_ids"), ("n_groups", "groups"))]
-    return rows.select("doc_id", *sizes, links.alias("n_links"), _text(F.col("groups")).alias("groups"), _pairs(F.col("groups")).alias("pairs"))
+    rows = tokens(docs, a_path, b_path, id_col, text_col).select("docs", F.transform("units", _aligned_unit).alias("aligned"))
+    return rows.select(F.inline(F.transform("docs", document)))
 
 
 def _key(a: Column, b: Column) -> Column:
@@ -207,9 +224,9 @@ def _key(a: Column, b: Column) -> Column:
     return F.shiftleft(a.cast("long"), 32) + b
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    """pairs: rows of (pairs array). pair (a * 2^32 + b), documents (that hold it linked), best (whether no other pair of its a has more)."""
-    each = pairs.select(F.explode(F.array_distinct(F.transform("pairs", lambda p: _key(p["a"], p["b"])))).alias("pair"))
+def pair_counts(documents: DataFrame) -> DataFrame:
+    """documents: rows with a and b. pair (a * 2^32 + b), documents (that hold it linked), best (whether no other pair of its a has more)."""
+    each = documents.select(F.explode(F.array_distinct(F.zip_with("a", "b", _key))).alias("pair"))
     counts = each.groupBy("pair").agg(F.count("*").alias("documents"))
     # a window's group is one id of A: no more rows than B has ids
     return counts.withColumn("best", F.col("documents") == F.max("documents").over(Window.partitionBy(F.shiftright("pair", 32))))
@@ -220,11 +237,11 @@ def link_scores(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
     found = aligned(docs, a_path, b_path, id_col, text_col).withColumn("row", F.monotonically_increasing_id())
     held = materialise(found.withColumn("groups_sha256", F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")).drop("groups"), "links")
     counts = materialise(pair_counts(held), "pairs")
-    links = held.select("row", F.inline("pairs")).select("row", _key(F.col("a"), F.col("b")).alias("pair"), "times")
+    links = held.select("row", "b", "times", F.posexplode("a").alias("i", "x")).select("row", _key(F.col("x"), F.col("b")[F.col("i")]).alias("pair"), F.col("times")[F.col("i")].alias("times"))
     if counts.count() <= broadcast_pairs:
         joined = links.join(F.broadcast(counts), "pair")
     else:
         salted = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = links.withColumn("salt", F.pmod("row", F.lit(SALTS)).cast("int")).join(salted, ["pair", "salt"])
     sums = joined.groupBy("row").agg(F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("n_best"), F.sum(F.col("times") * F.col("documents")).alias("count_sum"))
-    return held.drop("pairs").join(sums, "row", "left").drop("row").na.fill(0, ["n_best", "count_sum"])
+    return held.drop("a", "b", "times").join(sums, "row", "left").drop("row").na.fill(0, ["n_best", "count_sum"])

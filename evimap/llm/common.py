@@ -43,12 +43,12 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut a batch into runs of rows of about SLICE_BYTES of text, one row at least."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about so many bytes of text, one row at least."""
     if not batch.num_rows:
         return
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0)).astype(np.int64)
-    group = (np.cumsum(size) - size) // SLICE_BYTES
+    group = (np.cumsum(size) - size) // most
     starts = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
     for s, e in zip(starts, np.r_[starts[1:], batch.num_rows], strict=True):
         yield batch.slice(int(s), int(e - s))

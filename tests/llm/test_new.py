@@ -83,17 +83,15 @@ def test_alignment_of_an_empty_table(spark):
     assert link_scores(docs_of(spark, []), A, B).collect() == []
 
 
-def test_alignment_pairs_of_a_long_group():
+def test_alignment_pairs_of_a_long_group(spark):
     """A group of many tokens of few ids stays as small as its ids."""
-    from pyspark.sql import SparkSession
+    from evimap.llm.alignment import _aligned_unit
 
-    from evimap.llm.alignment import _pairs
-
-    spark = SparkSession.getActiveSession()
     n = 20_000
-    row = spark.createDataFrame([([7, 8] * n, [1] * n, [(0, 2 * n - 1, 0, n - 1)])], "a_ids array<int>, b_ids array<int>, groups array<struct<a0:int,a:int,b0:int,b:int>>")
-    pairs = row.select(_pairs(row["groups"]).alias("p")).first()["p"]
-    assert sorted(map(tuple, pairs)) == [(7, 1, n * n), (8, 1, n * n)]
+    unit = ([7, 8] * n, [*range(1, 2 * n), 5 * n], [1] * n, [*range(2 * n, 3 * n - 1), 5 * n])
+    row = spark.createDataFrame([(unit,)], "u struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>")
+    got = row.select(_aligned_unit(row["u"]).alias("x")).select("x.*").first()
+    assert got.groups == 1 and got.links == 2 * n * n and sorted(zip(got.a, got.b, got.times, strict=True)) == [(7, 1, n * n), (8, 1, n * n)]
 
 
 def test_plan_is_best_fit_decreasing():
