@@ -1,52 +1,75 @@
-"""Sequence search by seeds: exact occurrences, context, alternatives, collapse of equal sequences, few substitutions."""
+"""Sequence search: occurrences, wildcards and substitutions in place (by seeds), context, alternatives, collapse of equal sequences."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import MODIFICATIONS, peptide_mass, searchable
+from evimap.operators import seeds
 
 #: Letters that a wildcard stands for, I being L.
 ALPHABET = "ACDEFGHKLMNPQRSTVWY"
-#: Lengths of tiles that targets are cut into; a pattern is found by the longest of which it has twice as much less one.
-TILES = (16, 8, 4, 2, 1)
-
-
-def occurrences(targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str, tiles: tuple[int, ...] = TILES) -> DataFrame:
-    """target_id, pattern_id, position (from 1): all, possibly overlapping, occurrences of patterns of any length but 0.
-
-    Targets are cut into tiles side by side, so the exploded table is no larger than the text. An occurrence of 2 s - 1
-    characters or more holds exactly one tile of s that starts within its first s: tiles are joined with the patterns'
-    windows at those s places, and hits are verified. Patterns go by length to the tile that suits them; lengths that no
-    pattern has cost nothing."""
-    p = patterns.select(F.col(pattern_id), F.col(pattern).alias("_pattern")).where("length(_pattern) > 0")
-    t = targets.select(F.col(target_id), F.col(target).alias("_target"))
-    bounds = [(s, 2 * s - 1, 2 * tiles[i - 1] - 2 if i else 1 << 30) for i, s in enumerate(tiles)]
-    present = p.agg(*[F.coalesce(F.bool_or(F.length("_pattern").between(lo, hi)), F.lit(False)).alias(str(s)) for s, lo, hi in bounds]).first()
-    hits = []
-    for s, lo, hi in bounds:
-        if present[str(s)]:
-            seeds = p.where(F.length("_pattern").between(lo, hi)).select(pattern_id, F.posexplode(F.expr(f"transform(sequence(1, {s}), i -> substring(_pattern, i, {s}))")).alias("_o", "_seed"))
-            cut = t.select(target_id, F.posexplode(F.regexp_extract_all("_target", F.lit(f"(?s).{{{s}}}"), F.lit(0))).alias("_i", "_seed"))
-            hits.append(cut.join(seeds, "_seed").select(target_id, pattern_id, (F.col("_i").cast("long") * s + 1 - F.col("_o")).alias("position")).where("position > 0"))
-    if not hits:
-        return t.crossJoin(p.limit(0)).select(target_id, pattern_id, F.lit(1).cast("long").alias("position"))
-    found = reduce(DataFrame.unionByName, hits)
-    return found.join(p, pattern_id).join(t, target_id).where("substring(_target, int(position), length(_pattern)) = _pattern").select(target_id, pattern_id, "position")
-
-
-def lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5) -> DataFrame:
+
+
+def occurrences(targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
+    """target_id, pattern_id, position (from 1): all, possibly overlapping, occurrences of patterns of any length but 0."""
+    found = seeds.search(targets, seeds.exact_runs(patterns, pattern_id, pattern), target_id, target, F.col("found") == F.col("pattern"))
+    # seeds of several residue classes stand at different places, so an exact hit comes once
+    return found.select(target_id, F.col("key").alias(pattern_id), "position")
+
+
+def _looked_up(every: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
+    """every peptide (with _p) with what was found for it; UNMAPPED at 0 where nothing was."""
+    out = every.join(found.withColumnRenamed("pattern", "_p"), "_p", "left")
+    none = {"protein": F.lit("UNMAPPED"), "position": F.lit(0).cast("long")}
+    return out.select("peptide", *[F.coalesce(F.col(c), none[c]).alias(c) if c in none else F.col(c) for c in columns])
+
+
+def _asked(peptides: DataFrame) -> DataFrame:
+    return peptides.select(F.trim("peptide").alias("peptide")).distinct().withColumn("_p", F.translate("peptide", "I", "L"))
+
+
+def lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5, wildcards: bool = False) -> DataFrame:
     """peptide, protein, position: where each distinct peptide stands, with I as L; what can't be searched or isn't found is UNMAPPED at 0.
 
-    peptides: peptide; proteins: id, sequence."""
-    every = peptides.select(F.trim("peptide").alias("peptide")).distinct().withColumn("_p", F.translate("peptide", "I", "L"))
+    peptides: peptide; proteins: id, sequence. wildcards: an X in a peptide stands for any of the residues; however many
+    there are, a peptide is one pattern, found by its longest run without X and verified letter by letter."""
+    every = _asked(peptides)
+    plain = F.translate("_p", "X", "") if wildcards else F.col("_p")
+    wanted = every.where(searchable(F.when(F.length(plain) > 0, plain).otherwise("A"), 1) & (F.length("_p") >= least)).select("_p").distinct()
+    if wildcards:
+        runs = seeds.wildcard_runs(wanted, "_p", "_p", ALPHABET)
+        letters = F.zip_with(F.split("pattern", ""), F.split("found", ""), lambda p, c: (p == c) | ((p == "X") & F.lit(ALPHABET).contains(c)))
+        hit = F.forall(letters, lambda x: x)
+    else:
+        runs, hit = seeds.exact_runs(wanted, "_p", "_p"), F.col("found") == F.col("pattern")
+    found = seeds.search(_residues(proteins), runs, "id", "_s", hit).select("pattern", F.col("id").cast("string").alias("protein"), "position")
+    return _looked_up(every, found, ["protein", "position"])
+
+
+def _residues(proteins: DataFrame) -> DataFrame:
+    return proteins.select("id", F.translate("sequence", "I", "L").alias("_s"))
+
+
+def fuzzy_lookup(peptides: DataFrame, proteins: DataFrame, sites: int, least: int = 5) -> DataFrame:
+    """peptide, protein, position, substitutions, places: where each distinct peptide stands with residues exchanged at one
+    site, at two, or (3) within three that follow each other; I is L. What can't be searched or isn't found is UNMAPPED at 0.
+
+    places: as substitutions() writes them, the sequence's letter at each. Sequences are searched for the sites + 1
+    pieces of a peptide, of which one stands as it is, and each place is compared once, letter by letter."""
+    if sites not in (1, 2, 3):
+        raise ValueError("there are one to three free sites")
+    every = _asked(peptides)
     wanted = every.where(searchable(F.col("_p"), least)).select("_p").distinct()
-    found = occurrences(proteins.select("id", F.translate("sequence", "I", "L").alias("_s")), wanted.select("_p", F.col("_p").alias("_q")), "id", "_s", "_p", "_q")
-    out = every.join(found, "_p", "left")
-    return out.select("peptide", F.coalesce(F.col("id").cast("string"), F.lit("UNMAPPED")).alias("protein"), F.coalesce("position", F.lit(0)).alias("position"))
+    differ = F.array_compact(F.zip_with(F.sequence(F.lit(1), F.length("pattern")), F.split("pattern", ""), lambda i, p: F.when(F.substr("found", i, F.lit(1)) != p, i)))
+    close = F.size(differ) <= sites
+    if sites == 3:
+        close = (F.size(differ) == 0) | (F.array_max(differ) - F.array_min(differ) < 3)
+    runs = seeds.piece_runs(wanted, "_p", "_p", sites + 1)
+    found = seeds.search(_residues(proteins), runs, "id", "_s", close & F.col("found").rlike(f"^[{ALPHABET}]+$"))
+    found = found.select("pattern", F.col("id").cast("string").alias("protein"), "position", F.size(differ).alias("substitutions"), substitutions(F.col("pattern"), F.col("found")).alias("places")).distinct()
+    return _looked_up(every, found, ["protein", "position", "substitutions", "places"])
 
 
 def with_context(found: DataFrame, targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:

@@ -230,7 +230,24 @@ def search_context(spark: SparkSession, sf: str) -> DataFrame:
 def peptide_lookup(spark: SparkSession, sf: str) -> DataFrame:
     words = _words(spark, sf)
     asked = words.select(F.col("s").alias("peptide")).unionByName(words.select(F.substring("s", 3, 5).alias("peptide")))
-    return search.lookup(asked, words.select(F.col("p_partkey").alias("id"), F.concat(F.lit("M"), "s", "s").alias("sequence")))
+    return search.lookup(asked, _proteins(words))
+
+
+def _proteins(words: DataFrame) -> DataFrame:
+    return words.select(F.col("p_partkey").alias("id"), F.concat(F.lit("M"), "s", "s").alias("sequence"))
+
+
+def fuzzy_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """The first eleven letters of each part's name, some of them with two letters exchanged, with two free sites in all doubled names."""
+    words = _words(spark, sf)
+    exchanged = F.when(F.col("p_partkey") % 3 == 0, F.expr("concat(substring(s, 2, 4), 'W', substring(s, 7, 2), 'I', substring(s, 10, 3))")).otherwise(F.substring("s", 2, 11))
+    return search.fuzzy_lookup(words.select(exchanged.alias("peptide")), _proteins(words), 2)
+
+
+def wildcard_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Twelve letters of each part's name with six X among them, in all doubled names."""
+    words = _words(spark, sf)
+    return search.lookup(words.select(F.expr("concat(substring(s, 2, 3), 'XXX', substring(s, 8, 2), 'X', substring(s, 11, 1), 'XX')").alias("peptide")), _proteins(words), wildcards=True)
 
 
 def peptide_location(spark: SparkSession, sf: str) -> DataFrame:
@@ -301,6 +318,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "peptide_location": peptide_location,
     "alternatives": alternatives,
     "fuzzy_patterns": fuzzy_patterns,
+    "fuzzy_lookup": fuzzy_lookup,
+    "wildcard_lookup": wildcard_lookup,
     "wildcards": lambda s, d: search.expanded(_words(s, d).select(F.concat("s", F.lit("X")).alias("peptide")).distinct()),
     "mass_window": mass_window,
     "fuzzy_substitutions": fuzzy_substitutions,
@@ -483,6 +502,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, position, before, after, (before = '-' OR (before IN ('K', 'R') AND p[1] <> 'P'))::INT + (after = '-' OR (p[-1] IN ('K', 'R') AND after <> 'P'))::INT AS ntt FROM x""",
     "peptide_lookup": f"WITH {_LOOKUP} SELECT * FROM lk",
     "lookup_report": f"WITH {_LOOKUP} SELECT 'peptide' || chr(9) || 'protein' || chr(9) || 'location' AS value UNION ALL SELECT peptide || chr(9) || protein || chr(9) || position FROM lk",
+    "fuzzy_lookup": f"""WITH {_W}, q AS (SELECT DISTINCT trim(CASE WHEN p_partkey % 3 = 0 THEN s[2:5] || 'W' || s[7:8] || 'I' || s[10:12] ELSE s[2:12] END) AS peptide FROM wd),
+        a AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM q), t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd),
+        w AS (SELECT DISTINCT p FROM a WHERE len(p) >= 5 AND regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWY]+$')), n AS (SELECT DISTINCT len(p) AS n FROM w),
+        u AS (SELECT t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, n), f AS (SELECT DISTINCT substr(t, i, n) AS f FROM u WHERE regexp_matches(substr(t, i, n), '^[{search.ALPHABET}]+$')),
+        h AS (SELECT p, f, hamming(p, f)::INT AS substitutions FROM w JOIN f ON len(p) = len(f) AND hamming(p, f) <= 2),
+        r AS (SELECT p, p_partkey, i AS position, substitutions, array_to_string([(j - 1) || ',' || f[j] || ';' FOR j IN range(1, len(p) + 1) IF p[j] <> f[j]], '') AS places
+              FROM h JOIN u ON len(f) = n AND substr(u.t, i, n) = f JOIN wd ON translate('M' || s || s, 'I', 'L') = u.t)
+        SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position, substitutions, places FROM a LEFT JOIN r ON a.p = r.p""",
+    "wildcard_lookup": f"""WITH {_W}, a AS (SELECT DISTINCT s[2:4] || 'XXX' || s[8:9] || 'X' || s[11:11] || 'XX' AS peptide FROM wd), b AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM a),
+        t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd),
+        w AS (SELECT DISTINCT p, replace(p, 'X', '[{search.ALPHABET}]') AS e FROM b WHERE regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWXY]+$')),
+        u AS (SELECT t, n, unnest(range(1, len(t) - n + 2)) AS i FROM t, (SELECT DISTINCT len(p) AS n FROM w)), f AS (SELECT DISTINCT substr(t, i, n) AS f FROM u),
+        h AS (SELECT p, f FROM w JOIN f ON len(p) = len(f) AND p[1:3] = f[1:3] AND regexp_full_match(f, e)), r AS (SELECT p, p_partkey, i AS position FROM h JOIN u ON len(f) = n AND substr(u.t, i, n) = f JOIN wd ON translate('M' || s || s, 'I', 'L') = u.t)
+        SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position FROM b LEFT JOIN r ON b.p = r.p""",
     "peptide_location": f"""WITH {_W}, p AS (SELECT p_partkey AS protein, s, unnest([s[:4], s[-4:]]) AS peptide, translate(CASE WHEN p_partkey % 2 = 0 THEN 'M' ELSE '' END || s || s, 'I', 'L') AS q FROM wd),
         x AS (SELECT *, strpos(q, translate(peptide, 'I', 'L'))::INT AS pep_start FROM p), y AS (SELECT *, CASE WHEN pep_start > 0 THEN pep_start + 3 ELSE 0 END::INT AS pep_end FROM x)
         SELECT protein, peptide, pep_start, pep_end, length(q)::INT AS prot_len, pep_start = 1 OR (pep_start = 2 AND q[1] = 'M') AS n_terminal, pep_end = length(q) AS c_terminal FROM y""",
