@@ -42,7 +42,7 @@ BROADCAST_PAIRS = 1 << 20
 #: Slices of the join where there are more.
 SALTS = 16
 #: Bytes of text whose distinct units are tokenised and aligned together.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 #: Units of text whose tokens a worker keeps; a full memo is emptied. It bounds memory only.
 MEMO = 400_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
