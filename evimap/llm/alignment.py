@@ -44,7 +44,7 @@ SALTS = 16
 #: Bytes of text whose distinct units are tokenised and aligned together.
 SLICE_BYTES = 2 << 20
 #: Units of text whose tokens a worker keeps; a full memo is emptied. It bounds memory only.
-MEMO = 400_000
+MEMO = 200_000
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 _WHITE = r"\t-\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _TOKENS = "units array<struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>>, docs array<struct<doc_id:bigint,n_a:bigint,n_b:bigint,units:array<int>>>"
@@ -85,6 +85,8 @@ class Units:
             own = memoryview(data)
             same &= [whole[x:y] == own[v:w] for x, y, v, w in zip(starts[:-1].tolist(), starts[1:].tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
             parts += [(ids.astype("<i4").tobytes(), (4 * at).tolist()), ((ends[1:] - np.repeat(starts[:-1], np.diff(at))).astype("<i4").tobytes(), (4 * at).tolist())]
+        if len(self.a.units) > MEMO // 2:  # what this class remembers needn't be remembered twice
+            self.a.units.clear()
         for i, unit in enumerate(units):
             self.memo[unit] = tuple(x[at[i] : at[i + 1]] for x, at in parts) if same[i] else None
 
