@@ -148,20 +148,3 @@ def project_orfs(orfs: DataFrame, transcripts: DataFrame) -> DataFrame:
     facts = transcripts.select("transcript", "gene", "seqid", "score", "strand").join(orfs.select("orf", "transcript"), "transcript")
     coding = placed.join(facts, "orf").select("orf", "gene", "seqid", F.lit("CDS").alias("type"), F.col("genome_start").alias("start"), F.col("genome_end").alias("end"), "score", "strand", "frame")
     return whole.unionByName(coding).withColumnRenamed("orf", "protein")
-
-
-#: Codons in the order of T, C, A, G at each place, and what they stand for: the standard genetic code.
-BASES, AMINO_ACIDS = "TCAG", "FFLLSSSSYY**CC*WLLLLPPPPHHQQRRRRIIIMTTTTNNKKSSRRVVVVAAAADDEEGGGG"
-
-
-def translated(segments: DataFrame, genome: DataFrame, key: str = "protein") -> DataFrame:
-    """key and sequence: each model's segments cut out of the genome (seqid, sequence), joined in reading order and translated.
-
-    A codon with another letter is X; an unfinished last codon goes."""
-    parts = segments.join(genome.select("seqid", F.col("sequence").alias("_g")), "seqid").select(key, "strand", "start", F.upper(F.expr("substring(_g, start, end - start + 1)")).alias("_s"))
-    joined = parts.groupBy(key).agg(F.max("strand").alias("strand"), F.sort_array(F.collect_list(F.struct("start", "_s"))).alias("p")).withColumn("_s", F.array_join(F.transform("p", lambda x: x["_s"]), ""))
-    coding = F.when(F.col("strand") == "-", F.reverse(F.translate("_s", "ACGT", "TGCA"))).otherwise(F.col("_s"))
-    place = lambda i: f"(instr('{BASES}', substring(c, {i}, 1)) - 1)"
-    letter = f"if(c rlike '^[{BASES}]{{3}}$', substring('{AMINO_ACIDS}', 16 * {place(1)} + 4 * {place(2)} + {place(3)} + 1, 1), 'X')"
-    codons = "transform(sequence(0, greatest(length(_c) div 3 - 1, 0)), i -> substring(_c, 3 * i + 1, 3))"
-    return joined.withColumn("_c", coding).select(key, F.expr(f"if(length(_c) < 3, '', array_join(transform({codons}, c -> {letter}), ''))").alias("sequence"))

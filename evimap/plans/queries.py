@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from evimap.functions import scalars
 from evimap.functions.tables import written
-from evimap.operators import charts, compare, evidence, intervals, learning, search, selection
+from evimap.operators import charts, compare, evidence, genome, intervals, learning, overlap, search, selection
 from evimap.sources import annotations, reports
 
 
@@ -211,6 +211,31 @@ def merged_models(spark: SparkSession, sf: str) -> DataFrame:
     return compare.merged_models(rows).select("seqid", "source", "type", F.col("start").alias("s"), F.col("end").alias("e"), scalars.general_number(F.col("score")).alias("score"), "strand", "frame", "attrs")
 
 
+def translated_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Each nation's chromosome is the digests of its orders' keys as bases, one line an order; a line item is a segment of its order's model."""
+    orders = _orders(spark, sf)
+    bases = F.translate(F.md5(F.col("o_orderkey").cast("string")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    line = lambda value, order: orders.select(F.struct(F.col("c_nationkey").alias("n"), (F.col("o_orderkey") * order / 1000).cast("long").alias("k")).alias("block"), (F.col("o_orderkey") * order).alias("place"), value.alias("value"))
+    headers = line(F.concat(F.lit(">chr"), F.col("c_nationkey").cast("string"), F.lit(" x")), -1).groupBy("block.n", "value").agg(F.lit(-1).cast("long").alias("place"))
+    headers = headers.select(F.struct("n", F.lit(-1).cast("long").alias("k")).alias("block"), "place", "value")
+    tiled = genome.tiles(genome.placed(headers.unionByName(line(bases, 1))))
+    return genome.translated(segments(spark, sf), tiled)
+
+
+def _exon_models(segments_: DataFrame) -> DataFrame:
+    """Models with sorted exons, spread over a chromosome so that a few dozen stand at a place."""
+    shift = F.col("protein") % 61 * 5000
+    exons = F.sort_array(F.collect_list(F.struct((F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))))
+    return segments_.groupBy(F.col("protein").alias("id"), "seqid", "strand").agg(exons.alias("exons"))
+
+
+def class_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Models of one to seven exons against every third of them, one exon fewer in some, with some ends moved."""
+    seg = written(segments(spark, sf))
+    reference = reference_segments(seg).where("protein % 3 = 0 and not (protein % 5 = 0 and start % 2 = 0)")
+    return overlap.class_codes(_exon_models(seg), _exon_models(reference))
+
+
 def _words(spark: SparkSession, sf: str) -> DataFrame:
     """Part names as sequences of residues."""
     return _t(spark, sf, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("s"))
@@ -317,6 +342,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lookup_report": lambda s, d: reports.lookup_report(peptide_lookup(s, d)),
     "peptide_location": peptide_location,
     "alternatives": alternatives,
+    "translated_models": translated_models,
+    "class_codes": class_codes,
     "fuzzy_patterns": fuzzy_patterns,
     "fuzzy_lookup": fuzzy_lookup,
     "wildcard_lookup": wildcard_lookup,
@@ -445,6 +472,28 @@ _ATTRS = """CASE style WHEN 0 THEN 'ID=c' || l_orderkey || '; Parent=' || model
     WHEN 4 THEN 'GeneID=h;transcript_id=' || model ELSE 'note=1' END"""
 _VALUE = f"concat_ws(chr(9), 'chr1', 'x', kind, s, e, '.', strand, '.', {_ATTRS})"
 _KEEP = "kind <> 'gene' AND strand <> '?' AND style IN (0, 1, 4)"
+_INSIDE = "({0}.s >= {1}.s AND {0}.e <= {1}.e)".format
+_SAME_RUN = "(len({0}it) > 0 AND contains(array_to_string([x::VARCHAR FOR x IN {1}it], ''), array_to_string([x::VARCHAR FOR x IN {0}it], '')) AND len(flatten([[1 FOR x IN {1}it IF e.s <= x.e AND e.e >= x.s] FOR e IN {0}ex])) = 0)".format
+_KEPT = "(len([1 FOR e IN qex IF e.s < x.s AND e.e > x.e]) > 0)"
+_CLASSES = f"""ra AS (SELECT protein, seqid, strand, s + CASE WHEN s % 11 = 0 THEN 3 ELSE 0 END AS s, e + CASE WHEN e % 13 = 0 THEN 6 ELSE 0 END AS e FROM m),
+    em AS (SELECT 'q' AS side, protein AS id, seqid, strand, list({{'s': s + protein % 61 * 5000, 'e': e + protein % 61 * 5000}} ORDER BY s, e) AS ex FROM m GROUP BY ALL
+           UNION ALL SELECT 'r', protein, seqid, strand, list({{'s': s + protein % 61 * 5000, 'e': e + protein % 61 * 5000}} ORDER BY s, e) FROM ra WHERE protein % 3 = 0 AND NOT (protein % 5 = 0 AND s % 2 = 0) GROUP BY ALL),
+    ei AS (SELECT *, [{{'s': ex[i].e + 1, 'e': ex[i + 1].s - 1}} FOR i IN range(1, len(ex))] AS it, {{'s': ex[1].s, 'e': ex[-1].e}} AS w, list_sum([x.e - x.s + 1 FOR x IN ex]) AS n FROM ei0),
+    pr AS (SELECT q.id, r.id AS rid, q.strand <> r.strand AS opp, q.ex AS qex, r.ex AS rex, q.it AS qit, r.it AS rit, q.w AS q, r.w AS r, q.n AS qn, r.n AS rn,
+           coalesce(list_sum([coalesce(list_sum([greatest(0, least(a.e, b.e) - greatest(a.s, b.s) + 1) FOR b IN r.ex]), 0) FOR a IN q.ex]), 0) AS ov
+           FROM ei AS q JOIN ei AS r ON q.side = 'q' AND r.side = 'r' AND q.seqid = r.seqid AND q.w.s <= r.w.e + 2000 AND r.w.s <= q.w.e + 2000),
+    pc AS (SELECT id, rid, ov, CASE
+        WHEN ov > 0 AND NOT opp THEN CASE
+            WHEN len(qit) = 0 AND len(rit) = 0 AND 5 * ov >= 4 * greatest(qn, rn) THEN '=' WHEN len(qit) > 0 AND qit = rit THEN '='
+            WHEN {_INSIDE('q', 'r')} AND {_SAME_RUN('q', 'r')} THEN 'c' WHEN len(qit) = 0 AND len([1 FOR e IN rex IF {_INSIDE('q', 'e')}]) > 0 THEN 'c'
+            WHEN {_INSIDE('r', 'q')} AND {_SAME_RUN('r', 'q')} THEN 'k' WHEN len(rit) = 0 AND len([1 FOR e IN qex IF {_INSIDE('r', 'e')}]) > 0 THEN 'k'
+            WHEN len([1 FOR x IN rit IF {_KEPT}]) > 0 THEN CASE WHEN len([1 FOR x IN rit IF x.s > q.s AND x.e < q.e AND NOT (list_contains(qit, x) OR {_KEPT})]) = 0
+                AND len([1 FOR x IN qit IF x.s > r.s AND x.e < r.e AND NOT list_contains(rit, x)]) = 0 THEN 'm' ELSE 'n' END
+            WHEN list_has_any([x.s FOR x IN qit], [x.s FOR x IN rit]) OR list_has_any([x.e FOR x IN qit], [x.e FOR x IN rit]) THEN 'j'
+            WHEN len(qit) = 0 AND len([1 FOR x IN rit IF least(q.e, x.e) - greatest(q.s, x.s) + 1 >= 10]) > 0 THEN 'e' ELSE 'o' END
+        WHEN opp AND list_has_any(qit, rit) THEN 's' WHEN ov > 0 THEN 'x' WHEN len([1 FOR x IN rit IF {_INSIDE('q', 'x')}]) > 0 THEN 'i' WHEN len([1 FOR x IN qit IF {_INSIDE('r', 'x')}]) > 0 THEN 'y'
+        WHEN NOT opp AND (q.s > r.e OR r.s > q.e) AND greatest(q.s - r.e, r.s - q.e) <= 2000 THEN 'p' END AS code FROM pr),
+    pb AS (SELECT id, rid, code, row_number() OVER (PARTITION BY id ORDER BY strpos('{overlap.CODES}', code), ov DESC, rid) AS nth FROM pc WHERE code IS NOT NULL)""".replace("FROM ei0)", "FROM em)")
 _W = "wd AS (SELECT p_partkey, upper(replace(p_name, ' ', '')) AS s FROM part)"
 _LOOKUP = f"""{_W}, asked AS (SELECT DISTINCT x, translate(x, 'I', 'L') AS y FROM (SELECT s AS x FROM wd UNION ALL SELECT substr(s, 3, 5) FROM wd)), pr AS (SELECT p_partkey, translate('M' || s || s, 'I', 'L') AS q FROM wd),
     hits AS (SELECT x, p_partkey, y, q, unnest(range(1, len(q) - len(y) + 2)) AS position FROM asked JOIN pr ON contains(q, y) WHERE len(y) >= 5 AND regexp_matches(y, '^[ACDEFGHIKLMNPQRSTVWY]+$')),
@@ -502,6 +551,11 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, item_id, position, before, after, (before = '-' OR (before IN ('K', 'R') AND p[1] <> 'P'))::INT + (after = '-' OR (p[-1] IN ('K', 'R') AND after <> 'P'))::INT AS ntt FROM x""",
     "peptide_lookup": f"WITH {_LOOKUP} SELECT * FROM lk",
     "lookup_report": f"WITH {_LOOKUP} SELECT 'peptide' || chr(9) || 'protein' || chr(9) || 'location' AS value UNION ALL SELECT peptide || chr(9) || protein || chr(9) || position FROM lk",
+    "translated_models": f"""WITH {_M}, g AS (SELECT 'chr' || c_nationkey AS seqid, string_agg(translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS t
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), j AS (SELECT protein, strand, string_agg(substr(t, s, e - s + 1), '' ORDER BY s, e) AS d FROM m JOIN g ON m.seqid = g.seqid GROUP BY ALL),
+        c AS (SELECT protein, CASE WHEN strand = '-' THEN reverse(translate(d, 'ACGT', 'TGCA')) ELSE d END AS d FROM j)
+        SELECT protein, coalesce(array_to_string([substr('{genome.AMINO_ACIDS}', 16 * (strpos('TCAG', d[3 * i + 1]) - 1) + 4 * (strpos('TCAG', d[3 * i + 2]) - 1) + strpos('TCAG', d[3 * i + 3]), 1) FOR i IN range(0, len(d) // 3)], ''), '') AS sequence FROM c""",
+    "class_codes": f"WITH {_M}, {_CLASSES} SELECT e.id AS qry_id, rid AS ref_id, coalesce(code, 'u') AS class_code FROM ei AS e LEFT JOIN pb ON e.id = pb.id AND nth = 1 WHERE side = 'q'",
     "fuzzy_lookup": f"""WITH {_W}, q AS (SELECT DISTINCT trim(CASE WHEN p_partkey % 3 = 0 THEN s[2:5] || 'W' || s[7:8] || 'I' || s[10:12] ELSE s[2:12] END) AS peptide FROM wd),
         a AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM q), t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd),
         w AS (SELECT DISTINCT p FROM a WHERE len(p) >= 5 AND regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWY]+$')), n AS (SELECT DISTINCT len(p) AS n FROM w),

@@ -15,18 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions.tables import written
-from evimap.operators import charts, compare, evidence, intervals, learning, search, selection
+from evimap.operators import charts, compare, evidence, genome, intervals, learning, overlap, search, selection
 from evimap.sources import annotations, reports
 
 log = logging.getLogger("evimap")
 
 
-def label(f: DataFrame, with_scores: bool, model: str | None = None, iterative: bool = False) -> DataFrame:
+def label(f: DataFrame, with_scores: bool, model: str | None = None, iterative: bool = False, grid: str | None = None) -> DataFrame:
     """A score table with engineered features, rules, classification and support. Where a classifier can be neither
     loaded nor trained (for want of high or low models), none is positive."""
     rows = written(evidence.confidence(evidence.engineered(f)))
     try:
-        scored, _, how = learning.classify(rows, model, iterative)
+        scored, _, how = learning.classify(rows, model, iterative, grid=grid)
         log.info("classifier: %s", how)
         rows = written(scored.drop("label", "probability"))
     except ValueError as e:
@@ -50,15 +50,17 @@ def run_branch(
     codes: str | None = None,
     model: str | None = None,
     iterative: bool = False,
+    grid: str | None = None,
 ) -> dict[str, DataFrame]:
-    """Writes scores, id lists, supported models and located peptides of one annotation to output and, with a reference
-    and class codes, what is new and what differs. Returns the tables by name."""
+    """Writes scores, id lists, supported models and located peptides of one annotation to output and, with a reference,
+    what is new and what differs. Without class codes they are assigned here. grid: "default" searches the classifier's
+    parameters by cross-validation. Returns the tables by name."""
     rows = written(annotations.features(spark, gtf))
     cds = rows.where("type = 'cds'")
     if proteins:
         sequences = annotations.fasta(spark, proteins)
     else:
-        sequences = intervals.translated(cds, annotations.fasta(spark, assembly).select(F.col("id").alias("seqid"), "sequence")).select(F.col("protein").alias("id"), "sequence")
+        sequences = genome.translated(cds, annotations.genome_tiles(spark, assembly)).select(F.col("protein").alias("id"), "sequence")
     if mapping:
         reports.write_ids(reports.unmapped(annotations.mapping(spark, mapping, with_unmapped=True)), f"{output}/unmapped_peptides", "peptide")
         found = annotations.mapping(spark, mapping)
@@ -74,7 +76,7 @@ def run_branch(
     lengths = sequences.select(F.col("id").alias("protein"), F.length(F.translate("sequence", "*", "")).cast("long").alias("protein_length"))
     external = annotations.external_scores(spark, scores) if scores else None
     f = evidence.with_external_scores(evidence.with_unmatched(evidence.features(measured), facts, lengths), external)
-    labelled = written(label(f, bool(scores), model, iterative))
+    labelled = written(label(f, bool(scores), model, iterative, grid))
     reports.write_scores(labelled.drop("high", "low"), f"{output}/all_proteins_scores")
     reports.write_id_lists(labelled, f"{output}/lists")
     supported = labelled.where("supported = '+'").select(F.col("protein").alias("id"))
@@ -91,33 +93,46 @@ def run_branch(
     for name, chart in (("evidence", charts.evidence_bars(labelled)), ("partitions", evidence.partitions(labelled)), ("coverage", charts.coverage_histogram(labelled)), ("scores", charts.score_histogram(labelled)), ("peptide_types", charts.type_counts(located))):
         reports.write_table(chart, f"{output}/figures/{name}")
     out = {"scores": labelled, "features": rows, "sequences": fasta, "supported": supported, "located": located, "lines": kept}
-    if reference_gtf and codes:
+    if reference_gtf:
         out |= _against_reference(spark, out, reference_gtf, reference_fasta, codes, f"{output}/compare_to_reference")
     return out
 
 
-def _against_reference(spark: SparkSession, branch: dict[str, DataFrame], reference_gtf: str, reference_fasta: str | None, codes: str, output: str) -> dict[str, DataFrame]:
+def _against_reference(spark: SparkSession, branch: dict[str, DataFrame], reference_gtf: str, reference_fasta: str | None, codes: str | None, output: str) -> dict[str, DataFrame]:
     cleaned = written(annotations.cleaned(annotations.placed_lines(spark, reference_gtf)))
     log.info("%d rows of the reference removed", annotations.removed_rows(cleaned).first().removed)
     reference = cleaned.where("keep")
     reports.write_lines(reference, f"{output}/reference_cleaned")
-    table = written(annotations.class_codes(spark, codes).select("qry_id", "ref_id", "class_code"))
+    segments = annotations.cds_segments
+    predicted = compare.models(segments(branch["lines"]), place="place")
+    known_models = compare.models(segments(reference), place="place")
+    table = written(_codes(spark, codes, predicted, known_models))
+    if not codes:
+        reports.write_table(table, f"{output}/class_codes")
     known = annotations.fasta(spark, reference_fasta).select("id", "sequence") if reference_fasta else branch["sequences"].limit(0)
     novel = reports.novel(table, branch["features"].select("seqid", "source", "type", "start", "end", "score", "strand", "frame", "attrs", "gene", "protein"), branch["sequences"], branch["scores"].drop("high", "low"), known)
     reports.write_novel(novel, f"{output}/novel")
-    segments = annotations.cds_segments
-    predicted = compare.models(segments(branch["lines"]), place="place")
-    report = written(compare.evidence_report(table, branch["scores"], predicted, compare.models(segments(reference), place="place"), branch["located"]))
+    report = written(compare.evidence_report(table, branch["scores"], predicted, known_models, branch["located"]))
     summary = compare.category_summary(report, "peptide_evidence_category", "predicted_id")
     reports.write_comparison(report, summary, branch["lines"], branch["sequences"], output)
     reports.write_table(charts.difference_counts(novel["scores"], summary.withColumnRenamed("peptide_evidence_category", "category")), f"{output}/figures/differences")
     return {"report": report, "novel": novel["features"]}
 
 
-def compare_branches(spark: SparkSession, prediction: dict[str, DataFrame], assembly: dict[str, DataFrame], codes: str, reverse: str, output: str) -> None:
+def _codes(spark: SparkSession, path: str | None, models: DataFrame, reference: DataFrame) -> DataFrame:
+    """qry_id, ref_id, class_code from a file, or from the models' coding exons."""
+    if path:
+        return annotations.class_codes(spark, path).select("qry_id", "ref_id", "class_code")
+    exons = lambda df: df.select(F.col("protein").alias("id"), "seqid", "strand", F.col("regions").alias("exons"))
+    return overlap.class_codes(exons(models), exons(reference))
+
+
+def compare_branches(spark: SparkSession, prediction: dict[str, DataFrame], assembly: dict[str, DataFrame], codes: str | None, reverse: str | None, output: str) -> None:
     """Writes what two branches, as run_branch() returns them, have in common. codes: of the assembly's models against the
-    prediction's; reverse: the other way round."""
-    table, back = annotations.class_codes(spark, codes), annotations.class_codes(spark, reverse)
+    prediction's; reverse: the other way round; without one of them it is assigned here."""
+    models = lambda b: compare.models(annotations.cds_segments(b["lines"]), place="place")
+    table = written(_codes(spark, codes, models(assembly), models(prediction)))
+    back = written(_codes(spark, reverse, models(prediction), models(assembly)))
     of = lambda b: b["features"].join(b["supported"].withColumnRenamed("id", "protein"), "protein", "left_semi")
     p, a = of(prediction), of(assembly)
     reports.write_branches(selection.branch_comparison(table, back, a.drop("line_no"), p.drop("line_no"), assembly["sequences"], prediction["sequences"]), f"{output}/comparisons")
@@ -128,7 +143,7 @@ def compare_branches(spark: SparkSession, prediction: dict[str, DataFrame], asse
     totals = compare.overlap_statistics(compare.between(table, ids(a), ids(p)), "ref_id", "qry_id", ids(p).count(), ids(a).count())
     reports.write_table(totals, f"{output}/comparisons/overlap")
     if "novel" in prediction:
-        reports.write_table(compare.novel_candidates(loci(prediction["novel"]), table, loci(a)).orderBy("candidate_id"), f"{output}/high_potential_new_gene_candidates")
+        reports.write_table(compare.novel_candidates(loci(prediction["novel"]), table, loci(a)).orderBy(F.length("candidate_id"), "candidate_id"), f"{output}/high_potential_new_gene_candidates")
 
 
 def main(arguments: list[str] | None = None) -> None:
@@ -141,17 +156,35 @@ def main(arguments: list[str] | None = None) -> None:
     parser.add_argument("-s", "--scores", help="external scores")
     parser.add_argument("-rg", "--reference-gtf")
     parser.add_argument("-rf", "--reference-fasta")
-    parser.add_argument("-c", "--codes", help="class codes of the models against the reference")
+    parser.add_argument("-c", "--codes", help="class codes of the models against the reference; else they are assigned")
     parser.add_argument("-i", "--iterative", action="store_true", help="train a classifier instead of loading --model")
+    parser.add_argument("--grid", choices=["default"], help="search the classifier's parameters by cross-validation")
     parser.add_argument("--model", help="a saved classifier")
+    parser.add_argument("--second-gtf", help="models of a second branch, from assembled transcripts say; both are run and compared")
+    parser.add_argument("--second-proteins", help="their sequences; else they are translated from --assembly")
+    parser.add_argument("--second-mapping", help="peptides and the second branch's proteins, instead of looking --peptides up")
+    parser.add_argument("--second-scores", help="external scores of the second branch")
     parser.add_argument("-o", "--output", required=True)
-    a = parser.parse_args(arguments)
-    if not (a.proteins or a.assembly):
+    a = vars(parser.parse_args(arguments))
+    second = {k.removeprefix("second_"): a.pop(k) for k in [k for k in a if k.startswith("second_")]}
+    if not (a["proteins"] or a["assembly"]):
         parser.error("--proteins or --assembly is needed")
-    if not (a.peptides or a.mapping):
+    if not (a["peptides"] or a["mapping"]):
         parser.error("--peptides or --mapping is needed")
+    if second["gtf"] and not (second["proteins"] or a["assembly"]):
+        parser.error("--second-proteins or --assembly is needed")
+    if second["gtf"] and not (a["peptides"] or second["mapping"]):
+        parser.error("--peptides or --second-mapping is needed")
     logging.basicConfig(level=logging.INFO)
-    run_branch(SparkSession.builder.getOrCreate(), **{k: v for k, v in vars(a).items()})
+    spark = SparkSession.builder.getOrCreate()
+    if not second["gtf"]:
+        run_branch(spark, **a)
+        return
+    output = a.pop("output")
+    first = run_branch(spark, **a, output=f"{output}/prediction")
+    shared = {k: a[k] for k in ("assembly", "peptides", "reference_gtf", "reference_fasta", "model", "iterative", "grid")}
+    other = run_branch(spark, **shared, **second, output=f"{output}/assembly")
+    compare_branches(spark, first, other, None, None, output)
 
 
 if __name__ == "__main__":

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import attribute_map, extracted
+from evimap.operators import genome
 
 #: The order in which attributes name a gene: fixed patterns of the two formats.
 GENE_PATTERNS = (r'gene_id\s*[= ]?"?([^";,\s]+)"?', r"GeneID=([^;,\s]+)", r'(?:^|;)\s*gene\s*[= ]?"?([^";,\s]+)"?')
@@ -23,6 +24,12 @@ def placed_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("n")).alias("place"))
 
 
+def genome_tiles(spark: SparkSession, path: str) -> DataFrame:
+    """seqid, tile, text: a FASTA file of long sequences, each id once, as tiles; read by lines, wherever the file is split."""
+    lines = placed_lines(spark, path).select("value", F.struct("place.file_path", "place.file_block_start").alias("block"), F.col("place.n").alias("place"))
+    return genome.tiles(genome.placed(lines))
+
+
 def features(spark: SparkSession, path: str) -> DataFrame:
     """A GTF or GFF3 file as a feature table with gene and protein."""
     return feature_rows(placed_lines(spark, path))
@@ -75,17 +82,25 @@ def class_codes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def bed12(spark: SparkSession, path: str) -> DataFrame:
-    """seqid, start, end, name, strand, blocks (from 1, closed).
+    """seqid, start, end, name, strand, protein, blocks (from 1, closed).
 
-    Lines with fewer than six fields or without two numbers for their ends (a track line, say) are no rows; blocks that
-    can't be read are none, and a line without block fields is one block."""
-    rows = spark.read.text(path).withColumn("f", F.split("value", "\t")).where("size(f) >= 6 and try_cast(get(f, 1) as bigint) is not null and try_cast(get(f, 2) as bigint) is not null")
+    Comments (#), lines with fewer than six fields or without two numbers for their ends (a track line, say) are no rows. A
+    line without block fields is one block; blocks that can't be read, or are not as many as their count says, are none.
+    protein: of the first field from the seventh on that speaks of a protein or a parent, what follows its last = up to a ;."""
+    rows = spark.read.text(path).where(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t"))
+    rows = rows.where("size(f) >= 6 and try_cast(get(f, 1) as bigint) is not null and try_cast(get(f, 2) as bigint) is not null")
     whole = "array(struct(bigint(get(f, 1)) + 1 as start, bigint(get(f, 2)) as end))"
     numbers = lambda i: f"transform(filter(split(get(f, {i}), ','), x -> trim(x) <> ''), x -> try_cast(x as bigint))"
     parts = f"zip_with({numbers(10)}, {numbers(11)}, (n, s) -> struct(bigint(get(f, 1)) + s + 1 as start, bigint(get(f, 1)) + s + n as end))"
     none = "cast(array() as array<struct<start:bigint,end:bigint>>)"
-    blocks = f"case when size(f) < 12 then {whole} when exists({parts}, b -> b.start is null or b.end is null) then {none} else {parts} end"
-    return rows.select(F.get("f", F.lit(0)).alias("seqid"), (F.get("f", F.lit(1)).cast("long") + 1).alias("start"), F.get("f", F.lit(2)).cast("long").alias("end"), F.get("f", F.lit(3)).alias("name"), F.get("f", F.lit(5)).alias("strand"), F.expr(blocks).alias("blocks"))
+    counted = f"try_cast(trim(get(f, 9)) as int) <=> size({numbers(10)}) and try_cast(trim(get(f, 9)) as int) <=> size({numbers(11)})"
+    blocks = f"case when size(f) < 12 then {whole} when not ({counted}) or exists({parts}, b -> b.start is null or b.end is null) then {none} else {parts} end"
+    named = "get(filter(slice(f, 7, size(f)), x -> lower(x) like '%protein%' or lower(x) like '%parent%'), 0)"
+    protein = f"if(size(f) > 6, substring_index(substring_index({named}, '=', -1), ';', 1), null)"
+    return rows.select(
+        F.get("f", F.lit(0)).alias("seqid"), (F.get("f", F.lit(1)).cast("long") + 1).alias("start"), F.get("f", F.lit(2)).cast("long").alias("end"), F.get("f", F.lit(3)).alias("name"),
+        F.get("f", F.lit(5)).alias("strand"), F.expr(protein).alias("protein"), F.expr(blocks).alias("blocks"),
+    )
 
 
 def _fields(lines: DataFrame) -> DataFrame:

@@ -164,16 +164,6 @@ def test_alternatives(spark):
     assert got == [("best", 0), ("a", 0), ("DECOY", 0), ("z", 0), ("a", 1)]
 
 
-def test_translation(spark):
-    import itertools
-
-    code = {"".join(c): a for c, a in zip(itertools.product("TCAG", repeat=3), intervals.AMINO_ACIDS, strict=True)}
-    genome = spark.createDataFrame([("c", "ATGGCNTTATAAGGG")], "seqid string, sequence string")
-    seg = spark.createDataFrame([("p", "c", "+", 1, 6), ("p", "c", "+", 7, 14), ("q", "c", "-", 7, 12), ("r", "c", "+", 1, 2)], "protein string, seqid string, strand string, start long, end long")
-    got = {r.protein: r.sequence for r in intervals.translated(seg, genome).collect()}
-    assert got == {"p": "".join(code.get(x, "X") for x in ("ATG", "GCN", "TTA", "TAA")), "q": code["TTA"] + code["TAA"], "r": ""}
-
-
 def test_search_finds_overlapping_occurrences(spark):
     t = spark.createDataFrame([(1, "AAAAAAA"), (2, "XKAAAAAR")], "id long, s string")
     p = spark.createDataFrame([(7, "AAAAA")], "pid long, q string")

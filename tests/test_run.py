@@ -2,7 +2,10 @@
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from evimap import run
+from evimap.operators import compare
 from evimap.sources import annotations
 
 
@@ -61,6 +64,30 @@ def test_lookup_and_translation(spark, tmp_path):
     assert {r.protein: (r.mapped_peptides, r.protein_length) for r in again["scores"].collect()} == {"protA": (1, 11), "protB": (1, 10)}
 
 
+def test_codes_are_assigned_and_two_branches_compared_by_command(spark, tmp_path):
+    f = folder(tmp_path)
+    common = ["-g", f["p.gff"], "-f", f["p.fa"], "-m", f["m.tsv"], "-s", f["s.csv"], "-rg", f["r.gff"], "-rf", f["r.fa"]]
+    run.main([*common, "-o", str(tmp_path / "one")])
+    # protA begins one codon earlier: its intron is its reference's; protB is its own reference
+    compared = tmp_path / "one" / "compare_to_reference"
+    assert sorted(x for x in texts(compared / "class_codes") if not x.startswith("qry_id")) == ["protA\trefA\t="]
+    run.main([*common, "--second-gtf", f["p.gff"], "--second-proteins", f["p.fa"], "--second-mapping", f["m.tsv"], "--second-scores", f["s.csv"], "-o", str(tmp_path / "two")])
+    assert (tmp_path / "two" / "prediction" / "all_proteins_scores").exists() and (tmp_path / "two" / "assembly" / "all_proteins_scores").exists()
+    merged = texts(tmp_path / "two" / "merged_supported_proteins")
+    assert merged[0].startswith("chr1\tsrc\ttranscript\t1\t33\t0.95\t+\t.\t")
+    overlap = [x.split("\t") for x in texts(tmp_path / "two" / "comparisons" / "overlap")]
+    assert len(overlap) == 2
+    with pytest.raises(SystemExit):
+        run.main([*common[:2], "-a", "x", "-m", f["m.tsv"], "--second-gtf", f["p.gff"], "-o", "x"])
+
+
+def test_candidates_stand_by_number(spark, tmp_path):
+    rows = spark.range(10_050).selectExpr("id AS place", "'c' AS seqid", "1L AS n", "cast(id AS string) AS protein")
+    numbered = compare.numbered(rows, "n", "seqid", ["place"])
+    ids = [r.candidate_id for r in numbered.orderBy(F.length("candidate_id"), "candidate_id").select("candidate_id").collect()]
+    assert ids[:2] == ["HPNGC_0001", "HPNGC_0002"] and ids[9_998:10_001] == ["HPNGC_9999", "HPNGC_10000", "HPNGC_10001"]
+
+
 def test_a_mapping_to_other_ids_is_an_error(spark, tmp_path):
     f = folder(tmp_path)
     (tmp_path / "x.tsv").write_text("Peptide\tProtein\tlocation\nMACD\tother\t1\n")
