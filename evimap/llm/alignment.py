@@ -199,9 +199,12 @@ def _aligned_unit(unit: Column) -> Column:
         total = lambda r: F.aggregate(r, F.lit(0).cast("long"), lambda n, run: n + links(run))
         return let(runs, lambda r: filled(F.array_join(F.transform(r, text), ";"), F.size(r), total(r), F.flatten(F.transform(r, _pairs))))
 
-    # where one side is one token there is one group
+    # where one side is one token there is one group, and where both end at the same places each token is one
     whole = filled(text(unit), F.lit(1), links(unit), _pairs(unit))
-    return F.when(F.size(unit["a"]) == 0, None).when((F.size(unit["a"]) == 1) | (F.size(unit["b"]) == 1), whole).otherwise(let(_groups(unit), parts))
+    n = F.size(unit["a"])
+    joined = F.array_join(F.zip_with(unit["a"], unit["b"], lambda a, b: F.concat(a.cast("string"), F.lit("|"), b.cast("string"))), ";")
+    alike = F.struct(joined.alias("text"), n.cast("long").alias("groups"), n.cast("long").alias("links"), unit["a"].alias("a"), unit["b"].alias("b"), F.array_repeat(F.lit(1).cast("long"), n).alias("times"))
+    return F.when(n == 0, None).when(unit["a_ends"] == unit["b_ends"], alike).when((n == 1) | (F.size(unit["b"]) == 1), whole).otherwise(let(_groups(unit), parts))
 
 
 def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

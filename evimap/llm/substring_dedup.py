@@ -4,8 +4,9 @@ Documents are dealt into blocks by a hash of their id. Pass one: each block make
 sketch of two rows, as sorted cells with a bit for two or more; the partitions are cut into shards of cells, merged
 shard by shard, and what comes back to a block are its cells whose merged count is two or more. The sketch only
 overestimates, so no repeated window is lost. Pass two: windows whose cells are repeated in both rows are grouped
-by their words, as 128-bit BLAKE2 digests of them, to find the smallest document of each. Fingerprints of words (see
-`common`) only choose cells and shards: where they collide, the estimate is too high and nothing else. Blocks combine their own
+by their words, to find the smallest document of each: within a block word by word, across blocks by the 128-bit BLAKE2
+digest of the words. Windows' fingerprints only choose cells and shards: where they collide, the estimate is too high
+and nothing else. Blocks combine their own
 windows first: one entry per block and window, so a passage that a third of all documents share is a group of no
 more rows than there are blocks. The sketch's width follows the number of windows.
 
@@ -34,7 +35,7 @@ _SPARSE = "shard int, block int, row_0 binary, row_1 binary"
 
 
 class Block:
-    """A block's windows: fingerprint, document and first word of each."""
+    """A block's windows: fingerprint, document and first word of each; and the names of its words, two numbers each (see Words.fingerprints)."""
 
     def __init__(self, rows: pa.Table, size: int):
         rows, self.size = rows.combine_chunks(), size
@@ -42,21 +43,39 @@ class Block:
         ids = self.batch.column("doc_id")
         self.null = np.asarray(ids.is_null())
         self.ids = np.asarray(pa.compute.fill_null(ids, _NO_ID))
-        parts, docs, at, self.n_words, base = [], [], [], [], 0
+        parts, docs, at, names, self.n_words, base = [], [], [], [], [], 0
         for part in slices(self.batch):
             words = Words(part.column("text"))
             h, first = windows(words.fingerprints(), words.first, size)
             parts.append(h)
+            names.append(np.stack([words.fingerprints(0), words.fingerprints(1)]))
             docs.append(np.searchsorted(words.first, first, side="right") - 1 + base)
             at.append(first - words.first[docs[-1] - base])
             self.n_words.append(np.diff(words.first))
             base += part.num_rows
         join = lambda x, t: np.concatenate(x) if x else np.empty(0, t)
         self.h = join(parts, np.uint64)
+        self.names = np.concatenate(names, 1) if names else np.empty((2, 0), np.uint64)
         self.doc, self.at, self.n_words = join(docs, np.int64), join(at, np.int64), join(self.n_words, np.int64)
 
+    def same(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether windows a and b hold the same words, pair by pair, by the words' names."""
+        starts = np.r_[0, np.cumsum(self.n_words)]
+        a, b = (starts[self.doc[x]] + self.at[x] for x in (a, b))
+        out = np.ones(len(a), bool)
+        for k in range(self.size):
+            for half in self.names:
+                out &= half[a + k] == half[b + k]
+        return out
+
     def digests(self, hits: np.ndarray) -> np.ndarray:
-        """The digest of the words of each of these windows (ascending), two numbers."""
+        """The digest of the words of each of these windows, two numbers."""
+        order = np.argsort(hits, kind="stable")
+        out = np.empty((len(hits), 2), np.int64)
+        out[order] = self._digests(hits[order])
+        return out
+
+    def _digests(self, hits: np.ndarray) -> np.ndarray:
         out, base, done = [np.empty((0, 2), np.int64)], 0, 0
         for part in slices(self.batch):
             upto = int(np.searchsorted(self.doc[hits], base + part.num_rows))
@@ -154,20 +173,27 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
             hit[own] = np.isin(cells[0][own], _unpacked(rows_[0])) & np.isin(cells[1][own], _unpacked(rows_[1]))
         return block, np.flatnonzero(hit)
 
-    def first_of(block: Block, hits: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Windows of the block's estimated ones that differ (an index into hits each), each hit's one of them, and their smallest id."""
-        ids = block.ids[block.doc[hits]]
-        order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+    def first_of(block: Block, hits: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Windows of the block's estimated ones that differ (an index into hits each), each hit's one of them, and their smallest id.
+
+        Windows of one fingerprint are compared word by word; should any differ, digests tell them apart."""
+        ids, h = block.ids[block.doc[hits]], block.h[hits]
+        order = np.lexsort((ids, h))
         new = np.ones(len(order), bool)
-        new[1:] = (digest[order][1:] != digest[order][:-1]).any(1)
+        new[1:] = h[order][1:] != h[order][:-1]
+        alike = np.flatnonzero(~new)
+        if not block.same(hits[order[alike]], hits[order[alike - 1]]).all():
+            digest = block.digests(hits)
+            order = np.lexsort((ids, digest[:, 1], digest[:, 0]))
+            new[1:] = (digest[order][1:] != digest[order][:-1]).any(1)
         group = np.empty(len(order), np.int64)
         group[order] = np.cumsum(new) - 1
         return order[new], group, ids[order[new]]
 
     def candidates(key, table: pa.Table, flags: pa.Table) -> pa.Table:
         block, hits = estimated(table, flags)
-        digest = block.digests(hits)
-        pick, _, least = first_of(block, hits, digest)
+        pick, _, least = first_of(block, hits)
+        digest = block.digests(hits[pick])
         order, at = _by_shard((block.h[hits[pick]] % np.uint64(shards)).astype(np.int64), shards)
         out: dict[str, list] = {"shard": [], "block": [], "prints": [], "least": []}
         for s in range(shards):
@@ -175,7 +201,7 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
             if len(own):
                 out["shard"].append(s)
                 out["block"].append(key[0].as_py())
-                out["prints"].append(digest[pick[own]].tobytes())
+                out["prints"].append(digest[own].tobytes())
                 out["least"].append(least[own].tobytes())
         return pa.table(out, schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("prints", pa.binary()), ("least", pa.binary())]))
 
@@ -201,7 +227,7 @@ def repeated_words(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     def remove(key, table: pa.Table, answers_: pa.Table) -> pa.Table:
         kind = np.asarray(answers_.column("kind"))
         block, hits = estimated(table, answers_.filter(pa.array(kind == 0)))
-        pick, group, least = first_of(block, hits, block.digests(hits))
+        pick, group, least = first_of(block, hits)
         order, at = _by_shard((block.h[hits[pick]] % np.uint64(shards)).astype(np.int64), shards)
         later = np.zeros(len(pick), bool)
         told = answers_.filter(pa.array(kind == 1))
