@@ -40,8 +40,8 @@ def lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5, wildcards:
     wanted = every.where(searchable(F.when(F.length(plain) > 0, plain).otherwise("A"), 1) & (F.length("_p") >= least)).select("_p").distinct()
     if wildcards:
         runs = seeds.wildcard_runs(wanted, "_p", "_p", ALPHABET)
-        letters = F.zip_with(F.split("pattern", ""), F.split("found", ""), lambda p, c: (p == c) | ((p == "X") & F.lit(ALPHABET).contains(c)))
-        hit = F.forall(letters, lambda x: x)
+        letters = F.zip_with(F.split("pattern", ""), F.split("found", ""), lambda p, c: (p == c) | (p == "X"))
+        hit = F.forall(letters, lambda x: x) & F.col("found").rlike(f"^[{ALPHABET}]+$")
     else:
         runs, hit = seeds.exact_runs(wanted, "_p", "_p"), F.col("found") == F.col("pattern")
     found = seeds.search(_residues(proteins), runs, "id", "_s", hit).select("pattern", F.col("id").cast("string").alias("protein"), "position")
@@ -72,6 +72,37 @@ def fuzzy_lookup(peptides: DataFrame, proteins: DataFrame, sites: int, least: in
     return _looked_up(every, found, ["protein", "position", "substitutions", "places"])
 
 
+def variant_lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5) -> DataFrame:
+    """lookup() with variants: peptide, protein, position, variants (of the hit, as 12:A>V;15:K>R; empty where it has none).
+
+    proteins: id, sequence, variants (array of at, from 1, and residue). A residue of a peptide may be the sequence's or any
+    variant's of that place, so a peptide may span several variant sites. Hits with a variant are found by windows of `least`
+    letters around variant sites, with every choice of letters that has a variant at the site; each window carries the
+    letters and variants as far as the longest peptide reaches, and hits are verified there. A * is no residue."""
+    every = _asked(peptides)
+    wanted = every.where(searchable(F.col("_p"), least)).select("_p").distinct()
+    plain = seeds.search(_residues(proteins), seeds.exact_runs(wanted, "_p", "_p"), "id", "_s", F.col("found") == F.col("pattern"))
+    plain = plain.select("pattern", F.col("id").cast("string").alias("protein"), "position", F.lit("").alias("variants"))
+    reach = wanted.agg(F.max(F.length("_p"))).first()[0] or 0  # one number
+    rows = proteins.select(F.col("id").cast("string").alias("protein"), F.translate("sequence", "I", "L").alias("_s"), F.expr("array_distinct(transform(variants, v -> named_struct('at', int(v.at), 'residue', translate(v.residue, 'I', 'L'))))").alias("_v"))
+    real = "filter(_v, v -> v.at between 1 and length(_s) and v.residue <> '*' and v.residue <> substring(_s, v.at, 1))"
+    sites = rows.withColumn("_v", F.expr(real)).where("size(_v) > 0").withColumn("site", F.explode(F.expr("array_distinct(_v.at)")))
+    near = sites.select("protein", "site", F.expr(f"greatest(site - {reach}, 1)").alias("from"), F.expr(f"substring(_s, greatest(site - {reach}, 1), site + {reach} - greatest(site - {reach}, 1) + 1)").alias("text"), F.expr(f"filter(_v, v -> abs(v.at - site) <= {reach})").alias("_v"))
+    placed = near.withColumn("w", F.expr(f"explode(sequence(greatest(site - {least - 1}, from), site))")).where(f"w + {least - 1} < from + length(text)")
+    # the choices of letters at a place: the sequence's, but at the site itself, and the variants'
+    choices = "concat(if(w + j = site or substring(text, w + j - from + 1, 1) = '*', array(), array(substring(text, w + j - from + 1, 1))), transform(filter(_v, v -> v.at = w + j), v -> v.residue))"
+    choices = choices.replace("array(), array(", "cast(array() as array<string>), array(")
+    windows = f"aggregate(sequence(0, {least - 1}), array(''), (a, j) -> flatten(transform(a, s -> transform({choices}, c -> concat(s, c)))))"
+    windows = placed.select("protein", "from", "text", "_v", "w", F.explode(F.expr(windows)).alias("seed"))
+    asked = wanted.select(F.col("_p").alias("pattern"), F.posexplode(F.expr(f"transform(sequence(1, length(_p) - {least - 1}), i -> substring(_p, i, {least}))")).alias("shift", "seed"))
+    hits = windows.join(asked, "seed").withColumn("position", F.col("w") - F.col("shift")).where("position >= from and position + length(pattern) <= from + length(text)")
+    letters = "transform(split(pattern, ''), (c, j) -> named_struct('at', position + j, 'c', c, 'own', substring(text, position + j - from + 1, 1)))"
+    hits = hits.withColumn("letters", F.expr(f"filter({letters}, x -> x.c <> x.own and x.c <> '')")).where("forall(letters, x -> exists(_v, v -> v.at = x.at and v.residue = x.c))")
+    used = F.expr("array_join(transform(letters, x -> concat(x.at, ':', x.own, '>', x.c)), ';')")
+    found = plain.unionByName(hits.select("pattern", "protein", F.col("position").cast("long").alias("position"), used.alias("variants")).distinct())
+    return _looked_up(every, found, ["protein", "position", "variants"])
+
+
 def with_context(found: DataFrame, targets: DataFrame, patterns: DataFrame, target_id: str, target: str, pattern_id: str, pattern: str) -> DataFrame:
     """Adds before and after (a character, - at the ends) and ntt, the tolerable tryptic termini."""
     j = found.join(targets.select(target_id, F.col(target).alias("_t")), target_id).join(patterns.select(pattern_id, F.col(pattern).alias("_p")), pattern_id)

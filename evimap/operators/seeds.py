@@ -87,7 +87,7 @@ def search(targets: DataFrame, runs: DataFrame, target_id: str, target: str, hit
         # how often each of these windows stands in the sequences: counted inside the scan, then summed up
         counts = windows(cut, kinds).select("seed").join(F.broadcast(possible.select("seed").distinct()), "seed").groupBy("seed").agg(F.count("*").alias("n"))
         ranked = possible.join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-        seeds = ranked.groupBy("key", "pattern", "at", "class").agg(F.min(F.struct("n", "shift", "seed")).alias("s")).select("key", "pattern", "s.*")
+        seeds = ranked.groupBy("key", "pattern", "at", "run", "class").agg(F.min(F.struct("n", "shift", "seed")).alias("s")).select("key", "pattern", "s.*")
         seeds = seeds.where("n > 0").drop("n")  # in a class with a window that stands nowhere a run stands nowhere
         place = F.col("at") - F.col("shift")
         letters = F.expr("substring(text, at - shift + 1, length(pattern))")

@@ -275,6 +275,14 @@ def wildcard_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.lookup(words.select(F.expr("concat(substring(s, 2, 3), 'XXX', substring(s, 8, 2), 'X', substring(s, 11, 1), 'XX')").alias("peptide")), _proteins(words), wildcards=True)
 
 
+def variant_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """Ten letters of each part's name, with letters exchanged in some, in doubled names that have two variant sites each."""
+    words = _words(spark, sf)
+    exchanged = F.expr("case p_partkey % 4 when 0 then substring(s, 2, 10) when 1 then concat(substring(s, 2, 3), 'W', substring(s, 6, 6)) when 2 then concat(substring(s, 2, 5), 'K', substring(s, 8, 4)) else concat(substring(s, 2, 3), 'W', substring(s, 6, 1), 'K', substring(s, 8, 4)) end")
+    variants = F.expr("array(struct(6 as at, 'W' as residue), struct(8 as at, 'K' as residue))")
+    return search.variant_lookup(words.select(exchanged.alias("peptide")), _proteins(words).withColumn("variants", variants))
+
+
 def peptide_location(spark: SparkSession, sf: str) -> DataFrame:
     """The first and the last four letters of each part's name in its doubled name, after an M for even parts."""
     w = _words(spark, sf).select(F.col("p_partkey").alias("protein"), "s")
@@ -347,6 +355,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fuzzy_patterns": fuzzy_patterns,
     "fuzzy_lookup": fuzzy_lookup,
     "wildcard_lookup": wildcard_lookup,
+    "variant_lookup": variant_lookup,
     "wildcards": lambda s, d: search.expanded(_words(s, d).select(F.concat("s", F.lit("X")).alias("peptide")).distinct()),
     "mass_window": mass_window,
     "fuzzy_substitutions": fuzzy_substitutions,
@@ -564,6 +573,13 @@ ORACLE_SQL: dict[str, str] = {
         r AS (SELECT p, p_partkey, i AS position, substitutions, array_to_string([(j - 1) || ',' || f[j] || ';' FOR j IN range(1, len(p) + 1) IF p[j] <> f[j]], '') AS places
               FROM h JOIN u ON len(f) = n AND substr(u.t, i, n) = f JOIN wd ON translate('M' || s || s, 'I', 'L') = u.t)
         SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position, substitutions, places FROM a LEFT JOIN r ON a.p = r.p""",
+    "variant_lookup": f"""WITH {_W}, a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN s[2:11] WHEN 1 THEN s[2:4] || 'W' || s[6:11] WHEN 2 THEN s[2:6] || 'K' || s[8:11] ELSE s[2:4] || 'W' || s[6:6] || 'K' || s[8:11] END AS peptide FROM wd),
+        b AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM a), w AS (SELECT DISTINCT p FROM b WHERE len(p) >= 5 AND regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWY]+$')),
+        t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd), x AS (SELECT t, CASE WHEN i % 2 = 1 THEN t[:5] || 'W' || t[7:] ELSE t END AS y, i FROM t, range(4) AS r(i)),
+        z AS (SELECT DISTINCT t, CASE WHEN i >= 2 THEN y[:7] || 'K' || y[9:] ELSE y END AS z FROM x), u AS (SELECT t, z, n, unnest(range(1, len(z) - n + 2)) AS i FROM z, (SELECT DISTINCT len(p) AS n FROM w)),
+        h AS (SELECT DISTINCT p, t, i FROM u JOIN w ON substr(z, i, n) = p), r AS (SELECT p, p_partkey, i AS position,
+            array_to_string([j || ':' || h.t[j] || '>' || p[j - i + 1] FOR j IN range(i, i + len(p)) IF h.t[j] <> p[j - i + 1]], ';') AS variants FROM h JOIN wd ON translate('M' || s || s, 'I', 'L') = h.t)
+        SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position, variants FROM b LEFT JOIN r ON b.p = r.p""",
     "wildcard_lookup": f"""WITH {_W}, a AS (SELECT DISTINCT s[2:4] || 'XXX' || s[8:9] || 'X' || s[11:11] || 'XX' AS peptide FROM wd), b AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM a),
         t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd),
         w AS (SELECT DISTINCT p, replace(p, 'X', '[{search.ALPHABET}]') AS e FROM b WHERE regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWXY]+$')),

@@ -65,7 +65,11 @@ def run_branch(
         reports.write_ids(reports.unmapped(annotations.mapping(spark, mapping, with_unmapped=True)), f"{output}/unmapped_peptides", "peptide")
         found = annotations.mapping(spark, mapping)
     else:
-        looked = search.lookup(annotations.peptide_list(spark, peptides), written(sequences.select("id", "sequence")))
+        if proteins:  # with the variants that headers list
+            searched = written(annotations.fasta_for_search(spark, proteins))
+            looked = written(search.variant_lookup(annotations.peptide_list(spark, peptides), searched).select("peptide", "protein", "position").distinct())
+        else:
+            looked = search.lookup(annotations.peptide_list(spark, peptides), written(sequences.select("id", "sequence")))
         reports.lookup_report(looked).write.mode("overwrite").text(f"{output}/mapping")
         reports.write_ids(reports.unmapped(looked), f"{output}/unmapped_peptides", "peptide")
         found = looked.where("protein <> 'UNMAPPED'").select("peptide", "protein").distinct()

@@ -172,10 +172,14 @@ def peptide_list(spark: SparkSession, path: str, upper: bool = False) -> DataFra
 
 
 def fasta_for_search(spark: SparkSession, path: str, least: int = 5, exclude: str | None = None) -> DataFrame:
-    """id, sequence with I as L, for the peptide lookup: without # lines, short and empty sequences, and ids that begin with exclude."""
+    """id, sequence with I as L and variants (at, from 1, and residue), for the peptide lookup: without # lines, short and empty sequences, and ids that begin with exclude.
+
+    Variants are what a header's VariantSimple lists: (12|V) or (12|V|name), one after the other."""
     rows = spark.read.option("lineSep", "\n>").text(path).withColumn("v", F.regexp_replace(F.regexp_replace("value", "(?m)^#.*$", ""), r"^\s*>|\r", ""))
     body = F.regexp_replace(F.expr("substring(v, length(substring_index(v, '\\n', 1)) + 1)"), r"\s", "")
-    rows = rows.select(F.regexp_extract("v", r"^\s*(\S+)", 1).alias("id"), F.translate(F.upper(body), "I", "L").alias("sequence")).where((F.col("id") != "") & (F.length("sequence") >= least))
+    listed = F.regexp_extract_all(F.regexp_extract(F.substring_index("v", "\n", 1), r"VariantSimple=(\S*)", 1), F.lit(r"\(\d+\|.[|)]"), F.lit(0))
+    variant = lambda x: F.struct(F.regexp_extract(x, r"\((\d+)", 1).try_cast("int").alias("at"), F.translate(F.regexp_extract(x, r"\|(.)", 1), "I", "L").alias("residue"))
+    rows = rows.select(F.regexp_extract("v", r"^\s*(\S+)", 1).alias("id"), F.translate(F.upper(body), "I", "L").alias("sequence"), F.transform(listed, variant).alias("variants")).where((F.col("id") != "") & (F.length("sequence") >= least))
     return rows.where(~F.col("id").startswith(exclude)) if exclude else rows
 
 

@@ -91,7 +91,7 @@ def test_wildcard_lookup(spark):
         for i, p in enumerate(p.replace("I", "L") for p in proteins):
             for at in range(len(p) - len(q) + 1):
                 own = p[at : at + len(q)]
-                if len(q) >= 5 and set(q) <= set(search.ALPHABET + "X") and all(a == b or (b == "X" and a in search.ALPHABET) for a, b in zip(own, q, strict=True)):
+                if len(q) >= 5 and set(q) <= set(search.ALPHABET + "X") and set(own) <= set(search.ALPHABET) and all(b in (a, "X") for a, b in zip(own, q, strict=True)):
                     hits.add((peptide, str(i), at + 1))
         want |= hits or {(peptide, "UNMAPPED", 0)}
     rows = [tuple(x) for x in got.collect()]
@@ -106,3 +106,37 @@ def test_no_sequence_is_shuffled(spark):
     patterns = spark.createDataFrame([(1, "ACDEF")], "k long, p string")
     plan = search.occurrences(targets, patterns, "id", "s", "k", "p")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_variant_lookup(spark, tmp_path):
+    """Peptides that span several variant sites, variants beyond the ends, stops, and the same residue as the sequence's."""
+    from evimap.sources import annotations
+
+    r = random.Random(12)
+    proteins, peptides = [], {"ACDEF", "XXXXX", "ACD", "WWWWW"}
+    for i in range(25):
+        s = "".join(r.choice("ACDEFIKLM*") for _ in range(r.randint(0, 40)))
+        v = [(r.randint(0, len(s) + 2), r.choice("ACDWIK*")) for _ in range(r.randint(0, 8))]
+        proteins.append((f"p{i}", s, v))
+        for _ in range(6):
+            q = list(s.replace("*", "A"))
+            for at, c in v:
+                if 1 <= at <= len(q) and r.random() < 0.6 and c != "*":
+                    q[at - 1] = c
+            at = r.randint(0, max(0, len(q) - 5))
+            peptides.add("".join(q[at : at + r.randint(5, 14)]))
+    (tmp_path / "v.fa").write_text("#c\n" + "".join(f">{n} x \\VariantSimple={''.join(f'({a}|{c}{r.choice(['', '|tag'])})' for a, c in v)} y\n{s}\n" for n, s, v in proteins))
+    rows = annotations.fasta_for_search(spark, str(tmp_path / "v.fa"))
+    got = search.variant_lookup(spark.createDataFrame([(p,) for p in peptides], "peptide string"), rows)
+    want, l = set(), lambda x: x.replace("I", "L")
+    for peptide in peptides:
+        q, hits = l(peptide), set()
+        for n, s, v in proteins:
+            s = l(s)
+            allowed = [({c} | {l(x) for a, x in v if a == k + 1}) - {"*"} for k, c in enumerate(s)]
+            for at in range(len(s) - len(q) + 1 if len(q) >= 5 and len(s) >= 5 and set(q) <= set(search.ALPHABET) else 0):
+                if all(c in allowed[at + j] for j, c in enumerate(q)):
+                    hits.add((peptide, n, at + 1, ";".join(f"{at + j + 1}:{s[at + j]}>{c}" for j, c in enumerate(q) if c != s[at + j])))
+        want |= hits or {(peptide, "UNMAPPED", 0, None)}
+    found = [tuple(x) for x in got.collect()]
+    assert any(";" in (x[3] or "") for x in want) and set(found) == want and len(found) == len(want)
