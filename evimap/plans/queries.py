@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions import scalars
-from evimap.functions.tables import written
-from evimap.operators import charts, compare, evidence, genome, intervals, learning, overlap, search, selection
+from evimap.functions.tables import new_folder, written
+from evimap.operators import charts, compare, evidence, genome, index, intervals, learning, overlap, search, selection
 from evimap.sources import annotations, reports
 
 
@@ -258,6 +258,14 @@ def peptide_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return search.lookup(asked, _proteins(words))
 
 
+def index_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    """peptide_lookup by an index that is written first."""
+    words, path = _words(spark, sf), new_folder(spark, "index")
+    index.write_index(_proteins(words), path)
+    asked = words.select(F.col("s").alias("peptide")).unionByName(words.select(F.substring("s", 3, 5).alias("peptide")))
+    return index.index_lookup(spark, asked, path)
+
+
 def _proteins(words: DataFrame) -> DataFrame:
     return words.select(F.col("p_partkey").alias("id"), F.concat(F.lit("M"), "s", "s").alias("sequence"))
 
@@ -356,6 +364,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "fuzzy_lookup": fuzzy_lookup,
     "wildcard_lookup": wildcard_lookup,
     "variant_lookup": variant_lookup,
+    "index_lookup": index_lookup,
     "wildcards": lambda s, d: search.expanded(_words(s, d).select(F.concat("s", F.lit("X")).alias("peptide")).distinct()),
     "mass_window": mass_window,
     "fuzzy_substitutions": fuzzy_substitutions,
@@ -559,6 +568,7 @@ ORACLE_SQL: dict[str, str] = {
         x AS (SELECT *, CASE WHEN position > 1 THEN substr(t, position - 1, 1) ELSE '-' END AS before, CASE WHEN position + length(p) <= length(t) THEN substr(t, position + length(p), 1) ELSE '-' END AS after FROM v)
         SELECT doc_id, item_id, position, before, after, (before = '-' OR (before IN ('K', 'R') AND p[1] <> 'P'))::INT + (after = '-' OR (p[-1] IN ('K', 'R') AND after <> 'P'))::INT AS ntt FROM x""",
     "peptide_lookup": f"WITH {_LOOKUP} SELECT * FROM lk",
+    "index_lookup": f"WITH {_LOOKUP} SELECT * FROM lk",
     "lookup_report": f"WITH {_LOOKUP} SELECT 'peptide' || chr(9) || 'protein' || chr(9) || 'location' AS value UNION ALL SELECT peptide || chr(9) || protein || chr(9) || position FROM lk",
     "translated_models": f"""WITH {_M}, g AS (SELECT 'chr' || c_nationkey AS seqid, string_agg(translate(md5(o_orderkey::VARCHAR), '0123456789abcdef', 'ACGTACGTACGTACGT'), '' ORDER BY o_orderkey) AS t
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), j AS (SELECT protein, strand, string_agg(substr(t, s, e - s + 1), '' ORDER BY s, e) AS d FROM m JOIN g ON m.seqid = g.seqid GROUP BY ALL),
