@@ -20,10 +20,10 @@ from pyspark.sql import functions as F
 from evimap.functions.tables import written
 
 #: For runs of so many letters and more: letters of a window, and places between windows. least - window + 1 >= step.
-SEEDS = ((31, 12, 8), (15, 8, 4), (7, 5, 2), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
+SEEDS = ((63, 16, 32), (31, 12, 16), (15, 8, 4), (7, 5, 2), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
 #: Letters of a segment without its margins, at least.
 SEGMENT = 4096
-#: Characters of patterns that are broadcast at once, one for each of up to eight seeds: some 300 MB with their windows.
+#: Characters of patterns that are broadcast at once, a pattern counted for each of its seeds: some 300 MB with their windows.
 BROADCAST_CHARS = 32 << 20
 
 
@@ -58,10 +58,13 @@ def windows(rows: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     return rows.select("*", F.inline(F.concat(*every) if len(every) > 1 else every[0]))
 
 
+def _of_kind(i: int) -> Column:
+    return reduce(lambda out, s: out.when(F.length("run") >= s[0], s[i]), SEEDS, F).otherwise(1)
+
+
 def _runs_seeds(runs: DataFrame) -> DataFrame:
     """All windows of runs (pattern columns, at, run) that may be their seeds: class, size, shift (places before it in the pattern), seed."""
-    size, step = (reduce(lambda out, s, i=i: out.when(F.length("run") >= s[0], s[i]), SEEDS, F).otherwise(1) for i in (1, 2))
-    rows = runs.withColumn("size", size).withColumn("step", step)
+    rows = runs.withColumn("size", _of_kind(1)).withColumn("step", _of_kind(2))
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.length("run") - F.col("size"))).alias("_o"))
     return rows.select(*runs.columns, "size", (F.col("_o") % F.col("step")).alias("class"), (F.col("at") + F.col("_o")).alias("shift"), F.expr("substring(run, _o + 1, size)").alias("seed"))
 
@@ -72,7 +75,7 @@ def search(targets: DataFrame, runs: DataFrame, target_id: str, target: str, hit
     runs: key, pattern, at (letters before the run in the pattern), run. hit: a predicate over pattern and found, the letters
     of the sequence in the pattern's place."""
     runs = written(runs.where("length(run) > 0"))
-    facts = runs.agg(F.max(F.length("pattern")).alias("margin"), F.collect_set(F.length("run")).alias("lengths"), F.sum(8 * F.length("pattern")).alias("chars")).first()
+    facts = runs.agg(F.max(F.length("pattern")).alias("margin"), F.collect_set(F.length("run")).alias("lengths"), F.sum(_of_kind(2) * F.length("pattern")).alias("chars")).first()
     empty = F.lit(None).cast("string").alias("found")
     if not facts["chars"]:
         none = targets.select(target_id).limit(0)
