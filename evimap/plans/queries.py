@@ -233,7 +233,7 @@ def class_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Models of one to seven exons against every third of them, one exon fewer in some, with some ends moved."""
     seg = written(segments(spark, sf))
     reference = reference_segments(seg).where("protein % 3 = 0 and not (protein % 5 = 0 and start % 2 = 0)")
-    return overlap.class_codes(_exon_models(seg), _exon_models(reference))
+    return overlap.class_codes(_exon_models(seg), _exon_models(reference)).withColumn("ref_id", F.col("ref_id").cast("string"))
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
@@ -274,7 +274,8 @@ def fuzzy_lookup(spark: SparkSession, sf: str) -> DataFrame:
     """The first eleven letters of each part's name, some of them with two letters exchanged, with two free sites in all doubled names."""
     words = _words(spark, sf)
     exchanged = F.when(F.col("p_partkey") % 3 == 0, F.expr("concat(substring(s, 2, 4), 'W', substring(s, 7, 2), 'I', substring(s, 10, 3))")).otherwise(F.substring("s", 2, 11))
-    return search.fuzzy_lookup(words.select(exchanged.alias("peptide")), _proteins(words), 2)
+    found = search.fuzzy_lookup(words.select(exchanged.alias("peptide")), _proteins(words), 2)
+    return found.withColumn("substitutions", F.coalesce("substitutions", F.lit(-1)))
 
 
 def wildcard_lookup(spark: SparkSession, sf: str) -> DataFrame:
@@ -574,7 +575,7 @@ ORACLE_SQL: dict[str, str] = {
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ALL), j AS (SELECT protein, strand, string_agg(substr(t, s, e - s + 1), '' ORDER BY s, e) AS d FROM m JOIN g ON m.seqid = g.seqid GROUP BY ALL),
         c AS (SELECT protein, CASE WHEN strand = '-' THEN reverse(translate(d, 'ACGT', 'TGCA')) ELSE d END AS d FROM j)
         SELECT protein, coalesce(array_to_string([substr('{genome.AMINO_ACIDS}', 16 * (strpos('TCAG', d[3 * i + 1]) - 1) + 4 * (strpos('TCAG', d[3 * i + 2]) - 1) + strpos('TCAG', d[3 * i + 3]), 1) FOR i IN range(0, len(d) // 3)], ''), '') AS sequence FROM c""",
-    "class_codes": f"WITH {_M}, {_CLASSES} SELECT e.id AS qry_id, rid AS ref_id, coalesce(code, 'u') AS class_code FROM ei AS e LEFT JOIN pb ON e.id = pb.id AND nth = 1 WHERE side = 'q'",
+    "class_codes": f"WITH {_M}, {_CLASSES} SELECT e.id AS qry_id, rid::VARCHAR AS ref_id, coalesce(code, 'u') AS class_code FROM ei AS e LEFT JOIN pb ON e.id = pb.id AND nth = 1 WHERE side = 'q'",
     "fuzzy_lookup": f"""WITH {_W}, q AS (SELECT DISTINCT trim(CASE WHEN p_partkey % 3 = 0 THEN s[2:5] || 'W' || s[7:8] || 'I' || s[10:12] ELSE s[2:12] END) AS peptide FROM wd),
         a AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM q), t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd),
         w AS (SELECT DISTINCT p FROM a WHERE len(p) >= 5 AND regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWY]+$')), n AS (SELECT DISTINCT len(p) AS n FROM w),
@@ -582,7 +583,7 @@ ORACLE_SQL: dict[str, str] = {
         h AS (SELECT p, f, hamming(p, f)::INT AS substitutions FROM w JOIN f ON len(p) = len(f) AND hamming(p, f) <= 2),
         r AS (SELECT p, p_partkey, i AS position, substitutions, array_to_string([(j - 1) || ',' || f[j] || ';' FOR j IN range(1, len(p) + 1) IF p[j] <> f[j]], '') AS places
               FROM h JOIN u ON len(f) = n AND substr(u.t, i, n) = f JOIN wd ON translate('M' || s || s, 'I', 'L') = u.t)
-        SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position, substitutions, places FROM a LEFT JOIN r ON a.p = r.p""",
+        SELECT peptide, coalesce(p_partkey::VARCHAR, 'UNMAPPED') AS protein, coalesce(position, 0) AS position, coalesce(substitutions, -1) AS substitutions, places FROM a LEFT JOIN r ON a.p = r.p""",
     "variant_lookup": f"""WITH {_W}, a AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN s[2:11] WHEN 1 THEN s[2:4] || 'W' || s[6:11] WHEN 2 THEN s[2:6] || 'K' || s[8:11] ELSE s[2:4] || 'W' || s[6:6] || 'K' || s[8:11] END AS peptide FROM wd),
         b AS (SELECT peptide, translate(peptide, 'I', 'L') AS p FROM a), w AS (SELECT DISTINCT p FROM b WHERE len(p) >= 5 AND regexp_matches(p, '^[ACDEFGHIKLMNPQRSTVWY]+$')),
         t AS (SELECT DISTINCT translate('M' || s || s, 'I', 'L') AS t FROM wd), x AS (SELECT t, CASE WHEN i % 2 = 1 THEN t[:5] || 'W' || t[7:] ELSE t END AS y, i FROM t, range(4) AS r(i)),

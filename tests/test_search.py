@@ -13,7 +13,7 @@ def texts_of(r, letters, n, most):
 
 
 @pytest.mark.parametrize("segment", [16, 4096])
-@pytest.mark.parametrize("broadcast_chars", [200, 1 << 20])
+@pytest.mark.parametrize("broadcast_chars", [3000, 1 << 20])
 def test_occurrences_of_all_lengths(spark, monkeypatch, segment, broadcast_chars):
     """Segments shorter than patterns, patterns in several groups, one tile that is nearly everywhere, names that clash."""
     monkeypatch.setattr(seeds, "SEGMENT", segment)
