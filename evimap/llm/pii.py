@@ -143,6 +143,8 @@ def detect(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(each, "row long, digest binary, entities array<string>, terms array<string>, sketches array<long>")
 
 
+#: Disclosing terms that may be broadcast; with more of them texts are joined with the terms that stand in them.
+BROADCAST_TERMS = 1 << 18
 _FOUND = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("entities", pa.list_(pa.string())), ("terms", pa.list_(pa.string())), ("sketches", pa.list_(pa.int64()))])
 _SPANS = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))
 
@@ -181,25 +183,28 @@ def disclosures(found: DataFrame, docs: DataFrame, text_col: str = "text", discl
     return sure.select("entity", "term", F.when(F.col("_share") >= removal, 5).otherwise(4).alias("kind"))
 
 
-def term_hits(docs: DataFrame, text_col: str, **thresholds) -> DataFrame | None:
-    """digest (of a text), hits (term, kind): the disclosing terms that stand in it; None where no term discloses."""
+def disclosing_terms(docs: DataFrame, text_col: str, **thresholds) -> DataFrame:
+    """term, kind: the terms that disclose an entity, written."""
     found = materialise(detect(docs, text_col), "pii")
-    disclosing = materialise(disclosures(found, docs, text_col, **thresholds), "pii")
-    if disclosing.isEmpty():
-        return None
-    kinds = disclosing.groupBy("term").agg(F.max("kind").alias("kind"))
+    return materialise(disclosures(found, docs, text_col, **thresholds).groupBy("term").agg(F.max("kind").alias("kind")), "pii")
+
+
+def term_hits(docs: DataFrame, text_col: str, kinds: DataFrame) -> DataFrame:
+    """digest (of a text), hits (term, kind): the disclosing terms that stand in it."""
     hits = docs.select(F.unhex(F.md5(text_col)).alias("digest"), F.explode(_texts_terms(text_col)).alias("term")).join(kinds, "term")
     return materialise(hits.groupBy("digest").agg(F.collect_set(F.struct("term", "kind")).alias("hits")), "pii")
 
 
 def _with_spans(docs: DataFrame, text_col: str, keep: list, each, schema: str, **thresholds) -> DataFrame:
     """keep and each text with its base spans and places of disclosing terms through each (text, spans, terms)."""
-    hits = term_hits(docs, text_col, **thresholds)
+    kinds_of = disclosing_terms(docs, text_col, **thresholds)
     rows = docs.select(*keep, F.col(text_col).alias("text"))
-    if hits is None:
+    every = None
+    if kinds_of.count() <= BROADCAST_TERMS:  # the tasks look the words of a text up: no text is shuffled
+        every = docs.sparkSession.sparkContext.broadcast({r["term"]: r["kind"] for r in kinds_of.collect()})
         rows = rows.withColumn("hits", F.expr("cast(null as array<struct<term:string,kind:int>>)"))
     else:
-        rows = rows.withColumn("digest", F.unhex(F.md5("text"))).join(hits, "digest", "left").drop("digest")
+        rows = rows.withColumn("digest", F.unhex(F.md5("text"))).join(term_hits(docs, text_col, kinds_of), "digest", "left").drop("digest")
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -207,7 +212,7 @@ def _with_spans(docs: DataFrame, text_col: str, keep: list, each, schema: str, *
                 out = []
                 for text, hits in zip(part.column("text").to_pylist(), part.column("hits").to_pylist(), strict=True):
                     spans = base_spans(text) if text else []
-                    kinds = {h["term"]: h["kind"] for h in sorted(hits or [], key=lambda h: h["kind"])}
+                    kinds = every.value if every else {h["term"]: h["kind"] for h in hits or []}
                     out.append(each(text, spans, [(a, kinds[t], b) for t, a, b in _terms(text, spans) if t in kinds] if kinds else []))
                 yield packed(part, out)
 
