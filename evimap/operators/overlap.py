@@ -1,7 +1,10 @@
 """Class codes of gene models against a reference, from their exons.
 
-Models meet where they share a genomic bin, each pair in one bin only. A decision list over exons and introns names what a pair
-is to each other; a model's code is that of its best pair, in the order of CODES.
+A decision list over exons and introns names what a pair is to each other; a model's code is that of its best pair, in the order of
+CODES. The codes up to k need an intron in common, or a model without introns in an exon of the other one; those up to j a donor or
+an acceptor in common, or an intron within an exon. Models meet on the first of these, those without such a code on the second
+(close_pairs). Only those that find no code so are held against all models near by: they meet where they share a genomic
+bin, each pair in one bin only (pairs).
 
 What a code asks for (q the model, r the reference model; introns are the gaps between exons; strands are opposite when one is
 + and the other -, and else the same):
@@ -32,26 +35,64 @@ from evimap.functions.tables import written
 
 #: From the best to the last: fixed values, the codes of the comparison format.
 CODES = "=ckmnjeosxiypru"
+#: The ways of close_pairs() in which all pairs meet that have one of the codes up to this.
+STEPS = (("iql", "k"), ("dar", "j"))
 BIN = 1 << 14
+#: Letters of a bin for places within exons.
+FINE = 1 << 9
 RUN_ON = 2000
 #: Letters of an intron that a model without introns must cover beside an exon.
 FRAGMENT = 10
 #: Letters that the exons of q and r share.
 _OVERLAP = "aggregate(q.exons, 0L, (n, a) -> n + aggregate(r.exons, 0L, (k, b) -> k + greatest(0L, least(a.end, b.end) - greatest(a.start, b.start) + 1)))"
 
+_OPPOSITE = "coalesce(q.strand IN ('+', '-') AND r.strand IN ('+', '-') AND q.strand <> r.strand, false)"
+
 
 def introns(exons: str) -> str:
     """SQL for the gaps between sorted exons, as structs of start and end (closed)."""
     return f"zip_with(slice({exons}, 1, size({exons}) - 1), slice({exons}, 2, size({exons})), (a, b) -> struct(a.end + 1 AS start, b.start - 1 AS end))"
 
 
+def _named(models: DataFrame, name: str) -> DataFrame:
+    """seqid and the models as structs; those without exons go."""
+    return models.where("size(exons) > 0").select("seqid", F.struct("id", "strand", "exons", F.expr(introns("exons")).alias("introns"), F.expr("exons[0].start").alias("start"), F.expr("element_at(exons, -1).end").alias("end")).alias(name))
+
+
+def close_pairs(models: DataFrame, reference: DataFrame, kinds: str, size: int = FINE) -> DataFrame:
+    """q and r as pairs() has them, some more than once: those that meet in one of the ways of kinds.
+
+    i: equal introns. q: q has no introns and begins in an exon of r. l: r has none and begins in an exon of q. d: equal donors.
+    a: equal acceptors. r: an intron of r lies within an exon of q. (Exons that overlap have an intron that ends before it starts.)"""
+    place = "struct('{0}' AS kind, bigint({1}) AS at, bigint({2}) AS to, bigint(x.start) AS start, bigint(x.end) AS end)".format
+    whole = lambda of, kind, at, to="0": f"transform({of}, x -> {place(kind, at, to)})"
+    binned = lambda of, kind, low, high: f"flatten(transform({of}, x -> transform(sequence({low} div {size}, {high} div {size}), b -> {place(kind, 'b', '0')})))"
+    same = lambda n: {"i": whole(f"{n}.introns", "i", "x.start", "x.end"), "d": whole(f"{n}.introns", "d", "x.start"), "a": whole(f"{n}.introns", "a", "x.end")}
+    exons = lambda n, kind: binned(f"{n}.exons", kind, "x.start", "x.end")
+    lone = lambda n, kind: whole(f"filter({n}.exons, x -> size({n}.introns) = 0)", kind, f"x.start div {size}")
+    of_q = same("q") | {"q": lone("q", "q"), "l": exons("q", "l"), "r": exons("q", "r")}
+    of_r = same("r") | {"q": exons("r", "q"), "l": lone("r", "l"), "r": binned("r.introns", "r", "least(x.start, x.end)", "x.start")}
+    keys = ["seqid", "kind", "at", "to"]
+
+    def met(df: DataFrame, name: str, places: dict[str, str]) -> DataFrame:
+        rows = _named(df, name).withColumn("_m", F.explode(F.expr(f"concat({', '.join(places[k] for k in kinds)})")))
+        rows = rows.select("seqid", name, "_m.kind", "_m.at", "_m.to", F.struct("_m.start", "_m.end").alias(f"{name}_part"))
+        # few bytes are much work here, so tasks are not put together by their bytes
+        return rows.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+    begins = "({0}.start BETWEEN {1}_part.start AND {1}_part.end AND ({0}.end <= {1}_part.end OR size({1}.introns) = 0))".format
+    fits = f"""CASE kind WHEN 'q' THEN {begins('q', 'r')} WHEN 'l' THEN {begins('r', 'q')}
+        WHEN 'r' THEN r_part.start > q_part.start AND r_part.end < q_part.end ELSE true END"""
+    return met(models, "q", of_q).join(met(reference, "r", of_r), keys).where(F.expr(f"NOT {_OPPOSITE}") & F.expr(fits)).select("seqid", "q", "r")
+
+
 def pairs(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON, size: int = BIN) -> DataFrame:
     """q and r (structs of id, strand, exons, introns, start, end): models within run_on letters of each other.
 
     models, reference: id, seqid, strand, exons (array of start, end; sorted, not overlapping)."""
 
     def binned(df: DataFrame, name: str, margin: int) -> DataFrame:
-        rows = df.where("size(exons) > 0").select("seqid", F.struct("id", "strand", "exons", F.expr(introns("exons")).alias("introns"), F.expr("exons[0].start").alias("start"), F.expr("element_at(exons, -1).end").alias("end")).alias(name))
+        rows = _named(df, name)
         first = F.expr(f"({name}.start - {margin}) div {size}").alias(f"{name}_bin")
         return rows.select("seqid", name, first, F.explode(F.expr(f"sequence(({name}.start - {margin}) div {size}, ({name}.end + {margin}) div {size})")).alias("bin"))
 
@@ -60,7 +101,7 @@ def pairs(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON, size: i
 
 
 def code(run_on: int = RUN_ON) -> Column:
-    """The code of a pair (columns q, r), null where there is none."""
+    """class_code and letters of a pair (columns q, r): its code, null where there is none, and how many letters of exons it shares."""
     inside = "({0}.start >= {1}.start AND {0}.end <= {1}.end)".format
     shared = "size(array_intersect(q.introns, r.introns))"
     length = "aggregate({0}.exons, 0L, (n, a) -> n + a.end - a.start + 1)".format
@@ -84,7 +125,7 @@ def code(run_on: int = RUN_ON) -> Column:
         WHEN {junction} THEN 'j'
         WHEN {single} AND {fragment} THEN 'e'
         ELSE 'o' END"""
-    opposite = "(q.strand IN ('+', '-') AND r.strand IN ('+', '-') AND q.strand <> r.strand)"
+    opposite = _OPPOSITE
     decided = f"""CASE
         WHEN ov > 0 AND NOT {opposite} THEN {same}
         WHEN {opposite} AND {shared} > 0 THEN 's'
@@ -92,7 +133,7 @@ def code(run_on: int = RUN_ON) -> Column:
         WHEN exists(r.introns, x -> {inside('q', 'x')}) THEN 'i'
         WHEN exists(q.introns, x -> {inside('r', 'x')}) THEN 'y'
         WHEN NOT {opposite} AND (q.start > r.end OR r.start > q.end) AND greatest(q.start - r.end, r.start - q.end) <= {run_on} THEN 'p' END"""
-    return F.expr(f"get(transform(array({_OVERLAP}), ov -> {decided}), 0)")
+    return F.expr(f"get(transform(array({_OVERLAP}), ov -> struct({decided} AS class_code, ov AS letters)), 0)")
 
 
 def class_codes(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON) -> DataFrame:
@@ -103,9 +144,19 @@ def class_codes(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON) -
     are masked as repeats. Models without exons are u; equal ids are one model each row."""
     masked = F.col("masked") if "masked" in models.columns else F.lit(None)
     keyed = written(models.withColumns({"_row": F.monotonically_increasing_id(), "masked": masked.cast("double")}))
-    q = keyed.select(F.struct("id", "_row", "masked").alias("id"), "seqid", "strand", "exons")
-    coded = pairs(q, reference, run_on).select(F.col("q.id._row").alias("_row"), F.col("r.id").alias("ref_id"), code(run_on).alias("class_code"), F.expr(_OVERLAP).alias("letters")).where("class_code is not null")
+    q, r = keyed.select(F.struct("id", "_row", "masked").alias("id"), "seqid", "strand", "exons"), written(reference.select("id", "seqid", "strand", "exons"))
     rank = F.expr(f"instr('{CODES}', class_code)")
-    best = coded.groupBy("_row").agg(F.min(F.struct(rank.alias("rank"), (-F.col("letters")).alias("letters"), "ref_id", "class_code")).alias("b"))
+
+    def best(met: DataFrame) -> DataFrame:
+        coded = met.select(F.col("q.id._row").alias("_row"), F.col("r.id").alias("ref_id"), code(run_on).alias("c")).select("_row", "ref_id", "c.*").where("class_code is not null")
+        return coded.groupBy("_row").agg(F.min(F.struct(rank.alias("rank"), (-F.col("letters")).alias("letters"), "ref_id", "class_code")).alias("b"))
+
+    # a model with a code of one step can't have a better one in the next
+    found = None
+    for kinds, last in STEPS:
+        settled = written(best(close_pairs(q, r, kinds)).where(F.col("b.rank") <= CODES.index(last) + 1))
+        found = settled if found is None else found.unionByName(settled)
+        q = written(q.join(settled.select("_row"), F.col("id._row") == F.col("_row"), "left_anti"))
+    found = found.unionByName(best(pairs(q, r, run_on)))
     alone = F.when(F.col("masked") >= 0.5, "r").otherwise("u")
-    return keyed.select("id", "_row", "masked").join(best, "_row", "left").select(F.col("id").alias("qry_id"), F.col("b.ref_id").alias("ref_id"), F.coalesce("b.class_code", alone).alias("class_code"))
+    return keyed.select("id", "_row", "masked").join(found, "_row", "left").select(F.col("id").alias("qry_id"), F.col("b.ref_id").alias("ref_id"), F.coalesce("b.class_code", alone).alias("class_code"))

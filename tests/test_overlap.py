@@ -67,3 +67,27 @@ def test_each_pair_once(spark, size):
     want = sorted((a, b) for a, c, _, x in q for b, d, _, y in ref if c == d and x[0][0] <= y[-1][1] + 100 and y[0][0] <= x[-1][1] + 100)
     got = overlap.pairs(spark.createDataFrame(q, MODEL), spark.createDataFrame(ref, MODEL), 100, size).selectExpr("q.id", "r.id").collect()
     assert sorted(map(tuple, got)) == want
+
+
+def test_steps_find_what_all_pairs_find(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    # exons at few places, some of which overlap, so that every kind of intron occurs often
+    def made(name, n):
+        out = []
+        for i in range(n):
+            starts = [100 * r.randint(0, 8) + r.randint(0, 9) for _ in range(r.randint(1, 5))]
+            out.append((f"{name}{i}", "c", r.choice("+-."), sorted((s, s + r.choice((20, 40, 60, 130, 900))) for s in starts)))
+        return spark.createDataFrame(out, MODEL)
+
+    q, ref = made("q", 150), made("r", 120)
+    rank = F.expr(f"instr('{overlap.CODES}', c.class_code)")
+    every = overlap.pairs(q, ref).select("q.id", F.col("r.id").alias("ref"), overlap.code().alias("c")).where("c.class_code is not null")
+    want = every.groupBy("id").agg(F.min(F.struct(rank.alias("k"), (-F.col("c.letters")).alias("n"), "ref", "c.class_code")).alias("b")).select("id", "b.ref", "b.class_code")
+    assert sorted(overlap.class_codes(q, ref).collect()) == sorted(want.collect())
+    # what comes before the last step are not all pairs
+    for kinds, last in overlap.STEPS:
+        met = {tuple(x) for x in overlap.close_pairs(q, ref, kinds, 64).selectExpr("q.id", "r.id").collect()}
+        upto = {(x.id, x.ref) for x in every.where(rank <= overlap.CODES.index(last) + 1).collect() if kinds == "iql" or x.c.class_code in "mnj"}
+        assert upto <= met and len(met) < every.count() / 2
