@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import rounded
+from evimap.functions.tables import dealt
 
 #: Class codes and what they stand for: fixed values of the report.
 CLASS_CODES = {
@@ -201,11 +202,13 @@ def numbered(rows: DataFrame, count: str, group: str, rest: list[str]) -> DataFr
     return out.withColumn("candidate_id", F.format_string("HPNGC_%04d", F.col("_before") + F.col("_nth"))).drop("_nth", "_before", "_count", "_group")
 
 
-def merged_models(rows: DataFrame, place: str = "line_no") -> DataFrame:
+def merged_models(rows: DataFrame, place: str = "line_no", count: int | None = None) -> DataFrame:
     """The CDS rows of feature tables as a normalised annotation: for each protein a transcript row, then its distinct CDS rows.
 
-    Sequence, source and strand are the first row's, the gene the first one named, the score the largest."""
+    Sequence, source and strand are the first row's, the gene the first one named, the score the largest. count: how many
+    rows there are, about; with it they are dealt by protein once, to as many tasks as that takes."""
     cds = rows.where("type = 'cds' and trim(protein) <> ''").withColumn("protein", F.trim("protein"))
+    cds = cds if count is None else dealt(cds, count, "protein")
     clean = lambda c: F.trim(F.regexp_replace(c, '"', ""))
     named = F.nullif(F.trim("gene"), F.lit(""))
     facts = cds.groupBy("protein").agg(*[F.min_by(c, place).alias(c) for c in ("seqid", "source", "strand")], F.min_by(named, F.when(named.isNotNull(), F.col(place))).alias("gene"), F.min("start").alias("low"), F.max("end").alias("high"), F.coalesce(F.max("score"), F.lit(0.0)).alias("score"))

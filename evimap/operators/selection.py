@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import extracted
+from evimap.functions.tables import dealt, written
 from evimap.operators.compare import ACCEPTED, class_code_summary
 
+#: Groups of the lines that ask for no id.
+SPREAD = 1 << 12
 FEATURE = ("seqid", "source", "type", "start", "end", "score", "strand", "frame", "attrs")
 
 
@@ -38,16 +41,26 @@ def resolved(lines: DataFrame) -> DataFrame:
         "value", "place", "type", F.coalesce(_attr("ID"), transcript, bare).alias("id"), F.coalesce(_attr("protein_id"), transcript).alias("named"),
         F.coalesce(_attr("Parent"), transcript).alias("parent"), F.coalesce(_attr("Parent"), _attr("gene_id")).alias("above"), bare.alias("bare"),
     )
+    # written once: three branches of the plan read it, and its attributes are searched for many patterns
+    rows = written(rows)
     own = rows.where(model & F.col("id").isNotNull()).select("id", F.col("id").alias("protein"), "place")
     coding = rows.where("type = 'cds' and named is not null and parent is not null").select(F.col("parent").alias("id"), F.col("named").alias("protein"), "place")
     known = own.unionByName(coding).groupBy("id").agg(F.max_by("protein", "place").alias("protein"))
     genes = rows.where(model & F.col("id").isNotNull() & F.col("above").isNotNull()).groupBy("above").agg(F.min_by("id", "place").alias("first"))
     genes = genes.join(known, F.col("first") == known["id"]).select(F.col("above").alias("id"), "protein", F.lit(1).alias("_rank"))
     meaning = known.withColumn("_rank", F.lit(0)).unionByName(genes).groupBy("id").agg(F.max_by("protein", "_rank").alias("protein"))
-    means = lambda key: meaning.select(F.col("id").alias(f"_{key}"), F.col("protein").alias(f"by_{key}"))
+    # only lines that don't name their protein ask; those that no longer do in a join are spread over its tasks by _no, and not one group
+    means = lambda key: meaning.select(F.col("id").alias(f"_{key}"), F.col("protein").alias(f"by_{key}"), F.lit(0).alias("_yes"))
+    ask, answers = rows.where("named is null"), []
+    n = ask.count()
     for key in ("id", "above", "bare"):
-        rows = rows.join(means(key), F.col(key) == F.col(f"_{key}"), "left")
-    return rows.select("value", "place", F.coalesce("named", "by_id", "by_above", "by_bare", "bare").alias("protein"))
+        asked = F.when(F.coalesce(*answers, F.lit(None)).isNull(), F.col(key))
+        no = F.when(asked.isNull(), 1 + F.pmod(F.xxhash64("value", "place"), F.lit(SPREAD)).cast("int")).otherwise(0)
+        ask = dealt(ask.withColumns({"_asked": asked, "_no": no}), n, "_asked", "_no")
+        ask = ask.join(means(key), (F.col("_asked") == F.col(f"_{key}")) & (F.col("_no") == F.col("_yes")), "left").drop("_asked", "_no", "_yes", f"_{key}")
+        answers.append(F.col(f"by_{key}"))
+    answered = ask.select("value", "place", F.coalesce(*answers, "bare").alias("protein"))
+    return rows.where("named is not null").select("value", "place", F.col("named").alias("protein")).unionByName(answered)
 
 
 def merge_annotations(*parts: DataFrame) -> DataFrame:

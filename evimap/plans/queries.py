@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evimap.functions import scalars
-from evimap.functions.tables import new_folder, written
+from evimap.functions.tables import dealt, new_folder, written
 from evimap.operators import charts, compare, evidence, genome, index, intervals, learning, overlap, search, selection
 from evimap.sources import annotations, reports
 
@@ -44,13 +44,13 @@ def segments(spark: SparkSession, sf: str) -> DataFrame:
         _strand("l_orderkey"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3 + F.col("l_suppkey") % 3).alias("end"),
     )
     # dealt by model once: distinct, windows, sums and joins by model find their rows where they are
-    return rows.repartition("protein").distinct()
+    return dealt(rows, _t(spark, sf, "lineitem").count(), "protein").distinct()
 
 
 def all_segments(spark: SparkSession, sf: str) -> DataFrame:
     """segments(), and one of each order, so that some models have no peptide."""
     first = _orders(spark, sf).select(F.col("o_orderkey").alias("protein"), F.col("o_custkey").alias("gene"), F.concat(F.lit("chr"), F.col("c_nationkey").cast("string")).alias("seqid"), _strand("o_orderkey"), F.lit(10).cast("long").alias("start"), (F.col("o_custkey") % 300 + 12).alias("end"))
-    return segments(spark, sf).unionByName(first)
+    return segments(spark, sf).unionByName(dealt(first, _t(spark, sf, "lineitem").count(), "protein"))
 
 
 def reference_segments(seg: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def peptides(spark: SparkSession, sf: str) -> DataFrame:
         F.concat_ws("-", "l_partkey", "l_suppkey").alias("peptide"), F.col("l_orderkey").alias("protein"), F.col("o_custkey").alias("gene"),
         start.alias("pep_start"), F.least(start + F.col("l_quantity").cast("long") % 20, F.lit(100)).alias("pep_end"), F.lit(100).cast("long").alias("prot_len"),
     )
-    return rows.repartition("peptide").distinct()
+    return dealt(rows, _t(spark, sf, "lineitem").count(), "peptide").distinct()
 
 
 def peptide_rows(seg: DataFrame, pep: DataFrame) -> DataFrame:
@@ -208,7 +208,7 @@ def orf_projection(spark: SparkSession, sf: str) -> DataFrame:
 
 def merged_models(spark: SparkSession, sf: str) -> DataFrame:
     rows = segments(spark, sf).select("seqid", F.lit("x").alias("source"), F.lit("cds").alias("type"), "start", "end", (F.col("start") % 10 / 10.0).alias("score"), "strand", (F.col("end") % 4).cast("string").alias("frame"), F.col("gene").cast("string").alias("gene"), F.col("protein").cast("string").alias("protein"), F.struct("start", "end").alias("line_no"))
-    return compare.merged_models(rows).select("seqid", "source", "type", F.col("start").alias("s"), F.col("end").alias("e"), scalars.general_number(F.col("score")).alias("score"), "strand", "frame", "attrs")
+    return compare.merged_models(rows, count=_t(spark, sf, "lineitem").count()).select("seqid", "source", "type", F.col("start").alias("s"), F.col("end").alias("e"), scalars.general_number(F.col("score")).alias("score"), "strand", "frame", "attrs")
 
 
 def translated_models(spark: SparkSession, sf: str) -> DataFrame:
