@@ -70,27 +70,27 @@ def peptides(spark: SparkSession, sf: str) -> DataFrame:
     return dealt(rows, _t(spark, sf, "lineitem").count(), "peptide").distinct()
 
 
-def peptide_rows(seg: DataFrame, pep: DataFrame) -> DataFrame:
+def peptide_rows(seg: DataFrame, pep: DataFrame, count: int) -> DataFrame:
     """Peptides with their models' splice sites and coverage, specificity, terminal and splice flags.
 
-    Specificity goes by peptide, the rest by protein: the rows are dealt once for each."""
-    rows = evidence.flagged(evidence.specificity(pep).repartition("protein"), seg)
+    Specificity goes by peptide, the rest by protein: the rows (count, about) are dealt once for each."""
+    rows = evidence.flagged(dealt(evidence.specificity(pep), count, "protein"), seg)
     return rows.withColumn("n_terminal", F.col("pep_start") == 1).withColumn("c_terminal", F.col("pep_end") == F.col("prot_len"))
 
 
 def feature_table(spark: SparkSession, sf: str) -> DataFrame:
-    return evidence.features(peptide_rows(written(segments(spark, sf)), written(peptides(spark, sf))))
+    return evidence.features(peptide_rows(written(segments(spark, sf)), peptides(spark, sf), _t(spark, sf, "lineitem").count()))
 
 
 def score_table(spark: SparkSession, sf: str) -> DataFrame:
     """Every model with a sequence: measures, isoforms, transcript and external score; at 0 without peptides."""
-    # what several branches of the plan read is written once
-    seg, pep, orders = written(all_segments(spark, sf)), written(peptides(spark, sf)), _t(spark, sf, "orders")
+    # what several branches of the plan read is written once; peptides are dealt as specificity needs them, which a table would forget
+    seg, pep, orders = written(all_segments(spark, sf)), peptides(spark, sf), _t(spark, sf, "orders")
     transcripts = orders.select(F.col("o_orderkey").alias("protein"), F.when(F.col("o_orderstatus") == "P", "gene").otherwise("mrna").alias("type"), (F.floor(F.col("o_totalprice")).cast("long") % 100 / 100.0).alias("score"))
     lengths = orders.where("o_orderkey % 11 <> 0").select(F.col("o_orderkey").alias("protein"), F.lit(100).cast("long").alias("protein_length"))
     external = orders.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").alias("protein"), (F.col("o_orderkey") * 37 % 1000 / 1000.0).alias("external_score"))
     facts = evidence.model_facts(seg, evidence.transcript_scores(transcripts))
-    rows = peptide_rows(seg, pep).drop("splice_sites").join(facts.drop("low", "high"), "protein")
+    rows = peptide_rows(seg, pep, _t(spark, sf, "lineitem").count()).drop("splice_sites").join(facts.drop("low", "high"), "protein")
     f = evidence.with_external_scores(evidence.with_unmatched(evidence.features(rows), facts, lengths), external)
     return f.withColumn("transcript_score", scalars.rounded(F.col("transcript_score"), 6))
 
@@ -128,7 +128,7 @@ def junction_support(spark: SparkSession, sf: str) -> DataFrame:
 def evidence_report(spark: SparkSession, sf: str) -> DataFrame:
     seg, pep = written(segments(spark, sf)), written(peptides(spark, sf))
     found = written(located(seg, pep).select("peptide", "seqid", "b"))
-    return compare.evidence_report(codes(spark, sf), evidence.features(peptide_rows(seg, pep)), compare.models(seg), compare.models(reference_segments(seg)), found)
+    return compare.evidence_report(codes(spark, sf), evidence.features(peptide_rows(seg, pep, _t(spark, sf, "lineitem").count())), compare.models(seg), compare.models(reference_segments(seg)), found)
 
 
 def structure_diff(spark: SparkSession, sf: str) -> DataFrame:
