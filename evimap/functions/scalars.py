@@ -27,7 +27,13 @@ def rounded(x: Column, places: int) -> Column:
 
 def extracted(text: Column, pattern: str) -> Column:
     """The first group of a pattern, null where it doesn't match."""
-    return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
+    # not nullif: within a coalesce it would search the text twice
+    return F.get(F.array_remove(F.array(F.regexp_extract(text, pattern, 1)), ""), F.lit(0))
+
+
+def once(x: Column) -> Column:
+    """x as a column of its own (alone in a select): conditions on it read it, instead of computing it once more for each of them."""
+    return F.explode(F.array(x))
 
 
 def attribute_map(text: Column) -> Column:

@@ -7,7 +7,7 @@ import csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evimap.functions.scalars import attribute_map, extracted
+from evimap.functions.scalars import attribute_map, extracted, once
 from evimap.operators import genome
 
 #: The order in which attributes name a gene: fixed patterns of the two formats.
@@ -37,8 +37,8 @@ def features(spark: SparkSession, path: str) -> DataFrame:
 
 def feature_rows(lines: DataFrame) -> DataFrame:
     """Lines (value, place) as a feature table with gene and protein; a # ends a line wherever it stands."""
-    f = F.split(F.regexp_replace("value", "#.*$", ""), "\t")
-    rows = lines.withColumnRenamed("place", "line_no").withColumn("f", f).where(F.size("f") >= 8)
+    f = F.split(F.when(F.contains("value", F.lit("#")), F.regexp_replace("value", "#.*$", "")).otherwise(F.col("value")), "\t")
+    rows = lines.withColumnRenamed("place", "line_no").select("*", once(f).alias("f")).where(F.size("f") >= 8)
     part = lambda i: F.nullif(F.get("f", F.lit(i)), F.lit(""))
     rows = rows.select(
         part(0).alias("seqid"), part(1).alias("source"), F.lower(part(2)).alias("type"), part(3).try_cast("long").alias("start"), part(4).try_cast("long").alias("end"),
@@ -105,8 +105,8 @@ def bed12(spark: SparkSession, path: str) -> DataFrame:
 
 def _fields(lines: DataFrame) -> DataFrame:
     """Lines (value, place) of nine fields or more, comments left out: fields f, type in lower case, attributes as a map."""
-    rows = lines.where(~F.col("value").startswith("#")).withColumn("f", F.split("value", "\t")).where("size(f) >= 9")
-    return rows.select("place", "f", F.lower(F.get("f", F.lit(2))).alias("type"), attribute_map(F.get("f", F.lit(8))).alias("a"))
+    rows = lines.where(~F.col("value").startswith("#")).select("place", once(F.split("value", "\t")).alias("f")).where("size(f) >= 9")
+    return rows.select("place", "f", F.lower(F.get("f", F.lit(2))).alias("type")).select("*", once(attribute_map(F.get("f", F.lit(8)))).alias("a"))
 
 
 def _named(*keys: str) -> Column:

@@ -34,3 +34,20 @@ def test_lines_that_name_nothing_are_spread(spark):
     assert len(got) == 4001 and {(r.place, r.protein) for r in got if r.protein} == {(7, "m7"), (5000, "m7")}
     most = out.where("protein is null").groupBy("task").count().agg(F.max("count")).first()[0]
     assert most < 3900
+
+
+def test_fields_of_a_line_are_split_once(spark):
+    from evimap.sources import annotations
+
+    lines = spark.createDataFrame([("c\tx\tCDS\t1\t9\t.\t+\t0\tParent=m1;gene_id=g#c", 1), ("# note", 2), ("c\tx\texon\t1\t9\t.\t+\t.\ttranscript_id \"t\"", 3)], "value string, place long")
+    for out, want in ((annotations.feature_rows(lines), ("m1", "g")), (annotations.transcript_models(lines).selectExpr("transcript as protein", "gene"), ("t", "t"))):
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(value") + plan.count("split(CASE") + plan.count("split(if") + plan.count("split(regexp") == 1
+        assert [(r.protein, r.gene) for r in out.collect()] == [want]
+
+
+def test_peptides_of_a_score_table_stay_dealt(spark, monkeypatch):
+    tables_, write = [], queries.written
+    monkeypatch.setattr(queries, "written", lambda df: tables_.append(df.columns) or write(df))
+    queries.score_table(spark, SF)
+    assert tables_ and not any("peptide" in t for t in tables_)
