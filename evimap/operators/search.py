@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import MODIFICATIONS, peptide_mass, searchable
+from evimap.functions.tables import dealt, written
 from evimap.operators import seeds
 
 #: Letters that a wildcard stands for, I being L.
@@ -20,10 +21,14 @@ def occurrences(targets: DataFrame, patterns: DataFrame, target_id: str, target:
 
 
 def _looked_up(every: DataFrame, found: DataFrame, columns: list[str]) -> DataFrame:
-    """every peptide (with _p) with what was found for it; UNMAPPED at 0 where nothing was."""
-    out = every.join(found.withColumnRenamed("pattern", "_p"), "_p", "left")
+    """every peptide (with _p) with what was found for it; UNMAPPED at 0 where nothing was.
+
+    A peptide may stand in most sequences, so rows found aren't dealt by peptide where the peptides can be broadcast."""
+    every, found = written(every), written(found.withColumnRenamed("pattern", "_p"))
     none = {"protein": F.lit("UNMAPPED"), "position": F.lit(0).cast("long")}
-    return out.select("peptide", *[F.coalesce(F.col(c), none[c]).alias(c) if c in none else F.col(c) for c in columns])
+    lacking = every.join(found.select("_p").distinct(), "_p", "left_anti")
+    empty = [none.get(c, F.lit(None).cast(t)).alias(c) for c, t in found.dtypes if c in columns]
+    return every.join(found, "_p").select("peptide", *columns).unionByName(lacking.select("peptide", *empty))
 
 
 def _asked(peptides: DataFrame) -> DataFrame:
@@ -84,7 +89,8 @@ def variant_lookup(peptides: DataFrame, proteins: DataFrame, least: int = 5) ->
     plain = seeds.search(_residues(proteins), seeds.exact_runs(wanted, "_p", "_p"), "id", "_s", F.col("found") == F.col("pattern"))
     plain = plain.select("pattern", F.col("id").cast("string").alias("protein"), "position", F.lit("").alias("variants"))
     reach = wanted.agg(F.max(F.length("_p"))).first()[0] or 0  # one number
-    rows = proteins.select(F.col("id").cast("string").alias("protein"), F.translate("sequence", "I", "L").alias("_s"), F.expr("array_distinct(transform(variants, v -> named_struct('at', int(v.at), 'residue', translate(v.residue, 'I', 'L'))))").alias("_v"))
+    # dealt by their number: short sequences are few bytes, but each has many windows
+    rows = dealt(proteins, proteins.count(), "id").select(F.col("id").cast("string").alias("protein"), F.translate("sequence", "I", "L").alias("_s"), F.expr("array_distinct(transform(variants, v -> named_struct('at', int(v.at), 'residue', translate(v.residue, 'I', 'L'))))").alias("_v"))
     real = "filter(_v, v -> v.at between 1 and length(_s) and v.residue <> '*' and v.residue <> substring(_s, v.at, 1))"
     sites = rows.withColumn("_v", F.expr(real)).where("size(_v) > 0").withColumn("site", F.explode(F.expr("array_distinct(_v.at)")))
     near = sites.select("protein", "site", F.expr(f"greatest(site - {reach}, 1)").alias("from"), F.expr(f"substring(_s, greatest(site - {reach}, 1), site + {reach} - greatest(site - {reach}, 1) + 1)").alias("text"), F.expr(f"filter(_v, v -> abs(v.at - site) <= {reach})").alias("_v"))

@@ -4,20 +4,24 @@ A pattern has runs of letters that an occurrence must hold as they are: the whol
 each of n + 1 pieces of which n substitutions leave one alone (pigeonhole). Sequences are cut into windows at every STEP-th
 place, so of any run one window of each residue class of places will do: the one that is rarest in the sequences.
 
-Two passes read the sequences: the first counts the windows that patterns have, the second finds seeds and verifies
-each hit beside its window. Seeds go to the tasks (a broadcast whose size is measured; patterns that are too many for one
-are taken in groups), so no sequence is shuffled or copied, and what is shuffled are counts and hits. Sequences go
-through as segments with margins as long as the longest pattern, so a task holds a segment's windows and not a chromosome's.
+Sequences go through as segments with margins as long as the longest pattern, so a task holds some segments' windows and not a
+chromosome's. Segments are dealt to tasks by their number and written once: compressed bytes say little of how much there is to
+search. Two passes read them: the first counts the windows that patterns have, the second finds seeds and verifies each hit beside
+its window. Seeds go to the tasks (a broadcast whose size is measured; patterns that are too many for one are taken in groups).
+Most windows are of no pattern: those are left out by a table of hashes, in Arrow batches, before a window becomes a row; what
+comes through is joined with the seeds letter by letter.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evimap.functions.tables import written
+from evimap.functions.tables import dealt, written
 
 #: For runs of so many letters and more: letters of a window, and places between windows. least - window + 1 >= step.
 SEEDS = ((63, 16, 32), (31, 12, 16), (15, 8, 4), (7, 5, 2), (4, 4, 1), (3, 3, 1), (2, 2, 1), (1, 1, 1))
@@ -25,6 +29,8 @@ SEEDS = ((63, 16, 32), (31, 12, 16), (15, 8, 4), (7, 5, 2), (4, 4, 1), (3, 3, 1)
 SEGMENT = 4096
 #: Characters of patterns that are broadcast at once, a pattern counted for each of its seeds: some 300 MB with their windows.
 BROADCAST_CHARS = 32 << 20
+#: Letters that are hashed together: some 50 MB with their windows' places and hashes.
+HASHED = 1 << 20
 
 
 def segments(targets: DataFrame, target_id: str, target: str, margin: int) -> DataFrame:
@@ -58,6 +64,70 @@ def windows(rows: DataFrame, kinds: list[tuple[int, int]]) -> DataFrame:
     return rows.select("*", F.inline(F.concat(*every) if len(every) > 1 else every[0]))
 
 
+def _hashes(letters: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the windows of so many letters (code points) that begin at these places."""
+    out = np.zeros(len(at), np.uint64)
+    for j in range(size):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + letters[at + j]
+    return (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+
+
+def _letters(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), "<u4")
+
+
+def _table(seeds: list[str]) -> np.ndarray:
+    """Whether a window's hash, by its last bits, is one of a seed's: all seeds, and one in 64 of other windows for up to a million seeds."""
+    table = np.zeros(1 << min(max(64 * len(seeds), 1).bit_length(), 26), bool)
+    for size in {len(x) for x in seeds}:
+        of = [x for x in seeds if len(x) == size]
+        for i in range(0, len(of), HASHED):
+            part = of[i : i + HASHED]
+            table[_hashes(_letters(part), np.arange(len(part)) * size, size) & np.uint64(len(table) - 1)] = True
+    return table
+
+
+def seed_windows(rows: DataFrame, kinds: list[tuple[int, int]], seeds: DataFrame, margin: int | None = None) -> DataFrame:
+    """seed: of the windows(), those that are seeds (and a few others).
+
+    seeds: seed, as many as may be broadcast. With a margin also _id, base, at (places before the window in text) and text: so
+    many letters on either side of the window's begin, and how many places come before them in the sequence."""
+    table = rows.sparkSession.sparkContext.broadcast(_table(seeds.select("seed").distinct().toArrow().column(0).to_pylist()))
+
+    def each(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            size = np.array([len(x) for x in texts], np.int64)
+            part = (np.cumsum(size) - 1) // HASHED
+            for rows_ in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(part)) + 1) if len(texts) else ():
+                yield from found(batch, texts, size, rows_)
+
+    def found(batch, texts, size, rows_):
+        own, lead = (np.asarray(batch.column(c))[rows_].astype(np.int64) for c in ("own", "lead"))
+        letters, begin = _letters([texts[r] for r in rows_]), np.r_[0, np.cumsum(size[rows_])[:-1]]
+        for n, step in kinds:
+            count = np.maximum(np.minimum(-(-own // step), (size[rows_] - lead - n) // step + 1), 0)
+            row = np.repeat(np.arange(len(rows_)), count)
+            at = (begin + lead - step * np.r_[0, np.cumsum(count)[:-1]])[row] + step * np.arange(len(row))
+            known = np.flatnonzero(table.value[_hashes(letters, at, n) & np.uint64(len(table.value) - 1)])
+            if not len(known):
+                continue
+            at, row = at[known], row[known]
+            joined = letters[at[:, None] + np.arange(n)].tobytes().decode("utf-32-le")
+            seed = pa.array([joined[i : i + n] for i in range(0, len(joined), n)], pa.string())
+            if margin is None:
+                yield pa.RecordBatch.from_arrays([seed], names=["seed"])
+                continue
+            at, taken = at - begin[row], pa.array(rows_[row])
+            first = np.maximum(at - margin, 0)
+            near = [texts[r][a:b] for r, a, b in zip(rows_[row].tolist(), first.tolist(), (at + margin).tolist(), strict=True)]
+            base = np.asarray(batch.column("base"))[rows_[row]] + first
+            yield pa.RecordBatch.from_arrays([batch.column("_id").take(taken), pa.array(base), pa.array(at - first), pa.array(near, pa.string()), seed], names=["_id", "base", "at", "text", "seed"])
+
+    kind = dict(rows.dtypes)["_id"]
+    return rows.mapInArrow(each, "seed string" if margin is None else f"_id {kind}, base bigint, at bigint, text string, seed string")
+
+
 def _of_kind(i: int) -> Column:
     return reduce(lambda out, s: out.when(F.length("run") >= s[0], s[i]), SEEDS, F).otherwise(1)
 
@@ -82,19 +152,22 @@ def search(targets: DataFrame, runs: DataFrame, target_id: str, target: str, hit
         return none.join(runs.select("key", "pattern").limit(0), F.lit(True)).select(target_id, "key", "pattern", F.lit(1).cast("long").alias("position"), empty)
     kinds = sorted({next((k, step) for least, k, step in SEEDS if n >= least) for n in facts["lengths"]})
     groups = -(-facts["chars"] // broadcast_chars)
-    cut = segments(targets, target_id, target, facts["margin"])
+    margin = facts["margin"]
+    cut = segments(targets, target_id, target, margin)
+    cut = written(dealt(cut, targets.count(), "_id", "base"))
     found = []
     for g in range(groups):
         own = runs if groups == 1 else runs.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g)
         possible = written(_runs_seeds(own))
         # how often each of these windows stands in the sequences: counted inside the scan, then summed up
-        counts = windows(cut, kinds).select("seed").join(F.broadcast(possible.select("seed").distinct()), "seed").groupBy("seed").agg(F.count("*").alias("n"))
+        counts = seed_windows(cut, kinds, possible).join(F.broadcast(possible.select("seed").distinct()), "seed").groupBy("seed").agg(F.count("*").alias("n"))
         ranked = possible.join(counts, "seed", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         seeds = ranked.groupBy("key", "pattern", "at", "run", "class").agg(F.min(F.struct("n", "shift", "seed")).alias("s")).select("key", "pattern", "s.*")
         seeds = seeds.where("n > 0").drop("n")  # in a class with a window that stands nowhere a run stands nowhere
         place = F.col("at") - F.col("shift")
-        letters = F.expr("substring(text, at - shift + 1, length(pattern))")
-        hits = windows(cut, kinds).join(F.broadcast(written(seeds)), "seed").where((place >= 0) & (F.length(letters) == F.length("pattern")))
+        letters = F.expr("substring(text, int(at - shift + 1), length(pattern))")
+        seeds = written(seeds)
+        hits = seed_windows(cut, kinds, seeds, margin).join(F.broadcast(seeds), "seed").where((place >= 0) & (F.length(letters) == F.length("pattern")))
         hits = hits.select(F.col("_id").alias(target_id), "key", "pattern", (F.col("base") + place + 1).alias("position"), letters.alias("found")).where(hit)
         found.append(hits)
     return reduce(DataFrame.unionByName, found)

@@ -140,3 +140,37 @@ def test_variant_lookup(spark, tmp_path):
         want |= hits or {(peptide, "UNMAPPED", 0, None)}
     found = [tuple(x) for x in got.collect()]
     assert any(";" in (x[3] or "") for x in want) and set(found) == want and len(found) == len(want)
+
+
+def test_windows_that_are_seeds(spark, monkeypatch):
+    """All seeds among the windows come through, in slices of few letters; of the others next to none becomes a row."""
+    monkeypatch.setattr(seeds, "HASHED", 50)
+    r = random.Random(11)
+    texts = [*texts_of(r, "ABCDEFGHIJ", 40, 300), "", None, "é\x00\x00😀\x00" * 9, "A\x00\x00\x00\x00"]
+    kinds = [(5, 2), (3, 1)]
+    cut = seeds.segments(spark.createDataFrame(list(enumerate(texts)), "i long, text string"), "i", "text", 20)
+    every = [x.seed for x in seeds.windows(cut, kinds).select("seed").collect()]
+    some = {*every[:30], "é\x00\x00😀\x00", "\x00\x00\x00", "\x00\x00"}
+    found = seeds.seed_windows(cut, kinds, spark.createDataFrame([(x,) for x in some], "seed string"), 20)
+    assert sorted(x.seed for x in found.collect() if x.seed in some) == sorted(x for x in every if x in some)
+    assert found.count() < len(every) / 4
+    for x in found.collect():
+        assert texts[x._id][x.base + x.at :].startswith(x.seed) and texts[x._id][x.base :].startswith(x.text) and x.text[x.at :].startswith(x.seed)
+
+
+def test_search_is_spread(spark):
+    """Sequences that one task reads are searched by several."""
+    proteins = spark.range(4000).coalesce(1).selectExpr("id", "concat('ACDEFGHIK', if(id % 2 = 0, 'LLNQ', 'MMNQ')) as sequence")
+    peptides = spark.createDataFrame([(1, "DEFGHI"), (2, "KMMNQ")], "key int, peptide string")
+    found = search.occurrences(proteins, peptides, "id", "sequence", "key", "peptide").groupBy("key", F.spark_partition_id()).count().collect()
+    assert [len([x for x in found if x.key == k]) > 1 for k in (1, 2)] == [True, True]
+    assert sum(x["count"] for x in found) == 6000
+
+
+def test_what_is_found_is_not_dealt_by_peptide(spark):
+    """A peptide that stands everywhere isn't brought to one task, and one that stands nowhere is UNMAPPED once."""
+    every = spark.createDataFrame([("PEPI", "PEPL"), ("PEPL", "PEPL"), ("NONE", "NONE")], "peptide string, _p string")
+    found = spark.range(0, 1000, 1, 4).selectExpr("'PEPL' as pattern", "cast(id as string) as protein", "id as position")
+    rows = search._looked_up(every, found, ["protein", "position"])
+    assert rows.where("protein <> 'UNMAPPED'").select(F.spark_partition_id()).distinct().count() > 1
+    assert rows.count() == 2001 and [tuple(x) for x in rows.where("protein = 'UNMAPPED'").collect()] == [("NONE", "UNMAPPED", 0)]
