@@ -97,3 +97,29 @@ def test_bed12_as_written_by_others(spark, tmp_path):
     (tmp_path / "b.bed").write_text("\n".join(rows))
     got = {r.name: (r.start, r.end, r.protein, [tuple(b) for b in r.blocks]) for r in annotations.bed12(spark, str(tmp_path / "b.bed")).collect()}
     assert got == {"A": (11, 30, None, [(11, 15), (25, 30)]), "B": (11, 30, None, []), "C": (11, 30, "2", [(11, 30)]), "D": (11, 30, "1", [(11, 30)])}
+
+
+def test_segments_of_one_tile_stay_where_they_are(spark):
+    """All segments touch a tile: they aren't brought to it, whatever Spark knows of its size."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        tiled = spark.createDataFrame([("c", 0, "ACGT" * 1000)], "seqid string, tile long, text string")
+        segments = spark.range(4000).selectExpr("id as protein", "'c' as seqid", "'+' as strand", "id % 3000 + 1 as start", "id % 3000 + 300 as end")
+        found = genome.cut_out(segments, tiled, "protein")
+        assert "BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()
+        text = "ACGT" * 1000
+        assert all(x.sequence == text[x.protein % 3000 :][:300] for x in found.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_translation_of_any_letters(spark):
+    """Letters that are no bases, of one byte or more, and codons that aren't finished."""
+    text = "ATGGCCNNNacgéTA😀AA\x00TTTGG"
+    tiled = spark.createDataFrame([("c", 0, text)], "seqid string, tile long, text string")
+    segments = spark.createDataFrame([(1, "c", "+", 1, len(text)), (2, "c", "+", 1, 2), (3, "c", "-", 1, 6), (4, "d", "+", 1, 6)], "protein long, seqid string, strand string, start long, end long")
+    found = {x.protein: x.sequence for x in genome.translated(segments, tiled).collect()}
+    codons = itertools.product(genome.BASES, repeat=3)
+    table = {"".join(c): a for c, a in zip(codons, genome.AMINO_ACIDS, strict=True)}
+    letters = lambda t: "".join(table.get(t[i : i + 3], "X") for i in range(0, len(t) - 2, 3))
+    assert found == {1: letters(text.upper()), 2: "", 3: letters("GGCCAT")}
