@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evimap.functions.scalars import rounded
-from evimap.functions.tables import dealt
+from evimap.functions.tables import dealt, written
 
 #: Class codes and what they stand for: fixed values of the report.
 CLASS_CODES = {
@@ -76,24 +76,70 @@ def stop_difference(p: str = "p", r: str = "r", tolerance: int = 3) -> Column:
     return F.expr(f"coalesce({p} is not null and {r} is not null and {same} and {first_boundary(p)} = {first_boundary(r)} and abs({last_boundary(p)} - {last_boundary(r)}) > {tolerance}, false)")
 
 
-def adjacent_pairs(located: DataFrame, name: str = "peptide") -> DataFrame:
-    """One row per neighbouring pair of blocks of a located peptide: place (unique), name, seqid, donor, acceptor."""
-    rows = located.where("size(b) > 1").select(F.md5(F.to_json(F.struct(name, "seqid", "b"))).alias("place"), name, "seqid", F.array_sort("b").alias("b"))
-    return rows.select("place", F.col(name).alias("name"), "seqid", F.explode(F.expr("zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b)), (x, y) -> struct(x.e as donor, y.s as acceptor))")).alias("j")).select("place", "name", "seqid", "j.*")
+#: Junctions of a name that are compared with each other; a name with more is looked up at each of them.
+NAME_JUNCTIONS = 32
+
+
+def _named(*columns: str) -> Column:
+    return F.md5(F.to_json(F.struct(*columns)))
+
+
+def spans(located: DataFrame, name: str = "peptide") -> DataFrame:
+    """One row per located peptide of several blocks: name, seqid, b (blocks, sorted), js (seqid, donor and acceptor of each two neighbouring
+    blocks, distinct), forked (whether two of these share one end)."""
+    rows = located.where(F.col(name).isNotNull() & F.col("seqid").isNotNull() & (F.size("b") > 1)).select(F.col(name).alias("name"), "seqid", F.array_sort("b").alias("b"))
+    rows = rows.withColumn("js", F.array_distinct(F.expr("zip_with(slice(b, 1, size(b) - 1), slice(b, 2, size(b)), (x, y) -> struct(seqid, x.e as donor, y.s as acceptor))")))
+    return rows.select("name", "seqid", "b", "js", F.expr("size(js) > 1 and (size(array_distinct(js.donor)) < size(js) or size(array_distinct(js.acceptor)) < size(js))").alias("forked"))
+
+
+def _two(js: str) -> Column:
+    """Each two junctions of a sorted array."""
+    return F.expr(f"flatten(transform({js}, (x, i) -> transform(slice({js}, i + 2, size({js})), y -> struct(x as one, y as two))))")
+
+
+def _listed_support(sets: DataFrame, listed: DataFrame) -> DataFrame:
+    """set, listed: junction_support() of sets of junctions, name by name."""
+    at = listed.withColumn("place", _named("name", "seqid", "b")).select("place", "name", F.explode("js").alias("j"))
+    ours = at.join(sets.select("set", F.explode("own").alias("j")), "j")
+    theirs = at.join(sets.select("set", F.explode("theirs").alias("j")), "j").select(F.col("set").alias("_set"), F.col("place").alias("_place"), F.col("j").alias("_j"))
+    against = (F.col("set") == F.col("_set")) & (F.col("place") == F.col("_place")) & ((F.col("j.donor") == F.col("_j.donor")) | (F.col("j.acceptor") == F.col("_j.acceptor")))
+    return ours.join(theirs, against, "left_anti").groupBy("set").agg(F.countDistinct("name").alias("listed"))
 
 
 def junction_support(pairs: DataFrame, located: DataFrame, key: str = "qry_id", name: str = "peptide") -> DataFrame:
     """key, splice_support: peptides (by name) across a junction that only the predicted model has, unless the same
     location also spans a junction that only the reference has and that shares an end with it.
 
-    pairs: key, p and r. Matching is by sequence id and place; both models need regions, the predicted one two."""
-    some = pairs.where("size(p.regions) > 1 and size(r.regions) > 0").select(key, F.col("p.seqid").alias("seqid"), F.expr(chain("p")).alias("pj"), F.expr(chain("r")).alias("rj")).distinct()
-    only = lambda a, b, to: some.select(key, "seqid", F.explode(F.array_except(a, b)).alias("j")).select(F.col(key).alias(f"{to}_key"), "seqid", "j.donor", "j.acceptor").distinct()
-    spans = adjacent_pairs(located, name)
-    ours = spans.join(only("pj", "rj", "p"), ["seqid", "donor", "acceptor"])
-    theirs = spans.join(only("rj", "pj", "r"), ["seqid", "donor", "acceptor"]).select("r_key", F.col("place").alias("_place"), F.col("donor").alias("_donor"), F.col("acceptor").alias("_acceptor"))
-    against = (F.col("p_key") == F.col("r_key")) & (F.col("place") == F.col("_place")) & ((F.col("donor") == F.col("_donor")) | (F.col("acceptor") == F.col("_acceptor")))
-    return ours.join(theirs, against, "left_anti").groupBy(F.col("p_key").alias(key)).agg(F.countDistinct("name").alias("splice_support"))
+    pairs: key, p and r. Matching is by sequence id and place; both models need regions, the predicted one two.
+
+    Models and peptides that meet at a junction are not paired: that grows with the square of how many stand there. Models of
+    equal junctions are one set, and names of equal junctions one class. A set's names are those of its junctions, summed up, less
+    those counted more than once: classes that have two of its junctions. Only names with a location that spans junctions with an end
+    in common, or with more than NAME_JUNCTIONS, are looked up one by one."""
+    some = pairs.where("size(p.regions) > 1 and size(r.regions) > 0 and p.seqid is not null")
+    of = lambda m: F.expr(f"transform({chain(m)}, x -> struct(p.seqid as seqid, x.donor as donor, x.acceptor as acceptor))")
+    some = some.select(key, of("p").alias("pj"), of("r").alias("rj")).select(key, F.array_except("pj", "rj").alias("own"), F.array_except("rj", "pj").alias("theirs")).where("size(own) > 0 or size(theirs) > 0")
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    # what is one pair's own and another's of the same key only the reference's has itself against it
+    sets = some.groupBy(key).agg(every("own"), every("theirs")).select(key, F.array_sort(F.array_except("own", "theirs")).alias("own"), F.array_sort("theirs").alias("theirs"))
+    members = written(sets.where("size(own) > 0").withColumn("set", _named("own", "theirs")))
+    sets = written(members.groupBy("set").agg(F.first("own").alias("own"), F.first("theirs").alias("theirs")))
+
+    rows = written(spans(located, name))
+    long = rows.groupBy("name").agg(F.sum(F.size("js")).alias("n"), F.max("forked").alias("forked")).where(F.col("forked") | (F.col("n") > NAME_JUNCTIONS)).select("name")
+    long = written(long)
+    listed = _listed_support(sets, rows.join(long, "name", "left_semi"))
+    names = rows.join(long, "name", "left_anti").groupBy("name").agg(F.array_sort(every("js")).alias("js"))
+    classes = written(names.groupBy("js").agg(F.count(F.lit(1)).alias("names")))
+    # names of each junction, and names of each two
+    at = classes.select(F.explode("js").alias("j"), "names").groupBy("j").agg(F.sum("names").alias("names"))
+    counted = sets.select("set", F.explode("own").alias("j")).join(at, "j").groupBy("set").agg(F.sum("names").alias("counted"))
+    two = classes.where("size(js) > 1").select(_named("js").alias("class"), "names", F.explode(_two("js")).alias("jj"))
+    both = two.join(sets.where("size(own) > 1").select("set", F.explode(_two("own")).alias("jj")), "jj").groupBy("set", "class").agg(F.first("names").alias("names"), F.count(F.lit(1)).alias("n"))
+    # of k junctions there are k (k - 1) / 2 twos, and k - 1 are too many
+    again = both.groupBy("set").agg(F.sum(F.col("names") * F.expr("cast(round((sqrt(8 * n + 1) - 1) / 2) as bigint)")).alias("again"))
+    total = counted.join(again, "set", "left").join(listed, "set", "full").select("set", F.expr("coalesce(counted, 0) - coalesce(again, 0) + coalesce(listed, 0)").alias("splice_support"))
+    return members.select(key, "set").join(total, "set").select(key, "splice_support")
 
 
 #: Measures of a predicted model in the report.
@@ -115,6 +161,7 @@ def evidence_report(codes: DataFrame, scores: DataFrame, predicted: DataFrame, r
     rows = rows.join(model(predicted, "qry_id", "p"), "qry_id", "left").join(model(reference, "ref_id", "r"), "ref_id", "left")
     rows = classify_difference(rows).withColumn("_stop", stop_difference() & (F.col("c_terminal_peptides") > 0)).withColumn("_pair", F.struct("qry_id", "ref_id"))
     splice = F.col("difference").isin(*SPLICE_DIFFERENCES) & ~F.col("_stop")
+    rows = written(rows)
     rows = rows.join(junction_support(rows.where(splice), located, "_pair", name), "_pair", "left")
     start = F.col("difference").isin(*START_DIFFERENCES) & (F.col("n_terminal_peptides") > 0)
     category = F.when(F.col("_stop"), "peptide_support_different_stop").when(splice & (F.col("splice_support") > 0), "peptide_support_different_splice").when(start, "peptide_support_different_start")
