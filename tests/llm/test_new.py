@@ -94,6 +94,30 @@ def test_alignment_pairs_of_a_long_group(spark):
     assert got.groups == 1 and got.links == 2 * n * n and sorted(zip(got.a, got.b, got.times, strict=True)) == [(7, 1, n * n), (8, 1, n * n)]
 
 
+def test_alignment_of_units_between_all_marks(spark):
+    """Texts are cut between letters, digits, marks and white space; contractions and runs of white space are not."""
+    from evimap.llm.alignment import link_scores
+
+    r = random.Random(11)
+    parts = ["a", "re", "x", "7", "42", "'", "'s", "'ll", ".", ",", "<s>", "\n", "\n\n", "\t", "\r\n", " ", " ", "  ", "\xa0", "\u3000", "\x85", "\x1c", "\x00", "\x01", "\x7f", "é", "ß", "中", "🙂", "▁"]
+    rows = [(i, "".join(r.choice(parts[:-1] if i % 9 else parts) for _ in range(r.randint(1, 120)))) for i in range(400)]
+    got = link_scores(docs_of(spark, rows).repartition(2), A, B)
+    assert order(map(tuple, got.collect())) == order(brute_alignment(rows))
+
+
+def test_alignment_looks_at_shapes_and_keeps_distinct_pairs(spark):
+    """Units of equal ends are aligned once, and a document's pairs stand there once with their number."""
+    from evimap.llm.alignment import aligned, tokens
+
+    r = random.Random(3)
+    words = ["".join(r.choice(["th", "on", "er", "ing", "and", "ea"]) for _ in range(r.randint(1, 4))) for _ in range(4000)]
+    docs = docs_of(spark, [(i, " ".join(r.choice(words) for _ in range(2000))) for i in range(3)]).coalesce(1)
+    slice_ = tokens(docs, A, B).first()
+    assert len(slice_.shapes) * 2 < len(slice_.shape) and not slice_.long
+    for row in aligned(docs, A, B).collect():
+        assert len(set(zip(row.a, row.b, strict=True))) == len(row.a) == len(row.b) and sum(row.times) == row.n_links > len(row.a)
+
+
 def test_plan_is_best_fit_decreasing():
     from evimap.llm.best_fit import plan
 
