@@ -41,9 +41,9 @@ BROADCAST_PAIRS = 1 << 20
 #: Slices of the join where there are more.
 SALTS = 16
 #: Bytes of text whose distinct units are tokenised and aligned together.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Short units of text whose tokens a worker keeps; of a full memo the half that was met most often stays. It bounds memory only.
-MEMO = 300_000
+MEMO = 200_000
 #: Pairs of tokens, of either vocabulary, up to which a unit is aligned by its shape. Others are aligned one by one.
 SHORT = 256
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
@@ -391,7 +391,7 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
 
     found, path = tokens(docs, a_path, b_path, id_col, text_col), new_folder(docs.sparkSession, "tokens")
     # rows of some MB: without these, a file's rows would be held together when written and read
-    found.write.option("parquet.block.size", 4 * SLICE_BYTES).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+    found.write.option("parquet.block.size", 8 * SLICE_BYTES).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
     rows = docs.sparkSession.read.schema(found.schema).parquet(path)
     done = rows.withColumns({"shapes": F.transform("shapes", _last_of_groups), "long": F.transform("long", _aligned_unit)})
     return done.mapInArrow(each, _schema(_DOCUMENTS))
