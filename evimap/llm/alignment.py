@@ -50,8 +50,7 @@ _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
 #: Bits of an id in the numbers of pairs that are sorted.
 ID_BITS = 20
 _UNIT = "struct<a:array<int>,a_ends:array<int>,b:array<int>,b_ends:array<int>>"
-_TOKENS = {k: "array<int>" for k in ("size", "units", "a", "b", "shape")} | {k: "array<bigint>" for k in ("doc_id", "n_a", "n_b")}
-_TOKENS |= {"shapes": "array<struct<a_ends:array<int>,b_ends:array<int>>>", "long": f"array<{_UNIT}>"}
+_TOKENS = {"shape": "array<int>", "shapes": "array<struct<a_ends:array<int>,b_ends:array<int>>>", "long": f"array<{_UNIT}>", "rest": "binary"}
 _DOCUMENTS = {k: "bigint" for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")} | {"groups": "string", "a": "array<int>", "b": "array<int>", "times": "array<bigint>"}
 
 
@@ -95,6 +94,19 @@ def _joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(k) for b in batches]) for k in range(batches[0].num_columns)], schema=batches[0].schema)
 
 
+def _packed(columns: dict[str, pa.Array]) -> pa.Array:
+    """Columns of any lengths as one compressed value: what Spark only carries along needn't be arrays of its own, an element at a time."""
+    batch, sink = pa.RecordBatch.from_arrays([_lists(x, np.array([len(x)])) for x in columns.values()], names=[*columns]), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(batch)
+    return pa.array([sink.getvalue().to_pybytes()], pa.binary())
+
+
+def _unpacked(value: pa.Scalar) -> dict[str, pa.Array]:
+    batch = pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+    return {name: batch.column(name)[0].values for name in batch.schema.names}
+
+
 def _cuttable(names: list[str]) -> np.ndarray:
     """Whether both vocabularies surely end a token between two bytes of ASCII that aren't both white. names: the pieces of B.
 
@@ -122,7 +134,7 @@ class Units:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
 
-        self.a, a_bytes = encoder(a_path, plain=True), Decoder(a_path).table.to_pylist()
+        self.a, a_bytes = encoder(a_path, plain=True), Decoder(a_path, plain=True).table.to_pylist()
         self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any(re.search("[^\u2581]\u2581", name) for name in names):
@@ -216,8 +228,8 @@ _units: dict[tuple[str, str], Units] = {}
 
 
 def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for a few MB of text: its documents (doc_id, n_a, n_b, the size of each and the numbers of its units, none where the
-    bytes differ) and its distinct units (their ids in a and b, and the number of their shape; -1 - k for the unit of number k in long)."""
+    """A row for a few MB of text: the number of the shape of each distinct unit (-1 - k for the unit of number k in long), and packed in rest
+    its documents (doc_id, n_a, n_b, the size of each and the numbers of its units, none where the bytes differ) and the short units' ids (a and b)."""
 
     def each(batches):
         known = _units.get((a_path, b_path)) or _units.setdefault((a_path, b_path), Units(a_path, b_path))
@@ -242,10 +254,10 @@ def tokens(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", te
                 a, b = zero - place[:-1], place[1:] - zero - 1
                 shapes = pa.StructArray.from_arrays([_lists(ends[_spans(place[:-1], a)], a), _lists(ends[_spans(zero + 1, b)], b)], names=["a_ends", "b_ends"])
                 fields = ["a", "a_ends", "b", "b_ends"]
-                columns = {"doc_id": part.column("doc_id"), "size": size.astype(np.int32), "units": index[np.repeat(keep, np.diff(at))], "shape": shape, "shapes": shapes}
-                columns |= {k: np.where(keep, n[at[1:]] - n[at[:-1]], 0) for k, n in (("n_a", n_a), ("n_b", n_b))} | {k: short.column(k).flatten() for k in ("a", "b")}
-                columns["long"] = pa.StructArray.from_arrays([long.column(k) for k in fields], names=fields)
-                yield pa.RecordBatch.from_arrays([_lists(columns[k], np.array([len(columns[k])])) for k in _TOKENS], names=[*_TOKENS])
+                rest = {"doc_id": part.column("doc_id"), "size": size.astype(np.int32), "units": index[np.repeat(keep, np.diff(at))]}
+                rest |= {k: np.where(keep, n[at[1:]] - n[at[:-1]], 0) for k, n in (("n_a", n_a), ("n_b", n_b))} | {k: short.column(k).flatten() for k in ("a", "b")}
+                columns = {"shape": shape, "shapes": shapes, "long": pa.StructArray.from_arrays([long.column(k) for k in fields], names=fields)}
+                yield pa.RecordBatch.from_arrays([*(_lists(x, np.array([len(x)])) for x in columns.values()), _packed(rest)], names=[*_TOKENS])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(each, _schema(_TOKENS))
@@ -387,11 +399,11 @@ def aligned(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id", t
     def each(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                yield _documents({k: batch.column(k)[i].values for k in _TOKENS})
+                yield _documents({k: batch.column(k)[i].values for k in ("shape", "shapes", "long")} | _unpacked(batch.column("rest")[i]))
 
     found, path = tokens(docs, a_path, b_path, id_col, text_col), new_folder(docs.sparkSession, "tokens")
     # rows of some MB: without these, a file's rows would be held together when written and read
-    found.write.option("parquet.block.size", 8 * SLICE_BYTES).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
+    found.write.option("parquet.block.size", SLICE_BYTES).option("parquet.block.size.row.check.min", 1).option("parquet.page.size.row.check.min", 1).parquet(path)
     rows = docs.sparkSession.read.schema(found.schema).parquet(path)
     done = rows.withColumns({"shapes": F.transform("shapes", _last_of_groups), "long": F.transform("long", _aligned_unit)})
     return done.mapInArrow(each, _schema(_DOCUMENTS))

@@ -161,8 +161,8 @@ def encoder(path: str, plain: bool = False) -> Encoder:
 class Decoder:
     """Text of ids, as the byte-level decoder joins it."""
 
-    def __init__(self, path: str):
-        tokenizer = encoder(path).tokenizer
+    def __init__(self, path: str, plain: bool = False):
+        tokenizer = encoder(path, plain).tokenizer
         back = {c: b for b, c in byte_letters().items()}
         self.bytes: dict[int, bytes] = {i: bytes(back[c] for c in t) if all(c in back for c in t) else t.encode() for t, i in tokenizer.get_vocab(with_added_tokens=True).items()}
         self.table = pa.array([self.bytes.get(i) for i in range(1 + max(self.bytes))], pa.large_binary())

@@ -118,6 +118,22 @@ def test_alignment_looks_at_shapes_and_keeps_distinct_pairs(spark):
         assert len(set(zip(row.a, row.b, strict=True))) == len(row.a) == len(row.b) and sum(row.times) == row.n_links > len(row.a)
 
 
+def test_alignment_carries_documents_past_spark_as_one_value(spark):
+    """What isn't aligned by Spark is one compressed value of a row, far smaller than its arrays, and reads back whole."""
+    import pyarrow as pa
+
+    from evimap.llm.alignment import _unpacked, tokens
+
+    r = random.Random(4)
+    words = ["".join(r.choice(["th", "on", "er", "ing", "and", "ea"]) for _ in range(r.randint(1, 4))) for _ in range(2000)]
+    found = tokens(docs_of(spark, [(7, " ".join(r.choice(words) for _ in range(20_000))), (None, "one two"), (8, None), (9, "a▁b")]).coalesce(1), A, B)
+    assert found.columns == ["shape", "shapes", "long", "rest"]
+    row = found.first()
+    rest = _unpacked(pa.scalar(bytes(row.rest), pa.binary()))
+    assert rest["doc_id"].to_pylist() == [7, None, 8, 9] and rest["size"].to_pylist()[1:] == [2, 0, 0] and len(rest["units"]) == sum(rest["size"].to_pylist()) == 20_002
+    assert len(row.rest) * 2 < sum(x.nbytes for x in rest.values())
+
+
 def test_plan_is_best_fit_decreasing():
     from evimap.llm.best_fit import plan
 
