@@ -1,10 +1,10 @@
 """Class codes of gene models against a reference, from their exons.
 
 A decision list over exons and introns names what a pair is to each other; a model's code is that of its best pair, in the order of
-CODES. The codes up to k need an intron in common, or a model without introns in an exon of the other one; those up to j a donor or
-an acceptor in common, or an intron within an exon. Models meet on the first of these, those without such a code on the second
-(close_pairs). Only those that find no code so are held against all models near by: they meet where they share a genomic
-bin, each pair in one bin only (pairs).
+CODES. class_codes() sends each model to the cells of the genome it touches, where tasks look for the codes in that order (judged.py).
+code(), pairs() and close_pairs() say the same of single pairs in SQL expressions: what two models are to each other, which are near
+by, and which meet in a way that codes ask for. The codes up to k need an intron in common, or a model without introns in an exon of
+the other one; those up to j a donor or an acceptor in common, or an intron within an exon.
 
 What a code asks for (q the model, r the reference model; introns are the gaps between exons; strands are opposite when one is
 + and the other -, and else the same):
@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evimap.functions.tables import written
+from evimap.operators.judged import judged
 
 #: From the best to the last: fixed values, the codes of the comparison format.
 CODES = "=ckmnjeosxiypru"
@@ -41,6 +42,8 @@ BIN = 1 << 14
 #: Letters of a bin for places within exons.
 FINE = 1 << 9
 RUN_ON = 2000
+#: About as many models of a side are in a part of a cell at most, and rows in a task on average.
+TASK_CELLS = 1 << 17
 #: Letters of an intron that a model without introns must cover beside an exon.
 FRAGMENT = 10
 #: Letters that the exons of q and r share.
@@ -136,27 +139,54 @@ def code(run_on: int = RUN_ON) -> Column:
     return F.expr(f"get(transform(array({_OVERLAP}), ov -> struct({decided} AS class_code, ov AS letters)), 0)")
 
 
+def _cells(models: DataFrame, key: str, margin: int, size: int = BIN) -> DataFrame:
+    """key, seqid, strand, places, bin: a row for each bin that a model touches, with its exons as starts and ends by turns."""
+    strand = F.expr("CASE strand WHEN '+' THEN 1 WHEN '-' THEN 2 ELSE 0 END AS strand")
+    places = F.expr("flatten(transform(exons, x -> array(bigint(x.start), bigint(x.end)))) AS places")
+    bins = F.expr(f"explode(sequence((exons[0].start - {margin}) div {size}, (element_at(exons, -1).end + {margin}) div {size})) AS bin")
+    return models.where("size(exons) > 0 AND seqid IS NOT NULL").select(key, "seqid", strand, places, bins)
+
+
+def coded(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON, rows: int = TASK_CELLS) -> DataFrame:
+    """class_codes() of tables that hold the same rows whenever they are read; models have _row, a number of each row, and masked.
+
+    A model goes once to each cell it touches, with its exons as numbers; tasks that get some cells find the best codes there (judged).
+    Where more than rows models of a side stand in a cell, they are dealt to parts of it, and each part meets each of the other side."""
+    q, r = _cells(models, "_row", run_on), _cells(reference.withColumnRenamed("id", "ref_id"), "ref_id", 0)
+    count = lambda df, a, b: df.select("seqid", "bin", F.lit(a).alias("q"), F.lit(b).alias("r"))
+    parts = [F.ceil(F.sum(c) / rows).cast("int").alias(c) for c in "qr"]
+    sizes = written(count(q, 1, 0).unionByName(count(r, 0, 1)).groupBy("seqid", "bin").agg(*parts, F.sum(F.col("q") + F.col("r")).alias("n")).where("q > 0 AND r > 0"))
+    total = sizes.agg(F.sum(F.expr("n * greatest(q, r)"))).first()[0] or 0
+    tasks = max(int(models.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // rows))
+    # no more of these than there are rows in portions of rows
+    crowded = F.broadcast(sizes.where("q > 1 OR r > 1").select("seqid", "bin", F.col("q").alias("_q"), F.col("r").alias("_r")))
+
+    def dealt_out(df: DataFrame, key: str, own: str, other: str, part: str) -> DataFrame:
+        df = df.join(crowded, ["seqid", "bin"], "left").withColumns({"_q": F.coalesce("_q", F.lit(1)), "_r": F.coalesce("_r", F.lit(1))})
+        df = df.withColumn("_own", F.expr(f"int(pmod(xxhash64({key}, places), {own}))")).withColumn("_other", F.explode(F.expr(f"sequence(0, {other} - 1)")))
+        df = df.withColumn("part", F.expr(part)).withColumn("task", F.expr(f"int(pmod(xxhash64(seqid, bin, part), {4 * tasks}))"))
+        # by new names of their own: both sides may come from one table
+        return df.select(*(F.col(c).alias(c) for c in (key, "seqid", "bin", "part", "strand", "places", "task"))).repartition(tasks, "task")
+
+    left, right = dealt_out(q, "_row", "_q", "_r", "_own * _r + _other"), dealt_out(r, "ref_id", "_r", "_q", "_other * _r + _own")
+    met = left.groupBy("task").cogroup(right.groupBy("task"))
+    kind = reference.schema["id"].dataType.simpleString()
+    found = met.applyInArrow(lambda a, b: judged(a, b, CODES, run_on, FRAGMENT), f"_row long, rank int, letters long, ref_id {kind}")
+    found = found.groupBy("_row").agg(F.min(F.struct("rank", (-F.col("letters")).alias("letters"), "ref_id")).alias("b"))
+    alone = F.when(F.col("masked") >= 0.5, "r").otherwise("u")
+    return models.select("id", "_row", "masked").join(found, "_row", "left").select(F.col("id").alias("qry_id"), F.col("b.ref_id").alias("ref_id"), F.coalesce(F.expr(f"substring('{CODES}', b.rank, 1)"), alone).alias("class_code"))
+
+
+def numbered(models: DataFrame) -> DataFrame:
+    """models with _row and masked, as coded() takes them once they are written."""
+    masked = F.col("masked") if "masked" in models.columns else F.lit(None)
+    return models.withColumns({"_row": F.monotonically_increasing_id(), "masked": masked.cast("double")})
+
+
 def class_codes(models: DataFrame, reference: DataFrame, run_on: int = RUN_ON) -> DataFrame:
     """qry_id, ref_id, class_code: each model's best code, and with which reference model: of several with that code the one with the
     most overlapping letters, then the smallest id. r and u have no reference model.
 
-    models, reference: id, seqid, strand, exons (sorted, not overlapping); models may have masked, the share of letters that
-    are masked as repeats. Models without exons are u; equal ids are one model each row."""
-    masked = F.col("masked") if "masked" in models.columns else F.lit(None)
-    keyed = written(models.withColumns({"_row": F.monotonically_increasing_id(), "masked": masked.cast("double")}))
-    q, r = keyed.select(F.struct("id", "_row", "masked").alias("id"), "seqid", "strand", "exons"), written(reference.select("id", "seqid", "strand", "exons"))
-    rank = F.expr(f"instr('{CODES}', class_code)")
-
-    def best(met: DataFrame) -> DataFrame:
-        coded = met.select(F.col("q.id._row").alias("_row"), F.col("r.id").alias("ref_id"), code(run_on).alias("c")).select("_row", "ref_id", "c.*").where("class_code is not null")
-        return coded.groupBy("_row").agg(F.min(F.struct(rank.alias("rank"), (-F.col("letters")).alias("letters"), "ref_id", "class_code")).alias("b"))
-
-    # a model with a code of one step can't have a better one in the next
-    found = None
-    for kinds, last in STEPS:
-        settled = written(best(close_pairs(q, r, kinds)).where(F.col("b.rank") <= CODES.index(last) + 1))
-        found = settled if found is None else found.unionByName(settled)
-        q = written(q.join(settled.select("_row"), F.col("id._row") == F.col("_row"), "left_anti"))
-    found = found.unionByName(best(pairs(q, r, run_on)))
-    alone = F.when(F.col("masked") >= 0.5, "r").otherwise("u")
-    return keyed.select("id", "_row", "masked").join(found, "_row", "left").select(F.col("id").alias("qry_id"), F.col("b.ref_id").alias("ref_id"), F.coalesce("b.class_code", alone).alias("class_code"))
+    models, reference: id, seqid, strand, exons (sorted); models may have masked, the share of letters that are masked as repeats.
+    Models without exons are u; equal ids are one model each row."""
+    return coded(written(numbered(models)), written(reference.select("id", "seqid", "strand", "exons")), run_on)

@@ -222,18 +222,28 @@ def translated_models(spark: SparkSession, sf: str) -> DataFrame:
     return genome.translated(segments(spark, sf), tiled)
 
 
-def _exon_models(segments_: DataFrame) -> DataFrame:
-    """Models with sorted exons, spread over a chromosome so that a few dozen stand at a place."""
-    shift = F.col("protein") % 61 * 5000
-    exons = F.sort_array(F.collect_list(F.struct((F.col("start") + shift).alias("start"), (F.col("end") + shift).alias("end"))))
-    return segments_.groupBy(F.col("protein").alias("id"), "seqid", "strand").agg(exons.alias("exons"))
+def _exon_models(spark: SparkSession, sf: str) -> DataFrame:
+    """id, seqid, strand, exons (sorted): segments() by their models. Line items are dealt once, as the two places they come to."""
+    lines = _t(spark, sf, "lineitem")
+    start = F.col("l_linenumber").cast("long") * 1000 + F.col("l_partkey") % 200
+    rows = lines.select(F.col("l_orderkey").alias("id"), start.alias("start"), (start + F.col("l_quantity").cast("long") * 3 + F.col("l_suppkey") % 3).alias("end"))
+    n = lines.count()
+    exons = dealt(rows, n, "id").groupBy("id").agg(F.collect_set(F.struct("start", "end")).alias("exons"))
+    # an order is in the table once; if it weren't, segments would differ by their genes
+    orders = _orders(spark, sf).select(F.col("o_orderkey").alias("id"), "o_custkey", F.concat(F.lit("chr"), F.col("c_nationkey").cast("string")).alias("seqid"), _strand("o_orderkey"))
+    orders = dealt(orders, n, "id").groupBy("id", "seqid", "strand").agg(F.size(F.collect_set("o_custkey")).alias("genes"))
+    return exons.join(orders, "id").select("id", "seqid", "strand", F.expr("sort_array(flatten(array_repeat(exons, genes)))").alias("exons"))
 
 
 def class_codes(spark: SparkSession, sf: str) -> DataFrame:
-    """Models of one to seven exons against every third of them, one exon fewer in some, with some ends moved."""
-    seg = written(segments(spark, sf))
-    reference = reference_segments(seg).where("protein % 3 = 0 and not (protein % 5 = 0 and start % 2 = 0)")
-    return overlap.class_codes(_exon_models(seg), _exon_models(reference)).withColumn("ref_id", F.col("ref_id").cast("string"))
+    """Models of one to seven exons against every third of them, one exon fewer in some, with some ends moved; spread over a
+    chromosome so that a few dozen stand at a place."""
+    models = written(overlap.numbered(_exon_models(spark, sf)))
+    moved = "transform(exons, x -> struct(x.start + {0} AS start, x.end + {1} AS end))".format
+    reference = models.where("id % 3 = 0").withColumn("exons", F.expr(moved("IF(x.start % 11 = 0, 3, 0)", "IF(x.end % 13 = 0, 6, 0)")))
+    reference = reference.withColumn("exons", F.expr("sort_array(filter(exons, x -> NOT (id % 5 = 0 AND x.start % 2 = 0)))"))
+    placed = F.expr(moved(*["id % 61 * 5000"] * 2))
+    return overlap.coded(models.withColumn("exons", placed), reference.withColumn("exons", placed)).withColumn("ref_id", F.col("ref_id").cast("string"))
 
 
 def _words(spark: SparkSession, sf: str) -> DataFrame:
